@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slidelake.llm.ngram_join import near_components
+
+    return near_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slidelake.llm.sharding import shard
 
