@@ -11,6 +11,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from slidelake.llm.toxicity import learn, scored, training_labels
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = learn(docs, training_labels(_table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = scored(docs, lexicon)
+    return found.select("doc_id", held_out.alias("held_out"), "toxicity.score", (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.col("toxicity.hits").alias("n_hits"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slidelake.llm.mixing import mixed, rates
+
+    docs = _table(spark, sf_dir, "documents")
+    return mixed(docs, rates(docs, temperature=0.5), seed=42)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slidelake.llm.ngram_join import near_components
 
@@ -41,6 +60,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slidelake.llm.quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage, by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
