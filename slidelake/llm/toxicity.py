@@ -30,7 +30,7 @@ HIDDEN = "­​‌‍⁠﻿"
 SIGN = re.compile(r"(?<=\w)[@$](?=\w)")
 
 #: Lengths of the word beginnings that may be lexicon entries.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 
 
 class _Folding(dict):
@@ -119,13 +119,24 @@ def _fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def _pruned(weights: dict[str, float], apart: float = 0.7) -> dict[str, float]:
+    """Of a beginning and the longer entries that begin so, either it or they: they if one weighs clearly more."""
+    beginning = lambda x: [x[: k + 1] for k in STEMS if k + 1 < len(x.rstrip()) + (x[-1] == " ")]
+    above: dict[str, float] = {}
+    for x, w in weights.items():
+        for b in beginning(x):
+            above[b] = max(w, above.get(b, 0.0))
+    kept = {x: w for x, w in weights.items() if above.get(x, 0.0) <= w + apart}
+    return {x: w for x, w in kept.items() if not any(b in kept for b in beginning(x))}
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 10_000, entries: int = 2_000, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon from labelled documents (doc_id, toxic 0/1).
 
     Fits on a bounded sample: of each class the `sample` labels that come first by hash of the
     id, so at most 2 * sample documents. Equal texts count once. Words and word beginnings
     are weighted by the lower end of a one-sided 95 % interval for the log odds of the documents
-    they are in; the `entries` strongest of 2 or more are kept.
+    they are in; the `entries` strongest are kept, down to 2 or half the strongest.
     A phrase of two words with an entry becomes an exception when it occurs in clean documents
     mostly. Without labels of both classes the lexicon is empty.
     """
@@ -165,9 +176,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 10_000, entries: int
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
     sure = odds - 1.64 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     least = max(4, n[1] // 200)
-    strong = counted(features).where(F.col("toxic") >= least).withColumn("weight", sure).where("weight >= 2").orderBy(F.desc(F.col("weight") * F.log1p("toxic")), "feature").limit(entries).collect()
+    strong = counted(features).where(F.col("toxic") >= least).withColumn("weight", sure).where("weight >= 1").orderBy(F.desc(F.col("weight") * F.log1p("toxic")), "feature").limit(entries).collect()
     weights = {x.feature: float(x.weight) for x in strong}
-    found = {x: w for x, w in weights.items() if not any(weights.get(x[: k + 1], 0) > w - 1 for k in STEMS if k + 1 < len(x.rstrip()))}
+    least_weight = min(2.0, 0.5 * max(weights.values(), default=0.0))
+    found = _pruned({x: w for x, w in weights.items() if w >= least_weight})
     in_clean = counted(phrases).where((F.col("clean") >= least) & (odds < 0)).select("feature").orderBy(F.desc("clean"), "feature").limit(entries)
     spared = tuple(x.feature for x in in_clean.collect()) + tuple(f" {folded(x).strip()} " for x in exceptions)
     lexicon = Lexicon(found, spared)
