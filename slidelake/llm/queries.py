@@ -36,6 +36,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slidelake.llm.warc import capture_histories
+
+    return capture_histories(_table(spark, sf_dir, "pages"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slidelake.llm.sharding import shard
 
