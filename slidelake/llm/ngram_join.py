@@ -15,16 +15,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidelake.llm.components import components
-from slidelake.llm.shared import stored
+from slidelake.llm.shared import run_folder, stored
 
 #: The sketch: 2**CELL_BITS counters, in SLICES parts.
-CELL_BITS, SLICES = 22, 256
+CELL_BITS, SLICES = 21, 256
+#: Bits of the filter for documents whose sets are needed; its size doesn't depend on the data.
+FILTER_BITS = 26
 #: Orders besides the first.
 FURTHER = 2
 
@@ -70,14 +73,14 @@ def frequency_ranks(docs: DataFrame, k: int) -> np.ndarray:
                 np.add.at(cells, shingles(text, k) >> np.uint64(64 - CELL_BITS), 1)
                 seen = True
         if seen:
-            small = np.minimum(cells, 65_535).astype("<u2").reshape(SLICES, -1)
+            small = np.minimum(cells, 255).astype(np.uint8).reshape(SLICES, -1)
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "cells": [x.tobytes() for x in small]})
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, cells in zip(*(c.to_pylist() for c in batch.columns)):
-                sums[i] = sums.get(i, 0) + np.frombuffer(cells, "<u2").astype(np.int64)
+                sums[i] = sums.get(i, 0) + np.frombuffer(cells, np.uint8).astype(np.int64)
         if sums:
             logs = [np.floor(4 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in sums.values()]
             yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "cells": logs})
@@ -96,6 +99,37 @@ def _long(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
 
+def _name(tokens: np.ndarray) -> int:
+    """The name of a set."""
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
+
+
+def _bits(rows: DataFrame) -> np.ndarray:
+    """A filter with the bits set that the rows (column bit) name."""
+    size = (1 << FILTER_BITS) // 8 // SLICES
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(size, np.uint8)
+        at = pdf["bit"].to_numpy() % (8 * size)
+        np.bitwise_or.at(part, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        return pd.DataFrame({"slice": [int(pdf["bit"].iloc[0]) // (8 * size)], "part": [part.tobytes()]})
+
+    found = np.zeros((SLICES, size), np.uint8)
+    for i, part in rows.distinct().groupBy(F.expr(f"bit div {8 * size}")).applyInPandas(fill, "slice int, part binary").collect():
+        found[i] = np.frombuffer(part, np.uint8)
+    return found.ravel()
+
+
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The rows as a table bucketed by a key, in the shared folder: joins on it move the other side only."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = run_folder(spark, "sets")
+    name = folder.rpartition("/")[2].replace("-", "_")
+    df.repartition(n, key).write.bucketBy(n, key).option("path", folder).saveAsTable(name)
+    return spark.table(name)
+
+
 def _need(n: str, m: str, percent: int) -> str:
     """SQL for the least intersection of sets of n and m shingles that are similar enough."""
     return f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
@@ -125,31 +159,43 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
                 for text in texts[at : at + 1000]:
                     tokens = shingles(text, k)
                     n.append(len(tokens))
-                    cls.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63)
+                    cls.append(_name(tokens))
                     first.append(_long(prefix(tokens, percent, ranks.value, 0)))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, 1000), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "first": pa.array(first, pa.list_(pa.int64()))})
 
     described = stored(docs.mapInArrow(describe, "doc_id long, n long, cls long, first array<long>"), "prefixes")
     classes = stored(described.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
 
-    # One row per class and prefix shingle that another class has in its prefix too, if the
-    # place in the prefix leaves enough shingles for a link with the bucket's smallest set.
+    # A row per class and prefix shingle that another class has in its prefix too, if that can be
+    # a link by size (the next smaller or larger set in the bucket is near enough) and by place
+    # in the prefix (enough shingles are left for a link with the smallest such set).
     by_token = Window.partitionBy("token")
-    entries = described.where("n > 0").select("cls", "n", F.posexplode("first").alias("at", "token")).groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("at").alias("at"))
-    shared = entries.withColumn("least", F.min("n").over(by_token)).withColumn("rows", F.count("*").over(by_token)).where(f"rows > 1 and n - at >= {_need('n', 'greatest(least, (' + str(percent) + ' * n + 99) div 100)', percent)}").drop("least", "rows")
-    buckets = stored(shared, "buckets")
+    by_size = by_token.orderBy("n", "cls")
+    entries = described.where("n > 0").select("cls", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("at", "token"))
+    shared = entries.withColumn("one", F.min("cls").over(by_token)).withColumn("last", F.max("cls").over(by_token)).where("one <> last")
+    shared = shared.groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("at").alias("at"))
+    shared = shared.withColumn("below", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
+    smaller = f"coalesce(100 * below >= {percent} * n, false) AND n - at >= {_need('n', f'(({percent} * n + 99) div 100)', percent)}"
+    larger = f"coalesce(100 * n >= {percent} * above, false) AND n - at >= {_need('n', 'above', percent)}"
+    buckets = stored(shared.where(f"({smaller}) OR ({larger})").drop("below", "above"), "buckets")
+
+    bit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << FILTER_BITS))
+    needed = buckets.select("cls").distinct().join(classes, "cls").select(bit.alias("bit"))
+    wanted = spark.sparkContext.broadcast(_bits(needed))  # 2**FILTER_BITS / 8 bytes
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = shingles(text, k)
-                row = {"cls": [xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63], "tokens": [_long(tokens)]}
-                row |= {f"order{i}": [_long(prefix(tokens, percent, ranks.value, i))] for i in range(1, FURTHER + 1)}
+            at = batch.column(0).to_numpy()
+            chosen = np.flatnonzero(wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            texts = batch.column(1).take(pa.array(chosen)).to_pylist()
+            for i in range(0, len(texts), 500):
+                sets = [shingles(text, k) for text in texts[i : i + 500]]
+                row = {"cls": pa.array([_name(x) for x in sets], pa.int64()), "tokens": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))}
+                row |= {f"order{j}": pa.array([prefix(x, percent, ranks.value, j).view(np.int64) for x in sets], pa.list_(pa.int64())) for j in range(1, FURTHER + 1)}
                 yield pa.RecordBatch.from_pydict(row)
 
-    needed = buckets.select("cls").distinct().join(classes, "cls").select("doc_id").distinct()
     schema = "cls long, tokens array<long>, " + ", ".join(f"order{i} array<long>" for i in range(1, FURTHER + 1))
-    sets = stored(docs.join(needed, "doc_id", "left_semi").select("text").mapInArrow(measure, schema).dropDuplicates(["cls"]), "sets")
+    sets = _bucketed(docs.select(bit.alias("bit"), "text").mapInArrow(measure, schema).join(buckets.select("cls").distinct(), "cls", "left_semi"), "cls")
 
     placed = stored(_linked(buckets, sets, percent), "components")
     named = classes.join(placed.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
@@ -162,33 +208,48 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
 def _linked(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the classes that have links.
 
-    In rounds: of each bucket with members in more than one component, the next few members (the
-    pivots, 1, 3, 12, ... of them) are compared with all later members of other components. A
-    bucket is done when its members are in one component or all were pivots. Only pairs that
-    pass size, place and all orders are compared.
+    In rounds, of each bucket with members in more than one component, some members (the pivots)
+    are compared with later members of other components. At first each class is compared with
+    one pivot only, the first of all its buckets' first members; that connects most copies. Then
+    the pivots are the next 1, 3, 12, ... members. A bucket is done when its members are in one
+    component or all were pivots. Only pairs that pass size, place and all orders are compared,
+    and none twice.
     """
     spark = buckets.sparkSession
     placed = spark.createDataFrame([], "node long, component long")
-    low, high = 0, 1
+    seen = spark.createDataFrame([], "a long, b long")
     by_token = Window.partitionBy("token")
     in_turn = by_token.orderBy(F.xxhash64("cls"), "cls")
-    left = stored(buckets.withColumn("turn", F.row_number().over(in_turn) - 1), "turns")
-    while left.limit(1).count():
-        now = left.join(placed.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        now = stored(now.withColumn("one", F.min("component").over(by_token)).withColumn("last", F.max("component").over(by_token)).withColumn("most", F.max("turn").over(by_token)).where(f"one <> last and most >= {low}"), "turns")
+    left = stored(buckets.withColumn("turn", F.row_number().over(in_turn) - 1).withColumn("most", F.count("*").over(by_token) - 1), "turns")
+    need = _need("n", "p_n", percent)
+    fits = F.expr(f"component <> p_component and turn > p_turn and n - at >= {need} and p_n - p_at >= {need} and 100 * least(n, p_n) >= {percent} * greatest(n, p_n)")
+    low, high, first = 0, 1, True
+    while True:
+        now = left.where(f"most >= {low}").join(placed.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        now = now.withColumn("one", F.min("component").over(by_token)).withColumn("last", F.max("component").over(by_token)).where("one <> last")
+        now = stored(now.drop("one", "last"), "turns")
+        if now.isEmpty():
+            return placed
         pivots = now.where(f"turn >= {low} and turn < {high}").select("token", *[F.col(c).alias(f"p_{c}") for c in ("cls", "n", "at", "turn", "component")])
-        need = _need("n", "p_n", percent)
-        fits = F.expr(f"component <> p_component and turn > p_turn and n - at >= {need} and p_n - p_at >= {need} and 100 * least(n, p_n) >= {percent} * greatest(n, p_n)")
-        met = now.join(pivots, "token").where(fits).select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
-        side = lambda c: sets.select(F.col("cls").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in sets.columns[1:]])
-        orders = [F.arrays_overlap(f"a_order{i}", f"b_order{i}") for i in range(1, FURTHER + 1)]
-        passed = met.join(side("a"), "a").join(side("b"), "b")
-        for order in orders:
-            passed = passed.where(order)
-        both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-        similar = passed.where(100 * both >= percent * (F.size("a_tokens") + F.size("b_tokens") - both)).select("a", "b")
-        links = placed.select(F.col("node").alias("a"), F.col("component").alias("b")).union(similar)
-        placed = components(links)
-        left = now.where(f"most > {high}").select("token", "cls", "n", "at", "turn")
-        low, high = high, high * 4
-    return placed
+        met = now.join(pivots, "token").where(fits)
+        if first:
+            met = met.groupBy("cls").agg(F.min_by("p_cls", F.struct(F.xxhash64("p_cls"), "p_cls")).alias("p_cls"))
+        pairs = met.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
+        pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        seen = seen.union(pairs)
+        placed = components(placed.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_similar(pairs, sets, percent)))
+        left = now.drop("component")
+        if first:
+            first = False
+        else:
+            low, high = high, high * 4
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share a shingle in the further orders too, and whose sets are similar."""
+    side = lambda c: sets.select(F.col("cls").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in sets.columns if x != "cls"])
+    passed = pairs.join(side("a"), "a").join(side("b"), "b")
+    for i in range(1, FURTHER + 1):
+        passed = passed.where(F.arrays_overlap(f"a_order{i}", f"b_order{i}"))
+    both = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    return passed.where(100 * both >= percent * (F.size("a_tokens") + F.size("b_tokens") - both)).select("a", "b")
