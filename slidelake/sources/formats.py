@@ -51,6 +51,9 @@ def classify(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length) of a folder's own slide files, in path order; their content is never read."""
+    """(path, length) of a folder's own slide files, in path order; their content is never read.
+
+    Empty files and names that begin with '.' or '_' are left out, as Spark's listing does.
+    """
     files = spark.read.format("binaryFile").load(folder).select("path", "length")
     return files.where(last_suffix().isin(*VENDORS)).orderBy(F.split("path", "/"))

@@ -62,6 +62,9 @@ def records(sidecars: DataFrame) -> DataFrame:
     scene. A sidecar that can't be taken apart gives one row with a reason in reject instead.
     """
     parsed = sidecars.withColumn("m", F.from_json("text", "map<string,variant>"))
+    # of a key that occurs twice the last value counts
+    last = "filter(map_entries(m), (e, i) -> i = size(m) - array_position(reverse(map_keys(m)), e.key))"
+    parsed = parsed.withColumn("m", F.expr(f"map_from_entries({last})"))
     name = F.expr("if(schema_of_variant(m['file']) = 'STRING', variant_get(m['file'], '$', 'string'), null)")
     parsed = parsed.withColumn("name", name).withColumn("listed", F.expr("to_json(m['scenes'])"))
     none = F.coalesce(F.col("listed").isin("null", "[]", "{}", '""', "0", "0.0", "false"), F.lit(True))
