@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slidelake.llm.shared import small
+
 #: Bits of a hash that make a uniform number.
 _BITS = 52
 
@@ -50,7 +52,7 @@ def mixed(docs: DataFrame, repetition: DataFrame, seed: int = 0, most: float = 8
     step = lambda acc, k: F.struct((acc["p"] * F.col("rate") / k).alias("p"), (acc["sum"] + acc["p"] * F.col("rate") / k).alias("sum"), F.concat(acc["cdf"], F.array(acc["sum"] + acc["p"] * F.col("rate") / k)).alias("cdf"))
     start = F.struct(F.exp(-F.col("rate")).alias("p"), F.exp(-F.col("rate")).alias("sum"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
     tables = repetition.select("mix_source", "rate", F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["cdf"]).alias("cdf"))
-    drawn = docs.withColumn("mix_source", F.coalesce(F.col(source), F.lit(""))).join(tables, "mix_source")
+    drawn = docs.withColumn("mix_source", F.coalesce(F.col(source), F.lit(""))).join(small(tables), "mix_source")
     count = F.size(F.filter("cdf", lambda x: x <= F.col("mix_u")))
     copies = drawn.withColumn("mix_u", _uniform(seed, id_column)).withColumn("mix_n", count).where("mix_n > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))

@@ -8,11 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The classes of characters.
-CLASSES = {
-    "lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": r"[\x20\x09-\x0D]",
-    "stop": r"[.,;:!?'\"-]", "symbol": r"[#*$%&|<>]",
-}
+from slidelake.llm.shared import small, stored
+
+# The classes of characters, besides white space, symbols and all others.
+CLASSES = {"upper": r"\p{Lu}+", "digit": r"[0-9]+", "stop": r"[.,;:!?'\"-]+"}
 
 
 def _measured(docs: DataFrame, text_column: str) -> DataFrame:
@@ -52,34 +51,31 @@ def base_rules(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def _classes() -> F.Column:
-    """Counts of the classes of characters, and of the other ones."""
-    counts = [F.length("_text") - F.length(F.regexp_replace("_text", f"{p}+", "")) for p in CLASSES.values()]
-    rest = F.length("_text")
+    """Counts of the classes of characters: those of CLASSES, white space, symbols, others."""
+    length = F.length("_text").cast("long")
+    counts = [(length - F.length(F.regexp_replace("_text", p, ""))) for p in CLASSES.values()]
+    counts += [length - F.col("word_chars"), F.col("n_symbols")]
+    rest = length
     for c in counts:
         rest = rest - c
     return F.array(*counts, rest)
 
 
-def references(measured: DataFrame, words: int = 16, lang: str = "lang") -> DataFrame:
-    """(lang, ref_words, ref_word_counts, ref_classes): histograms over all documents by language.
+def common_words(measured: DataFrame, words: int = 16, tracked: int = 10_000) -> DataFrame:
+    """(ref_lang, ref_words): the most frequent words of each language over all documents.
 
-    The common words are the `words` most frequent ones; their histogram ends with the count of
-    all other words. Everything is pre-aggregated where the documents are read.
+    A frequent-items sketch of fixed size per language finds them; words as frequent as the
+    common words of a language are far above its error. Their counts are taken exactly later.
     """
-    from pyspark.sql import Window
-
-    key = F.coalesce(F.col(lang), F.lit("")).alias("ref_lang")
-    counts = measured.select(key, F.explode("_words").alias("w")).groupBy("ref_lang", "w").agg(F.count("*").alias("n"))
-    first = counts.withColumn("r", F.row_number().over(Window.partitionBy("ref_lang").orderBy(F.desc("n"), "w"))).where(f"r <= {words}")
-    top = first.groupBy("ref_lang").agg(F.array_sort(F.collect_list(F.struct("r", "w", "n"))).alias("top"), F.sum("n").alias("n_top"))
-    sizes = [F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
-    classes = measured.select(key, "n_words", _classes().alias("_classes")).groupBy("ref_lang").agg(F.sum("n_words").alias("n_all"), *sizes)
-    return top.join(classes, "ref_lang").select(
-        "ref_lang",
-        F.transform("top", lambda x: x["w"]).alias("ref_words"),
-        F.concat(F.transform("top", lambda x: x["n"]), F.array(F.col("n_all") - F.col("n_top"))).alias("ref_word_counts"),
-        F.array(*[F.col(f"c{i}") for i in range(len(CLASSES) + 1)]).alias("ref_classes"),
-    )
+    pairs = measured.select("ref_lang", F.explode("_words").alias("w"))
+    top = pairs.groupBy("ref_lang").agg(F.expr(f"approx_top_k(w, {words}, {tracked})").alias("top"))
+    return top.select("ref_lang", F.array_sort(F.transform("top", lambda x: x["item"])).alias("ref_words"))
+
+
+def references(features: DataFrame, words: int) -> DataFrame:
+    """(ref_lang, ref_hits, ref_classes): the sums of all documents' histograms by language."""
+    add = lambda c, n: F.array(*[F.sum(F.coalesce(F.get(c, F.lit(i)), F.lit(0))) for i in range(n)])
+    return features.groupBy("ref_lang").agg(add("hits", words + 1).alias("ref_hits"), add("classes", len(CLASSES) + 3).alias("ref_classes"))
 
 
 def js_distance(p: str, q: str) -> F.Column:
@@ -94,7 +90,7 @@ def js_distance(p: str, q: str) -> F.Column:
     return F.when((x > 0) & (y > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms) / 2)))
 
 
-def quality(docs: DataFrame, class_limit: float = 0.35, word_limit: float = 0.45, least_words: int = 200, least_chars: int = 200, id_column: str = "doc_id", text_column: str = "text", lang: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, class_limit: float = 0.35, word_limit: float = 0.45, words: int = 16, least_words: int = 200, least_chars: int = 200, id_column: str = "doc_id", text_column: str = "text", lang: str = "lang") -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, class_js, word_js and kept.
 
     A document is kept if it passes the base rules, and neither histogram is farther from its
@@ -102,14 +98,18 @@ def quality(docs: DataFrame, class_limit: float = 0.35, word_limit: float = 0.45
     or `least_words` words. Null and empty texts fail the base rules. Null lang is a language of
     its own. Rows that repeat are judged each; other columns are ignored.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang).alias("lang"))
-    ref = references(_measured(rows, "text").withColumn("n_words", F.size("_words")))
-    found = base_rules(rows).withColumn("_classes", _classes()).withColumn("ref_lang", F.coalesce("lang", F.lit("")))
-    found = found.join(ref, "ref_lang", "left")
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("ref_lang"))
+    common = small(stored(common_words(_measured(rows, "text"), words), "words"))
+    found = base_rules(rows).join(common, "ref_lang", "left").withColumn("ref_words", F.coalesce("ref_words", F.array().cast("array<string>")))
     hits = F.transform("ref_words", lambda w: F.col("n_words") - F.size(F.array_remove("_words", w)))
-    rest = F.col("n_words") - F.aggregate(hits, F.lit(0).cast("long"), lambda a, x: a + x)
-    found = found.withColumn("_hits", F.concat(hits, F.array(rest)))
-    found = found.withColumn("class_js", F.when(F.length("_text") >= least_chars, js_distance("_classes", "ref_classes")))
-    found = found.withColumn("word_js", F.when(F.col("n_words") >= least_words, js_distance("_hits", "ref_word_counts")))
+    found = found.withColumn("_hits", hits)
+    padding = F.array_repeat(F.lit(0).cast("long"), F.lit(words) - F.size("_hits"))
+    rest = F.col("n_words") - F.aggregate("_hits", F.lit(0).cast("long"), lambda a, x: a + x)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    features = found.select("doc_id", "ref_lang", *counts, F.length("_text").alias("n_chars"), _classes().alias("classes"), F.concat("_hits", padding, F.array(rest)).alias("hits"))
+    features = stored(features, "features")
+    found = features.join(small(references(features, words)), "ref_lang")
+    found = found.withColumn("class_js", F.when(F.col("n_chars") >= least_chars, js_distance("classes", "ref_classes")))
+    found = found.withColumn("word_js", F.when(F.col("n_words") >= least_words, js_distance("hits", "ref_hits")))
     near = F.coalesce(F.col("class_js") <= class_limit, F.lit(True)) & F.coalesce(F.col("word_js") <= word_limit, F.lit(True))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "class_js", "word_js")

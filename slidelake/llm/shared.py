@@ -7,6 +7,7 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,6 +36,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """Marks a table for broadcast if it proves to have few rows; else Spark joins it as any other."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder, which is made if needed. For use within tasks."""
     system, path = fs.FileSystem.from_uri(uri)
