@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
@@ -59,17 +62,45 @@ def captured(page_id: int | None) -> str:
     return (EPOCH + timedelta(seconds=page_id or 0)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def read_head(stream) -> tuple[dict[str, str], int]:
-    """The header lines of the next record or HTTP block by lower-case name (none at the end), and their bytes."""
-    line = stream.readline()
-    found, size = {"": line.decode().strip()} if line else {}, len(line)
-    while line := line and stream.readline():
-        size += len(line)
-        name, colon, value = line.decode().partition(":")
-        if not colon:
-            break
+def read_head(stream) -> dict[str, str]:
+    """The header lines of a record or HTTP block by lower-case name."""
+    found = {"": stream.readline().decode().strip()}
+    while line := stream.readline().decode().rstrip("\r\n"):
+        name, _, value = line.partition(":")
         found[name.strip().lower()] = value.strip()
-    return found, size
+    return found
+
+
+def parsed(data: bytes) -> tuple:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of a record."""
+    stream = io.BytesIO(data)
+    head = read_head(stream)
+    block = io.BytesIO(stream.read(int(head["content-length"])))
+    http = read_head(block)
+    payload, digest = block.read(), head["warc-payload-digest"].removeprefix("sha1:")
+    size = int(http["content-length"])
+    if head["warc-type"] == "response" and (base32_sha1(payload) != digest or len(payload) != size):
+        raise ValueError(f"the payload of {head['warc-record-id']} is damaged")
+    page_id, refers_to = (int(x) if (x := head.get(name, "").removeprefix("<urn:page:").rstrip(">")) else None for name in ("warc-record-id", "warc-refers-to"))
+    return page_id, size, digest, head["warc-type"], refers_to
+
+
+def members(stream) -> Iterator[tuple[int, bytes]]:
+    """Offset and content of each gzip member of a stream; an archive has a member per record."""
+    buffer, at = b"", 0
+    while True:
+        member, parts, used = zlib.decompressobj(31), [], 0
+        while not member.eof:
+            buffer = buffer or stream.read(1 << 17)
+            if not buffer:
+                if used:
+                    raise ValueError("an archive ends within a record")
+                return
+            parts.append(member.decompress(buffer))
+            used += len(buffer) - len(member.unused_data)
+            buffer = member.unused_data
+        yield at, b"".join(parts)
+        at += used
 
 
 class LoserTree:
@@ -132,9 +163,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         for batch in batches:
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
-                    name = f"{base}/{uuid.uuid4().hex}.warc"
+                    name = f"{base}/{uuid.uuid4().hex}.warc.gz"
                     out, entries, size = system.open_output_stream(name, buffer_size=1 << 20), [], 0
-                data = record(page_id, url, html, base32_sha1(html), refers_to)
+                data = gzip.compress(record(page_id, url, html, base32_sha1(html), refers_to), 1, mtime=0)
                 out.write(data)
                 entries.append((url_key(url), captured(page_id), page_id, size))
                 size += len(data)
@@ -195,28 +226,13 @@ def read_archives(entries: DataFrame) -> DataFrame:
     archives = one_per_task(archives, archives.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
         for batch in batches:
             for archive in batch.column(0).to_pylist():
                 system, _ = open_folder(archive.rpartition("/")[0])
-                rows, at = [], 0
-                with system.open_input_stream(archive, buffer_size=1 << 20) as raw:
-                    stream = io.BufferedReader(raw, 1 << 20)
-                    while True:
-                        head, size = read_head(stream)
-                        if not head:
-                            break
-                        block = io.BytesIO(stream.read(int(head["content-length"])))
-                        stream.read(4)
-                        http, _ = read_head(block)
-                        payload, digest = block.read(), head["warc-payload-digest"].removeprefix("sha1:")
-                        number = lambda name: int(x) if (x := head.get(name, "").removeprefix("<urn:page:").rstrip(">")) else None
-                        revisit = head["warc-type"] == "revisit"
-                        if not revisit and base32_sha1(payload) != digest:
-                            raise ValueError(f"a payload of {archive} is damaged")
-                        rows.append((archive, at, number("warc-record-id"), int(http["content-length"]) if revisit else len(payload), digest, head["warc-type"], number("warc-refers-to")))
-                        at += size + int(head["content-length"]) + 4
+                rows = []
+                with system.open_input_stream(archive, buffer_size=1 << 20) as stream:
+                    for at, member in members(stream):
+                        rows.append((archive, at, *parsed(member)))
                 for i in range(0, len(rows), 10_000):
                     columns = zip(*rows[i : i + 10_000])
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if j in (1, 2, 3, 6) else pa.string()) for j, c in enumerate(columns)], names=["archive", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
@@ -240,4 +256,5 @@ def capture_histories(pages: DataFrame, least: int = 0) -> DataFrame:
     # one row per part of the index
     starts = index.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     placed = index.join(starts, "part").select("archive", "offset", "url_key", "captured_at", (F.col("before") + F.col("place")).alias("index_place"))
-    return read_archives(entries).join(placed, ["archive", "offset"]).drop("archive", "offset")
+    # Spark takes the parsed rows for as few as the archives they come from; so the join is named
+    return read_archives(entries).hint("merge").join(placed, ["archive", "offset"]).drop("archive", "offset")
