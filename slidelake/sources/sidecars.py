@@ -64,7 +64,8 @@ def records(sidecars: DataFrame) -> DataFrame:
     parsed = sidecars.withColumn("m", F.from_json("text", "map<string,variant>"))
     # of a key that occurs twice the last value counts
     last = "filter(map_entries(m), (e, i) -> i = size(m) - array_position(reverse(map_keys(m)), e.key))"
-    parsed = parsed.withColumn("m", F.expr(f"map_from_entries({last})"))
+    repeated = "size(array_distinct(map_keys(m))) < size(m)"
+    parsed = parsed.withColumn("m", F.expr(f"if({repeated}, map_from_entries({last}), m)"))
     name = F.expr("if(schema_of_variant(m['file']) = 'STRING', variant_get(m['file'], '$', 'string'), null)")
     parsed = parsed.withColumn("name", name).withColumn("listed", F.expr("to_json(m['scenes'])"))
     none = F.coalesce(F.col("listed").isin("null", "[]", "{}", '""', "0", "0.0", "false"), F.lit(True))
@@ -75,15 +76,19 @@ def records(sidecars: DataFrame) -> DataFrame:
         .when(F.col("name").isNull() | F.col("name").isin("", ".") | F.col("name").contains("/"), "file is not a bare name")
         .when(~none & (F.col("entries").isNull() | F.exists("entries", lambda e: e.isNull())), "scenes is not a list of objects")
     )
-    no_map = "cast(map() AS map<string,variant>)"
-    entries = F.when(none | reject.isNotNull(), F.expr(f"array({no_map})")).otherwise(F.col("entries"))
-    rows = parsed.withColumn("reject", reject).select("directory", "sidecar_path", "m", "name", "reject", F.posexplode(entries).alias("pos", "entry"))
+    parsed = parsed.withColumn("reject", reject).withColumn("none", none)
     relative = "substring(sidecar_path, length(directory) + 2)"
     own = f"""map('file', cast(regexp_replace({relative}, '[^/]*$', '') || name AS variant),
                   'directory', cast(directory AS variant), 'scene', cast(cast(pos AS bigint) AS variant))"""
-    base = f"map_concat(map_filter(m, (k, v) -> k NOT IN ('scenes', 'file', 'directory', 'scene')), {own})"
-    merged = F.expr(f"map_concat(map_filter({base}, (k, v) -> NOT map_contains_key(entry, k)), entry)")
-    return rows.select("directory", "sidecar_path", F.col("pos").cast("long").alias("pos"), "reject", F.when(F.col("reject").isNull(), merged).alias("fields"))
+    parsed = parsed.withColumn("shared", F.expr("map_filter(m, (k, v) -> k NOT IN ('scenes', 'file', 'directory', 'scene'))"))
+    base = f"map_concat(shared, {own})"
+    merged = f"map_concat(map_filter({base}, (k, v) -> NOT map_contains_key(entry, k)), entry)"
+    no_map = "cast(map() AS map<string,variant>)"
+    # merged before the explode, whose rows then carry the result: no later filter computes it again
+    scenes = F.expr(f"""if(reject IS NOT NULL, array(cast(null AS map<string,variant>)),
+        transform(if(none, array({no_map}), entries), (entry, pos) -> {merged}))""")
+    rows = parsed.select("directory", "sidecar_path", "reject", F.posexplode(scenes).alias("pos", "fields"))
+    return rows.select("directory", "sidecar_path", F.col("pos").cast("long").alias("pos"), "reject", "fields")
 
 
 def whole_number(value: str) -> F.Column:
