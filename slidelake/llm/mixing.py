@@ -18,7 +18,7 @@ def _uniform(seed: int, *columns: str) -> F.Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, size: str = "n_chars", most: float = 8.0, source: str = "source") -> DataFrame:
-    """(source, rate): how often each source's documents are repeated on average.
+    """(mix_source, mix_rate): how often each source's documents are repeated on average.
 
     The target share of a source is its weight, or by default its share of all `size` to the
     power `temperature`, made to sum to 1. The rate is target share over present share, `most`
@@ -35,26 +35,26 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     # one row of totals
     with_total = goals.crossJoin(F.broadcast(total))
     rate = F.expr("goal / all_goal / (size / all_size)")
-    return with_total.select("mix_source", F.least(F.coalesce(rate, F.lit(0.0)), F.lit(most)).alias("rate"))
+    return with_total.select("mix_source", F.least(F.coalesce(rate, F.lit(0.0)), F.lit(most)).alias("mix_rate"))
 
 
 def mixed(docs: DataFrame, repetition: DataFrame, seed: int = 0, most: float = 8.0, source: str = "source", id_column: str = "doc_id") -> DataFrame:
     """Each document as often as a Poisson draw with its source's rate says, in random order.
 
     The draw inverts the distribution at a uniform number that is hashed from seed and id, so
-    it is the same in every run. Adds copy (from 0), rate and shuffle_key. The rows are dealt
+    it is the same in every run. Adds copy (from 0), rate and shuffle_key, in place of columns of these names. The rows are dealt
     out by a hash of seed, id and copy, and sorted by it in each partition. Rows of one id are
     drawn alike; a null source is matched as an empty one; null ids share one draw.
     `most` bounds the rates and so the terms of the inversion.
     """
     terms = int(most + 12 * most**0.5 + 12)
     # P(X <= k) for k = 0, 1, ..., by the recurrence of the terms
-    step = lambda acc, k: F.struct((acc["p"] * F.col("rate") / k).alias("p"), (acc["sum"] + acc["p"] * F.col("rate") / k).alias("sum"), F.concat(acc["cdf"], F.array(acc["sum"] + acc["p"] * F.col("rate") / k)).alias("cdf"))
-    start = F.struct(F.exp(-F.col("rate")).alias("p"), F.exp(-F.col("rate")).alias("sum"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
-    tables = repetition.select("mix_source", "rate", F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["cdf"]).alias("cdf"))
+    step = lambda acc, k: F.struct((acc["p"] * F.col("mix_rate") / k).alias("p"), (acc["sum"] + acc["p"] * F.col("mix_rate") / k).alias("sum"), F.concat(acc["cdf"], F.array(acc["sum"] + acc["p"] * F.col("mix_rate") / k)).alias("cdf"))
+    start = F.struct(F.exp(-F.col("mix_rate")).alias("p"), F.exp(-F.col("mix_rate")).alias("sum"), F.array(F.exp(-F.col("mix_rate"))).alias("cdf"))
+    tables = repetition.select("mix_source", "mix_rate", F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["cdf"]).alias("mix_cdf"))
     drawn = docs.withColumn("mix_source", F.coalesce(F.col(source), F.lit(""))).join(small(tables), "mix_source")
-    count = F.size(F.filter("cdf", lambda x: x <= F.col("mix_u")))
+    count = F.size(F.filter("mix_cdf", lambda x: x <= F.col("mix_u")))
     copies = drawn.withColumn("mix_u", _uniform(seed, id_column)).withColumn("mix_n", count).where("mix_n > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.col("copy").cast("string"))))
-    return keyed.drop("mix_source", "mix_u", "mix_n", "cdf").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return keyed.withColumn("rate", F.col("mix_rate")).drop("mix_source", "mix_rate", "mix_u", "mix_n", "mix_cdf").repartition("shuffle_key").sortWithinPartitions("shuffle_key")

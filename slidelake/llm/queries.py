@@ -27,7 +27,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slidelake.llm.mixing import mixed, rates
 
     docs = _table(spark, sf_dir, "documents")
-    return mixed(docs, rates(docs, temperature=0.5), seed=42)
+    return mixed(docs, rates(docs, temperature=0.5), seed=42).drop("rate")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express."""
-    return {"op8_exact_dedup": OP8}
+    return {"op2_mixing": OP2, "op8_exact_dedup": OP8}
+
+
+OP2 = r"""
+WITH s AS (SELECT coalesce(source, '') AS src, CAST(sum(coalesce(n_chars, 0)) AS DOUBLE) AS size FROM documents GROUP BY 1),
+r AS (SELECT src, least(sqrt(size) / sum(sqrt(size)) OVER () / (size / sum(size) OVER ()), 8.0) AS rate FROM s WHERE size > 0),
+cdf AS (SELECT src, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY src ORDER BY k) AS p FROM r, range(0, 54) t(k)),
+d AS (SELECT *, coalesce(source, '') AS src, CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / pow(2, 52) AS u FROM documents),
+n AS (SELECT d.doc_id, any_value(u) AS u, count(*) FILTER (p <= u) AS n FROM d JOIN cdf USING (src) GROUP BY d.doc_id)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INT) AS copy, md5('order 42|' || doc_id || '|' || copy) AS shuffle_key
+FROM (SELECT d.*, unnest(range(0, n)) AS copy FROM d JOIN n USING (doc_id))
+"""
 
 
 OP8 = r"""

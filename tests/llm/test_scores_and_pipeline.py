@@ -1,0 +1,190 @@
+"""Toxicity, mixing, quality, secrets and the pipeline: against brute force and held-out labels."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from slidelake.llm import mixing, quality, secrets, toxicity
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_folding():
+    assert toxicity.folded("1D10T id​iot ＩＤＩＯＴ іdіоt!") == " idiot idiot idiot idiot "
+    assert toxicity.folded("cl0wn m@n $$$ 5cum") == toxicity.folded("clown man scum")
+    assert toxicity.folded(None) == toxicity.folded("") == "  "
+
+
+def test_exceptions_and_longest_weight():
+    lexicon = toxicity.Lexicon({" scum ": 5.0, " idio": 4.0, " idiot ": 6.0}, (" pond scum ",))
+    assert lexicon.feature(toxicity.folded("pond scum"))[1] == 0
+    assert lexicon.feature(toxicity.folded("pond scum, you scum"))[1] == 1
+    assert lexicon.feature(toxicity.folded("an 1diot, idiocy"))[1] == 2
+    assert lexicon.feature(toxicity.folded("scum"))[0] > lexicon.feature(toxicity.folded("scum" + " word" * 500))[0] > 0
+    assert toxicity.Lexicon({}).feature(toxicity.folded("x")) == (0.0, 0)
+
+
+def toxic_corpus(spark):
+    rng, rows, labels = random.Random(8), [], []
+    for i in range(800):
+        words = [rng.choice(["the", "green", "house", "walks", "slowly", f"w{rng.randrange(300)}"]) for _ in range(rng.randint(5, 80))]
+        toxic = i % 4 == 0
+        if toxic:
+            words.insert(rng.randrange(len(words)), rng.choice(["vilest", "v1lest", "vílest", "grotty"]))
+        rows.append((i, " ".join(words), "kept"))
+        labels.append((i, int(toxic)))
+    rows += [(900, None, "x"), (901, "", "x"), (901, "", "x"), (None, "vilest", "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, toxicity_note string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = toxic_corpus(spark)
+    lexicon = toxicity.learn(docs, toxicity.training_labels(labels))
+    found = toxicity.scored(docs, lexicon)
+    assert found.columns == [*docs.columns, "toxicity"] and found.count() == docs.count()
+    held = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).join(found, "doc_id").select("toxic", "toxicity.score").collect()
+    assert len(held) > 100 and sum((r.score >= 0.5) == r.toxic for r in held) / len(held) > 0.97
+    assert all(r.toxicity.score < 0.5 for r in found.where("coalesce(text, '') = ''").collect())
+
+
+def test_nothing_to_learn(spark):
+    docs, labels = toxic_corpus(spark)
+    lexicon = toxicity.learn(docs, labels.where("toxic = 0"))
+    assert lexicon.weights == {} and toxicity.scored(docs.limit(0), lexicon).collect() == []
+
+
+def draws(rows, rate, seed):
+    """Copies by inverting the Poisson distribution at the hashed number."""
+    for doc_id, source in rows:
+        u = int(hashlib.md5(f"{seed}|{'' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        p = total = math.exp(-rate[source or ""])
+        k = 0
+        while total <= u:
+            k += 1
+            p *= rate[source or ""] / k
+            total += p
+        yield doc_id, k
+
+
+def test_mixing_equals_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 50), 1) for i in range(400)] + [(None, "a", None, 1), (5, "b", 7, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n_chars long, cdf int")
+    repetition = mixing.rates(docs, {"a": 1, "b": 3})
+    sizes = Counter()
+    for _, source, n, _ in rows:
+        sizes[source or ""] += n or 0
+    goal = {"a": 1.0, "b": 3.0, "": 0.0}
+    rate = {s: min(8.0, goal[s] / 4 / (sizes[s] / sum(sizes.values()))) for s in sizes}
+    found = mixing.mixed(docs.drop("cdf"), repetition, seed=3)
+    expected = Counter()
+    for doc_id, k in draws([(r[0], r[1]) for r in rows], rate, 3):
+        expected[doc_id] += k
+    assert Counter(r.doc_id for r in found.collect()) == +expected
+    keys = [r.shuffle_key for r in found.coalesce(1).sortWithinPartitions("shuffle_key").collect()]
+    assert len(set(keys)) >= len(keys) - 3  # only the repeated id may share keys
+    assert mixing.mixed(docs.limit(0), mixing.rates(docs.limit(0))).collect() == []
+
+
+def test_mean_of_draws(spark):
+    docs = spark.range(20_000).selectExpr("id doc_id", "if(id % 10 = 0, 'small', 'large') source", "10L n_chars")
+    n = dict(mixing.mixed(docs, mixing.rates(docs, {"small": 1.0, "large": 1.0})).groupBy("source").count().collect())
+    assert abs(n["small"] / 10_000 - 1) < 0.05 and abs(n["large"] / 10_000 - 1) < 0.05
+
+
+def counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often = Counter(windows)
+    repeated = {j for i, w in enumerate(windows) if often[w] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    found = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated))
+    return (*found, found[0] < 50 or 100 * found[4] > 50 * found[0])
+
+
+def test_quality_counts_equal_brute_force(spark):
+    rng = random.Random(10)
+    parts = ["a", "b", " ", "\n", "\t", "c d e", "#", "é", "漢", "a b a b a b", "\n\n", "A"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 150))) for _ in range(150)] + [None, "", " ", "a b c a b c", "same line\nsame line\n \n \nsame line", "x y " * 3000]
+    docs = spark.createDataFrame([(i, t, None if i % 9 == 0 else "en", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_words int")
+    found = {r.doc_id: r for r in quality.quality(docs).collect()}
+    for i, text in enumerate(texts):
+        r = found[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == counts(text)
+        assert not (r.base_failed and r.kept)
+    assert quality.quality(docs.limit(0)).collect() == []
+
+
+def test_divergence(spark):
+    row = spark.createDataFrame([([1, 1, 0], [2, 2, 0], [0, 0, 5], [0, 0, 0])], "a array<long>, b array<long>, c array<long>, d array<long>")
+    found = row.select(*[quality.js_distance("a", x).alias(x) for x in "bcd"]).first()
+    assert found.b == pytest.approx(0) and found.c == pytest.approx(1) and found.d is None
+
+
+def test_quality_keeps_good_documents(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    found = quality.quality(docs).join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    shares = {r.quality: r.kept for r in found}
+    assert shares[1] == 1.0 and shares[0] < 0.5
+
+
+def test_secrets_on_held_out_findings(spark):
+    rng, rows = random.Random(11), []
+    token = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    for i in range(400):
+        secret = [f'token = "{token("0123456789abcdef", 40)}"', f"AKIA{token('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 16)}", f"password={token('0123456789abcdef', 18)}"][i % 3]
+        clean = [f"commit {token('0123456789abcdef', 40)}", "pneumonoultramicroscopicsilicovolcanoconiosis", "build-2024-01-02-final"][i % 3]
+        rows.append((i, f"some words before {secret} and then {clean} and words after", f"src{i % 5}"))
+    rows += [(900, None, None), (901, "", "x"), (None, 'token = "0123456789abcdef0123"', "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secrets.secret_scan(docs).collect()
+    held = [r for r in found if r.held_out]
+    assert len(held) > 100 and all(r.is_secret == bool(r.label) for r in held)
+    assert {r.doc_id for r in found} >= {None, *range(400)}
+    assert secrets.secret_scan(docs.limit(0)).collect() == []
+
+
+def test_one_kind_of_label_only(spark):
+    found = secrets.findings(spark.createDataFrame([(1, "build-2024-01-02-final", "x")], "doc_id long, text string, source string"))
+    labelled = secrets.bootstrap_labels(found)
+    assert [r.is_secret for r in secrets.secrets(labelled, labelled).collect()] == [False]
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as cp
+    from test_pairs_and_copies import brute, normal
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 250").cache()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "exact dedup", "n-gram Jaccard join", "mixing", "best-fit packing"]
+    clean = cp.keep_clean(spark, docs, SF).cache()
+    kept = {r.doc_id for r in clean.collect()}
+    lost = [r.doc_id for r in docs.collect() if r.doc_id not in kept]
+    assert lost and sum(labels.get(i, 1) for i in lost) / len(lost) > 0.7
+    once = cp.drop_copies(spark, clean, SF).cache()
+    first = {}
+    for r in sorted(clean.collect()):
+        first.setdefault(normal(r.text), r.doc_id)
+    assert sorted(r.doc_id for r in once.collect()) == sorted(first.values())
+    single = cp.drop_near_copies(spark, once, SF).cache()
+    expected = [i for i, _, least in brute([(r.doc_id, r.text) for r in once.collect()], 5, 80) if i == least]
+    assert sorted(r.doc_id for r in single.collect()) == sorted(expected)
+    mixed = cp.mix_sources(spark, single, SF).cache()
+    for stage in (clean, once, single, mixed):
+        assert stage.columns == docs.columns
+    packed = cp.pack_sequences(spark, mixed, SF)
+    assert packed.where("piece = 0").count() == mixed.count()
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert cp.run(spark, str(tmp_path)).collect() == []
