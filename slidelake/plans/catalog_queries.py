@@ -321,6 +321,14 @@ def pyramid_build(spark, sf_dir):
     return pixels.channel_sums(pixels.next_level(store_queries.level0_tiles(spark, sf_dir), 8))
 
 
+_AT = "p[16 * (i // 4) + 2 * (i % 4) + {}]"
+PYRAMID_BUILD = f"""WITH p AS (SELECT vec_id, {_BYTES} AS p FROM embeddings),
+s AS (SELECT vec_id, list_sum(list_transform(range(0, 16), lambda i: ({' + '.join(_AT.format(n) for n in (1, 2, 9, 10))} + 2) // 4)) AS s FROM p)
+SELECT '/e' || (vec_id // 4) AS path, CAST(0 AS BIGINT) AS scene, CAST(1 AS INT) AS level, CAST(0 AS BIGINT) AS ty, CAST(0 AS BIGINT) AS tx,
+ CAST(CASE WHEN max(vec_id % 4) >= 2 THEN 8 ELSE 4 END AS BIGINT) AS th, CAST(CASE WHEN max(vec_id % 4) >= 1 THEN 8 ELSE 4 END AS BIGINT) AS tw,
+ CAST(sum(s) AS BIGINT) AS sum_r, CAST(sum(s) + 16 * count(*) AS BIGINT) AS sum_g, CAST(sum(s) + 32 * count(*) AS BIGINT) AS sum_b FROM s GROUP BY vec_id // 4"""
+
+
 def probe_axes(spark, sf_dir):
     return probe.axes(fx.headers(spark, sf_dir)).select("path", "code", "name", "extent", "line")
 
