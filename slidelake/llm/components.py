@@ -22,6 +22,17 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     return to_all.where("a <> b").distinct()
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b) with a > b that connect the same nodes by shorter ways: one step of each star."""
+    return stored(_star(_star(links.where("a <> b").select("a", "b"), True), False), "links")
+
+
+def least_neighbour(links: DataFrame) -> DataFrame:
+    """(node, component): nodes with equal values are connected; connected ones may still differ."""
+    both = links.select(F.col("a").alias("node"), "b").union(links.select("b", "b"))
+    return both.groupBy("node").agg(F.min("b").alias("component"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of the (a, b) links; component is its smallest node.
 
@@ -29,11 +40,11 @@ def components(links: DataFrame) -> DataFrame:
     the links, until nothing changes. Nulls and loops link nothing. A node with very many links
     is pre-aggregated (minimum) before the shuffle.
     """
-    pairs = stored(links.where("a <> b").select("a", "b").distinct(), "links")
     sign = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+    pairs = contracted(links)
     before = sign(pairs)
     while before[0]:
-        pairs = stored(_star(_star(pairs, True), False), "links")
+        pairs = contracted(pairs)
         now = sign(pairs)
         if now == before:
             break

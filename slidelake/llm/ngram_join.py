@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidelake.llm.components import components
+from slidelake.llm.components import components, contracted, least_neighbour
 from slidelake.llm.shared import run_folder, stored
 
 #: The sketch: 2**CELL_BITS counters, in SLICES parts.
@@ -211,12 +211,13 @@ def _linked(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     In rounds, of each bucket with members in more than one component, some members (the pivots)
     are compared with later members of other components. At first each class is compared with
     one pivot only, the first of all its buckets' first members; that connects most copies. Then
-    the pivots are the next 1, 3, 12, ... members. A bucket is done when its members are in one
+    the pivots are the next 1, 15, 240, ... members. A bucket is done when its members are in one
     component or all were pivots. Only pairs that pass size, place and all orders are compared,
-    and none twice.
+    and none twice. Between rounds the links are contracted by one step only, so that some
+    connected classes still count as apart; the last step follows the links to their end.
     """
     spark = buckets.sparkSession
-    placed = spark.createDataFrame([], "node long, component long")
+    links = spark.createDataFrame([], "a long, b long")
     seen = spark.createDataFrame([], "a long, b long")
     by_token = Window.partitionBy("token")
     in_turn = by_token.orderBy(F.xxhash64("cls"), "cls")
@@ -225,11 +226,11 @@ def _linked(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     fits = F.expr(f"component <> p_component and turn > p_turn and n - at >= {need} and p_n - p_at >= {need} and 100 * least(n, p_n) >= {percent} * greatest(n, p_n)")
     low, high, first = 0, 1, True
     while True:
-        now = left.where(f"most >= {low}").join(placed.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        now = left.where(f"most >= {low}").join(least_neighbour(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         now = now.withColumn("one", F.min("component").over(by_token)).withColumn("last", F.max("component").over(by_token)).where("one <> last")
         now = stored(now.drop("one", "last"), "turns")
         if now.isEmpty():
-            return placed
+            return components(links)
         pivots = now.where(f"turn >= {low} and turn < {high}").select("token", *[F.col(c).alias(f"p_{c}") for c in ("cls", "n", "at", "turn", "component")])
         met = now.join(pivots, "token").where(fits)
         if first:
@@ -237,12 +238,12 @@ def _linked(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs = met.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
         pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = seen.union(pairs)
-        placed = components(placed.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_similar(pairs, sets, percent)))
+        links = contracted(links.union(_similar(pairs, sets, percent)))
         left = now.drop("component")
         if first:
             first = False
         else:
-            low, high = high, high * 4
+            low, high = high, high * 16
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
