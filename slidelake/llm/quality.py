@@ -90,7 +90,7 @@ def js_distance(p: str, q: str) -> F.Column:
     return F.when((x > 0) & (y > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms) / 2)))
 
 
-def quality(docs: DataFrame, class_limit: float = 0.35, word_limit: float = 0.45, words: int = 16, least_words: int = 200, least_chars: int = 200, id_column: str = "doc_id", text_column: str = "text", lang: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, class_limit: float = 0.35, word_limit: float = 0.45, words: int = 16, least_words: int = 50, least_chars: int = 200, id_column: str = "doc_id", text_column: str = "text", lang: str = "lang") -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, class_js, word_js and kept.
 
     A document is kept if it passes the base rules, and neither histogram is farther from its

@@ -134,6 +134,14 @@ def test_quality_keeps_good_documents(spark):
     assert shares[1] == 1.0 and shares[0] < 0.5
 
 
+def test_quality_judges_words_of_short_documents(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    found = quality.quality(docs).join(labels, "doc_id").where("not base_failed and n_words < 200").cache()
+    assert found.where("word_js is null").count() == 0
+    shares = dict(found.groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect())
+    assert shares[1] == 1.0 and shares[0] < 0.5
+
+
 def test_secrets_on_held_out_findings(spark):
     rng, rows = random.Random(11), []
     token = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
