@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,25 +20,30 @@ def _uniform(seed: int, *columns: str) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, _BITS // 4), 16, 10).cast("long") / F.lit(float(1 << _BITS))
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, size: str = "n_chars", most: float = 8.0, source: str = "source") -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, size: str = "n_chars", most: float = 8.0, source: str = "source", text_column: str = "text") -> DataFrame:
     """(mix_source, mix_rate): how often each source's documents are repeated on average.
 
     The target share of a source is its weight, or by default its share of all `size` to the
     power `temperature`, made to sum to 1. The rate is target share over present share, `most`
-    at most. Sources without a weight get 0; null is a source of its own.
+    at most. Where `size` is null or not above 0, the characters of the text count, if there is
+    such a column. Sources without a weight get 0. All others are kept: one without any
+    characters cannot change a share, and its rate is 1. Null is a source of its own.
     """
-    sizes = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("mix_source")).agg(F.sum(F.coalesce(F.col(size), F.lit(0))).cast("double").alias("size"))
+    measured = F.length(F.coalesce(F.col(text_column), F.lit(""))) if text_column in docs.columns else F.lit(0)
+    known = F.when(F.col(size) > 0, F.col(size)).otherwise(measured)
+    sizes = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("mix_source")).agg(F.sum(known).cast("double").alias("size"))
     if weights is not None:
         entries = [x for pair in weights.items() for x in (F.lit(pair[0]), F.lit(float(pair[1])))]
         goal = F.coalesce(F.element_at(F.create_map(*entries), F.col("mix_source")), F.lit(0.0)) if entries else F.lit(0.0)
     else:
         goal = F.pow("size", F.lit(temperature))
-    goals = sizes.where("size > 0").withColumn("goal", goal)
-    total = goals.agg(F.sum("size").alias("all_size"), F.sum("goal").alias("all_goal"))
+    goals = sizes.withColumn("goal", goal)
+    total = goals.where("size > 0").agg(F.sum("size").alias("all_size"), F.sum("goal").alias("all_goal"))
     # one row of totals
     with_total = goals.crossJoin(F.broadcast(total))
-    rate = F.expr("goal / all_goal / (size / all_size)")
-    return with_total.select("mix_source", F.least(F.coalesce(rate, F.lit(0.0)), F.lit(most)).alias("mix_rate"))
+    of_empty = F.lit(1.0) if weights is None else F.when(F.col("goal") > 0, 1.0).otherwise(0.0)
+    rate = F.when(F.col("size") > 0, F.coalesce(F.expr("try_divide(goal, all_goal) / (size / all_size)"), F.lit(0.0))).otherwise(of_empty)
+    return with_total.select("mix_source", F.least(rate, F.lit(most)).alias("mix_rate"))
 
 
 def mixed(docs: DataFrame, repetition: DataFrame, seed: int = 0, most: float = 8.0, source: str = "source", id_column: str = "doc_id") -> DataFrame:
@@ -44,7 +52,8 @@ def mixed(docs: DataFrame, repetition: DataFrame, seed: int = 0, most: float = 8
     The draw inverts the distribution at a uniform number that is hashed from seed and id, so
     it is the same in every run. Adds copy (from 0), rate and shuffle_key, in place of columns of these names. The rows are dealt
     out by a hash of seed, id and copy, and sorted by it in each partition. Rows of one id are
-    drawn alike; a null source is matched as an empty one; null ids share one draw.
+    drawn alike; a null source is matched as an empty one; null ids share one draw. A source
+    that `repetition` doesn't name has rate 1.
     `most` bounds the rates and so the terms of the inversion.
     """
     terms = int(most + 12 * most**0.5 + 12)
@@ -52,7 +61,9 @@ def mixed(docs: DataFrame, repetition: DataFrame, seed: int = 0, most: float = 8
     step = lambda acc, k: F.struct((acc["p"] * F.col("mix_rate") / k).alias("p"), (acc["sum"] + acc["p"] * F.col("mix_rate") / k).alias("sum"), F.concat(acc["cdf"], F.array(acc["sum"] + acc["p"] * F.col("mix_rate") / k)).alias("cdf"))
     start = F.struct(F.exp(-F.col("mix_rate")).alias("p"), F.exp(-F.col("mix_rate")).alias("sum"), F.array(F.exp(-F.col("mix_rate"))).alias("cdf"))
     tables = repetition.select("mix_source", "mix_rate", F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["cdf"]).alias("mix_cdf"))
-    drawn = docs.withColumn("mix_source", F.coalesce(F.col(source), F.lit(""))).join(small(tables), "mix_source")
+    drawn = docs.withColumn("mix_source", F.coalesce(F.col(source), F.lit(""))).join(small(tables), "mix_source", "left")
+    as_is = F.array(*[F.lit(p) for p in accumulate(math.exp(-1) / math.factorial(k) for k in range(terms + 1))])
+    drawn = drawn.withColumn("mix_rate", F.coalesce("mix_rate", F.lit(1.0))).withColumn("mix_cdf", F.coalesce("mix_cdf", as_is))
     count = F.size(F.filter("mix_cdf", lambda x: x <= F.col("mix_u")))
     copies = drawn.withColumn("mix_u", _uniform(seed, id_column)).withColumn("mix_n", count).where("mix_n > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))

@@ -97,6 +97,20 @@ def test_mean_of_draws(spark):
     assert abs(n["small"] / 10_000 - 1) < 0.05 and abs(n["large"] / 10_000 - 1) < 0.05
 
 
+def test_mixing_keeps_sources_without_sizes(spark):
+    rows = [(i, ["whole", "unsized", "partly", "zero", "blank"][i % 5], "abcde" * (1 + i % 7)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("text", F.expr("if(source = 'blank', '', text)")).withColumn("n_chars", F.length("text").cast("long"))
+    holes = docs.withColumn("n_chars", F.expr("case when source = 'unsized' or source = 'partly' and doc_id % 2 = 0 then null when source = 'zero' then 0 else n_chars end"))
+    for weights in (None, {"unsized": 1.0, "whole": 2.0, "partly": 1.0, "zero": 1.0, "blank": 1.0}):
+        rate = {r.mix_source: r.mix_rate for r in mixing.rates(holes, weights).collect()}
+        assert rate == pytest.approx({r.mix_source: r.mix_rate for r in mixing.rates(docs, weights).collect()})
+        assert rate["blank"] == 1.0 and len(rate) == 5
+        n = dict(mixing.mixed(holes, mixing.rates(holes, weights)).groupBy("source").count().collect())
+        assert all(abs(n[s] / 400 / rate[s] - 1) < 0.25 for s in rate)
+    part = mixing.rates(docs, {"whole": 1.0}).where("mix_source = 'whole'")
+    assert abs(mixing.mixed(docs, part).where("source = 'zero'").count() / 400 - 1) < 0.25
+
+
 def counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
