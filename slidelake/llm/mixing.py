@@ -14,18 +14,18 @@ from slidelake.llm.shared import small
 _BITS = 52
 
 
-def _uniform(seed: int, *columns: str) -> F.Column:
+def _uniform(seed: F.Column, *columns: str) -> F.Column:
     """A number in [0, 1) from the MD5 of the columns and a seed."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    text = F.concat_ws("|", seed, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     return F.conv(F.substring(F.md5(text), 1, _BITS // 4), 16, 10).cast("long") / F.lit(float(1 << _BITS))
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, size: str = "n_chars", most: float = 8.0, source: str = "source", text_column: str = "text") -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, size: str = "n_chars", most: float | None = None, source: str = "source", text_column: str = "text") -> DataFrame:
     """(mix_source, mix_rate): how often each source's documents are repeated on average.
 
     The target share of a source is its weight, or by default its share of all `size` to the
-    power `temperature`, made to sum to 1. The rate is target share over present share, `most`
-    at most. Where `size` is null or not above 0, the characters of the text count, if there is
+    power `temperature`, made to sum to 1. The rate is target share over present share;
+    `most` limits it where given, and then targets may not be reached. Where `size` is null or not above 0, the characters of the text count, if there is
     such a column. Sources without a weight get 0. All others are kept: one without any
     characters cannot change a share, and its rate is 1. Null is a source of its own.
     """
@@ -43,29 +43,33 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     with_total = goals.crossJoin(F.broadcast(total))
     of_empty = F.lit(1.0) if weights is None else F.when(F.col("goal") > 0, 1.0).otherwise(0.0)
     rate = F.when(F.col("size") > 0, F.coalesce(F.expr("try_divide(goal, all_goal) / (size / all_size)"), F.lit(0.0))).otherwise(of_empty)
-    return with_total.select("mix_source", F.least(rate, F.lit(most)).alias("mix_rate"))
+    return with_total.select("mix_source", (rate if most is None else F.least(rate, F.lit(float(most)))).alias("mix_rate"))
 
 
 def mixed(docs: DataFrame, repetition: DataFrame, seed: int = 0, most: float = 8.0, source: str = "source", id_column: str = "doc_id") -> DataFrame:
     """Each document as often as a Poisson draw with its source's rate says, in random order.
 
     The draw inverts the distribution at a uniform number that is hashed from seed and id, so
-    it is the same in every run. Adds copy (from 0), rate and shuffle_key, in place of columns of these names. The rows are dealt
+    it is the same in every run. A rate above `most` is drawn as the sum of several draws of
+    equal rates up to `most`, each at a number of its own. Adds copy (from 0), rate and shuffle_key, in place of columns of these names. The rows are dealt
     out by a hash of seed, id and copy, and sorted by it in each partition. Rows of one id are
     drawn alike; a null source is matched as an empty one; null ids share one draw. A source
     that `repetition` doesn't name has rate 1.
-    `most` bounds the rates and so the terms of the inversion.
+    `most` bounds the terms of the inversion, not the rates.
     """
     terms = int(most + 12 * most**0.5 + 12)
     # P(X <= k) for k = 0, 1, ..., by the recurrence of the terms
-    step = lambda acc, k: F.struct((acc["p"] * F.col("mix_rate") / k).alias("p"), (acc["sum"] + acc["p"] * F.col("mix_rate") / k).alias("sum"), F.concat(acc["cdf"], F.array(acc["sum"] + acc["p"] * F.col("mix_rate") / k)).alias("cdf"))
-    start = F.struct(F.exp(-F.col("mix_rate")).alias("p"), F.exp(-F.col("mix_rate")).alias("sum"), F.array(F.exp(-F.col("mix_rate"))).alias("cdf"))
-    tables = repetition.select("mix_source", "mix_rate", F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["cdf"]).alias("mix_cdf"))
+    step = lambda acc, k: F.struct((acc["p"] * F.col("mix_part") / k).alias("p"), (acc["sum"] + acc["p"] * F.col("mix_part") / k).alias("sum"), F.concat(acc["cdf"], F.array(acc["sum"] + acc["p"] * F.col("mix_part") / k)).alias("cdf"))
+    start = F.struct(F.exp(-F.col("mix_part")).alias("p"), F.exp(-F.col("mix_part")).alias("sum"), F.array(F.exp(-F.col("mix_part"))).alias("cdf"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / F.lit(float(most)))).cast("int")
+    tables = repetition.select("mix_source", "mix_rate", parts.alias("mix_parts")).withColumn("mix_part", F.col("mix_rate") / F.col("mix_parts"))
+    tables = tables.select("mix_source", "mix_rate", "mix_parts", F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["cdf"]).alias("mix_cdf"))
     drawn = docs.withColumn("mix_source", F.coalesce(F.col(source), F.lit(""))).join(small(tables), "mix_source", "left")
     as_is = F.array(*[F.lit(p) for p in accumulate(math.exp(-1) / math.factorial(k) for k in range(terms + 1))])
     drawn = drawn.withColumn("mix_rate", F.coalesce("mix_rate", F.lit(1.0))).withColumn("mix_cdf", F.coalesce("mix_cdf", as_is))
-    count = F.size(F.filter("mix_cdf", lambda x: x <= F.col("mix_u")))
-    copies = drawn.withColumn("mix_u", _uniform(seed, id_column)).withColumn("mix_n", count).where("mix_n > 0")
+    numbers = F.transform(F.sequence(F.lit(0), F.coalesce("mix_parts", F.lit(1)) - 1), lambda j: _uniform(F.when(j == 0, F.lit(str(seed))).otherwise(F.concat(F.lit(f"{seed} part "), j.cast("string"))), id_column))
+    count = F.aggregate(numbers, F.lit(0), lambda acc, u: acc + F.size(F.filter("mix_cdf", lambda x: x <= u)))
+    copies = drawn.withColumn("mix_n", count).where("mix_n > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.col("copy").cast("string"))))
-    return keyed.withColumn("rate", F.col("mix_rate")).drop("mix_source", "mix_rate", "mix_u", "mix_n", "mix_cdf").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return keyed.withColumn("rate", F.col("mix_rate")).drop("mix_source", "mix_rate", "mix_parts", "mix_n", "mix_cdf").repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -111,6 +111,21 @@ def test_mixing_keeps_sources_without_sizes(spark):
     assert abs(mixing.mixed(docs, part).where("source = 'zero'").count() / 400 - 1) < 0.25
 
 
+def test_mixing_reaches_targets_of_rare_sources(spark):
+    docs = spark.range(20_000).selectExpr("id doc_id", "if(id % 200 = 0, 'rare', 'usual') source", "10L n_chars")
+    weights = {"rare": 1.0, "usual": 1.0}
+    rate = {r.mix_source: r.mix_rate for r in mixing.rates(docs, weights).collect()}
+    assert rate["rare"] == pytest.approx(100) and mixing.rates(docs, weights, most=8.0).agg(F.max("mix_rate")).first()[0] == 8.0
+    found = mixing.mixed(docs, mixing.rates(docs, weights), seed=5).cache()
+    n = dict(found.groupBy("source").count().collect())
+    assert abs(n["rare"] / 10_000 - 1) < 0.05 and abs(n["usual"] / 10_000 - 1) < 0.05
+    # a Poisson number's variance is its mean
+    each = [r["count"] for r in found.where("source = 'rare'").groupBy("doc_id").count().collect()]
+    mean = sum(each) / len(each)
+    assert len(each) == 100 and 0.6 < sum((x - mean) ** 2 for x in each) / 99 / mean < 1.6
+    assert found.select("doc_id", "copy").distinct().count() == found.select("shuffle_key").distinct().count() == found.count()
+
+
 def counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
