@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from slidelake.llm.shared import small, stored
 
-# The classes of characters, besides white space, symbols and all others.
+# The lists that reference words are looked up in, and the classes of characters,
+# besides white space, symbols and all others.
+SLOTS = 1024
 CLASSES = {"upper": r"\p{Lu}+", "digit": r"[0-9]+", "stop": r"[.,;:!?'\"-]+"}
 
 
@@ -61,21 +63,84 @@ def _classes() -> F.Column:
     return F.array(*counts, rest)
 
 
-def common_words(measured: DataFrame, words: int = 16, tracked: int = 10_000) -> DataFrame:
+def _letters() -> F.Column:
+    """The words that are counted against the language: runs of letters, in lower case."""
+    return F.filter(F.split(F.lower("_text"), r"[^\p{L}\p{M}]+"), lambda w: w != "")
+
+
+def common_words(measured: DataFrame, words: int = 64, tracked: int = 10_000) -> DataFrame:
     """(ref_lang, ref_words): the most frequent words of each language over all documents.
 
     A frequent-items sketch of fixed size per language finds them; words as frequent as the
     common words of a language are far above its error. Their counts are taken exactly later.
     """
-    pairs = measured.select("ref_lang", F.explode("_words").alias("w"))
+    pairs = measured.select("ref_lang", F.explode(_letters()).alias("w"))
     top = pairs.groupBy("ref_lang").agg(F.expr(f"approx_top_k(w, {words}, {tracked})").alias("top"))
     return top.select("ref_lang", F.array_sort(F.transform("top", lambda x: x["item"])).alias("ref_words"))
 
 
-def references(features: DataFrame, words: int) -> DataFrame:
-    """(ref_lang, ref_hits, ref_classes): the sums of all documents' histograms by language."""
-    add = lambda c, n: F.array(*[F.sum(F.coalesce(F.get(c, F.lit(i)), F.lit(0))) for i in range(n)])
-    return features.groupBy("ref_lang").agg(add("hits", words + 1).alias("ref_hits"), add("classes", len(CLASSES) + 3).alias("ref_classes"))
+def _slots(found: DataFrame) -> DataFrame:
+    """(ref_lang, ref_slots): the words and their places, dealt to SLOTS lists by hash."""
+    placed = F.transform("ref_words", lambda w, i: F.struct(_slot(w).alias("slot"), w.alias("w"), i.alias("i")))
+    lists = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.transform(F.filter("placed", lambda x: x["slot"] == k), lambda x: F.struct(x["w"].alias("w"), x["i"].alias("i"))))
+    return found.withColumn("placed", placed).select("ref_lang", lists.alias("ref_slots"))
+
+
+def _slot(word: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+
+
+def _hits() -> F.Column:
+    """(i, n) for each reference word of the text: its place and how often it occurs."""
+    place = lambda w: F.aggregate(F.get(F.col("ref_slots"), _slot(w)), F.lit(-1), lambda acc, x: F.when(x["w"] == w, x["i"]).otherwise(acc))
+    places = F.sort_array(F.filter(F.transform("_letters", place), lambda i: i >= 0))
+    # where each place's run starts in the sorted places
+    starts = lambda s: F.filter(F.transform(s, lambda x, k: F.when((k == 0) | (F.get(s, k - 1) != x), k)), lambda k: k.isNotNull())
+    runs = lambda s: F.transform(F.array(starts(s)), lambda b: F.transform(b, lambda k, j: F.struct(F.get(s, k).alias("i"), (F.coalesce(F.get(b, j + 1), F.size(s)) - k).alias("n"))))[0]
+    return F.transform(F.array(places), runs)[0]
+
+
+def references(features: DataFrame) -> DataFrame:
+    """(ref_lang, ref_shares, ref_classes): shares of the reference words in all words, sums of the classes."""
+    add = F.array(*[F.sum(F.coalesce(F.get("classes", F.lit(i)), F.lit(0))) for i in range(len(CLASSES) + 3)])
+    totals = features.groupBy("ref_lang").agg(F.sum("n_letters").alias("all_words"), add.alias("ref_classes"))
+    each = features.select("ref_lang", F.explode("hits").alias("x")).groupBy("ref_lang", "x.i").agg(F.sum("x.n").alias("n"))
+    shares = each.join(totals, "ref_lang").groupBy("ref_lang").agg(F.map_from_entries(F.collect_list(F.struct("i", (F.col("n") / F.col("all_words")).alias("share")))).alias("by_place"))
+    size = F.coalesce(F.array_max(F.map_keys("by_place")), F.lit(-1))
+    shares = shares.select("ref_lang", F.transform(F.sequence(F.lit(0), size), lambda i: F.coalesce(F.try_element_at("by_place", i), F.lit(0.0))).alias("ref_shares"))
+    none = F.array().cast("array<double>")
+    return totals.join(shares, "ref_lang", "left").select("ref_lang", "ref_classes", F.coalesce("ref_shares", none).alias("ref_shares"))
+
+
+def sparse_distance(hits: F.Column, n: F.Column) -> F.Column:
+    """js_distance of the words of a text to its language's; hits has its reference words alone."""
+    term = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0) + F.when(b > 0, b * F.log2(2 * b / (a + b))).otherwise(0.0)
+    pairs = F.transform(hits, lambda x: F.struct((x["n"] / n).alias("a"), F.get("ref_shares", x["i"]).alias("b")))
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("sum"))
+    add = lambda acc, x: F.struct((acc["a"] + x["a"]).alias("a"), (acc["b"] + x["b"]).alias("b"), (acc["sum"] + term(x["a"], x["b"])).alias("sum"))
+
+    def total(acc: F.Column) -> F.Column:
+        common = F.aggregate("ref_shares", F.lit(0.0), lambda s, x: s + x)
+        others = term(F.greatest(F.lit(0.0), 1 - acc["a"]), F.greatest(F.lit(0.0), 1 - common))
+        return F.sqrt(F.greatest(F.lit(0.0), acc["sum"] + others + common - acc["b"]) / 2)
+
+    return F.when(n > 0, F.aggregate(pairs, zero, add, total))
+
+
+def limits(found: DataFrame, distance: str, size: str, spread: float, least: float) -> DataFrame:
+    """(ref_lang, band, middle, limit): of the distances of a language's documents of a size.
+
+    Documents count together if twice the binary logarithm of their size is the same, rounded down. The
+    limit is the median and `spread` times the distance between the quartiles, of which `least`
+    is the smallest. Quantiles are taken from exact counts of distances in steps of 1/1000.
+    """
+    steps = found.where(f"{distance} is not null and not base_failed").groupBy("ref_lang", band(size).alias("band"), F.ceil(F.col(distance) * 1000).alias("step")).agg(F.count("*").alias("n"))
+    q = steps.groupBy("ref_lang", "band").agg(F.expr("percentile(step, array(0.25, 0.5, 0.75), n)").alias("q"))
+    return q.select("ref_lang", "band", (F.col("q")[1] / 1000).alias("middle"), (F.col("q")[1] / 1000 + spread * F.greatest(F.lit(least), (F.col("q")[2] - F.col("q")[0]) / 1000)).alias("limit"))
+
+
+def band(size: str) -> F.Column:
+    return F.floor(2 * F.log2(F.greatest(F.col(size), F.lit(1)))).cast("int")
 
 
 def js_distance(p: str, q: str) -> F.Column:
@@ -90,26 +155,36 @@ def js_distance(p: str, q: str) -> F.Column:
     return F.when((x > 0) & (y > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms) / 2)))
 
 
-def quality(docs: DataFrame, class_limit: float = 0.35, word_limit: float = 0.45, words: int = 16, least_words: int = 50, least_chars: int = 200, id_column: str = "doc_id", text_column: str = "text", lang: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, class_limit: float = 0.35, word_limit: float = 0.45, words: int = 64, least_words: int = 50, least_chars: int = 200, id_column: str = "doc_id", text_column: str = "text", lang: str = "lang") -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, class_js, word_js and kept.
 
     A document is kept if it passes the base rules, and neither histogram is farther from its
-    language's reference than its limit. A histogram counts only from `least_chars` characters
-    or `least_words` words. Null and empty texts fail the base rules. Null lang is a language of
-    its own. Rows that repeat are judged each; other columns are ignored.
+    language's reference than its limit. Words are runs of letters; white-space words beyond
+    their number count as words that are not common. A limit comes from the distances of all
+    documents of the language that have about the same size and pass the base rules (see
+    limits), and is at most `class_limit` or `word_limit`. For words it also lies at least 15 %
+    of the way from a text without any common word to the median, so that such a text is
+    beyond it. Where most documents are bad, limits are those of the bad ones. A histogram counts only from `least_chars` characters or `least_words` words.
+    Null and empty texts fail the base rules. Null lang is a language of its own. Rows that
+    repeat are judged each; other columns are ignored.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("ref_lang"))
-    common = small(stored(common_words(_measured(rows, "text"), words), "words"))
-    found = base_rules(rows).join(common, "ref_lang", "left").withColumn("ref_words", F.coalesce("ref_words", F.array().cast("array<string>")))
-    hits = F.transform("ref_words", lambda w: F.col("n_words") - F.size(F.array_remove("_words", w)))
-    found = found.withColumn("_hits", hits)
-    padding = F.array_repeat(F.lit(0).cast("long"), F.lit(words) - F.size("_hits"))
-    rest = F.col("n_words") - F.aggregate("_hits", F.lit(0).cast("long"), lambda a, x: a + x)
+    common = small(stored(_slots(common_words(_measured(rows, "text"), words)), "words"))
+    found = base_rules(rows).withColumn("_letters", _letters()).join(common, "ref_lang", "left")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    features = found.select("doc_id", "ref_lang", *counts, F.length("_text").alias("n_chars"), _classes().alias("classes"), F.concat("_hits", padding, F.array(rest)).alias("hits"))
+    n_letters = F.greatest("n_words", F.size("_letters").cast("long")).alias("n_letters")
+    hits = F.coalesce(_hits(), F.array().cast("array<struct<i:int,n:int>>")).alias("hits")
+    features = found.select("doc_id", "ref_lang", *counts, F.length("_text").alias("n_chars"), _classes().alias("classes"), n_letters, hits)
     features = stored(features, "features")
-    found = features.join(small(references(features, words)), "ref_lang")
+    found = features.join(small(references(features)), "ref_lang")
     found = found.withColumn("class_js", F.when(F.col("n_chars") >= least_chars, js_distance("classes", "ref_classes")))
-    found = found.withColumn("word_js", F.when(F.col("n_words") >= least_words, js_distance("hits", "ref_hits")))
-    near = F.coalesce(F.col("class_js") <= class_limit, F.lit(True)) & F.coalesce(F.col("word_js") <= word_limit, F.lit(True))
+    found = found.withColumn("word_js", F.when(F.col("n_words") >= least_words, sparse_distance(F.col("hits"), F.col("n_letters"))))
+    without = sparse_distance(F.array().cast("array<struct<i:int,n:int>>"), F.lit(1)).alias("without")
+    found = stored(found.select("doc_id", "ref_lang", *counts, "n_chars", "class_js", "word_js", without), "distances")
+    by_class = limits(found, "class_js", "n_chars", 8.0, 0.02).select("ref_lang", F.col("band").alias("chars"), F.col("limit").alias("of_class"))
+    by_word = limits(found, "word_js", "n_words", 3.0, 0.02).select("ref_lang", F.col("band").alias("words"), F.col("limit").alias("of_word"), "middle")
+    found = found.withColumn("chars", band("n_chars")).withColumn("words", band("n_words"))
+    found = found.join(small(by_class), ["ref_lang", "chars"], "left").join(small(by_word), ["ref_lang", "words"], "left")
+    of_word = F.when(F.col("middle") < F.col("without"), F.least("of_word", 0.15 * F.col("middle") + 0.85 * F.col("without"))).otherwise(F.col("of_word"))
+    near = F.coalesce(F.col("class_js") <= F.least("of_class", F.lit(class_limit)), F.lit(True)) & F.coalesce(F.col("word_js") <= F.least(of_word, F.lit(word_limit)), F.lit(True))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "class_js", "word_js")

@@ -171,6 +171,27 @@ def test_quality_judges_words_of_short_documents(spark):
     assert shares[1] == 1.0 and shares[0] < 0.5
 
 
+def test_quality_rejects_texts_without_the_languages_words(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    good = docs.join(labels.where("quality = 1").select("doc_id"), "doc_id").cache()
+    wrong = good.where("lang = 'es'").selectExpr("doc_id + 1000000 doc_id", "text", "'en' lang")
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("aeiourstlnm") for _ in range(rng.randint(5, 9)))
+    invented = [(2_000_000 + i, ". ".join(" ".join(word() for _ in range(10)).capitalize() for _ in range(6 + i * 4)) + ".", "en") for i in range(20)]
+    found = quality.quality(docs.select("doc_id", "text", "lang").union(wrong).union(spark.createDataFrame(invented, "doc_id long, text string, lang string"))).where("not base_failed")
+    of_kind = found.groupBy(F.expr("doc_id div 1000000").alias("kind")).agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n"))
+    kinds = {r.kind: (r.kept, r.n) for r in of_kind.collect()}
+    assert kinds[1][1] > 20 and kinds[1][0] <= 0.05 and kinds[2] == (0.0, 20)
+    assert found.join(good, "doc_id", "left_semi").where("not kept").count() == 0
+
+
+def test_sparse_distance_equals_js_distance(spark):
+    row = spark.createDataFrame([([3, 0, 2, 5], [0.3, 0.1, 0.2, 0.4], [0.3, 0.1, 0.2])], "a array<long>, b array<double>, ref_shares array<double>")
+    hits = F.expr("array(struct(0 as i, 3 as n), struct(2 as i, 2 as n))")
+    found = row.select(quality.js_distance("a", "b").alias("x"), quality.sparse_distance(hits, F.lit(10)).alias("y")).first()
+    assert found.x == pytest.approx(found.y) and found.x > 0
+
+
 def test_secrets_on_held_out_findings(spark):
     rng, rows = random.Random(11), []
     token = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
