@@ -5,7 +5,7 @@ Everything here is built-in DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidelake.llm.shared import small, stored
@@ -68,11 +68,11 @@ def _letters() -> F.Column:
     return F.filter(F.split(F.lower("_text"), r"[^\p{L}\p{M}]+"), lambda w: w != "")
 
 
-def common_words(measured: DataFrame, words: int = 64, tracked: int = 10_000) -> DataFrame:
-    """(ref_lang, ref_words): the most frequent words of each language over all documents.
+def common_words(measured: DataFrame, words: int = 200, tracked: int = 10_000) -> DataFrame:
+    """(ref_lang, ref_words): candidates for the common words of each language, in order.
 
-    A frequent-items sketch of fixed size per language finds them; words as frequent as the
-    common words of a language are far above its error. Their counts are taken exactly later.
+    A frequent-items sketch of fixed size per language finds them over all documents. They
+    are more than are needed: references() counts all exactly and takes the most frequent.
     """
     pairs = measured.select("ref_lang", F.explode(_letters()).alias("w"))
     top = pairs.groupBy("ref_lang").agg(F.expr(f"approx_top_k(w, {words}, {tracked})").alias("top"))
@@ -91,7 +91,7 @@ def _slot(word: F.Column) -> F.Column:
 
 
 def _hits() -> F.Column:
-    """(i, n) for each reference word of the text: its place and how often it occurs."""
+    """(i, n) for each candidate word of the text: its place and how often it occurs."""
     place = lambda w: F.aggregate(F.get(F.col("ref_slots"), _slot(w)), F.lit(-1), lambda acc, x: F.when(x["w"] == w, x["i"]).otherwise(acc))
     places = F.sort_array(F.filter(F.transform("_letters", place), lambda i: i >= 0))
     # where each place's run starts in the sorted places
@@ -100,27 +100,33 @@ def _hits() -> F.Column:
     return F.transform(F.array(places), runs)[0]
 
 
-def references(features: DataFrame) -> DataFrame:
-    """(ref_lang, ref_shares, ref_classes): shares of the reference words in all words, sums of the classes."""
+def references(features: DataFrame, words: int) -> DataFrame:
+    """(ref_lang, ref_shares, ref_classes): shares of the common words in all words, sums of the classes.
+
+    Of the candidates the `words` with the largest exact counts, and of equal counts the first
+    words, are the common words; the others' shares are null.
+    """
     add = F.array(*[F.sum(F.coalesce(F.get("classes", F.lit(i)), F.lit(0))) for i in range(len(CLASSES) + 3)])
     totals = features.groupBy("ref_lang").agg(F.sum("n_letters").alias("all_words"), add.alias("ref_classes"))
     each = features.select("ref_lang", F.explode("hits").alias("x")).groupBy("ref_lang", "x.i").agg(F.sum("x.n").alias("n"))
+    # at most as many rows of a language as it has candidates
+    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("ref_lang").orderBy(F.desc("n"), "i"))).where(F.col("rank") <= words)
     shares = each.join(totals, "ref_lang").groupBy("ref_lang").agg(F.map_from_entries(F.collect_list(F.struct("i", (F.col("n") / F.col("all_words")).alias("share")))).alias("by_place"))
     size = F.coalesce(F.array_max(F.map_keys("by_place")), F.lit(-1))
-    shares = shares.select("ref_lang", F.transform(F.sequence(F.lit(0), size), lambda i: F.coalesce(F.try_element_at("by_place", i), F.lit(0.0))).alias("ref_shares"))
+    shares = shares.select("ref_lang", F.transform(F.sequence(F.lit(0), size), lambda i: F.try_element_at("by_place", i)).alias("ref_shares"))
     none = F.array().cast("array<double>")
     return totals.join(shares, "ref_lang", "left").select("ref_lang", "ref_classes", F.coalesce("ref_shares", none).alias("ref_shares"))
 
 
 def sparse_distance(hits: F.Column, n: F.Column) -> F.Column:
-    """js_distance of the words of a text to its language's; hits has its reference words alone."""
+    """js_distance of the words of a text to its language's; hits has its candidate words alone."""
     term = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0) + F.when(b > 0, b * F.log2(2 * b / (a + b))).otherwise(0.0)
-    pairs = F.transform(hits, lambda x: F.struct((x["n"] / n).alias("a"), F.get("ref_shares", x["i"]).alias("b")))
+    pairs = F.filter(F.transform(hits, lambda x: F.struct((x["n"] / n).alias("a"), F.get("ref_shares", x["i"]).alias("b"))), lambda x: x["b"].isNotNull())
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("sum"))
     add = lambda acc, x: F.struct((acc["a"] + x["a"]).alias("a"), (acc["b"] + x["b"]).alias("b"), (acc["sum"] + term(x["a"], x["b"])).alias("sum"))
 
     def total(acc: F.Column) -> F.Column:
-        common = F.aggregate("ref_shares", F.lit(0.0), lambda s, x: s + x)
+        common = F.aggregate("ref_shares", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
         others = term(F.greatest(F.lit(0.0), 1 - acc["a"]), F.greatest(F.lit(0.0), 1 - common))
         return F.sqrt(F.greatest(F.lit(0.0), acc["sum"] + others + common - acc["b"]) / 2)
 
@@ -169,14 +175,14 @@ def quality(docs: DataFrame, class_limit: float = 0.35, word_limit: float = 0.45
     repeat are judged each; other columns are ignored.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("ref_lang"))
-    common = small(stored(_slots(common_words(_measured(rows, "text"), words)), "words"))
+    common = small(stored(_slots(common_words(_measured(rows, "text"), max(200, 2 * words))), "words"))
     found = base_rules(rows).withColumn("_letters", _letters()).join(common, "ref_lang", "left")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     n_letters = F.greatest("n_words", F.size("_letters").cast("long")).alias("n_letters")
     hits = F.coalesce(_hits(), F.array().cast("array<struct<i:int,n:int>>")).alias("hits")
     features = found.select("doc_id", "ref_lang", *counts, F.length("_text").alias("n_chars"), _classes().alias("classes"), n_letters, hits)
     features = stored(features, "features")
-    found = features.join(small(references(features)), "ref_lang")
+    found = features.join(small(references(features, words)), "ref_lang")
     found = found.withColumn("class_js", F.when(F.col("n_chars") >= least_chars, js_distance("classes", "ref_classes")))
     found = found.withColumn("word_js", F.when(F.col("n_words") >= least_words, sparse_distance(F.col("hits"), F.col("n_letters"))))
     without = sparse_distance(F.array().cast("array<struct<i:int,n:int>>"), F.lit(1)).alias("without")

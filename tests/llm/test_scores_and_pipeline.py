@@ -185,6 +185,16 @@ def test_quality_rejects_texts_without_the_languages_words(spark):
     assert found.join(good, "doc_id", "left_semi").where("not kept").count() == 0
 
 
+def test_common_words_are_chosen_by_exact_counts(spark):
+    rows = [("x", "x", 10, [{"i": 0, "n": 1}, {"i": 1, "n": 2}, {"i": 2, "n": 2}]), ("y", "x", 10, [{"i": 0, "n": 3}, {"i": 3, "n": 2}]), ("z", "y", 10, [])]
+    features = spark.createDataFrame(rows, "doc_id string, ref_lang string, n_letters long, hits array<struct<i:int,n:int>>").withColumn("classes", F.array(F.lit(1)))
+    found = {r.ref_lang: r.ref_shares for r in quality.references(features, 2).collect()}
+    assert found == {"x": [0.2, 0.1], "y": []}
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300) if i < 300 - k // 2), "en") for i in range(300)], "doc_id int, text string, ref_lang string")
+    (kept,) = quality.common_words(quality._measured(docs, "text")).collect()
+    assert len(kept.ref_words) == 200 and kept.ref_words == sorted(kept.ref_words)
+
+
 def test_sparse_distance_equals_js_distance(spark):
     row = spark.createDataFrame([([3, 0, 2, 5], [0.3, 0.1, 0.2, 0.4], [0.3, 0.1, 0.2])], "a array<long>, b array<double>, ref_shares array<double>")
     hits = F.expr("array(struct(0 as i, 3 as n), struct(2 as i, 2 as n))")
