@@ -3,100 +3,83 @@
 Each document is the set of its distinct shingles. Two sets can only be similar enough if, in
 any one order of all shingles, their first few shingles (the prefix) have one in common. The
 first order gives the candidates; prefixes in further orders must have a shingle in common
-too, or the pair is dropped before its sets are compared.
+too, or the pair is dropped before its texts are sent anywhere.
 
 In every order, shingles of which a sketch over all documents has seen many come last, so that
-passages which many documents share are rarely in a prefix. The sketch has a fixed size and
-only decides the order; the result doesn't depend on it.
+passages which many documents share are rarely in a prefix, and a near copy's own shingles come
+before those of its group: where the first shingle that two copies share stands says how many
+they can't share. The sketch has a fixed size and only decides the order; the result doesn't
+depend on it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidelake.llm.components import components, contracted, least_neighbour
-from slidelake.llm.shared import run_folder, stored
+from slidelake.llm.shared import Work
+from slidelake.llm.shingles import mixed, token_sets
 
 #: The sketch: 2**CELL_BITS counters, in SLICES parts.
 CELL_BITS, SLICES = 21, 256
-#: Bits of the filter for documents whose sets are needed; its size doesn't depend on the data.
+#: Bits of the filter for texts that candidates need; its size doesn't depend on the data.
 FILTER_BITS = 26
 #: Orders besides the first.
 FURTHER = 2
-
-
-def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A permutation of the 64-bit numbers, another one for each seed."""
-    x = x + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & 2**64 - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted 64-bit hashes of a text's distinct k-word shingles; of fewer words, their sequence."""
-    words = (text or "").encode().lower().split()
-    n = len(words)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    k = min(n, k)
-    if not k:
-        return h
-    sums = np.full(n - k + 1, k, np.uint64)
-    for j in range(k):
-        sums = mixed(sums) + h[j : n - k + 1 + j]
-    return np.unique(mixed(sums))
+#: A shingle that more documents than this may have is brought together by joins that Spark can split.
+HOT = 20_000
+#: Classes whose prefixes a task remembers to have sent already.
+REMEMBERED = 500_000
 
 
 def prefix(tokens: np.ndarray, percent: int, ranks: np.ndarray, order: int) -> np.ndarray:
     """The first shingles of a set in one of the orders, as many as the threshold asks for."""
-    n = len(tokens)
-    if not n:
-        return tokens
+    n = len(tokens) + 1 - -(-percent * len(tokens) // 100) if len(tokens) else 0
     key = (ranks[tokens >> np.uint64(64 - CELL_BITS)].astype(np.uint64) << np.uint64(56)) | (mixed(tokens, order) >> np.uint64(8))
-    return tokens[np.argsort(key)[: n + 1 - -(-percent * n // 100)]]
+    first = np.argpartition(key, n - 1)[:n] if n else np.zeros(0, int)
+    return tokens[first[np.argsort(key[first])]]
+
+
+def _level(count: np.ndarray | int) -> np.ndarray:
+    return np.floor(4 * np.log2(1 + np.asarray(count)))
 
 
-def frequency_ranks(docs: DataFrame, k: int) -> np.ndarray:
-    """A rank for each cell of the sketch: 0 for the nine tenths that were seen least."""
+def seen(docs: DataFrame, k: int) -> np.ndarray:
+    """For each cell of the sketch 4 log2 of the documents that were seen in it, one at least, rounded down."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, seen = np.zeros(1 << CELL_BITS, np.uint32), False
+        cells = None
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(cells, shingles(text, k) >> np.uint64(64 - CELL_BITS), 1)
-                seen = True
-        if seen:
-            small = np.minimum(cells, 255).astype(np.uint8).reshape(SLICES, -1)
+            cells = np.zeros(1 << CELL_BITS, np.uint32) if cells is None else cells
+            for tokens in token_sets(batch.column(0), k):
+                np.add.at(cells, tokens >> np.uint64(64 - CELL_BITS), 1)
+        if cells is not None:
+            small = np.minimum(cells, 65535).astype(np.uint16).reshape(SLICES, -1)
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "cells": [x.tobytes() for x in small]})
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, cells in zip(*(c.to_pylist() for c in batch.columns)):
-                sums[i] = sums.get(i, 0) + np.frombuffer(cells, np.uint8).astype(np.int64)
+                sums[i] = sums.get(i, 0) + np.frombuffer(cells, np.uint16).astype(np.int64)
         if sums:
-            logs = [np.floor(4 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in sums.values()]
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "cells": logs})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "cells": [_level(x).astype(np.uint8).tobytes() for x in sums.values()]})
 
     schema = "slice int, cells binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(total, schema).collect()
-    ranks = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.uint8)
+    rows = docs.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(total, schema).collect()  # 2**CELL_BITS bytes
+    levels = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.uint8)
     for i, cells in rows:
-        ranks[i] = np.frombuffer(cells, np.uint8)
-    ranks = ranks.ravel()
-    usual = np.partition(ranks, 9 * len(ranks) // 10)[9 * len(ranks) // 10]
-    return np.maximum(ranks, usual) - usual
-
-
-def _long(x: np.ndarray) -> list[int]:
-    return x.view(np.int64).tolist()
+        levels[i] = np.frombuffer(cells, np.uint8)
+    return levels.ravel()
 
 
 def _name(tokens: np.ndarray) -> int:
@@ -104,30 +87,66 @@ def _name(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
 
 
-def _bits(rows: DataFrame) -> np.ndarray:
-    """A filter with the bits set that the rows (column bit) name."""
-    size = (1 << FILTER_BITS) // 8 // SLICES
+def _lists(arrays: list, of: np.dtype) -> pa.Array:
+    return pa.array([None if x is None else x.view(of) for x in arrays], pa.list_(pa.from_numpy_dtype(of)))
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = np.zeros(size, np.uint8)
-        at = pdf["bit"].to_numpy() % (8 * size)
-        np.bitwise_or.at(part, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        return pd.DataFrame({"slice": [int(pdf["bit"].iloc[0]) // (8 * size)], "part": [part.tobytes()]})
-
-    found = np.zeros((SLICES, size), np.uint8)
-    for i, part in rows.distinct().groupBy(F.expr(f"bit div {8 * size}")).applyInPandas(fill, "slice int, part binary").collect():
-        found[i] = np.frombuffer(part, np.uint8)
-    return found.ravel()
 
+def described(docs: DataFrame, k: int, percent: int, most: int = HOT) -> DataFrame:
+    """Per (doc_id, text) row: doc_id, the set's size n and name cls, the text's hash, and prefixes.
 
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """The rows as a table bucketed by a key, in the shared folder: joins on it move the other side only."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder = run_folder(spark, "sets")
-    name = folder.rpartition("/")[2].replace("-", "_")
-    df.repartition(n, key).write.bucketBy(n, key).option("path", folder).saveAsTable(name)
-    return spark.table(name)
+    first is the prefix in the first order, of which the first n_cold shingles are in `most`
+    documents at most; order1, order2, ... are those in further orders, as 32-bit hashes. A
+    task gives a set's prefixes once only; they are null in its further rows and those
+    without a word.
+    """
+    levels = docs.sparkSession.sparkContext.broadcast(seen(docs, k))  # 2**CELL_BITS bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual = np.partition(levels.value, 9 * len(levels.value) // 10)[9 * len(levels.value) // 10]
+        ranks, hot = np.maximum(levels.value, usual) - usual, _level(most)
+        known: set[int] = set()
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            doc_id, text_hash, n, cls, n_cold, first, *further = zip(*rows)
+            columns = {"doc_id": pa.array(doc_id, pa.int64()), "text_hash": pa.array(text_hash, pa.int64()), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "n_cold": pa.array(n_cold, pa.int32()), "first": _lists(first, np.int64)}
+            return pa.RecordBatch.from_pydict(columns | {f"order{i}": _lists(x, np.int32) for i, x in enumerate(further, 1)})
+
+        rows, size = [], 0
+        for b in batches:
+            for doc_id, text_hash, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), token_sets(b.column(2), k)):
+                cls = _name(tokens)
+                if len(tokens) and cls not in known:
+                    known.add(cls)
+                    first = prefix(tokens, percent, ranks, 0)
+                    n_cold = int((levels.value[first >> np.uint64(64 - CELL_BITS)] < hot).sum()) if usual < hot else 0
+                    further = [(mixed(prefix(tokens, percent, ranks, i)) >> np.uint64(32)).astype(np.uint32) for i in range(1, FURTHER + 1)]
+                    rows.append((doc_id, text_hash, len(tokens), cls, n_cold, first, *further))
+                    size += len(first)
+                else:
+                    rows.append((doc_id, text_hash, len(tokens), cls, None, None, *[None] * FURTHER))
+                if len(rows) == 2_000 or size > 200_000:
+                    yield batch(rows)
+                    rows, size = [], 0
+                if len(known) > REMEMBERED:
+                    known.clear()
+        if rows:
+            yield batch(rows)
+
+    schema = "doc_id long, text_hash long, n long, cls long, n_cold int, first array<long>" + "".join(f", order{i} array<int>" for i in range(1, FURTHER + 1))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
+
+
+def _per_token(rows: DataFrame, **aggregates: Column) -> DataFrame:
+    """Adds aggregates over the rows of each token.
+
+    A window gives those of tokens that HOT documents have at most; those of others are
+    aggregated in part before the shuffle and joined to the rows, which Spark can split.
+    """
+    cold, hot = rows.where("not hot"), rows.where("hot")
+    for name, value in aggregates.items():
+        cold = cold.withColumn(name, value.over(Window.partitionBy("token")))
+    found = hot.groupBy("token").agg(*[value.alias(name) for name, value in aggregates.items()])
+    return cold.unionByName(hot.join(found, "token").select(cold.columns))
 
 
 def _need(n: str, m: str, percent: int) -> str:
@@ -135,7 +154,13 @@ def _need(n: str, m: str, percent: int) -> str:
     return f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
 
 
-def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _fits(n: str, at: str, m: str, m_at: str, percent: int) -> Column:
+    """Whether sets of n and m shingles, the first common one of which stands at these places, can be similar enough."""
+    need = _need(n, m, percent)
+    return F.expr(f"{n} - {at} >= {need} and {m} - {m_at} >= {need} and 100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
+
+
+def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id): the components of the join's links.
 
     Two documents link if 100 * intersection >= percent * union of their sets. component_id is
@@ -143,114 +168,124 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     shingle and no link. Rows of the same set are one class, whose pairs are not formed; a
     link between different sets is only left out where links found before connect both sides
     already, so components are exact. A null id has a null component unless a link gives it
-    one. Rows that repeat an id are kept; other columns are ignored; no rows give no rows.
+    one. Rows that repeat an id are kept, each with a component of its text; other columns are
+    ignored, whatever their names; no rows give no rows. A text of any length is read whole and
+    is one row of its own in a batch of hashing. Ties between places in an order or between
+    leaders are broken by hashes, and don't change the result. Shingles that more than `hot`
+    documents may have are brought together by joins that Spark can split, others by windows.
 
     A class is named by 64 bits of its set's hash.
     """
-    spark = docs.sparkSession
+    work = Work(docs.sparkSession, "join")
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    ranks = spark.sparkContext.broadcast(frequency_ranks(docs, k))  # 2**CELL_BITS bytes
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 1000):
-                n, cls, first = [], [], []
-                for text in texts[at : at + 1000]:
-                    tokens = shingles(text, k)
-                    n.append(len(tokens))
-                    cls.append(_name(tokens))
-                    first.append(_long(prefix(tokens, percent, ranks.value, 0)))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, 1000), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "first": pa.array(first, pa.list_(pa.int64()))})
-
-    described = stored(docs.mapInArrow(describe, "doc_id long, n long, cls long, first array<long>"), "prefixes")
-    classes = stored(described.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
-
-    # A row per class and prefix shingle that another class has in its prefix too, if that can be
-    # a link by size (the next smaller or larger set in the bucket is near enough) and by place
-    # in the prefix (enough shingles are left for a link with the smallest such set).
-    by_token = Window.partitionBy("token")
-    by_size = by_token.orderBy("n", "cls")
-    entries = described.where("n > 0").select("cls", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("at", "token"))
-    shared = entries.withColumn("one", F.min("cls").over(by_token)).withColumn("last", F.max("cls").over(by_token)).where("one <> last")
-    shared = shared.groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("at").alias("at"))
-    shared = shared.withColumn("below", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
-    smaller = f"coalesce(100 * below >= {percent} * n, false) AND n - at >= {_need('n', f'(({percent} * n + 99) div 100)', percent)}"
-    larger = f"coalesce(100 * n >= {percent} * above, false) AND n - at >= {_need('n', 'above', percent)}"
-    buckets = stored(shared.where(f"({smaller}) OR ({larger})").drop("below", "above"), "buckets")
-
-    bit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << FILTER_BITS))
-    needed = buckets.select("cls").distinct().join(classes, "cls").select(bit.alias("bit"))
-    wanted = spark.sparkContext.broadcast(_bits(needed))  # 2**FILTER_BITS / 8 bytes
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(0).to_numpy()
-            chosen = np.flatnonzero(wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            texts = batch.column(1).take(pa.array(chosen)).to_pylist()
-            for i in range(0, len(texts), 500):
-                sets = [shingles(text, k) for text in texts[i : i + 500]]
-                row = {"cls": pa.array([_name(x) for x in sets], pa.int64()), "tokens": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))}
-                row |= {f"order{j}": pa.array([prefix(x, percent, ranks.value, j).view(np.int64) for x in sets], pa.list_(pa.int64())) for j in range(1, FURTHER + 1)}
-                yield pa.RecordBatch.from_pydict(row)
-
-    schema = "cls long, tokens array<long>, " + ", ".join(f"order{i} array<long>" for i in range(1, FURTHER + 1))
-    sets = _bucketed(docs.select(bit.alias("bit"), "text").mapInArrow(measure, schema).join(buckets.select("cls").distinct(), "cls", "left_semi"), "cls")
-
-    placed = stored(_linked(buckets, sets, percent), "components")
+    rows = work.table(described(docs, k, percent, hot), "described")
+
+    # A row per class and prefix shingle that another class has in its prefix too, with the
+    # token's leader: of all classes the one in which it comes first, that is the least edited copy.
+    entries = rows.where("first is not null").select("cls", F.col("n").cast("int").alias("n"), "n_cold", F.posexplode("first").alias("at", "token"))
+    entries = entries.select("token", "cls", "n", "at", (F.col("at") >= F.col("n_cold")).alias("hot"))
+    leader = F.min(F.struct("at", F.xxhash64("cls").alias("h"), "cls", "n"))
+    shared = _per_token(entries, one=F.min("cls"), last=F.max("cls"), leader=leader).where("one <> last").drop("one", "last")
+    shared = work.table(shared, "shared")
+
+    # First each class meets one leader only, the one it shares the most places with.
+    met = shared.where(_fits("n", "at", "leader.n", "leader.at", percent)).where("cls <> leader.cls").groupBy("cls", F.col("leader.cls").alias("to")).count()
+    led = met.groupBy("cls").agg(F.max(F.struct("count", F.xxhash64("to").alias("h"), "to"))["to"].alias("to"))
+    pairs = work.table(led.select(F.least("cls", "to").alias("a"), F.greatest("cls", "to").alias("b")).distinct(), "led")
+    prefixes = rows.where("first is not null").groupBy("cls").agg(F.first("text_hash").alias("text_hash"), *[F.first(f"order{i}").alias(f"order{i}") for i in range(1, FURTHER + 1)])
+    prefixes = work.table(prefixes, "prefixes")
+    links = work.table(contracted(_similar(work, docs, pairs, prefixes, k, percent)), "links")
+
+    # Then all pairs that are left: a class meets those of a token that seem to be in another
+    # component, but of the component that its leader is in, only classes of others meet its classes.
+    near = shared.drop("leader").join(least_neighbour(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    parts = {"one": F.min("component"), "last": F.max("component"), "main": F.min(F.struct("at", F.xxhash64("cls").alias("h"), "component"))}
+    near = _per_token(near, **parts).where("one <> last").select("token", "cls", "n", "at", "component", (F.col("component") == F.col("main.component")).alias("main"))
+    # classes in bands of size, of which similar sets are at most one apart
+    width = math.log(100 / percent) + 1e-9 if percent < 100 else 1e-9
+    near = work.table(near.withColumn("band", F.floor(F.log("n") / F.lit(width))), "near")
+    others = near.where("not main").select("token", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), *[F.col(c).alias(f"p_{c}") for c in ("cls", "n", "at", "component")])
+    met = near.join(others, ["token", "band"]).where(_fits("n", "at", "p_n", "p_at", percent) & F.expr("component <> p_component and (main or cls < p_cls)"))
+    rest = met.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
+    rest = work.table(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    work.drop("shared", "near", "led")
+    more = _similar(work, docs, rest, prefixes, k, percent)
+    placed = work.table(components(links.union(more)), "components")
+    work.drop("rest", "prefixes", "links")
+
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     named = classes.join(placed.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(names, "component").select("cls", "component_id")
-    found = described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(of_class, "cls", "left")
+    found = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(of_class, "cls", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _linked(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the classes that have links.
+def _bits(work: Work, rows: DataFrame) -> np.ndarray:
+    """A filter with the bits set that the rows (column bit) name."""
+    size = (1 << FILTER_BITS) // 8 // SLICES
 
-    In rounds, of each bucket with members in more than one component, some members (the pivots)
-    are compared with later members of other components. At first each class is compared with
-    one pivot only, the first of all its buckets' first members; that connects most copies. Then
-    the pivots are the next 1, 15, 240, ... members. A bucket is done when its members are in one
-    component or all were pivots. Only pairs that pass size, place and all orders are compared,
-    and none twice. Between rounds the links are contracted by one step only, so that some
-    connected classes still count as apart; the last step follows the links to their end.
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(size, np.uint8)
+        at = pdf["bit"].to_numpy() % (8 * size)
+        np.bitwise_or.at(part, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        return pd.DataFrame({"slice": [int(pdf["bit"].iloc[0]) // (8 * size)], "part": [part.tobytes()]})
+
+    found = np.zeros((SLICES, size), np.uint8)
+    for i, part in rows.groupBy(F.expr(f"bit div {8 * size}")).applyInPandas(fill, "slice int, part binary").collect():
+        found[i] = np.frombuffer(part, np.uint8)
+    return found.ravel()
+
+
+def _similar(work: Work, docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): the pairs whose prefixes share a shingle in the further orders too, and whose sets are similar.
+
+    Only the texts of pairs that pass the orders are sent, compressed; their sets are made
+    again where both meet.
     """
-    spark = buckets.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    seen = spark.createDataFrame([], "a long, b long")
-    by_token = Window.partitionBy("token")
-    in_turn = by_token.orderBy(F.xxhash64("cls"), "cls")
-    left = stored(buckets.withColumn("turn", F.row_number().over(in_turn) - 1).withColumn("most", F.count("*").over(by_token) - 1), "turns")
-    need = _need("n", "p_n", percent)
-    fits = F.expr(f"component <> p_component and turn > p_turn and n - at >= {need} and p_n - p_at >= {need} and 100 * least(n, p_n) >= {percent} * greatest(n, p_n)")
-    low, high, first = 0, 1, True
-    while True:
-        now = left.where(f"most >= {low}").join(least_neighbour(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        now = now.withColumn("one", F.min("component").over(by_token)).withColumn("last", F.max("component").over(by_token)).where("one <> last")
-        now = stored(now.drop("one", "last"), "turns")
-        if now.isEmpty():
-            return components(links)
-        pivots = now.where(f"turn >= {low} and turn < {high}").select("token", *[F.col(c).alias(f"p_{c}") for c in ("cls", "n", "at", "turn", "component")])
-        met = now.join(pivots, "token").where(fits)
-        if first:
-            met = met.groupBy("cls").agg(F.min_by("p_cls", F.struct(F.xxhash64("p_cls"), "p_cls")).alias("p_cls"))
-        pairs = met.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
-        pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = seen.union(pairs)
-        links = contracted(links.union(_similar(pairs, sets, percent)))
-        left = now.drop("component")
-        if first:
-            first = False
-        else:
-            low, high = high, high * 16
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose prefixes share a shingle in the further orders too, and whose sets are similar."""
-    side = lambda c: sets.select(F.col("cls").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in sets.columns if x != "cls"])
+    side = lambda c: prefixes.select(F.col("cls").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in prefixes.columns if x != "cls"])
     passed = pairs.join(side("a"), "a").join(side("b"), "b")
     for i in range(1, FURTHER + 1):
         passed = passed.where(F.arrays_overlap(f"a_order{i}", f"b_order{i}"))
-    both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return passed.where(100 * both >= percent * (F.size("a_tokens") + F.size("b_tokens") - both)).select("a", "b")
+    passed = work.table(passed.select("a", "b", "a_text_hash", "b_text_hash"), "passed")
+    if passed.isEmpty():
+        return passed.select("a", "b")
+    bit = F.pmod(F.col("text_hash"), F.lit(1 << FILTER_BITS))
+    needed = passed.select(F.explode(F.array("a_text_hash", "b_text_hash")).alias("text_hash")).select(bit.alias("bit")).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(_bits(work, needed))  # 2**FILTER_BITS / 8 bytes
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, known = zstandard.ZstdCompressor(level=1), set()
+        for batch in batches:
+            hashes = batch.column(0).to_numpy()
+            at = hashes % (1 << FILTER_BITS)
+            chosen = [i for i in np.flatnonzero(wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist() if hashes[i] not in known]
+            known.update(hashes[chosen].tolist())
+            for i in range(0, len(chosen), 500):
+                some = chosen[i : i + 500]
+                yield pa.RecordBatch.from_pydict({"text_hash": hashes[some], "body": pa.array([press.compress((batch.column(1)[j].as_py() or "").encode()) for j in some], pa.binary())})
+            if len(known) > REMEMBERED:
+                known.clear()
+
+    found = docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(choose, "text_hash long, body binary")
+    texts = work.table(found.groupBy("text_hash").agg(F.first("body").alias("body")), "texts")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, last = zstandard.ZstdDecompressor(), (b"", np.zeros(0, np.uint64))
+        for batch in batches:
+            kept = []
+            for at in range(0, len(batch), 200):
+                first, second = (batch.column(i).slice(at, 200).to_pylist() for i in (2, 3))
+                sets = token_sets(pa.array([opened.decompress(x).decode() for x in first], pa.string()), k)
+                for i, (x, body) in enumerate(zip(sets, second), at):
+                    if body != last[0]:  # pairs of a leader follow one another
+                        last = body, next(token_sets(pa.array([opened.decompress(body).decode()], pa.string()), k))
+                    y = last[1]
+                    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64())).select(["a", "b"])
+
+    body = lambda c: texts.select(F.col("text_hash").alias(f"{c}_text_hash"), F.col("body").alias(f"{c}_body"))
+    both = passed.join(body("a"), "a_text_hash").join(body("b"), "b_text_hash").select("a", "b", "a_body", "b_body")
+    return work.table(both.mapInArrow(verify, "a long, b long"), "similar")

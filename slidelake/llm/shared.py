@@ -25,15 +25,53 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that removes a query's shuffle files when the query has ended.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(_FREED, "false")
+    spark.conf.set(_FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREED, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once as Parquet to the shared folder and read again.
 
-    Cuts the lineage, so that later reads neither recompute the rows nor depend on an executor.
+    Cuts the lineage, so that later reads neither recompute the rows nor depend on an executor;
+    the shuffle files behind them are removed.
     """
-    spark = df.sparkSession
-    path = run_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, run_folder(df.sparkSession, name))
+
+
+class Work:
+    """The stored tables of one run of an operator, which are dropped once they are superseded."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, run_folder(spark, name)
+        self.paths: dict[str, list[str]] = {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows, stored as `stored` does; several tables may have one name."""
+        self.paths.setdefault(name, []).append(f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}")
+        return _written(df, self.paths[name][-1])
+
+    def drop(self, *names: str) -> None:
+        """Deletes the tables of these names."""
+        for name in names:
+            for path in self.paths.pop(name, []):
+                removed(self.spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small(df: DataFrame, rows: int = 10_000) -> DataFrame:

@@ -56,9 +56,9 @@ def brute(rows, k, percent):
     return sorted(((i, len(s), least.get(root(a))) for a, (i, s) in enumerate(sets)), key=repr)
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 50)])
-def test_join_equals_brute_force(spark, k, percent):
-    found = ngram_join.near_components(table(spark, texts()).repartition(7), k, percent)
+@pytest.mark.parametrize(("k", "percent", "hot"), [(3, 90, 20_000), (5, 80, 0), (1, 50, 20_000), (2, 100, 3)])
+def test_join_equals_brute_force(spark, k, percent, hot):
+    found = ngram_join.near_components(table(spark, texts()).repartition(7), k, percent, hot=hot)
     assert found.columns == ["doc_id", "n_shingles", "component_id"]
     assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(texts(), k, percent)
 
