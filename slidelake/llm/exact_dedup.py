@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.shared import open_folder, run_folder, stored
+from slidelake.llm.shared import kept_rows, open_folder, run_folder, stored
 
 _ARROW = pa.schema([("digest", pa.binary()), ("content", pa.string()), ("first_id", pa.int64()), ("n", pa.int64())])
 SCHEMA = "digest binary, content string, first_id long, n long"
@@ -182,6 +182,12 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows that stay, whole. Ids are taken as unique; a repeated id stays or goes as a whole."""
-    dropped = exact_groups(docs, id_column, text_column).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_column] == dropped["_dropped"], "left_anti")
+    """The rows that stay, whole: one of each group of equal texts, that with the smallest id.
+
+    Rows that repeat an id are each judged by their own text. Of equal texts with equal ids one
+    row stays. A null id stays only where no row of the group has an id. Other columns are kept
+    as they are, whatever their names; very long texts are compared whole; no rows give no rows.
+    """
+    groups = exact_groups(docs, id_column, text_column).where("group_size > 1")
+    decided = stored(groups.select("doc_id", F.col("text_sha256").alias("key"), F.col("kept").alias("stays")), "decided")
+    return kept_rows(docs, decided, id_column, F.sha2(normalised(text_column), 256))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidelake.llm.shared import small
@@ -25,51 +25,58 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
     The target share of a source is its weight, or by default its share of all `size` to the
     power `temperature`, made to sum to 1. The rate is target share over present share;
-    `most` limits it where given, and then targets may not be reached. Where `size` is null or not above 0, the characters of the text count, if there is
-    such a column. Sources without a weight get 0. All others are kept: one without any
-    characters cannot change a share, and its rate is 1. Null is a source of its own.
+    `most` limits it where given, and then targets may not be reached. Where `size` is null or
+    not above 0, the characters of the text count, if there is such a column. Sources without
+    a weight get 0, so weights that name no source give 0 everywhere. All others are kept: one
+    without any characters cannot change a share, and its rate is 1. Null is a source of its
+    own, the same as an empty name. Rows that repeat count each; no rows give no rows.
     """
     measured = F.length(F.coalesce(F.col(text_column), F.lit(""))) if text_column in docs.columns else F.lit(0)
     known = F.when(F.col(size) > 0, F.col(size)).otherwise(measured)
-    sizes = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("mix_source")).agg(F.sum(known).cast("double").alias("size"))
+    sizes = docs.select(F.coalesce(F.col(source), F.lit("")).alias("mix_source"), known.alias("known")).groupBy("mix_source").agg(F.sum("known").cast("double").alias("size"))
     if weights is not None:
         entries = [x for pair in weights.items() for x in (F.lit(pair[0]), F.lit(float(pair[1])))]
-        goal = F.coalesce(F.element_at(F.create_map(*entries), F.col("mix_source")), F.lit(0.0)) if entries else F.lit(0.0)
+        goal = F.coalesce(F.try_element_at(F.create_map(*entries), F.col("mix_source")), F.lit(0.0)) if entries else F.lit(0.0)
     else:
         goal = F.pow("size", F.lit(temperature))
-    goals = sizes.withColumn("goal", goal)
-    total = goals.where("size > 0").agg(F.sum("size").alias("all_size"), F.sum("goal").alias("all_goal"))
-    # one row of totals
-    with_total = goals.crossJoin(F.broadcast(total))
+    # one row per source: totals over all of them that have a size
+    sized = lambda c: F.sum(F.when(F.col("size") > 0, F.col(c))).over(Window.partitionBy(F.lit(0)))
+    goals = sizes.withColumn("goal", goal).withColumn("all_size", sized("size")).withColumn("all_goal", sized("goal"))
     of_empty = F.lit(1.0) if weights is None else F.when(F.col("goal") > 0, 1.0).otherwise(0.0)
     rate = F.when(F.col("size") > 0, F.coalesce(F.expr("try_divide(goal, all_goal) / (size / all_size)"), F.lit(0.0))).otherwise(of_empty)
-    return with_total.select("mix_source", (rate if most is None else F.least(rate, F.lit(float(most)))).alias("mix_rate"))
+    return goals.select("mix_source", (rate if most is None else F.least(rate, F.lit(float(most)))).alias("mix_rate"))
 
 
-def mixed(docs: DataFrame, repetition: DataFrame, seed: int = 0, most: float = 8.0, source: str = "source", id_column: str = "doc_id") -> DataFrame:
+def mixed(docs: DataFrame, repetition: DataFrame, seed: int = 0, most: float = 8.0, source: str = "source", id_column: str = "doc_id", added: tuple[str, ...] = ("copy", "rate", "shuffle_key")) -> DataFrame:
     """Each document as often as a Poisson draw with its source's rate says, in random order.
 
     The draw inverts the distribution at a uniform number that is hashed from seed and id, so
     it is the same in every run. A rate above `most` is drawn as the sum of several draws of
-    equal rates up to `most`, each at a number of its own. Adds copy (from 0), rate and shuffle_key, in place of columns of these names. The rows are dealt
-    out by a hash of seed, id and copy, and sorted by it in each partition. Rows of one id are
-    drawn alike; a null source is matched as an empty one; null ids share one draw. A source
-    that `repetition` doesn't name has rate 1.
-    `most` bounds the terms of the inversion, not the rates.
+    equal rates up to `most`, each at a number of its own; `most` bounds the terms of an
+    inversion, not the rates. The rows are dealt out by a hash of seed, id and copy, and sorted
+    by it in each partition.
+
+    Adds the columns of `added`: copy (from 0), rate and shuffle_key, in place of columns of
+    these names; all other columns are kept, whatever their names. Rows of one id are drawn
+    alike, and null ids share one draw; ties of the shuffle key, which only they can have, are
+    in no order. A null source is matched as an empty one, and a source that `repetition`
+    doesn't name has rate 1. Texts are neither read nor cut. No rows give no rows.
     """
     terms = int(most + 12 * most**0.5 + 12)
     # P(X <= k) for k = 0, 1, ..., by the recurrence of the terms
-    step = lambda acc, k: F.struct((acc["p"] * F.col("mix_part") / k).alias("p"), (acc["sum"] + acc["p"] * F.col("mix_part") / k).alias("sum"), F.concat(acc["cdf"], F.array(acc["sum"] + acc["p"] * F.col("mix_part") / k)).alias("cdf"))
-    start = F.struct(F.exp(-F.col("mix_part")).alias("p"), F.exp(-F.col("mix_part")).alias("sum"), F.array(F.exp(-F.col("mix_part"))).alias("cdf"))
+    step = lambda acc, k: F.struct((acc["p"] * F.col("part") / k).alias("p"), (acc["sum"] + acc["p"] * F.col("part") / k).alias("sum"), F.concat(acc["cdf"], F.array(acc["sum"] + acc["p"] * F.col("part") / k)).alias("cdf"))
+    start = F.struct(F.exp(-F.col("part")).alias("p"), F.exp(-F.col("part")).alias("sum"), F.array(F.exp(-F.col("part"))).alias("cdf"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / F.lit(float(most)))).cast("int")
-    tables = repetition.select("mix_source", "mix_rate", parts.alias("mix_parts")).withColumn("mix_part", F.col("mix_rate") / F.col("mix_parts"))
-    tables = tables.select("mix_source", "mix_rate", "mix_parts", F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["cdf"]).alias("mix_cdf"))
-    drawn = docs.withColumn("mix_source", F.coalesce(F.col(source), F.lit(""))).join(small(tables), "mix_source", "left")
+    tables = repetition.select("mix_source", F.col("mix_rate").alias("rate"), parts.alias("parts")).withColumn("part", F.col("rate") / F.col("parts"))
+    tables = tables.select("mix_source", "rate", "parts", F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["cdf"]).alias("cdf"))
+    # the row as one column, so that no name of its own can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(source), F.lit("")).alias("mix_source"), F.col(id_column).alias("id"))
+    drawn = rows.join(small(tables), "mix_source", "left")
     as_is = F.array(*[F.lit(p) for p in accumulate(math.exp(-1) / math.factorial(k) for k in range(terms + 1))])
-    drawn = drawn.withColumn("mix_rate", F.coalesce("mix_rate", F.lit(1.0))).withColumn("mix_cdf", F.coalesce("mix_cdf", as_is))
-    numbers = F.transform(F.sequence(F.lit(0), F.coalesce("mix_parts", F.lit(1)) - 1), lambda j: _uniform(F.when(j == 0, F.lit(str(seed))).otherwise(F.concat(F.lit(f"{seed} part "), j.cast("string"))), id_column))
-    count = F.aggregate(numbers, F.lit(0), lambda acc, u: acc + F.size(F.filter("mix_cdf", lambda x: x <= u)))
-    copies = drawn.withColumn("mix_n", count).where("mix_n > 0")
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.col("copy").cast("string"))))
-    return keyed.withColumn("rate", F.col("mix_rate")).drop("mix_source", "mix_rate", "mix_parts", "mix_n", "mix_cdf").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    drawn = drawn.withColumn("rate", F.coalesce("rate", F.lit(1.0))).withColumn("cdf", F.coalesce("cdf", as_is))
+    numbers = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda j: _uniform(F.when(j == 0, F.lit(str(seed))).otherwise(F.concat(F.lit(f"{seed} part "), j.cast("string"))), "id"))
+    count = F.aggregate(numbers, F.lit(0), lambda acc, u: acc + F.size(F.filter("cdf", lambda x: x <= u)))
+    copies = drawn.withColumn("n", count).where("n > 0").select("row", "id", "rate", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("copy").cast("string"))))
+    dealt = keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added], *added)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidelake.llm.components import components, contracted, least_neighbour
-from slidelake.llm.shared import Work
+from slidelake.llm.shared import Work, kept_rows, stored
 from slidelake.llm.shingles import mixed, token_sets
 
 #: The sketch: 2**CELL_BITS counters, in SLICES parts.
@@ -176,6 +176,23 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
 
     A class is named by 64 bits of its set's hash.
     """
+    return near_groups(docs, k, percent, id_column, text_column, hot).select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
+    """The rows that stay, whole: of each component of the join one, that with the smallest id.
+
+    Rows that repeat an id are each judged by their own text. Rows without a word stay. A null id
+    stays only where no row of the component has an id. Other columns are kept as they are,
+    whatever their names; no rows give no rows.
+    """
+    found = near_groups(docs, k, percent, id_column, text_column, hot).where("n_shingles > 0")
+    decided = stored(found.select("doc_id", F.col("text_hash").alias("key"), "stays"), "decided")
+    return kept_rows(docs, decided, id_column, F.xxhash64(text_column))
+
+
+def near_groups(docs: DataFrame, k: int, percent: int, id_column: str, text_column: str, hot: int) -> DataFrame:
+    """What near_components gives, with text_hash and stays: whether this text is its component's first by id."""
     work = Work(docs.sparkSession, "join")
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     rows = work.table(described(docs, k, percent, hot), "described")
@@ -213,12 +230,13 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     placed = work.table(components(links.union(more)), "components")
     work.drop("rest", "prefixes", "links")
 
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    named = classes.join(placed.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
-    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(names, "component").select("cls", "component_id")
-    found = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(of_class, "cls", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    classes = rows.where("n > 0").groupBy("cls").agg(first)
+    named = classes.join(placed.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
+    of_class = named.join(named.groupBy("component").agg(F.min("first").alias("least")), "component").select("cls", "least")
+    found = rows.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(of_class, "cls", "left")
+    stays = F.col("least").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash")))
+    return found.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"), stays.alias("stays"))
 
 
 def _bits(work: Work, rows: DataFrame) -> np.ndarray:

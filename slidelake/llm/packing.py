@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from slidelake.llm.shared import stored
 from slidelake.llm.tokens import encoder, vocabulary
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -62,39 +63,75 @@ def pieces_of(length: int, capacity: int) -> list[tuple[int, int]]:
     return cuts + [(s, capacity) for s in range(first, length, capacity)]
 
 
-def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, open_bins: int = 4096, look_ahead: int = 65_536, vocab: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, open_bins: int = 4096, look_ahead: int = 65_536, regroup: int = 500_000, vocab: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per piece: its document, place in the document, checksum, sequence and offset.
 
     Bounded-space online best fit within each input partition, without a shuffle; the state of
-    a task is `open_bins` bins and the lengths of at most `look_ahead` pieces, which are placed
-    longest first. Only a document of over `capacity` tokens is cut. Every row is a document
-    of its own, also when ids or texts repeat. Null text counts as empty: one piece with the
-    end id alone. A null id stays null. Other columns are ignored; an empty table gives no rows.
+    a task is `open_bins` bins and the pieces of at most `look_ahead`, which are placed longest
+    first. Sequences that are still open when a task ends are taken apart, and their pieces
+    (without ids or texts) are brought together, about `regroup` to a task, and packed again
+    the same way; so the number of sequences hardly depends on how the input is split.
+
+    Only a document of over `capacity` tokens is cut. Every row is a document of its own, also
+    when ids or texts repeat. Null text counts as empty: one piece with the end id alone. A
+    null id stays null. Pieces of equal length are placed in the order of the rows. Texts of any
+    length are encoded whole. Other columns are ignored; an empty table gives no rows.
     """
     path = vocab or vocabulary()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_sequence = TaskContext.get().partitionId() << 33
-        end = np.array([end_id], dtype="<u4").tobytes()
-        bins, waiting = OpenBins(capacity, open_bins), []
-
-        def placed() -> pa.RecordBatch:
+    def placer(waiting: list, bins: OpenBins, first_sequence: int):
+        def placed() -> list[tuple]:
             waiting.sort(key=lambda p: -p[3])
             rows = []
             for doc_id, piece, start, length, crc in waiting:
                 sequence, offset = bins.place(length)
                 rows.append((doc_id, piece, start, length, crc, first_sequence + sequence, offset))
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+            return rows
+
+        return placed
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path).encode(batch.column(1).to_pylist())):
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([end_id], dtype="<u4").tobytes()
+        bins, waiting = OpenBins(capacity, open_bins), []
+        number = TaskContext.get().partitionId() << 33
+        placed, held = placer(waiting, bins, number), []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            # rows of sequences that are open are held until these close; what is left at the end is open
+            nonlocal held
+            held += placed()
+            still = {number + b for free in bins.bins for b in free}
+            if closed := [r for r in held if r[5] not in still]:
+                yield batch(closed)
+            held = [r for r in held if r[5] in still]
+
+        for b in batches:
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder(path).encode(b.column(1).to_pylist())):
                 ids += end
                 for i, (start, length) in enumerate(pieces_of(len(ids) // 4, capacity)):
                     waiting.append((doc_id, i, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
                 if len(waiting) >= look_ahead:
-                    yield placed()
+                    yield from told()
+        yield from told()
+        if held:
+            yield batch([(*r[:5], None, None) for r in held])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, waiting = OpenBins(capacity, open_bins), []
+        placed = placer(waiting, bins, 1 << 62 | TaskContext.get().partitionId() << 33)
+        for b in batches:
+            waiting += zip(*(c.to_pylist() for c in b.columns[:5]))
+            if len(waiting) >= look_ahead:
+                yield batch(placed())
         if waiting:
-            yield placed()
+            yield batch(placed())
 
-    return docs.selectExpr(f"cast({id_column} as long) doc_id", f"{text_column} text").mapInArrow(run, SCHEMA)
+    rows = stored(docs.selectExpr(f"cast({id_column} as long) doc_id", f"{text_column} text").mapInArrow(first, SCHEMA), "pieces")
+    left = rows.where("sequence_id is null")
+    tasks = -(-left.count() // regroup)
+    closed = rows.where("sequence_id is not null")
+    return closed.union(left.repartition(tasks).mapInArrow(again, SCHEMA)) if tasks else closed

@@ -27,7 +27,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slidelake.llm.mixing import mixed, rates
 
     docs = _table(spark, sf_dir, "documents")
-    return mixed(docs, rates(docs, temperature=0.5), seed=42).drop("rate")
+    return mixed(docs, rates(docs, temperature=0.5), seed=42, added=("copy", "shuffle_key"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,17 +85,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express."""
-    return {"op2_mixing": OP2, "op8_exact_dedup": OP8}
+    return {"op2_mixing": OP2, "op3_ngram_join": OP3, "op8_exact_dedup": OP8}
 
 
 OP2 = r"""
-WITH s AS (SELECT coalesce(source, '') AS src, CAST(sum(coalesce(n_chars, 0)) AS DOUBLE) AS size FROM documents GROUP BY 1),
-r AS (SELECT src, least(sqrt(size) / sum(sqrt(size)) OVER () / (size / sum(size) OVER ()), 8.0) AS rate FROM s WHERE size > 0),
-cdf AS (SELECT src, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY src ORDER BY k) AS p FROM r, range(0, 54) t(k)),
-d AS (SELECT *, coalesce(source, '') AS src, CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / pow(2, 52) AS u FROM documents),
-n AS (SELECT d.doc_id, any_value(u) AS u, count(*) FILTER (p <= u) AS n FROM d JOIN cdf USING (src) GROUP BY d.doc_id)
+WITH s AS (SELECT coalesce(source, '') AS src, CAST(sum(CASE WHEN n_chars > 0 THEN n_chars ELSE length(coalesce(text, '')) END) AS DOUBLE) AS size FROM documents GROUP BY 1),
+t AS (SELECT sum(size) AS all_size, sum(sqrt(size)) AS all_goal FROM s WHERE size > 0),
+r AS (SELECT src, CASE WHEN size > 0 THEN sqrt(size) / all_goal / (size / all_size) ELSE 1.0 END AS rate FROM s, t),
+q AS (SELECT src, greatest(1, CAST(ceil(rate / 8.0) AS INT)) AS parts, rate / greatest(1, CAST(ceil(rate / 8.0) AS INT)) AS part FROM r),
+cdf AS (SELECT src, k, sum(exp(k * ln(part) - part - lgamma(k + 1))) OVER (PARTITION BY src ORDER BY k) AS p FROM q, range(0, 54) t(k)),
+d AS (SELECT doc_id, coalesce(source, '') AS src FROM documents),
+u AS (SELECT doc_id, src, j, CAST('0x' || substr(md5('42' || CASE WHEN j = 0 THEN '' ELSE ' part ' || j END || '|' || doc_id), 1, 13) AS BIGINT) / pow(2, 52) AS u
+      FROM (SELECT doc_id, src, unnest(range(0, parts)) AS j FROM d JOIN q USING (src))),
+n AS (SELECT doc_id, count(*) FILTER (p <= u) AS n FROM u JOIN cdf USING (src) GROUP BY doc_id)
 SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INT) AS copy, md5('order 42|' || doc_id || '|' || copy) AS shuffle_key
-FROM (SELECT d.*, unnest(range(0, n)) AS copy FROM d JOIN n USING (doc_id))
+FROM (SELECT documents.*, unnest(range(0, n)) AS copy FROM documents JOIN n USING (doc_id))
 """
 
 
@@ -108,3 +112,16 @@ SELECT doc_id,
        sha256(t) AS text_sha256
 FROM n
 """
+
+
+OP3 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS t
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+c AS (WITH RECURSIVE r(node, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached) SELECT node, min(reached) AS least FROM r GROUP BY node)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, c.least AS component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.node = documents.doc_id
+"""

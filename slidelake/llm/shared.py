@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,35 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def own(name: str, *taken: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    names = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
+def kept_rows(docs: DataFrame, decided: DataFrame, id_column: str, key: Column) -> DataFrame:
+    """The rows of docs that stay, whole and with their own columns.
+
+    decided: a (doc_id, key, stays) row for each row of docs that has a group; rows without one
+    stay. Rows are told apart by id and key together, so that rows that repeat an id fare each
+    by its own key. Of rows that are equal in both and would stay, one stays.
+    """
+    spark = docs.sparkSession
+    row_key = own("row_key", docs)
+    decided = decided.select(F.col("doc_id").alias("d_id"), F.col("key").alias("d_key"), "stays")
+    same = (docs[id_column].cast("long").eqNullSafe(F.col("d_id"))) & (F.col(row_key) == F.col("d_key"))
+    dropped = decided.where("not stays").select("d_id", "d_key").distinct()
+    rest = docs.withColumn(row_key, key).join(dropped, same, "left_anti")
+    again = _written(decided.where("stays").groupBy("d_id", "d_key").count().where("count > 1").drop("count"), run_folder(spark, "again"))
+    if not again.isEmpty():
+        turn = own("turn", docs)
+        repeated = rest.join(again, same, "left_semi").withColumn(turn, F.row_number().over(Window.partitionBy(id_column, row_key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
+        rest = rest.join(again, same, "left_anti").unionByName(repeated.where(F.col(turn) == 1).drop(turn))
+    return rest.drop(row_key)
+
+
 def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """Marks a table for broadcast if it proves to have few rows; else Spark joins it as any other."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -30,7 +32,8 @@ class Encoder:
     A byte-level BPE never merges across the start of a word, and a single space belongs to
     the word after it. So a text is cut before its spaces, and each distinct piece is encoded
     once. Where a space stands between other white space, the library splits otherwise; such
-    texts, which are rare, are encoded uncut.
+    texts, which are rare, are encoded uncut. So are all texts where the file isn't of this kind
+    (byte-level pieces, no normalizer, no space put before a text).
     """
 
     def __init__(self, path: str):
@@ -38,6 +41,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            of = json.load(f)
+        pre = of.get("pre_tokenizer") or {}
+        self.cut = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not of.get("normalizer")
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         vocabulary = self.tokenizer.get_vocab()
         self.opening = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -61,20 +68,21 @@ class Encoder:
         for w in odd:  # texts with these are encoded uncut
             self.known[w] = b""
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, in order; none for null."""
-        out: list[bytes] = []
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order; none for null. Some texts at a time are held encoded."""
         chunk: list[str] = []
         size = 0
         for text in texts:
             chunk.append(text or "")
             size += len(chunk[-1])
             if size >= CHUNK:
-                out += self._chunk(chunk)
+                yield from self._chunk(chunk)
                 chunk, size = [], 0
-        return out + self._chunk(chunk)
+        yield from self._chunk(chunk)
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
+        if not self.cut:
+            return self._batch(texts)
         heads, words = [], []
         for text in texts:
             head, *rest = text.split(" ")
@@ -91,6 +99,7 @@ class Encoder:
         out = [head + b"".join(map(known.__getitem__, rest)) for head, rest in zip(self._batch(heads), words)]
         if len(known) > PIECES:  # a dict keeps its order: the older half goes
             self.known = dict(islice(known.items(), len(known) // 2, None))
+            self.spaced.intersection_update(self.known)
         return out
 
 

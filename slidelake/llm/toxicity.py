@@ -197,13 +197,15 @@ def _features(text: F.Column, lexicon: Lexicon) -> F.Column:
     return run(text)
 
 
-def scored(docs: DataFrame, lexicon: Lexicon, text_column: str = "text") -> DataFrame:
-    """The rows with struct column toxicity: feature, hits, score; whole texts are read.
+def scored(docs: DataFrame, lexicon: Lexicon, text_column: str = "text", into: str = "toxicity") -> DataFrame:
+    """The rows with struct column `into`: feature, hits, score; whole texts are read.
 
-    Null and empty texts have no hits and get the score of a text without hits. Rows that
-    repeat, null ids and other columns are kept as they are.
+    A column of that name is replaced, all others are kept as they are. Null and empty texts
+    have no hits and get the score of a text without hits, as no rows give no rows. Rows that
+    repeat and null ids are scored each. Where entries begin at one place the heaviest counts.
+    A text is one row of a batch, however long.
     """
-    return docs.withColumn("toxicity", _features(F.col(text_column), lexicon))
+    return docs.withColumn(into, _features(F.col(text_column), lexicon))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
