@@ -6,34 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidelake.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from slidelake.llm.shared import stored
+from slidelake.llm.shared import own, stored
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the lexicon learned from the labels calls toxic."""
+    """Drops the documents that the lexicon learned from the labels calls toxic.
+
+    Every row is judged by its own text, also where ids repeat or are null; null and empty
+    texts stay. All columns stay as they are, whatever their names; no rows give no rows.
+    """
     lexicon = toxicity.learn(docs, toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return toxicity.scored(docs, lexicon).where("toxicity.score < 0.5").select(docs.columns)
+    found = own("toxicity", docs)
+    return toxicity.scored(docs, lexicon, into=found).where(F.col(found)["score"] < 0.5).drop(found)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest id stays."""
+    """Of equal texts the row with the smallest id stays; see exact_dedup.deduplicated."""
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by Jaccard similarities of 0.8 on 5-word shingles one stays."""
-    groups = ngram_join.near_components(docs, k=5, percent=80)
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """Of documents connected by Jaccard similarities of 0.8 on 5-word shingles one stays; see ngram_join.without_near_copies."""
+    return ngram_join.without_near_copies(docs, k=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that large sources count less, and shuffles all."""
-    return mixing.mixed(docs, mixing.rates(docs, temperature=0.5), seed=42).select(docs.columns)
+    """Repeats documents so that large sources count less, and shuffles all; see mixing.mixed."""
+    return mixing.mixed(docs, mixing.rates(docs, temperature=0.5), seed=42, added=())
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 2048 tokens."""
+    """Packs the documents into sequences of 2048 tokens; see packing.pack."""
     return packing.pack(docs, capacity=2048, end_id=0)
 
 
