@@ -10,16 +10,31 @@ from pyspark.sql import functions as F
 
 from slidelake.llm.shared import small, stored
 
-# The lists that reference words are looked up in, and the classes of characters,
-# besides white space, symbols and all others.
-SLOTS = 1024
-CLASSES = {"upper": r"\p{Lu}+", "digit": r"[0-9]+", "stop": r"[.,;:!?'\"-]+"}
+# The classes of characters, besides white space, symbols and all others.
+CLASSES = {"upper": r"\p{Lu}+", "digit": r"[0-9]+", "stop": r"[.,;:!?'\"\-]+"}
+SYMBOLS, SPACE = r"[#*$%&|<>]+", r"[\x20\x09-\x0D]+"
+#: Characters, the most of many texts, that no class above has.
+OTHERS = r"[a-zß-öø-ÿ]+"
+#: What is taken off both ends of a word before it is compared with the common words.
+AROUND = ".,;:!?\"'()"
+#: Cells of the filter that words pass before they are looked up.
+CELLS = 4096
 
 
 def _measured(docs: DataFrame, text_column: str) -> DataFrame:
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return docs.withColumn("_text", text).withColumn("_words", words)
+    """Adds _text, its _words, their hashes _hashes, and _marks: the text without OTHERS, which is short."""
+    found = docs.withColumn("_text", F.coalesce(F.col(text_column), F.lit(""))).withColumn("_parts", F.split("_text", SPACE))
+    empty = lambda i: F.when(F.get("_parts", i) == "", 1).otherwise(0)
+    # only before a first and after a last white space is a part empty
+    first, last = empty(F.lit(0)), empty(F.size("_parts") - 1)
+    found = found.withColumn("_words", F.slice("_parts", first + 1, F.greatest(F.lit(0), F.size("_parts") - first - last))).drop("_parts")
+    found = found.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    return found.withColumn("_marks", F.regexp_replace("_text", OTHERS, ""))
+
+
+def _count(pattern: str) -> F.Column:
+    """How many characters of a class the text has; the pattern is of runs of marks."""
+    return (F.length("_marks") - F.length(F.regexp_replace("_marks", pattern, ""))).cast("long")
 
 
 def base_rules(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -28,94 +43,94 @@ def base_rules(docs: DataFrame, text_column: str = "text") -> DataFrame:
     n_repeat_words counts the words that are in a 3-word window found twice or more; windows
     are compared by a 64-bit hash. Null counts as a text without words.
     """
-    stripped = lambda pattern: F.length("_text") - F.length(F.regexp_replace("_text", pattern, ""))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n = F.size("_words")
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.element_at("_words", i), F.element_at("_words", i + 1), F.element_at("_words", i + 2)))).otherwise(F.array().cast("array<long>"))
+    n = F.size("_hashes")
+    from_word = lambda i: F.slice("_hashes", F.lit(i), n - 2)
+    pairs = F.zip_with(from_word(1), from_word(2), lambda a, b: F.xxhash64(a, b))
+    windows = F.when(n >= 3, F.zip_with(pairs, from_word(3), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<long>"))
     found = (
         _measured(docs, text_column)
         .withColumn("n_words", n.cast("long"))
-        .withColumn("word_chars", F.length(F.regexp_replace("_text", r"[\x20\x09-\x0D]+", "")).cast("long"))
-        .withColumn("n_symbols", stripped(r"[#*$%&|<>]+").cast("long"))
+        .withColumn("word_chars", F.length("_text") - _count(SPACE))
+        .withColumn("n_symbols", _count(SYMBOLS))
         .withColumn("_lines", lines)
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("_windows", windows)
     )
     again = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    pairs = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     found = found.withColumn("_sorted", F.when(again, pairs))
-    before = lambda i: F.try_element_at("_sorted", i)["h"]  # noqa: E731  i counts from 0, so this is the one before
-    twice = F.filter("_sorted", lambda x, i: ((i > 0) & (before(F.greatest(i, F.lit(1))) == x["h"])) | F.coalesce(F.try_element_at("_sorted", i + 2)["h"] == x["h"], F.lit(False)))
-    found = found.withColumn("_at", F.array_sort(F.transform(twice, lambda x: x["i"])))
-    covered = F.aggregate(F.transform("_at", lambda p, i: F.least(F.lit(3), F.coalesce(F.try_element_at("_at", i + 2) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+    equal = lambda x, i: F.coalesce(F.get("_sorted", i)["h"] == x["h"], F.lit(False))
+    twice = F.filter("_sorted", lambda x, i: equal(x, i - 1) | equal(x, i + 1))
+    found = found.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["i"])))
+    covered = F.aggregate(F.transform("_at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_at", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     found = found.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     return found.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("_lines", "_windows", "_sorted", "_at")
 
 
 def _classes() -> F.Column:
     """Counts of the classes of characters: those of CLASSES, white space, symbols, others."""
-    length = F.length("_text").cast("long")
-    counts = [(length - F.length(F.regexp_replace("_text", p, ""))) for p in CLASSES.values()]
-    counts += [length - F.col("word_chars"), F.col("n_symbols")]
-    rest = length
+    counts = [_count(p) for p in CLASSES.values()]
+    counts += [F.length("_text").cast("long") - F.col("word_chars"), F.col("n_symbols")]
+    rest = F.length("_text").cast("long")
     for c in counts:
         rest = rest - c
     return F.array(*counts, rest)
 
 
-def _letters() -> F.Column:
-    """The words that are counted against the language: runs of letters, in lower case."""
-    return F.filter(F.split(F.lower("_text"), r"[^\p{L}\p{M}]+"), lambda w: w != "")
-
-
-def common_words(measured: DataFrame, words: int = 200, tracked: int = 10_000) -> DataFrame:
-    """(ref_lang, ref_words): candidates for the common words of each language, in order.
+def common_words(rows: DataFrame, words: int, least_words: int) -> DataFrame:
+    """(ref_lang, ref_hashes, ref_cells): the common words of each language, and a filter for them.
 
-    A frequent-items sketch of fixed size per language finds them over all documents. They
-    are more than are needed: references() counts all exactly and takes the most frequent.
+    Of the words of letters alone, in lower case and without marks around them, those that the
+    most documents of the language have twice or more, and of equal ones the first. Only documents of at least `least_words` words count,
+    each once a word. Counts are exact, made in part before the shuffle.
     """
-    pairs = measured.select("ref_lang", F.explode(_letters()).alias("w"))
-    top = pairs.groupBy("ref_lang").agg(F.expr(f"approx_top_k(w, {words}, {tracked})").alias("top"))
-    return top.select("ref_lang", F.array_sort(F.transform("top", lambda x: x["item"])).alias("ref_words"))
+    found = _measured(rows, "text").where(F.size("_words") >= least_words).select("ref_lang", F.sort_array(F.transform("_words", _bare)).alias("s"))
+    twice = F.array_distinct(F.filter("s", lambda w, i: w == F.get("s", i - 1)))
+    each = found.select("ref_lang", F.explode(twice).alias("w")).groupBy("ref_lang", "w").agg(F.count("*").alias("n"))
+    turn = Window.partitionBy("ref_lang").orderBy(F.desc("n"), "w")
+    top = each.where(F.col("w").rlike(r"^[\p{L}\p{M}]+$")).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= words)
+    # at most `words` rows of a language
+    lists = top.groupBy("ref_lang").agg(F.array_sort(F.collect_list(F.struct("turn", "w"))).alias("top"))
+    hashes = lists.select("ref_lang", F.transform("top", lambda x: F.xxhash64(x["w"])).alias("ref_hashes"))
+    cells = F.transform("ref_hashes", _cell)
+    return hashes.withColumn("ref_cells", F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.array_contains(cells, i)))
 
 
-def _slots(found: DataFrame) -> DataFrame:
-    """(ref_lang, ref_slots): the words and their places, dealt to SLOTS lists by hash."""
-    placed = F.transform("ref_words", lambda w, i: F.struct(_slot(w).alias("slot"), w.alias("w"), i.alias("i")))
-    lists = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.transform(F.filter("placed", lambda x: x["slot"] == k), lambda x: F.struct(x["w"].alias("w"), x["i"].alias("i"))))
-    return found.withColumn("placed", placed).select("ref_lang", lists.alias("ref_slots"))
+def _bare(word: F.Column) -> F.Column:
+    """A word as it is compared with the common words."""
+    return F.lower(F.btrim(word, F.lit(AROUND)))
 
 
-def _slot(word: F.Column) -> F.Column:
-    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+def _cell(hashed: F.Column) -> F.Column:
+    return F.pmod(hashed, F.lit(CELLS)).cast("int")
 
 
 def _hits() -> F.Column:
-    """(i, n) for each candidate word of the text: its place and how often it occurs."""
-    place = lambda w: F.aggregate(F.get(F.col("ref_slots"), _slot(w)), F.lit(-1), lambda acc, x: F.when(x["w"] == w, x["i"]).otherwise(acc))
-    places = F.sort_array(F.filter(F.transform("_letters", place), lambda i: i >= 0))
+    """(i, n) for each common word of the text: its place from 1 and how often it occurs."""
+    likely = F.filter(F.transform("_words", lambda w: F.xxhash64(_bare(w))), lambda h: F.get("ref_cells", _cell(h)))
+    places = F.sort_array(F.filter(F.transform(likely, lambda h: F.array_position("ref_hashes", h).cast("int")), lambda i: i > 0))
     # where each place's run starts in the sorted places
     starts = lambda s: F.filter(F.transform(s, lambda x, k: F.when((k == 0) | (F.get(s, k - 1) != x), k)), lambda k: k.isNotNull())
     runs = lambda s: F.transform(F.array(starts(s)), lambda b: F.transform(b, lambda k, j: F.struct(F.get(s, k).alias("i"), (F.coalesce(F.get(b, j + 1), F.size(s)) - k).alias("n"))))[0]
     return F.transform(F.array(places), runs)[0]
 
 
-def references(features: DataFrame, words: int) -> DataFrame:
+def references(features: DataFrame) -> DataFrame:
     """(ref_lang, ref_shares, ref_classes): shares of the common words in all words, sums of the classes.
 
-    Of the candidates the `words` with the largest exact counts, and of equal counts the first
-    words, are the common words; the others' shares are null.
+    Over the documents that pass the base rules; a language without any has those of all.
     """
-    add = F.array(*[F.sum(F.coalesce(F.get("classes", F.lit(i)), F.lit(0))) for i in range(len(CLASSES) + 3)])
-    totals = features.groupBy("ref_lang").agg(F.sum("n_letters").alias("all_words"), add.alias("ref_classes"))
-    each = features.select("ref_lang", F.explode("hits").alias("x")).groupBy("ref_lang", "x.i").agg(F.sum("x.n").alias("n"))
-    # at most as many rows of a language as it has candidates
-    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("ref_lang").orderBy(F.desc("n"), "i"))).where(F.col("rank") <= words)
-    shares = each.join(totals, "ref_lang").groupBy("ref_lang").agg(F.map_from_entries(F.collect_list(F.struct("i", (F.col("n") / F.col("all_words")).alias("share")))).alias("by_place"))
-    size = F.coalesce(F.array_max(F.map_keys("by_place")), F.lit(-1))
-    shares = shares.select("ref_lang", F.transform(F.sequence(F.lit(0), size), lambda i: F.try_element_at("by_place", i)).alias("ref_shares"))
-    none = F.array().cast("array<double>")
-    return totals.join(shares, "ref_lang", "left").select("ref_lang", "ref_classes", F.coalesce("ref_shares", none).alias("ref_shares"))
+    width = len(CLASSES) + 3
+    totals = features.groupBy("ref_lang", "base_failed").agg(F.sum("n_words").alias("all_words"), F.array(*[F.sum(F.coalesce(F.get("classes", F.lit(i)), F.lit(0))) for i in range(width)]).alias("ref_classes"))
+    each = features.select("ref_lang", "base_failed", F.explode("hits").alias("x")).groupBy("ref_lang", "base_failed", "x.i").agg(F.sum("x.n").alias("n"))
+    # at most as many rows as the language has common words
+    counts = each.groupBy("ref_lang", "base_failed").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("counts"))
+    both = totals.join(counts, ["ref_lang", "base_failed"], "left")
+    chosen = both.groupBy("ref_lang").agg(F.min_by(F.struct("all_words", "ref_classes", "counts"), "base_failed").alias("of"))
+    size = F.coalesce(F.array_max(F.map_keys("of.counts")), F.lit(0))
+    shares = F.transform(F.sequence(F.lit(0), size), lambda i: F.coalesce(F.try_element_at("of.counts", i), F.lit(0)) / F.col("of.all_words"))
+    return chosen.select("ref_lang", F.col("of.ref_classes").alias("ref_classes"), F.when(F.col("of.all_words") > 0, shares).otherwise(F.array().cast("array<double>")).alias("ref_shares"))
 
 
 def sparse_distance(hits: F.Column, n: F.Column) -> F.Column:
@@ -162,29 +177,31 @@ def js_distance(p: str, q: str) -> F.Column:
 
 
 def quality(docs: DataFrame, class_limit: float = 0.35, word_limit: float = 0.45, words: int = 64, least_words: int = 50, least_chars: int = 200, id_column: str = "doc_id", text_column: str = "text", lang: str = "lang") -> DataFrame:
-    """Per row: doc_id, the base counts, base_failed, class_js, word_js and kept.
+    """Per row: doc_id, the base counts, base_failed, kept, class_js and word_js.
 
     A document is kept if it passes the base rules, and neither histogram is farther from its
-    language's reference than its limit. Words are runs of letters; white-space words beyond
-    their number count as words that are not common. A limit comes from the distances of all
-    documents of the language that have about the same size and pass the base rules (see
-    limits), and is at most `class_limit` or `word_limit`. For words it also lies at least 15 %
-    of the way from a text without any common word to the median, so that such a text is
-    beyond it. Where most documents are bad, limits are those of the bad ones. A histogram counts only from `least_chars` characters or `least_words` words.
-    Null and empty texts fail the base rules. Null lang is a language of its own. Rows that
-    repeat are judged each; other columns are ignored.
+    language's reference than its limit. The references are those of the documents that pass
+    the base rules. A limit comes from the distances of all such documents of the language that
+    have about the same size (see limits), and is at most `class_limit` or `word_limit`. For
+    words it also lies at least 15 % of the way from a text without any common word to the
+    median, so that such a text is beyond it. A histogram counts only from `least_chars`
+    characters or `least_words` words.
+
+    Null and empty texts fail the base rules. Null lang is a language of its own, the same as an
+    empty one. Rows that repeat are judged each. Texts are read whole, however long; ties among
+    common words go to the first word. Other columns are ignored, whatever their names; an
+    empty table gives no rows.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("ref_lang"))
-    common = small(stored(_slots(common_words(_measured(rows, "text"), max(200, 2 * words))), "words"))
-    found = base_rules(rows).withColumn("_letters", _letters()).join(common, "ref_lang", "left")
+    common = small(stored(common_words(rows, words, least_words), "words"))
+    found = base_rules(rows).join(common, "ref_lang", "left")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    n_letters = F.greatest("n_words", F.size("_letters").cast("long")).alias("n_letters")
     hits = F.coalesce(_hits(), F.array().cast("array<struct<i:int,n:int>>")).alias("hits")
-    features = found.select("doc_id", "ref_lang", *counts, F.length("_text").alias("n_chars"), _classes().alias("classes"), n_letters, hits)
+    features = found.select("doc_id", "ref_lang", *counts, F.length("_text").alias("n_chars"), _classes().alias("classes"), hits)
     features = stored(features, "features")
-    found = features.join(small(references(features, words)), "ref_lang")
+    found = features.join(small(stored(references(features), "references")), "ref_lang")
     found = found.withColumn("class_js", F.when(F.col("n_chars") >= least_chars, js_distance("classes", "ref_classes")))
-    found = found.withColumn("word_js", F.when(F.col("n_words") >= least_words, sparse_distance(F.col("hits"), F.col("n_letters"))))
+    found = found.withColumn("word_js", F.when(F.col("n_words") >= least_words, sparse_distance(F.col("hits"), F.col("n_words"))))
     without = sparse_distance(F.array().cast("array<struct<i:int,n:int>>"), F.lit(1)).alias("without")
     found = stored(found.select("doc_id", "ref_lang", *counts, "n_chars", "class_js", "word_js", without), "distances")
     by_class = limits(found, "class_js", "n_chars", 8.0, 0.02).select("ref_lang", F.col("band").alias("chars"), F.col("limit").alias("of_class"))
@@ -193,4 +210,4 @@ def quality(docs: DataFrame, class_limit: float = 0.35, word_limit: float = 0.45
     found = found.join(small(by_class), ["ref_lang", "chars"], "left").join(small(by_word), ["ref_lang", "words"], "left")
     of_word = F.when(F.col("middle") < F.col("without"), F.least("of_word", 0.15 * F.col("middle") + 0.85 * F.col("without"))).otherwise(F.col("of_word"))
     near = F.coalesce(F.col("class_js") <= F.least("of_class", F.lit(class_limit)), F.lit(True)) & F.coalesce(F.col("word_js") <= F.least(of_word, F.lit(word_limit)), F.lit(True))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "class_js", "word_js")
+    return found.select("doc_id", *counts, (~F.col("base_failed") & near).alias("kept"), "class_js", "word_js")

@@ -185,14 +185,35 @@ def test_quality_rejects_texts_without_the_languages_words(spark):
     assert found.join(good, "doc_id", "left_semi").where("not kept").count() == 0
 
 
-def test_common_words_are_chosen_by_exact_counts(spark):
-    rows = [("x", "x", 10, [{"i": 0, "n": 1}, {"i": 1, "n": 2}, {"i": 2, "n": 2}]), ("y", "x", 10, [{"i": 0, "n": 3}, {"i": 3, "n": 2}]), ("z", "y", 10, [])]
-    features = spark.createDataFrame(rows, "doc_id string, ref_lang string, n_letters long, hits array<struct<i:int,n:int>>").withColumn("classes", F.array(F.lit(1)))
-    found = {r.ref_lang: r.ref_shares for r in quality.references(features, 2).collect()}
-    assert found == {"x": [0.2, 0.1], "y": []}
-    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300) if i < 300 - k // 2), "en") for i in range(300)], "doc_id int, text string, ref_lang string")
-    (kept,) = quality.common_words(quality._measured(docs, "text")).collect()
-    assert len(kept.ref_words) == 200 and kept.ref_words == sorted(kept.ref_words)
+def test_common_words_and_references_equal_brute_force(spark):
+    rng = random.Random(13)
+    vocabulary = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(90)] + ["the", "x1", "|", "The,"]
+    bare = lambda text: [w.strip(".,;:!?\"'()").lower() for w in text.split()]
+    rows = [(i, " ".join(rng.choice(vocabulary[: 20 + i % 74]) for _ in range(rng.randint(30, 200))), ["en", "es", None][i % 3], 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, hits int")
+    twice, all_words, hits = {}, Counter(), {}
+    for _, text, lang, _ in rows:
+        words = bare(text)
+        if len(words) >= 50:
+            twice.setdefault(lang or "", Counter()).update(w for w, n in Counter(words).items() if n > 1 and w.isalpha())
+    common = {lang: sorted(n, key=lambda w: (-n[w], w))[:10] for lang, n in twice.items()}
+    found = quality.quality(docs, words=10).collect()
+    for _, text, lang, _ in rows:
+        if not counts(text)[-1]:
+            all_words[lang or ""] += len(text.split())
+            hits.setdefault(lang or "", Counter()).update(w for w in bare(text) if w in common[lang or ""])
+    share = lambda lang: [hits[lang][w] / all_words[lang] for w in common[lang]]
+
+    def js(p, q):
+        return math.sqrt(max(0, sum(x * math.log2(2 * x / (x + y)) + y * math.log2(2 * y / (x + y)) if x and y else x + y for x, y in zip(p, q)) / 2))
+
+    for r in found:
+        text, lang = bare(rows[r.doc_id][1]), rows[r.doc_id][2] or ""
+        if len(text) < 50:
+            assert r.word_js is None
+            continue
+        p, q = [text.count(w) / len(text) for w in common[lang]], share(lang)
+        assert r.word_js == pytest.approx(js([*p, 1 - sum(p)], [*q, 1 - sum(q)]), abs=1e-6)
 
 
 def test_sparse_distance_equals_js_distance(spark):
