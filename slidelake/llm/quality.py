@@ -81,12 +81,16 @@ def _classes() -> F.Column:
 def common_words(rows: DataFrame, words: int, least_words: int) -> DataFrame:
     """(ref_lang, ref_hashes, ref_cells): the common words of each language, and a filter for them.
 
-    Of the words of letters alone, in lower case and without marks around them, those that the
-    most documents of the language have twice or more, and of equal ones the first. Only documents of at least `least_words` words count,
-    each once a word. Counts are exact, made in part before the shuffle.
+    Of the words of letters alone, without the marks around them, those that the most documents
+    of the language have twice or more in one form, and of equal ones the first. Only documents
+    of at least `least_words` words count, each once a word. Counts are exact, made in part
+    before the shuffle.
     """
-    found = _measured(rows, "text").where(F.size("_words") >= least_words).select("ref_lang", F.sort_array(F.transform("_words", _bare)).alias("s"))
-    twice = F.array_distinct(F.filter("s", lambda w, i: w == F.get("s", i - 1)))
+    parts = rows.select("ref_lang", F.split(F.coalesce("text", F.lit("")), SPACE).alias("parts"))
+    # nothing stands before a first and after a last white space
+    n = F.size("parts") - F.when(F.get("parts", F.lit(0)) == "", 1).otherwise(0) - F.when(F.get("parts", F.size("parts") - 1) == "", 1).otherwise(0)
+    found = parts.select("ref_lang", F.sort_array(F.when(n >= least_words, F.col("parts"))).alias("s"))
+    twice = F.array_distinct(F.transform(F.array_distinct(F.filter("s", lambda w, i: w == F.get("s", i - 1))), _bare))
     each = found.select("ref_lang", F.explode(twice).alias("w")).groupBy("ref_lang", "w").agg(F.count("*").alias("n"))
     turn = Window.partitionBy("ref_lang").orderBy(F.desc("n"), "w")
     top = each.where(F.col("w").rlike(r"^[\p{L}\p{M}]+$")).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= words)
@@ -99,7 +103,7 @@ def common_words(rows: DataFrame, words: int, least_words: int) -> DataFrame:
 
 def _bare(word: F.Column) -> F.Column:
     """A word as it is compared with the common words."""
-    return F.lower(F.btrim(word, F.lit(AROUND)))
+    return F.btrim(word, F.lit(AROUND))
 
 
 def _cell(hashed: F.Column) -> F.Column:
