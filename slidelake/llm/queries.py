@@ -85,7 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express."""
-    return {"op2_mixing": OP2, "op3_ngram_join": OP3, "op8_exact_dedup": OP8}
+    return {"op2_mixing": OP2, "op3_ngram_join": OP3, "op4_warc": OP4, "op8_exact_dedup": OP8}
 
 
 OP2 = r"""
@@ -125,3 +125,17 @@ c AS (WITH RECURSIVE r(node, reached) AS (SELECT doc_id, doc_id FROM documents U
 SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, c.least AS component_id
 FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.node = documents.doc_id
 """
+
+
+OP4 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CASE WHEN split_part(coalesce(url, ''), '://', 2) <> '' THEN substr(url, strpos(url, '://') + 3) ELSE coalesce(url, '') END AS bare FROM pages),
+d AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, sha1(h) AS hex, split_part(bare, '/', 1) AS host FROM p),
+k AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, first,
+             array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(hex, CAST(5 * i // 4 + 1 AS INT), 2) AS BIGINT) >> (3 - 5 * i % 4)) & 31) AS INT), 1)), '') AS payload_digest,
+             array_to_string(list_reverse(string_split(lower(split_part(host, ':', 1)), '.')), ',') || ')' || substr(bare, length(host) + 1) AS url_key,
+             strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+      FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+       url_key, captured_at, row_number() OVER (ORDER BY url_key, captured_at, page_id) - 1 AS index_place
+FROM k
+"""

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidelake.llm.shared import one_per_task, open_folder, run_folder
+from slidelake.llm.shared import one_per_task, open_folder, run_folder, small, stored
 
 #: Bytes of an archive after which a task begins the next one; also bounds a run of the index.
 ARCHIVE = 64 << 20
-#: Time of the first capture; page n is captured n seconds later.
-EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
+#: Time of the first capture; page n is captured n seconds later, modulo SPAN.
+EPOCH, SPAN = datetime(2020, 1, 1, tzinfo=UTC), 1_000_000_000
 ENTRY = "url_key string, captured_at string, page_id long, archive string, offset long, run string, at long"
 MERGED = "url_key string, captured_at string, archive string, offset long, part int, place long"
 RECORD = "archive string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -58,8 +58,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def captured(page_id: int | None) -> str:
-    """The capture time of a page."""
-    return (EPOCH + timedelta(seconds=page_id or 0)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    """The capture time of a page: any 64-bit id gives one; without an id it is EPOCH."""
+    return (EPOCH + timedelta(seconds=(page_id or 0) % SPAN)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def read_head(stream) -> dict[str, str]:
@@ -139,15 +139,16 @@ class LoserTree:
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Writes a record per (page_id, url, html) row; gives the index entries, in sorted runs.
 
-    Payloads of at least `least` bytes that are equal share one response, that of the smallest
-    page_id; the others become revisits of it. Each task writes archives of about ARCHIVE bytes
+    Payloads of at least `least` bytes that are equal (by SHA-256; the digest in a record is its
+    SHA-1) share one response, that of the smallest page_id; the others become revisits of it. Each task writes archives of about ARCHIVE bytes
     under names of its own, and per archive a run of entries sorted by URL key and time. The
     entries are a table that Spark writes, so archives of failed attempts are never read.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("sha", F.sha1("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("sha", F.sha2("payload", 256))
     firsts = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    linked = rows.join(firsts, "sha", "left").select("page_id", "url", "payload", F.expr("if(page_id <=> first, null, first)").alias("refers_to"))
+    # without a shuffle of payloads if few are repeated
+    linked = rows.join(small(stored(firsts, "firsts")), "sha", "left").select("page_id", "url", "payload", F.expr("if(page_id <=> first, null, first)").alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = open_folder(f"{folder}/archives")
@@ -155,7 +156,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
         def closed() -> pa.RecordBatch:
             out.close()
-            entries.sort(key=lambda e: (e[0], e[1], -1 if e[2] is None else e[2], e[3]))
+            entries.sort(key=lambda e: (e[0], e[1], e[2] is not None, e[2] or 0, e[3]))
             key, time, page, offset = zip(*entries)
             names = {"url_key": key, "captured_at": time, "page_id": pa.array(page, pa.int64()), "archive": [name] * len(key), "offset": offset, "run": [name] * len(key), "at": range(len(key))}
             return pa.RecordBatch.from_pydict(names)
@@ -179,13 +180,16 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     return pages.sparkSession.read.schema(ENTRY).parquet(f"{folder}/runs")
 
 
-def merge_runs(entries: DataFrame) -> DataFrame:
+def merge_runs(entries: DataFrame, per_range: int = 200_000) -> DataFrame:
     """The captures in global order of URL key and time: by part, then by place within it.
 
-    The key space is cut into ranges, so that a URL with very many captures is cut by time too;
+    The key space is cut into ranges of about `per_range` entries, so that a task's memory
+    doesn't grow with the input, and a URL with very many captures is cut by time and page too;
     each task merges the runs' shares of its range with a loser tree.
     """
     order = ["url_key", "captured_at", "page_id"]
+    least = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, -(-entries.count() // per_range))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -193,13 +197,13 @@ def merge_runs(entries: DataFrame) -> DataFrame:
         runs: dict[str, list[tuple]] = {}
         for batch in batches:
             for key, time, page, archive, offset, run, at in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault(run, []).append((at, (key, time, -1 if page is None else page, archive, offset)))
+                runs.setdefault(run, []).append((at, (key, time, page is not None, page or 0, archive, offset)))
         for run in runs.values():  # a shuffle may hand blocks of a run over in any order
             if any(a[0] > b[0] for a, b in zip(run, run[1:])):
                 run.sort()
         rows, place = [], 0
         part = TaskContext.get().partitionId()
-        for key, time, _, archive, offset in LoserTree([(e for _, e in run) for run in runs.values()]):
+        for key, time, _, _, archive, offset in LoserTree([(e for _, e in run) for run in runs.values()]):
             rows.append((key, time, archive, offset, part, place))
             place += 1
             if len(rows) == 10_000:
@@ -208,7 +212,7 @@ def merge_runs(entries: DataFrame) -> DataFrame:
         if rows:
             yield _batch(rows)
 
-    return entries.repartitionByRange(*order).mapInArrow(merge, MERGED)
+    return entries.repartitionByRange(ranges, *order).mapInArrow(merge, MERGED)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -245,8 +249,10 @@ def capture_histories(pages: DataFrame, least: int = 0) -> DataFrame:
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured_at
     and index_place, the capture's place in the merged index, from 0 without gaps. Null html is
-    an empty payload; a null page_id or URL stays null or empty. Rows that repeat the page_id
-    of a response with the same payload are responses too. No rows give no rows.
+    an empty payload; a null page_id or URL stays null or empty, and comes first. Any 64-bit
+    page_id has a capture time (see captured), which may repeat; ties are in order of page_id.
+    Rows that repeat the page_id of a response with the same payload are responses too. A
+    payload of any length is one record. Other columns are ignored. No rows give no rows.
     """
     folder = run_folder(pages.sparkSession, "warc")
     entries = write_archives(pages.select("page_id", "url", "html"), folder, least)

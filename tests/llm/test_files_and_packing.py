@@ -93,6 +93,7 @@ def test_pieces():
 def pages(spark):
     rng = random.Random(3)
     rows = [(i, f"http://h{i % 7}.example/{i % 5}", rng.choice(["<p>a</p>", "<p>ü</p>\r\n\r\n", "", None, f"page {i}"]), "x") for i in range(200)]
+    rows += [(10**12, "http://late.example/", "far", "x"), (-7, "http://early.example/", "far", "x"), (-(2**62), "http://early.example/", None, "x")]
     return [*rows, (500, None, "WARC/1.1\r\n\r\n", "x"), (501, "http://x/\nInjected: 1", "y" * 100_000, "x")]
 
 
