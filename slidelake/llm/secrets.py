@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,34 +21,105 @@ from slidelake.llm.shared import stored
 RUN, LONG = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}"), 24
 FINDING = "doc_id long, path string, start long, candidate string, left string, right string"
 FEATURES = ["length", "digits", "switches", "transitions", "coverage", "path_odds", "left_odds", "right_odds"]
-# Formats and words by which the bootstrap labels call a finding a secret.
-ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abps]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})$"
-ASSIGNED = r"(?i)(password|passwd|secret|token|api_?key)['\"]?\s*[:=]\s*['\"]?$"
+# Formats of keys that issuers publish; names that secrets are assigned to.
+ISSUED = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abps]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}")
+NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "credential")
+ASSIGNED = re.compile(rf"(?:{'|'.join(NAMES)})\w*['\"]?[ \t]*[:=][ \t]*['\"]?([^\s'\"]{{6,}})", re.IGNORECASE)
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans of a text that may be secrets, in order.
+
+    Values of 6 characters or more, of any kind, that are assigned to one of NAMES; keys of an
+    issued format anywhere, also within a longer run; and other runs of 12 or more letters,
+    digits and + / _ -, if they have a digit or 24 characters.
+    """
+    assigned = [m.span(1) for m in ASSIGNED.finditer(text)] if "=" in text or ":" in text else []
+    found, i = set(assigned), 0
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        while i < len(assigned) and assigned[i][1] <= a:
+            i += 1
+        if i < len(assigned) and assigned[i][0] <= a and b <= assigned[i][1]:
+            continue
+        if b - a >= LONG or any(c.isdigit() for c in m[0]):
+            found.add((a, b))
+    found.update(m.span() for m in ISSUED.finditer(text))
+    return sorted(found)
 
 
 def findings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path_column: str = "source") -> DataFrame:
-    """A row per candidate of every whole text: where it is, itself, and the text around it.
+    """A row per candidate of every whole text: where it is, itself, and 60 characters on both sides.
 
-    Null and empty texts have none; rows that repeat are scanned each; other columns are ignored.
+    Null and empty texts and empty tables have none; rows that repeat are scanned each; a
+    candidate of any length is one row; other columns are ignored, whatever their names.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, text, path in zip(batch["doc_id"], batch["text"], batch["path"]):
-                for m in RUN.finditer(text or ""):
-                    run = m[0]
-                    if len(run) >= LONG or any(c.isdigit() for c in run):
-                        a, b = m.span()
-                        rows.append((None if pd.isna(doc_id) else int(doc_id), path, a, run, text[max(0, a - 60) : a], text[b : b + 60]))
+                for a, b in candidates(text or ""):
+                    rows.append((None if pd.isna(doc_id) else int(doc_id), path, a, text[a:b], text[max(0, a - 60) : a], text[b : b + 60]))
             yield pd.DataFrame(rows, columns=["doc_id", "path", "start", "candidate", "left", "right"]).astype({"doc_id": "Int64"})
 
     return docs.selectExpr(f"cast({id_column} as long) doc_id", f"{text_column} text", f"cast({path_column} as string) path").mapInPandas(scan, FINDING)
 
 
-def bootstrap_labels(found: DataFrame) -> DataFrame:
-    """Adds label 0/1 by issuers' formats and assignments, where nobody labelled findings by hand."""
-    return found.withColumn("label", (F.col("candidate").rlike(ISSUED) | F.col("left").rlike(ASSIGNED)).cast("int"))
+def _planted(rng: random.Random) -> tuple[str, str, int]:
+    """A made-up snippet, the candidate in it, and whether that is a secret.
+
+    Secrets and look-alikes share lengths, alphabets and neighbours: no single feature parts them.
+    """
+    token = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    alnum = string.ascii_letters + string.digits
+    hexa, name, quote = "0123456789abcdef", rng.choice(NAMES), rng.choice(['"', "'", ""])
+    word = lambda: rng.choice(["green", "river", "final", "report", "customer", "window", "letter", "summer", "number", "garden"])
+    if rng.random() < 0.5:
+        value = rng.choice([token(hexa, rng.choice([16, 20, 32, 40])), token(alnum, rng.randint(14, 48)), token(alnum + "+/", 40), token(alnum + "!@#%^&*.", rng.randint(8, 20))])
+        issued = rng.choice([f"AKIA{token(string.ascii_uppercase + '234567', 16)}", f"ghp_{token(alnum, 36)}", f"AIza{token(alnum, 35)}"])
+        assigned = f"{rng.choice(['', 'db_', 'my_', 'service_'])}{name}{rng.choice([' = ', '=', ': '])}{quote}"
+        kind = rng.random()
+        head, value = (assigned, value) if kind < 0.7 else (rng.choice(["key ", "use ", "", "with "]), issued) if kind < 0.9 else (assigned, issued)
+        return f"{head}{value}{quote}", value, 1
+    value = rng.choice([
+        f"your_{name}_here", f"<{name}-{word()}>", f"{word()}-{word()}-{word()}", f"get_{name}_from_{word()}", f"os.environ[{name.upper()}]", f"${{{name.upper()}_{word().upper()}}}",
+        token(hexa, rng.choice([32, 40, 64])), f"{token(hexa, 8)}-{token(hexa, 4)}-4{token(hexa, 3)}-a{token(hexa, 3)}-{token(hexa, 12)}", token("0123456789", rng.choice([12, 13, 16, 18])),
+        f"/{word()}/{word()}/{word()}{rng.randint(1, 99)}", f"{word()}-2{token('0123456789', 3)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}-{word()}", token(alnum + "+/", rng.randint(40, 120)), f"{word()}{word()}{word()}{word()}{word()}",
+    ])
+    if re.match(r"your_|<|get_|os\.|\$", value):
+        return f"{name}{rng.choice([' = ', '=', ': '])}{quote}{value}{quote}", value, 0
+    head = rng.choice(["commit ", "sha256: ", "id = ", "uuid=", "order ", "image/png;base64,", "version ", "see ", "file ", f"digest = {quote}"]) if rng.random() < 0.5 else rng.choice(["", "", "", "key ", "use ", "with "])
+    return f"{head}{value}", value, 0
+
+
+def planted_findings(docs: DataFrame, sample: int = 10_000, seed: int = 7, id_column: str = "doc_id", text_column: str = "text", path_column: str = "source") -> DataFrame:
+    """Labelled findings (FINDING and label 0/1): made-up secrets and look-alikes, put into real texts.
+
+    The documents are a bounded sample: about 2 * `sample` of them, chosen by hash, and one
+    made-up text for each, which gives a row where it is a candidate. Labels are known by
+    construction and not read off the features.
+    """
+    share = min(1.0, 2 * sample / max(1, docs.count()))
+    rows = docs.selectExpr(f"cast({id_column} as long) doc_id", f"{text_column} text", f"cast({path_column} as string) path", f"xxhash64({id_column}, {text_column}, {seed}) h")
+    rows = rows.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
+
+    def plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, text, path, h in zip(batch["doc_id"], batch["text"], batch["path"], batch["h"]):
+                rng, text = random.Random(int(h)), text or ""
+                snippet, value, label = _planted(rng)
+                at = text.find(" ", rng.randrange(len(text) + 1)) if text else 0
+                left, right = text[max(0, at - 60) : max(0, at)], text[max(0, at) :][:60]
+                whole = f"{left} {snippet} {right}"
+                start = whole.index(value, len(left))
+                for a, b in candidates(whole):
+                    if a < start + len(value) and b > start:
+                        out.append((None if pd.isna(doc_id) else int(doc_id), path, a, whole[a:b], whole[max(0, a - 60) : a], whole[b : b + 60], label))
+            yield pd.DataFrame(out, columns=["doc_id", "path", "start", "candidate", "left", "right", "label"]).astype({"doc_id": "Int64"})
+
+    return rows.mapInPandas(plant, f"{FINDING}, label int")
 
 
 def _words(text: str | None) -> list[str]:
@@ -109,13 +182,15 @@ def secrets(found: DataFrame, labelled: DataFrame, sample: int = 10_000, trees:
     """The findings with score (0 to 1) and is_secret, by a forest trained on labelled findings.
 
     labelled has the columns of findings() and label 0/1. Trains on a bounded sample: of each
-    label the `sample` rows that come first by hash. If one label is missing there is nothing
-    to learn, and every finding gets the other label.
+    label the `sample` rows that come first by hash, and of longer candidates than 10,000
+    characters none. If one label is missing there is nothing to learn, and every finding gets
+    the other label.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    labelled = labelled.where(F.length("candidate") <= 10_000)
     parts = [labelled.where(F.col("label") == x).orderBy(F.xxhash64("doc_id", "start", "candidate")).limit(sample) for x in (0, 1)]
     rows = parts[0].union(parts[1]).collect()  # at most 2 * sample short rows
     present = {r.label for r in rows}
@@ -132,15 +207,19 @@ def secrets(found: DataFrame, labelled: DataFrame, sample: int = 10_000, trees:
     return judged.withColumn("score", score).withColumn("is_secret", score >= 0.5).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def secret_scan(docs: DataFrame) -> DataFrame:
-    """One row per candidate: doc_id, start, length, candidate_sha256, held_out, label, score, is_secret.
+def held_out(id_column: str = "doc_id") -> F.Column:
+    """The documents that nothing is learned from."""
+    return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % 5 == 0
+
+
+def secret_scan(docs: DataFrame, sample: int = 10_000) -> DataFrame:
+    """One row per candidate: doc_id, start, length, candidate_sha256, held_out, score, is_secret.
 
-    Labels are the bootstrap ones; the forest is trained on documents that aren't held out
-    (crc32 of the id mod 5 is not 0). The candidates themselves are not returned.
+    The forest is trained on planted findings in documents that aren't held out (crc32 of the id
+    mod 5 is not 0). The candidates themselves are not returned.
     """
     found = stored(findings(docs), "findings")
-    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
-    labelled = bootstrap_labels(found)
-    judged = secrets(labelled, labelled.where(~held_out))
+    labelled = stored(planted_findings(docs.where(~held_out()), sample), "labelled")
+    judged = secrets(found, labelled, sample)
     digest = F.sha2("candidate", 256)
-    return judged.select("doc_id", "start", F.length("candidate").cast("long").alias("length"), digest.alias("candidate_sha256"), held_out.alias("held_out"), "label", "score", "is_secret")
+    return judged.select("doc_id", "start", F.length("candidate").cast("long").alias("length"), digest.alias("candidate_sha256"), held_out().alias("held_out"), "score", "is_secret")
