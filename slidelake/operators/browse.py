@@ -29,7 +29,7 @@ def facet_filter(chosen: dict[str, str]) -> F.Column:
     """The chosen facets as one condition; values are cast to their column's type."""
     for name in chosen:
         if name not in FACETS:
-            raise ValueError(f"not a filter column: {name}")
+            raise ValueError(f"{name} is no facet; facets are {', '.join(FACETS)}")
     tests = [F.col(c) == F.lit(v).cast(SLIDES[c].dataType) for c, v in chosen.items() if v != ANY]
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 

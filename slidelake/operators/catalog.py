@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -53,32 +53,47 @@ class Catalog:
     """A slides table kept as Parquet snapshots, with a pointer file that names the current one.
 
     One writer at a time. A build writes a new snapshot beside the one it reads and then moves
-    the pointer, so readers see either table whole. The folder is on storage that the driver
-    and the executors share.
+    the pointer, so readers see either table whole; the snapshot before stays for readers that
+    began earlier, older ones are deleted. The folder may be on any file system that Spark
+    knows.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, os.path.abspath(folder)
+        self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self) -> str:
-        return f"{self.folder}/CURRENT"
+    def _path(self, name: str):
+        """A path in the folder and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _pointer(self) -> dict:
+        path, system = self._path("CURRENT")
+        if not system.exists(path):
+            return {}
+        return json.loads(self.spark.read.text(f"{self.folder}/CURRENT", wholetext=True).first()[0])
 
     def read(self) -> DataFrame:
         """The current table; empty before the first build or if its schema is stale."""
-        if not os.path.exists(self._pointer()):
+        current = self._pointer().get("snapshot")
+        if current is None:
             return self.spark.createDataFrame([], SLIDES)
-        with open(self._pointer()) as f:
-            current = json.load(f)["snapshot"]
         stored = self.spark.read.parquet(f"{self.folder}/{current}")
         return stored if stored.columns == COLUMNS else fresh(stored)
 
     def publish(self, table: DataFrame) -> None:
         """Writes a snapshot, clustered so that filters on dose and block skip row groups."""
-        name = f"snapshot-{uuid.uuid4().hex}"
+        before, name = self._pointer(), f"snapshot-{uuid.uuid4().hex}"
         table.sortWithinPartitions("dose_mg_per_kg", "serial_block").write.parquet(f"{self.folder}/{name}")
-        with open(f"{self._pointer()}.new", "w") as f:
-            json.dump({"snapshot": name}, f)
-        os.replace(f"{self._pointer()}.new", self._pointer())
+        (new, system), (old, _) = self._path("CURRENT.new"), self._path("CURRENT")
+        out = system.create(new, True)
+        out.write(json.dumps({"snapshot": name, "previous": before.get("snapshot")}).encode())
+        out.close()
+        jvm = self.spark._jvm
+        how = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        how[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, old, how)
+        if before.get("previous"):
+            system.delete(self._path(before["previous"])[0], True)
 
     def build(self, sidecars: DataFrame, root: str, strict: bool = True) -> dict:
         """Replaces a root's rows by those of its sidecars; gives the build's counts.
@@ -103,8 +118,20 @@ class Catalog:
 
 
 def query(slides: DataFrame, sql: str, args: list | None = None) -> DataFrame:
-    """A SELECT over view slides, with ? for each of args; lazy, and pushed down to the files."""
-    if sql.lstrip().split(None, 1)[0].lower() not in ("select", "with", "from", "values"):
+    """A SELECT over view slides, with ? for each of args; lazy, and pushed down to the files.
+
+    A view of that name that the session already has is there again afterwards.
+    """
+    bare = re.sub(r"^(\s|\(|--[^\n]*(\n|$)|/\*.*?\*/)*", "", sql, flags=re.DOTALL)
+    if not re.match(r"(select|with|from|values)\b", bare, re.IGNORECASE):
         raise ValueError("only SELECT is supported")
+    spark = slides.sparkSession
+    before = next((spark.table("slides") for t in spark.catalog.listTables() if t.name == "slides" and t.isTemporary), None)
     slides.createOrReplaceTempView("slides")
-    return slides.sparkSession.sql(sql, args=args or [])
+    try:
+        return spark.sql(sql, args=args or [])
+    finally:
+        if before is None:
+            spark.catalog.dropTempView("slides")
+        else:
+            before.createOrReplaceTempView("slides")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slidelake.sources.formats import base_name, last_suffix
 
-# Names of the axes.
+# Names of the axes; below also the layout of the lines and the notes.
 AXES = {"X": "width", "Y": "height", "Z": "focal planes", "T": "timepoints", "C": "channels", "B": "blocks"}
 
 
@@ -32,10 +32,16 @@ def scene_rollup(rects: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def czi_report(files: DataFrame, headers: DataFrame, rects: DataFrame) -> DataFrame:
-    """One row per .czi file of (path, length): sizes, notes, or why it failed; no file is lost."""
+    """One row per .czi file of (path, length): sizes, notes, or why it failed; no file is lost.
+
+    scene_lines has a line for each scene rectangle, in order of the scenes.
+    """
     origin = lambda a: F.col("bbox")[a]["start"]
-    details = headers.select("path", "pixel_x_m", "pixel_y_m", origin("X").alias("x0"), origin("Y").alias("y0"), F.col("error").alias("failure"))
-    found = files.where(last_suffix() == ".czi").join(details, "path", "left").join(scene_rollup(rects, headers), "path", "left")
+    types = F.array_join(F.transform(F.array_sort(F.map_entries("pixel_types")), lambda e: F.concat(e["key"].cast("string"), F.lit(": '"), e["value"], F.lit("'"))), ", ")
+    line = F.format_string("    [%d] x=%d y=%d w=%d h=%d", "scene", "x", "y", "w", "h")
+    listed = rects.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("scene", line.alias("line")))).alias("lines"))  # a slide has few scenes
+    details = headers.select("path", "pixel_x_m", "pixel_y_m", F.concat(F.lit("{"), types, F.lit("}")).alias("types"), origin("X").alias("x0"), origin("Y").alias("y0"), F.col("error").alias("failure"))
+    found = files.where(last_suffix() == ".czi").join(details, "path", "left").join(scene_rollup(rects, headers), "path", "left").join(listed, "path", "left")
     several, failed = F.col("n_scenes") > 1, F.coalesce("failure", F.when(F.col("n_scenes").isNull(), "RuntimeError: no header"))
     size = F.format_string("%-11s %d x %d px  (%.2f Gpx)", F.when(F.col("n_scenes") == 1, "size").otherwise("union size"), "union_w", "union_h", "union_gpx")
     pixel = F.when(F.col("pixel_x_m").isNull(), "not found in metadata, image has no physical scale").otherwise(F.format_string("%.4f um", F.col("pixel_x_m") * 1e6))
@@ -43,11 +49,15 @@ def czi_report(files: DataFrame, headers: DataFrame, rects: DataFrame) -> DataFr
         base_name().alias("name"),
         F.when(failed.isNull(), size).alias("size_line"),
         F.when(failed.isNull() & ((F.col("x0") < 0) | (F.col("y0") < 0)), F.format_string("(%d, %d)", "x0", "y0")).alias("origin"),
+        F.when(failed.isNull(), F.col("types")).alias("pixel_type"),
         "n_scenes",
+        F.when(failed.isNull(), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("scene_lines"),
         F.when(failed.isNull() & several, F.format_string("%.2f Gpx  (%.0f%% of the union is empty stage)", "scene_gpx", "empty_percent")).alias("scene_line"),
         F.format_string("%.0f MB", F.col("length") / 1e6).alias("on_disk"),
         F.when(failed.isNull(), F.format_string("%.1f GB", "rgb_gb")).alias("in_memory"),
         F.when(failed.isNull(), pixel).alias("pixel_size"),
+        F.when(failed.isNull(), F.when(F.col("pixel_x_m").isNotNull(), F.format_string("%.4f um", F.col("pixel_x_m") * 1e6))).alias("pixel_x"),
+        F.when(failed.isNull(), F.when(F.col("pixel_y_m").isNotNull(), F.format_string("%.4f um", F.col("pixel_y_m") * 1e6))).alias("pixel_y"),
         F.when(failed.isNull() & several, "multi-scene file, readers assuming one scene will miss data").alias("note"),
         F.when(failed.isNotNull(), F.concat(F.lit("FAILED: "), failed)).alias("error"),
     )

@@ -353,16 +353,23 @@ def _files(spark, sf_dir):
 
 
 def probe_czi(spark, sf_dir):
-    report = probe.czi_report(_files(spark, sf_dir), fx.headers(spark, sf_dir), fx.rects(spark, sf_dir))
-    return report.select("name", "origin", "n_scenes", "on_disk", "pixel_size", "note", "error")
+    return probe.czi_report(_files(spark, sf_dir), fx.headers(spark, sf_dir), fx.rects(spark, sf_dir))
 
 
 _FILES = """f AS (SELECT path, k * 1000003 AS length FROM headers UNION ALL SELECT '/lost/x' || k || CASE WHEN k % 3 = 0 THEN '.czi' ELSE '.tif' END, k * 1000003 FROM headers WHERE k % 10 = 3)"""
 _MB = "printf('%.0f MB', length / 1e6) AS on_disk"
+_FINE = "CASE WHEN failed IS NULL THEN"
 PROBE_CZI = f"""WITH {fx.RECTS_SQL}, {_ROLL}, {_FILES},
-j AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'RuntimeError: bad header' WHEN n_scenes IS NULL THEN 'RuntimeError: no header' END AS failed FROM f LEFT JOIN r USING (path) WHERE path LIKE '%.czi')
+sl AS (SELECT path, string_agg(printf('    [%d] x=%d y=%d w=%d h=%d', scene, x, y, w, h), chr(10) ORDER BY scene) AS lines FROM rects GROUP BY path),
+j AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'RuntimeError: bad header' WHEN n_scenes IS NULL THEN 'RuntimeError: no header' END AS failed FROM f LEFT JOIN r USING (path) LEFT JOIN sl USING (path) WHERE path LIKE '%.czi')
 SELECT regexp_extract(path, '[^/]*$') AS name, CASE WHEN failed IS NULL AND (bx0 < 0 OR by0 < 0) THEN '(' || bx0 || ', ' || by0 || ')' END AS origin, n_scenes, {_MB},
- CASE WHEN failed IS NULL THEN CASE WHEN k % 11 = 0 THEN 'not found in metadata, image has no physical scale' ELSE printf('%.4f um', (200 + k % 50) / 1e9 * 1e6) END END AS pixel_size,
+ {_FINE} printf('%-11s %d x %d px  (%.2f Gpx)', CASE WHEN n_scenes = 1 THEN 'size' ELSE 'union size' END, union_w, union_h, union_px / 1e9) END AS size_line,
+ {_FINE} CASE WHEN k % 3 = 0 THEN '{{0: ''Bgr24'', 1: ''Gray8''}}' ELSE '{{0: ''Bgr24''}}' END END AS pixel_type, {_FINE} lines END AS scene_lines,
+ CASE WHEN failed IS NULL AND n_scenes > 1 THEN printf('%.2f Gpx  (%.0f%% of the union is empty stage)', scene_px / 1e9, 100 * (1 - scene_px / union_px)) END AS scene_line,
+ {_FINE} printf('%.1f GB', scene_px * 3 / 1e9) END AS in_memory,
+ {_FINE} CASE WHEN k % 11 = 0 THEN 'not found in metadata, image has no physical scale' ELSE printf('%.4f um', (200 + k % 50) / 1e9 * 1e6) END END AS pixel_size,
+ {_FINE} CASE WHEN k % 11 <> 0 THEN printf('%.4f um', (200 + k % 50) / 1e9 * 1e6) END END AS pixel_x,
+ {_FINE} CASE WHEN k % 7 = 0 THEN printf('%.4f um', (201 + k % 50) / 1e9 * 1e6) WHEN k % 11 <> 0 THEN printf('%.4f um', (200 + k % 50) / 1e9 * 1e6) END END AS pixel_y,
  CASE WHEN failed IS NULL AND n_scenes > 1 THEN 'multi-scene file, readers assuming one scene will miss data' END AS note, 'FAILED: ' || failed AS error FROM j"""
 
 

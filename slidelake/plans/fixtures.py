@@ -109,6 +109,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir, "orders")
     return spark.sql(f"""WITH {RECTS_SQL}
         SELECT path, k, map('X', named_struct('start', bx0, 'stop', bx1), 'Y', named_struct('start', by0, 'stop', by1), 'C', named_struct('start', 0L, 'stop', 1 + k % 3)) AS bbox,
+               if(k % 3 = 0, map(0, 'Bgr24', 1, 'Gray8'), map(0, 'Bgr24')) AS pixel_types,
                if(k % 11 = 0, null, (200 + k % 50) / 1e9) AS pixel_x_m, if(k % 7 = 0, (201 + k % 50) / 1e9, if(k % 11 = 0, null, (200 + k % 50) / 1e9)) AS pixel_y_m,
                k % 4 = 0 AS is_ome, if(k % 2 = 0, 'JPEG', 'LZW') AS compression, k % 5 <> 0 AS is_tiled, CAST(256 AS INT) AS tile_w, CAST(512 AS INT) AS tile_h,
                if(k % 13 = 0, 'RuntimeError: bad header', null) AS error

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidelake.operators import geometry, pixels
+from slidelake.operators.catalog import Catalog
 from slidelake.plans import fixtures as fx
 from slidelake.sources import formats, sidecars, zarr
 
@@ -129,11 +130,50 @@ s AS (SELECT *, CAST(list_sum(list_transform(range(0, th * 4), lambda i: p[8 * (
 SELECT vec_id, ty, tx, th, tw, s AS sum_r, s + 4 * th AS sum_g, s + 8 * th AS sum_b, CAST(NULL AS VARCHAR) AS error FROM s"""
 
 
+def catalog_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog on disk: all three roots are built, then one again from half of its sidecars; SQL on the stored table."""
+    texts = fx.sidecars(spark, sf_dir)
+    catalog = Catalog(spark, f"file://{_folder(spark, 'catalog')}")
+    for root in ("/data/root_0", "/data/root_1", "/data/root_2"):
+        catalog.build(texts.where(F.col("directory") == root), root)
+    catalog.build(texts.where("directory = '/data/root_1' and k % 2 = 0"), "/data/root_1")
+    return catalog.query("-- of the stored snapshot\nSELECT directory, file, scene, stain, dose_mg_per_kg FROM slides WHERE dose_mg_per_kg > ?", [100])
+
+
+CATALOG_BUILD = f"""WITH {fx.SLIDES_SQL.replace("FROM orders)", "FROM orders WHERE NOT (CAST(floor(o_orderkey / 100) AS BIGINT) % 3 = 1 AND o_orderkey % 2 = 1))")}
+SELECT directory, file, scene, stain, dose_mg_per_kg FROM slides WHERE dose_mg_per_kg > 100"""
+
+
+def odd_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slides of up to 2 x 2 tiles of 8 pixels, the last row of which is 5 high and the last column 7 wide."""
+    wide = _pixels(spark, sf_dir).withColumn("ty", F.expr("(vec_id % 4) div 2")).withColumn("tx", F.expr("vec_id % 2"))
+    wide = wide.withColumn("th", F.when(F.col("ty") == 1, 5).otherwise(8).cast("long")).withColumn("tw", F.when(F.col("tx") == 1, 7).otherwise(8).cast("long"))
+    rows = F.flatten(F.transform(F.sequence(F.lit(0), F.col("th").cast("int") - 1), lambda i: F.slice("p", i * 8 + 1, F.col("tw").cast("int"))))
+    channels = F.flatten(F.transform(rows, lambda v: F.array(v, v + 1, v + 2)))
+    return wide.select(F.concat(F.lit("/o"), F.expr("vec_id div 4").cast("string")).alias("path"), F.lit(0).cast("long").alias("scene"), F.lit(0).alias("level"), "ty", "tx", "th", "tw", _bytes(channels).alias("px"))
+
+
+def pyramid_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels 1 and 2 of slides with odd edges, written and read again: sums by tile and channel."""
+    paths = pixels.build_pyramid(odd_tiles(spark, sf_dir), 3, 8, f"file://{_folder(spark, 'pyramid')}")
+    levels = [spark.read.schema(pixels.LEVEL).parquet(p) for p in paths]
+    return pixels.channel_sums(levels[0].union(levels[1]))
+
+
+_MEAN = "CAST((2 * sum(v) + count(*)) // (2 * count(*)) AS BIGINT) AS v"
+PYRAMID_LEVELS = f"""WITH p AS (SELECT vec_id // 4 AS g, (vec_id % 4) // 2 AS ty, vec_id % 2 AS tx, {_BYTES} AS p FROM embeddings),
+l0 AS (SELECT g, 8 * ty + i AS y, 8 * tx + j AS x, p[8 * i + j + 1] AS v FROM p, range(0, 8) a(i), range(0, 8) b(j) WHERE (ty = 0 OR i < 5) AND (tx = 0 OR j < 7)),
+l1 AS (SELECT g, y // 2 AS y, x // 2 AS x, {_MEAN} FROM l0 GROUP BY ALL), l2 AS (SELECT g, y // 2 AS y, x // 2 AS x, {_MEAN} FROM l1 GROUP BY ALL),
+u AS (SELECT 1 AS level, * FROM l1 UNION ALL SELECT 2, * FROM l2)
+SELECT '/o' || g AS path, CAST(0 AS BIGINT) AS scene, CAST(level AS INT) AS level, CAST(y // 8 AS BIGINT) AS ty, CAST(x // 8 AS BIGINT) AS tx, CAST(max(y) % 8 + 1 AS BIGINT) AS th, CAST(max(x) % 8 + 1 AS BIGINT) AS tw,
+ CAST(sum(v) AS BIGINT) AS sum_r, CAST(sum(v) + count(*) AS BIGINT) AS sum_g, CAST(sum(v) + 2 * count(*) AS BIGINT) AS sum_b FROM u GROUP BY g, level, y // 8, x // 8"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"sidecar_scan": sidecar_scan, "file_inventory": file_inventory, "zarr_tiles": zarr_tiles}
+    return {"sidecar_scan": sidecar_scan, "file_inventory": file_inventory, "zarr_tiles": zarr_tiles, "catalog_build": catalog_build, "pyramid_levels": pyramid_levels}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {"sidecar_scan": SIDECAR_SCAN, "file_inventory": FILE_INVENTORY, "zarr_tiles": ZARR_TILES}
+    return {"sidecar_scan": SIDECAR_SCAN, "file_inventory": FILE_INVENTORY, "zarr_tiles": ZARR_TILES, "catalog_build": CATALOG_BUILD, "pyramid_levels": PYRAMID_LEVELS}

@@ -6,20 +6,43 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidelake.functions.contract import COLUMNS, SIDECARS, WHOLE
 
 
-def list_sidecars(root: str) -> list[tuple[str, str]]:
-    """(root, path) of every *.json file below a folder; also hidden ones, but none within image stores."""
-    root = os.path.abspath(root)
-    found = []
-    for folder, folders, names in os.walk(root):
-        folders[:] = [d for d in folders if not d.endswith(".zarr")]
-        found += [(root, f"{folder}/{name}") for name in names if name.endswith(".json")]
-    return found
+def list_sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """(directory, sidecar_path) of every *.json file below a folder; also hidden ones, but none within image stores.
+
+    Listed by the executors, all folders of one depth at a time; root is a path or a URI.
+    """
+    root = root.rstrip("/") if "://" in root else os.path.abspath(root)
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = []
+            for folder in rows["path"]:
+                system, base = _opened(folder)
+                for x in system.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+                    is_folder = x.type == fs.FileType.Directory
+                    if is_folder and not x.base_name.endswith(".zarr") and not os.path.islink(x.path) or x.is_file and x.base_name.endswith(".json"):
+                        found.append((f"{folder}/{x.base_name}", is_folder))
+            yield pd.DataFrame(found, columns=["path", "is_folder"])
+
+    depth, files = spark.createDataFrame([(root,)], "path string"), None
+    while not depth.isEmpty():
+        below = depth.mapInPandas(entries, "path string, is_folder boolean").persist()
+        some = below.where("not is_folder").select(F.lit(root).alias("directory"), F.col("path").alias("sidecar_path"))
+        files = some if files is None else files.union(some)
+        depth = below.where("is_folder").select("path")
+    return files
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path within it of a path or URI."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def scan_paths(paths: DataFrame, batch: int = 500) -> DataFrame:
@@ -34,8 +57,9 @@ def scan_paths(paths: DataFrame, batch: int = 500) -> DataFrame:
             texts = []
             for path in rows["sidecar_path"]:
                 try:
-                    with open(path, encoding="utf-8") as f:
-                        texts.append(f.read())
+                    system, name = _opened(path)
+                    with system.open_input_stream(name) as f:
+                        texts.append(f.read().decode())
                 except (OSError, UnicodeDecodeError):
                     texts.append(None)
             yield rows.assign(text=texts)
@@ -45,8 +69,8 @@ def scan_paths(paths: DataFrame, batch: int = 500) -> DataFrame:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """The sidecars below a folder that driver and executors can open by path."""
-    return scan_paths(spark.createDataFrame(list_sidecars(root), "directory string, sidecar_path string"))
+    """The sidecars below a folder that the executors can open by path or URI."""
+    return scan_paths(list_sidecars(spark, root))
 
 
 def path_order(path: str = "sidecar_path") -> F.Column:

@@ -6,7 +6,7 @@ import gzip
 import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,11 +22,20 @@ TEXTS = "store string, series string, dataset string, kind string, text string"
 CHUNKS = "store string, series string, dataset string, level int, ty long, tx long, c long, channels long, th long, tw long, px binary, error string"
 
 
+def _names(text: str | None, of: Callable[[object], object]) -> list[str]:
+    """The strings that a JSON text lists; none if it isn't JSON or of another shape."""
+    try:
+        found = of(json.loads(text or ""))
+    except (ValueError, LookupError, TypeError, AttributeError):
+        return []
+    return [x for x in found if isinstance(x, str)] if isinstance(found, list) else []
+
+
 def metadata_texts(stores: DataFrame) -> DataFrame:
     """The metadata files of a table of stores (column store), one row each.
 
-    Their names begin with a dot, which Spark's own readers skip. A file that can't be read
-    gives no row, so that what depends on it becomes an error row later.
+    Their names begin with a dot, which Spark's own readers skip. A file that can't be read or
+    isn't UTF-8 gives no row, so that what depends on it becomes an error row later.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -34,24 +43,17 @@ def metadata_texts(stores: DataFrame) -> DataFrame:
             try:
                 with open(path, encoding="utf-8") as f:
                     return f.read()
-            except OSError:
+            except (OSError, UnicodeDecodeError):
                 return None
 
         for batch in batches:
             rows = []
             for store in batch["store"]:
                 rows.append((store, None, None, "ome", text(f"{store}/OME/.zattrs")))
-                try:
-                    listed = json.loads(rows[-1][4] or "{}").get("series") or []
-                except ValueError:
-                    listed = []
-                for series in listed:
+                for series in _names(rows[-1][4], lambda x: x["series"]):
                     rows.append((store, series, None, "series", text(f"{store}/{series}/.zattrs")))
-                    try:
-                        datasets = json.loads(rows[-1][4] or "{}")["multiscales"][0]["datasets"]
-                    except (ValueError, LookupError):
-                        datasets = []
-                    rows += [(store, series, d["path"], "array", text(f"{store}/{series}/{d['path']}/.zarray")) for d in datasets]
+                    datasets = _names(rows[-1][4], lambda x: [d.get("path") for d in x["multiscales"][0]["datasets"]])
+                    rows += [(store, series, d, "array", text(f"{store}/{series}/{d}/.zarray")) for d in datasets]
             yield pd.DataFrame([r for r in rows if r[4] is not None], columns=["store", "series", "dataset", "kind", "text"])
 
     return stores.select("store").mapInPandas(read, TEXTS)
@@ -92,10 +94,13 @@ def chunk_tiles(levels: DataFrame) -> DataFrame:
     """
     at = lambda what, name: F.try_element_at(F.col(what), F.nullif(F.array_position("axes", name), F.lit(0)).cast("int"))
     sizes = levels.withColumn("shape", F.col("array.shape")).withColumn("chunks", F.col("array.chunks"))
+    sound = (F.size("axes") == F.size("shape")) & (F.size("axes") == F.size("chunks")) & F.forall("chunks", lambda n: n > 0) & F.forall("shape", lambda n: n >= 0) & F.array_contains("axes", "y") & F.array_contains("axes", "x")
+    sizes = sizes.withColumn("sound", F.coalesce(sound, F.lit(False)))
+    grid = sizes.where("sound")
     for name in ("y", "x", "c"):
         size, step = F.coalesce(at("shape", name), F.lit(1)), F.coalesce(at("chunks", name), F.lit(1))
-        sizes = sizes.withColumn(f"n_{name}", F.ceil(size / step).cast("long"))
-    grid = sizes.where("n_y > 0 and n_x > 0 and n_c > 0")
+        grid = grid.withColumn(f"n_{name}", F.ceil(size / step).cast("long"))
+    grid = grid.where("n_y > 0 and n_x > 0 and n_c > 0")
     for name in ("y", "x", "c"):
         grid = grid.withColumn(f"i_{name}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{name}") - 1)))
     grid = grid.select("store", "series", "dataset", "level", "axes", F.to_json("array").alias("array"), "i_y", "i_x", "i_c")
@@ -104,7 +109,9 @@ def chunk_tiles(levels: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([_tile(r) for r in batch.itertuples()], columns=[c.split()[0] for c in CHUNKS.split(", ")])
 
-    return grid.mapInPandas(read, CHUNKS)
+    zero = [F.lit(0).cast("long").alias(c) for c in ("ty", "tx", "c", "channels", "th", "tw")]
+    broken = sizes.where("not sound").select("store", "series", "dataset", "level", *zero, F.lit(None).cast("binary").alias("px"), F.lit("ValueError: no array metadata, or of another shape than its axes").alias("error"))
+    return grid.mapInPandas(read, CHUNKS).unionByName(broken)
 
 
 def _tile(r) -> tuple:

@@ -109,3 +109,20 @@ def test_strict_build_writes_nothing(spark, tmp_path):
 def test_stale_table_is_dropped(spark):
     stale = spark.createDataFrame([(1,)], "file int")
     assert catalog.fresh(stale).columns == COLUMNS and catalog.fresh(stale).count() == 0
+
+
+def test_queries_keep_to_select_and_to_their_view(spark, tmp_path):
+    table = catalog.Catalog(spark, f"file://{tmp_path}")
+    good = spark.createDataFrame([("/d", "/d/a.json", json.dumps(GOOD))], SIDECARS)
+    for _ in range(4):
+        table.build(good, "/d")
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("snapshot-")]) == 2
+    spark.range(3).createOrReplaceTempView("slides")
+    for sql in ("-- a note\nSELECT file FROM slides", "/* a\nnote */ (SELECT file FROM slides)", " WITH s AS (SELECT * FROM slides) SELECT file FROM s"):
+        assert [r.file for r in table.query(sql).collect()] == ["a.czi"]
+    assert spark.table("slides").count() == 3
+    spark.catalog.dropTempView("slides")
+    assert table.query("SELECT 1").count() == 1 and not spark.catalog.tableExists("slides")
+    for sql in ("", "  ", "-- SELECT 1", "/* x */ DROP TABLE slides", "SELECTED"):
+        with pytest.raises(ValueError, match="only SELECT"):
+            table.query(sql)

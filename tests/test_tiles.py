@@ -129,7 +129,7 @@ def test_missing_scene_lists_the_others(spark):
 
 
 def test_facet_filter_takes_facets_only():
-    with pytest.raises(ValueError, match="not a filter column"):
+    with pytest.raises(ValueError, match="no facet"):
         browse.facet_filter({"file": "x"})
 
 
@@ -138,3 +138,26 @@ def test_filters_reach_the_files(spark, tmp_path):
     shown = browse.in_directory(spark.read.parquet(str(tmp_path / "t")), "/d").where(browse.facet_filter({"dose_mg_per_kg": "3"}))
     plan = shown._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(dose_mg_per_kg,3)" in plan and "EqualTo(directory,/d)" in plan
+
+
+def test_bad_stores_give_error_rows(spark, tmp_path):
+    meta = {"multiscales": [{"axes": [{"name": a} for a in "yx"], "datasets": [{"path": "0"}, {"path": 7}, {}]}]}
+    array = {"shape": [4, 4], "chunks": [4, 4], "dtype": "|u1", "order": "C", "dimension_separator": "/", "fill_value": 3}
+    stores = {
+        "list": {"OME/.zattrs": b"[1]"}, "number": {"OME/.zattrs": b'{"series": 5}'}, "latin": {"OME/.zattrs": b"\xff\xfe"}, "empty": {"OME/.zattrs": b""}, "absent": {},
+        "no-array": {"OME/.zattrs": b'{"series": ["s"]}', "s/.zattrs": json.dumps(meta).encode()},
+        "odd-array": {"OME/.zattrs": b'{"series": ["s"]}', "s/.zattrs": json.dumps(meta).encode(), "s/0/.zarray": json.dumps(array | {"shape": [4]}).encode()},
+        "zero-chunk": {"OME/.zattrs": b'{"series": ["s"]}', "s/.zattrs": json.dumps(meta).encode(), "s/0/.zarray": json.dumps(array | {"chunks": [0, 4]}).encode()},
+        "good": {"OME/.zattrs": b'{"series": ["s", 3]}', "s/.zattrs": json.dumps(meta).encode(), "s/0/.zarray": json.dumps(array).encode()},
+    }
+    for store, files in stores.items():
+        for name, body in files.items():
+            path = tmp_path / store / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(body)
+    texts = zarr.metadata_texts(spark.createDataFrame([(f"{tmp_path}/{s}",) for s in stores], "store string"))
+    levels = geometry.zarr_levels(texts).where("dataset = '0'")
+    found = {r.store.rpartition("/")[2]: r for r in zarr.chunk_tiles(levels).collect()}
+    assert set(found) == {"no-array", "odd-array", "zero-chunk", "good"}
+    assert found["good"].px == bytes([3] * 16) and found["good"].error is None
+    assert all("no array metadata" in found[s].error and found[s].px is None for s in ("no-array", "odd-array", "zero-chunk"))
