@@ -130,3 +130,15 @@ def test_grace_spills_and_recurs(tmp_path):
     found = list(exact_dedup.grace(iter(records), str(tmp_path), budget=3000, fan_out=3))
     assert {c: (f, n) for _, c, f, n in found} == expected and len(found) == len(expected)
     assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
+def test_rows_that_repeat_an_id_are_judged_each(spark):
+    schema = "doc_id long, text string, row_key string, turn int, _dropped int, key int, stays boolean"
+    rows = [(1, "a b c"), (2, "a b c"), (2, "only here"), (2, "only here"), (None, "a b c"), (None, "lost"), (None, "lost"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "r", 1, 2, 3, True) for i, t in rows], schema)
+    once = exact_dedup.deduplicated(docs)
+    assert once.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in once.collect()), key=repr) == sorted([(1, "a b c"), (2, "only here"), (None, "lost"), (4, None)], key=repr)
+    near = ngram_join.without_near_copies(docs, 2, 80)
+    assert near.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=repr) == sorted([(1, "a b c"), (2, "only here"), (None, "lost"), (4, None), (5, "")], key=repr)

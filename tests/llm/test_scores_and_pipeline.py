@@ -292,3 +292,11 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "source", "n_chars", "copy", "rate", "cdf", "n", "row", "id", "parts", "mix_source", "mix_rate", "mix_n"]
+    docs = spark.createDataFrame([(i, "a", 5, *[7] * 10) for i in range(200)], ", ".join(f"{c} {'string' if c == 'source' else 'long'}" for c in names))
+    found = mixing.mixed(docs, mixing.rates(docs), seed=1, added=())
+    assert found.columns == names and {tuple(r)[2:] for r in found.collect()} == {(5, *[7] * 10)}
+    assert mixing.rates(docs, {"other": 1.0}).first().mix_rate == 0.0
