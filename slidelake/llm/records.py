@@ -57,7 +57,9 @@ def write_records(docs: DataFrame, folder: str, end_id: int = 2, vocab: str | No
     offsets (8 bytes a record), under names of its own. The manifest, written by Spark, lists
     the files of the attempts that succeeded; other files are never read. Ids take two bytes
     if the vocabulary allows. Null text counts as empty (the end id alone), a null id comes
-    first, equal ids are ordered by text, an empty table gives no files.
+    first, equal ids are ordered by a hash of the text and then by the text, so that ranges cut
+    them too. A text of any length is one record; other columns are ignored; an empty table
+    gives no files.
     """
     path = vocab or vocabulary()
 
@@ -82,7 +84,8 @@ def write_records(docs: DataFrame, folder: str, end_id: int = 2, vocab: str | No
                 out.write(np.array(offsets, dtype="<u8").tobytes())
             yield pa.RecordBatch.from_pydict({"part": [part], "data": [f"{name}.records"], "offsets": [f"{name}.offsets"], "n_records": [len(offsets) - 1], "n_ids": [n_ids]})
 
-    ordered = docs.selectExpr(f"cast({id_column} as long) doc_id", f"{text_column} text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.selectExpr(f"cast({id_column} as long) doc_id", f"{text_column} text", f"xxhash64({text_column}) tie")
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 

@@ -66,6 +66,19 @@ def test_null_id_comes_first(spark):
     assert [(r.doc_id, r.start) for r in records.token_records(docs).orderBy("start").collect()] == [(None, 0), (5, 2)]
 
 
+def test_very_many_equal_ids_are_cut_into_ranges(spark, tmp_path, tokenizer):
+    rows = [(None, f"text {i}") for i in range(300)] + [(i, "a") for i in range(3)] + [(1, f"again {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = records.write_records(docs, str(tmp_path), 2).cache()
+    assert manifest.count() > 1 and manifest.agg({"n_records": "max"}).first()[0] < 300
+    found = records.read_records(manifest, str(tmp_path)).orderBy("start").collect()
+    ids = [r.doc_id for r in found]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i)) and len(ids) == len(rows)
+    assert [r.start for r in found] == [0, *np.cumsum([r.n_tokens for r in found])[:-1]]
+    expected = [zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, t in rows]
+    assert sorted(r.ids_crc32 for r in found) == sorted(expected)
+
+
 @pytest.mark.parametrize(("capacity", "open_bins"), [(2048, 4096), (16, 2)])
 def test_packing_laws(spark, tokenizer, capacity, open_bins):
     found = packing.pack(documents(spark), capacity, 0, open_bins).toPandas()
