@@ -73,9 +73,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from slidelake.llm.quality import quality
 
-    return quality(_table(spark, sf_dir, "documents"))
+    found = quality(_table(spark, sf_dir, "documents"))
+    return found.withColumn("class_js", F.round("class_js", 6)).withColumn("word_js", F.round("word_js", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -85,7 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express."""
-    return {"op2_mixing": OP2, "op3_ngram_join": OP3, "op4_warc": OP4, "op8_exact_dedup": OP8}
+    return {"op2_mixing": OP2, "op3_ngram_join": OP3, "op4_warc": OP4, "op8_exact_dedup": OP8, "op10_quality": OP10}
 
 
 OP2 = r"""
@@ -139,3 +142,49 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
        url_key, captured_at, row_number() OVER (ORDER BY url_key, captured_at, page_id) - 1 AS index_place
 FROM k
 """
+
+
+# b: a row per document; g: the common words; h: how often a document has each; s: their shares
+OP10 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS l, length(coalesce(text, '')) AS c, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, l, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM d),
+v AS (SELECT doc_id, place, count(*) OVER (PARTITION BY doc_id, word, w2, w3) AS n
+      FROM (SELECT *, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY place)) WHERE w3 IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT place + k) AS n FROM v, range(3) z(k) WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, l, c, len(w) AS n_words, c - length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS n_space,
+             c - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+             c - length(regexp_replace(t, '\p{Lu}+', '', 'g')) AS n_upper, c - length(regexp_replace(t, '[0-9]+', '', 'g')) AS n_digit,
+             c - length(regexp_replace(t, '[.,;:!?''"\-]+', '', 'g')) AS n_stop,
+             list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS lines FROM d),
+b AS (SELECT m.*, c - n_space AS word_chars, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+             n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words AS base_failed,
+             [n_upper, n_digit, n_stop, n_space, n_symbols, c - n_upper - n_digit - n_stop - n_space - n_symbols] AS classes FROM m LEFT JOIN r USING (doc_id)),
+f AS (SELECT DISTINCT doc_id, x.l, trim(word, '.,;:!?"''()') AS v FROM x JOIN b USING (doc_id) WHERE n_words >= 50 GROUP BY doc_id, x.l, word HAVING count(*) > 1),
+g AS (SELECT l, v, row_number() OVER (PARTITION BY l ORDER BY n DESC, v) AS i FROM (SELECT l, v, count(*) AS n FROM f WHERE regexp_matches(v, '^[\p{L}\p{M}]+$') GROUP BY l, v) QUALIFY i <= 64),
+h AS (SELECT doc_id, x.l, i, count(*) AS n FROM x JOIN g ON g.l = x.l AND g.v = trim(word, '.,;:!?"''()') GROUP BY ALL),
+good AS (SELECT * FROM b WHERE base_failed = (SELECT min(o.base_failed) FROM b o WHERE o.l = b.l)),
+tot AS (SELECT l, sum(n_words) AS words FROM good GROUP BY l),
+cls AS (SELECT l, k, sum(classes[k]) AS n FROM good, range(1, 7) z(k) GROUP BY l, k),
+used AS (SELECT h.l, i, sum(n) AS n FROM h JOIN good USING (doc_id) GROUP BY h.l, i),
+s AS (SELECT g.l, g.i, coalesce(used.n, 0) / tot.words AS q FROM g JOIN tot USING (l) LEFT JOIN used ON used.l = g.l AND used.i = g.i
+      WHERE tot.words > 0 AND g.i <= (SELECT max(o.i) FROM used o WHERE o.l = g.l)),
+lang AS (SELECT tot.l, coalesce(sum(q), 0) AS common, greatest(0, 1 - coalesce(sum(q), 0)) AS other FROM tot LEFT JOIN s USING (l) GROUP BY tot.l),
+e AS (SELECT *, sqrt(greatest(0, log2(2 / (1 + other)) + CASE WHEN other > 0 THEN other * log2(2 * other / (1 + other)) ELSE 0 END + common) / 2) AS without FROM lang),
+hp AS (SELECT doc_id, sum(p) AS p, sum(q) AS q, sum(p * log2(2 * p / (p + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) AS terms
+       FROM (SELECT doc_id, h.n / n_words AS p, q FROM h JOIN b USING (doc_id) JOIN s ON s.l = h.l AND s.i = h.i) GROUP BY doc_id),
+y AS (SELECT b.doc_id, greatest(0, 1 - coalesce(p, 0)) AS p, other AS q, coalesce(terms, 0) + common - coalesce(hp.q, 0) AS rest, without FROM b JOIN e USING (l) LEFT JOIN hp USING (doc_id)),
+cp AS (SELECT doc_id, classes[k] / c AS p, n / sum(n) OVER (PARTITION BY doc_id) AS q FROM b JOIN cls USING (l) WHERE c >= 200),
+cj AS (SELECT doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END)) / 2) AS class_js FROM cp GROUP BY doc_id),
+j AS (SELECT b.*, without, class_js,
+             CASE WHEN n_words >= 50 THEN sqrt(greatest(0, rest + CASE WHEN y.p > 0 THEN y.p * log2(2 * y.p / (y.p + y.q)) ELSE 0 END + CASE WHEN y.q > 0 THEN y.q * log2(2 * y.q / (y.p + y.q)) ELSE 0 END) / 2) END AS word_js,
+             floor(2 * ln(greatest(c, 1)) / ln(2)) AS chars, floor(2 * ln(greatest(n_words, 1)) / ln(2)) AS words
+      FROM b JOIN y USING (doc_id) LEFT JOIN cj USING (doc_id)),
+bc AS (SELECT l, chars, quantile_cont(ceil(class_js * 1000), [0.25, 0.5, 0.75]) AS q FROM j WHERE class_js IS NOT NULL AND NOT base_failed GROUP BY l, chars),
+bw AS (SELECT l, words, quantile_cont(ceil(word_js * 1000), [0.25, 0.5, 0.75]) AS q FROM j WHERE word_js IS NOT NULL AND NOT base_failed GROUP BY l, words),
+k AS (SELECT j.*, bw.q[2] / 1000 AS middle, bc.q[2] / 1000 + 8 * greatest(0.02, (bc.q[3] - bc.q[1]) / 1000) AS of_class, bw.q[2] / 1000 + 3 * greatest(0.02, (bw.q[3] - bw.q[1]) / 1000) AS of_word
+      FROM j LEFT JOIN bc ON bc.l = j.l AND bc.chars = j.chars LEFT JOIN bw ON bw.l = j.l AND bw.words = j.words)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(class_js <= least(of_class, 0.35), true) AND coalesce(word_js <= least(CASE WHEN middle < without THEN least(of_word, 0.15 * middle + 0.85 * without) ELSE of_word END, 0.45), true) AS kept,
+       round(class_js, 6) AS class_js, round(word_js, 6) AS word_js
+FROM k
+"""
