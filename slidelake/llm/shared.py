@@ -90,12 +90,12 @@ def kept_rows(docs: DataFrame, decided: DataFrame, id_column: str, key: Column)
     by its own key. Of rows that are equal in both and would stay, one stays.
     """
     spark = docs.sparkSession
-    row_key = own("row_key", docs)
-    decided = decided.select(F.col("doc_id").alias("d_id"), F.col("key").alias("d_key"), "stays")
-    same = (docs[id_column].cast("long").eqNullSafe(F.col("d_id"))) & (F.col(row_key) == F.col("d_key"))
-    dropped = decided.where("not stays").select("d_id", "d_key").distinct()
+    row_key, d_id, d_key = (own(name, docs) for name in ("row_key", "d_id", "d_key"))
+    decided = decided.select(F.col("doc_id").alias(d_id), F.col("key").alias(d_key), "stays")
+    same = (docs[id_column].cast("long").eqNullSafe(F.col(d_id))) & (F.col(row_key) == F.col(d_key))
+    dropped = decided.where("not stays").select(d_id, d_key).distinct()
     rest = docs.withColumn(row_key, key).join(dropped, same, "left_anti")
-    again = _written(decided.where("stays").groupBy("d_id", "d_key").count().where("count > 1").drop("count"), run_folder(spark, "again"))
+    again = _written(decided.where("stays").groupBy(d_id, d_key).count().where("count > 1").drop("count"), run_folder(spark, "again"))
     if not again.isEmpty():
         turn = own("turn", docs)
         repeated = rest.join(again, same, "left_semi").withColumn(turn, F.row_number().over(Window.partitionBy(id_column, row_key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))

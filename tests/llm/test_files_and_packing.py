@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from slidelake.llm import packing, records, sharding, warc
 from slidelake.llm.tokens import Encoder, vocabulary
@@ -84,15 +85,26 @@ def test_very_many_equal_ids_are_cut_into_ranges(spark, tmp_path, tokenizer):
 @pytest.mark.parametrize(("capacity", "open_bins"), [(2048, 4096), (16, 2)])
 def test_packing_laws(spark, tokenizer, capacity, open_bins):
     found = packing.pack(documents(spark), capacity, 0, open_bins).toPandas()
-    lengths = sorted((r.doc_id, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in documents(spark).collect())
+    ids = {r.doc_id: np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4") for r in documents(spark).collect()}
+    lengths = sorted((i, len(x)) for i, x in ids.items())
     assert sorted(found[found.piece == 0].doc_id) == [i for i, _ in lengths]
     assert sorted(found.groupby("doc_id").length.sum()) == sorted({i: sum(n for j, n in lengths if j == i) for i, _ in lengths}.values())
     assert (found[found.piece > 0].length == capacity).all()
+    for doc_id, pieces in found.sort_values("piece").groupby("doc_id"):
+        assert pieces.piece.tolist() == list(range(len(pieces))) and pieces.start.tolist() == [0, *pieces.length.cumsum()[:-1]]
+        assert pieces.ids_crc32.tolist() == [zlib.crc32(ids[doc_id][a : a + n].tobytes()) for a, n in zip(pieces.start, pieces.length)]
     for _, pieces in found.sort_values("offset").groupby("sequence_id"):
         assert pieces.offset.tolist() == [0, *pieces.length.cumsum()[:-1]] and pieces.length.sum() <= capacity
     assert packing.pack(documents(spark).limit(0)).collect() == []
 
 
+def test_packing_hardly_depends_on_the_partitions(spark):
+    docs = spark.createDataFrame([(i, "one two " * (i * 37 % 400)) for i in range(400)], "doc_id long, text string").cache()
+    n = [packing.pack(docs.repartition(parts)).agg(F.countDistinct("sequence_id"), F.sum("length")).first() for parts in (1, 16)]
+    least = -(-n[0][1] // 2048)
+    assert least <= n[0][0] <= least + 1 and least <= n[1][0] <= 1.03 * least + 1
+
+
 def test_bins_take_the_best_fit_and_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 5, 3, 4)] == [(0, 0), (1, 0), (0, 6), (1, 5)]

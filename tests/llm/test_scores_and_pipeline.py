@@ -29,6 +29,32 @@ def test_exceptions_and_longest_weight():
     assert toxicity.Lexicon({}).feature(toxicity.folded("x")) == (0.0, 0)
 
 
+def naive(lexicon, text):
+    """A score by looking for each entry and each exception in turn."""
+    words, found = toxicity.folded(text), {}
+    places = lambda x: [m.start() for m in re.finditer(f"(?={re.escape(x)})", words)]
+    for entry, weight in lexicon.weights.items():
+        for i in places(entry):
+            found[i] = max(weight, found.get(i, 0))
+    spared = {j for x in lexicon.exceptions for i in places(x) for j in range(i, i + len(x) - 1)}
+    raw = sum(w for i, w in found.items() if i not in spared)
+    feature = raw / (raw + 0.2 * math.log2(16 + words.count(" ")))
+    return 1 / (1 + math.exp(-lexicon.slope * feature - lexicon.bias))
+
+
+def test_scores_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    lexicon = toxicity.learn(docs, labels.where("toxic is not null"), exceptions=("Pond scum",))
+    assert lexicon.weights and lexicon.exceptions[-1] == " pond scum "
+    odd = [(10**6, None), (10**6, None), (None, ""), (10**6 + 1, f"{' '.join(x.strip() for x in lexicon.weights)} " * 50), (10**6 + 2, "clean words " * 400_000)]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string")).withColumn("toxicity", F.lit("a column of that name"))
+    found = toxicity.scored(rows, lexicon, into="found")
+    assert found.columns == ["doc_id", "text", "toxicity", "found"] and found.count() == docs.count() + 5
+    for r in found.where("length(coalesce(text, '')) < 100000").collect():
+        assert r.found.score == pytest.approx(naive(lexicon, r.text))
+    assert found.where("doc_id = 1000002").first().found.hits == 0
+
+
 def toxic_corpus(spark):
     rng, rows, labels = random.Random(8), [], []
     for i in range(800):
@@ -286,6 +312,39 @@ def test_pipeline_stages(spark):
     assert packed.where("piece = 0").count() == mixed.count()
 
 
+def test_pipeline_stages_of_odd_rows(spark):
+    import corpus_pipeline as cp
+    from test_pairs_and_copies import brute, normal
+
+    rng = random.Random(14)
+    long = " ".join(f"word{rng.randrange(10**6)}" for _ in range(400_000))  # 4 MB
+    base = [f"b{i}" for i in range(60)]
+    near = " ".join([*base[:30], "other", *base[31:]])
+    texts = [(1, None), (2, ""), (3, " \n"), (4, long), (5, f"{long} end"), (6, " ".join(base)), (6, " ".join(base)), (6, "an id again"), (7, near), (None, near), (None, "no id at all"), (8, "a  b c"), (9, "a b c"), (9, "a b c")]
+    own = "toxicity struct<score:double>, found int, row_key int, d_id int, stays int, turn int, mix_source string, copy int, shuffle_key int, sequence_id int, component_id int, length int"
+    names = [x.split()[0] for x in own.split(", ")]
+    rows = [(None if i is None else 10**9 + i, t, None if n % 2 else "en", [None, "", "web"][n % 3], None if n % 4 else 5, *[None] * len(names)) for n, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {own}")
+    kept = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    clean = cp.keep_clean(spark, docs, SF).cache()
+    assert kept(clean) == kept(docs)  # no label is theirs, so nothing is learned
+    once = cp.drop_copies(spark, clean, SF).cache()
+    first = {}
+    for i, t in kept(clean):
+        g = normal(t)
+        first[g] = min(first.get(g, (i is None, i or 0)), (i is None, i or 0))
+    assert sorted(first.values()) == sorted((r.doc_id is None, r.doc_id or 0) for r in once.collect()) and {normal(r.text) for r in once.collect()} == set(first)
+    single = cp.drop_near_copies(spark, once, SF).cache()
+    by_text = brute([(n, t) for n, (_, t) in enumerate(kept(once))], 5, 80)
+    assert single.count() == len({least for _, _, least in by_text}) and {10**9 + 4, 10**9 + 6} <= {r.doc_id for r in single.collect()}
+    mixed = cp.mix_sources(spark, single, SF).cache()
+    assert {(r.doc_id, r.text) for r in mixed.collect()} <= {(r.doc_id, r.text) for r in single.collect()}
+    for stage in (clean, once, single, mixed):
+        assert stage.schema == docs.schema or stage.columns == docs.columns
+    packed = cp.pack_sequences(spark, mixed, SF)
+    assert packed.where("piece = 0").count() == mixed.count() and packed.agg(F.max("length")).first()[0] <= 2048
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline as cp
 
