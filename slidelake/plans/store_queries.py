@@ -40,7 +40,7 @@ def _write(files: DataFrame, folder: str) -> None:
                 os.replace(f.name, path)
             yield pd.DataFrame({"n": [len(b)]})
 
-    files.select("name", "body").mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    zarr.dealt(files.select("name", "body")).mapInPandas(run, "n long").agg(F.sum("n")).collect()
 
 
 def sidecar_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,16 @@ TEXTS = "store string, series string, dataset string, kind string, text string"
 CHUNKS = "store string, series string, dataset string, level int, ty long, tx long, c long, channels long, th long, tw long, px binary, error string"
 
 
+#: Bytes of pixels that a task holds before it hands them on.
+HELD = 32 << 20
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Short rows that name files, dealt out to all tasks: their own size says nothing about the work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def _names(text: str | None, of: Callable[[object], object]) -> list[str]:
     """The strings that a JSON text lists; none if it isn't JSON or of another shape."""
     try:
@@ -56,7 +66,7 @@ def metadata_texts(stores: DataFrame) -> DataFrame:
                     rows += [(store, series, d, "array", text(f"{store}/{series}/{d}/.zarray")) for d in datasets]
             yield pd.DataFrame([r for r in rows if r[4] is not None], columns=["store", "series", "dataset", "kind", "text"])
 
-    return stores.select("store").mapInPandas(read, TEXTS)
+    return dealt(stores.select("store")).mapInPandas(read, TEXTS)
 
 
 def multiscales(texts: DataFrame) -> DataFrame:
@@ -106,12 +116,21 @@ def chunk_tiles(levels: DataFrame) -> DataFrame:
     grid = grid.select("store", "series", "dataset", "level", "axes", F.to_json("array").alias("array"), "i_y", "i_x", "i_c")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in CHUNKS.split(", ")]
         for batch in batches:
-            yield pd.DataFrame([_tile(r) for r in batch.itertuples()], columns=[c.split()[0] for c in CHUNKS.split(", ")])
+            rows, size = [], 0
+            for r in batch.itertuples():
+                rows.append(_tile(r))
+                size += len(rows[-1][names.index("px")] or b"")
+                if size > HELD:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     zero = [F.lit(0).cast("long").alias(c) for c in ("ty", "tx", "c", "channels", "th", "tw")]
     broken = sizes.where("not sound").select("store", "series", "dataset", "level", *zero, F.lit(None).cast("binary").alias("px"), F.lit("ValueError: no array metadata, or of another shape than its axes").alias("error"))
-    return grid.mapInPandas(read, CHUNKS).unionByName(broken)
+    return dealt(grid).mapInPandas(read, CHUNKS).unionByName(broken)
 
 
 def _tile(r) -> tuple:
