@@ -37,7 +37,9 @@ def gather_channels(chunks: DataFrame, channels: int = 3) -> DataFrame:
 
     keys = ["store", "series", "dataset", "level", "ty", "tx"]
     one = chunks.where(F.col("channels") >= channels).mapInPandas(whole, GATHERED)
-    several = chunks.where(F.col("channels") < channels).groupBy(*keys).applyInPandas(stack, GATHERED)
+    tasks = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.sparkSession.sparkContext.defaultParallelism)
+    # a number of its own keeps small planes of many tiles from ending up in one task
+    several = chunks.where(F.col("channels") < channels).repartition(tasks, *keys).groupBy(*keys).applyInPandas(stack, GATHERED)
     return one.unionByName(several)
 
 
