@@ -81,6 +81,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("class_js", F.round("class_js", 6)).withColumn("word_js", F.round("word_js", 6))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slidelake.llm.spelling import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage, by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
@@ -88,7 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express."""
-    return {"op2_mixing": OP2, "op3_ngram_join": OP3, "op4_warc": OP4, "op8_exact_dedup": OP8, "op10_quality": OP10}
+    return {"op2_mixing": OP2, "op3_ngram_join": OP3, "op4_warc": OP4, "op8_exact_dedup": OP8, "op10_quality": OP10, "op11_spelling": OP11}
 
 
 OP2 = r"""
@@ -188,3 +194,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        round(class_js, 6) AS class_js, round(word_js, 6) AS word_js
 FROM k
 """
+
+
+# t: the table of the CRC-32; b: what is summed; v: words without one code point
+OP11 = r"""
+WITH t AS MATERIALIZED (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+b AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM r GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(4294967295, list_reduce(range(0, length(h), 2), lambda c, i: xor(c >> 8, t.t[xor(c & 255, CAST('0x' || substr(h, i + 1, 2) AS BIGINT)) + 1]), 4294967295)) AS h FROM b, t),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h) x
+      WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+v AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near FROM v a JOIN v b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+      UNION SELECT v.word, w.word FROM v JOIN w ON v.d = w.word UNION SELECT w.word, v.word FROM v JOIN w ON v.d = w.word),
+g AS (SELECT p.word, count(*) AS n_near, min({'n': -w.n, 'near': near}) AS best FROM p JOIN w ON w.word = near GROUP BY p.word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 2 * w.n THEN best.near END AS form, CASE WHEN -best.n >= 2 * w.n THEN -best.n END AS form_n FROM w LEFT JOIN g USING (word)),
+c AS (WITH RECURSIVE y(word, now) AS (SELECT word, word FROM f UNION SELECT y.word, f.form FROM y JOIN f ON f.word = y.now WHERE f.form IS NOT NULL)
+      SELECT y.word, y.now AS root FROM y JOIN f ON f.word = y.now WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN c USING (word)
+"""
