@@ -87,6 +87,18 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slidelake.llm.centroids import clusters, whole_vectors
+
+    return clusters(whole_vectors(_table(spark, sf_dir, "embeddings")), k=8, rounds=10, seed=3)
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slidelake.llm.languages import language_of
+
+    return language_of(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage, by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
@@ -94,7 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express."""
-    return {"op2_mixing": OP2, "op3_ngram_join": OP3, "op4_warc": OP4, "op8_exact_dedup": OP8, "op10_quality": OP10, "op11_spelling": OP11}
+    return {"op2_mixing": OP2, "op3_ngram_join": OP3, "op4_warc": OP4, "op8_exact_dedup": OP8, "op10_quality": OP10, "op11_spelling": OP11, "op12_centroids": op12_sql()}
 
 
 OP2 = r"""
@@ -213,3 +225,21 @@ c AS (WITH RECURSIVE y(word, now) AS (SELECT word, word FROM f UNION SELECT y.wo
       SELECT y.word, y.now AS root FROM y JOIN f ON f.word = y.now WHERE f.form IS NULL)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN c USING (word)
 """
+
+
+def op12_sql(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """The rounds written out: ci the centroids, ai the assignment to them."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"d{i} AS (SELECT v.row, v.x, c.c, CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{i} c)")
+        steps.append(f"a{i} AS MATERIALIZED (SELECT row, min({{'d': d, 'c': c}}) AS b FROM d{i} GROUP BY row)")
+        if i < rounds:
+            steps.append(f"s{i} AS (SELECT b.c AS c, j, floor(sum(x[j]) / count(*)) AS m FROM a{i} JOIN v USING (row), range(1, 65) z(j) GROUP BY ALL)")
+            steps.append(f"m{i} AS (SELECT c, list(CAST(m AS BIGINT) ORDER BY j) AS x FROM s{i} GROUP BY c)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.x, o.x) AS x FROM c{i} o LEFT JOIN m{i} m USING (c))")
+    return f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS y FROM embeddings WHERE len(embedding) = 64),
+v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(y, lambda z: CAST(floor(1024 * z) AS BIGINT)) AS x FROM e WHERE len(list_filter(y, lambda z: isfinite(z))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c, x FROM v QUALIFY c < {k}),
+{", ".join(steps)}
+SELECT vec_id, CAST(b.c AS INT) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (row) JOIN c{rounds} c ON c.c = b.c"""

@@ -15,8 +15,8 @@ from slidelake.llm.shared import Work, small
 LETTERS = "[a-zÀ-ÿ]+"
 #: Words of one shared beginning that make a list of their own; longer lists are cut to parts.
 LIST = 50_000
-#: Words whose matrix rows are followed at a time; rows of sorted lists that a task holds.
-QUERIES, HELD = 20_000, 60_000
+#: Words whose matrix rows are followed at a time; rows of sorted lists that a task holds, and that it goes through.
+QUERIES, HELD, PER_TASK = 20_000, 60_000, 150_000
 PAIRS = "word string, near string, near_n long"
 
 
@@ -63,7 +63,7 @@ def one_edit_pairs(groups: np.ndarray, prefix: np.ndarray, words: list[str], tar
     """Row numbers (query, target) of words of one group that differ by exactly one edit.
 
     Rows are sorted by group and word, and the words of a group share their first `prefix`
-    code points. The targets' edit matrices are filled level by level: neighbours in the sorted
+    code points and are longer. The targets' edit matrices are filled level by level: neighbours in the sorted
     list that share d code points (their LCP) share the first d rows, which are computed once
     for the range of all words with that beginning. Rows are three cells wide, for one edit
     needs no more. A range is left as soon as its row has no cell of 0 or 1.
@@ -173,7 +173,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
             out.append((a, b, int(n[j])))
         return pd.DataFrame(out, columns=["word", "near", "near_n"])
 
-    lists = _lists(words).repartition("beginning", "part").sortWithinPartitions("beginning", "part", "word")
+    # by count, since a row's work says more than its size
+    spark = words.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * words.count() // PER_TASK)
+    lists = _lists(words).repartition(tasks, "beginning", "part").sortWithinPartitions("beginning", "part", "word")
     return lists.mapInPandas(scan, PAIRS)
 
 
