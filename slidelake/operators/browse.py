@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidelake.functions.contract import KEY, SLIDES
@@ -59,9 +59,13 @@ def facets(slides: DataFrame, directory: str | None = None) -> DataFrame:
     return every.union(values).orderBy("facet", "first", "sort_key", "value").drop("first")
 
 
-def shown_of_total(slides: DataFrame, directory: str | None = None, chosen: dict[str, str] | None = None) -> DataFrame:
-    """One row: shown, total and status, in one pass over the root's rows."""
-    counts = in_directory(slides, directory).agg(F.count_if(facet_filter(chosen or {})).alias("shown"), F.count("*").alias("total"))
+def shown_of_total(slides: DataFrame, directory: str | None = None, chosen: dict[str, str] | None = None, each: Column | None = None) -> DataFrame:
+    """One row: shown, total and status, in one pass over the root's rows; each: how many entries a row stands for."""
+    if each is None:
+        found = F.count_if(facet_filter(chosen or {})), F.count("*")
+    else:
+        found = (F.coalesce(F.sum(x), F.lit(0)) for x in (F.when(facet_filter(chosen or {}), each), each))
+    counts = in_directory(slides, directory).agg(*[x.alias(name) for x, name in zip(found, ("shown", "total"))])
     status = F.when(F.col("shown") == F.col("total"), F.format_string("%d slides", "shown")).otherwise(F.format_string("%d of %d slides", "shown", "total"))
     return counts.withColumn("status", status)
 

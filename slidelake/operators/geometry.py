@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidelake.sources.formats import base_name
-from slidelake.sources.zarr import arrays, multiscales
+from slidelake.sources.zarr import array_of, multiscales
 
 # Names of a slide's own thumbnails, which aren't scenes.
 THUMBNAILS = ("label image", "macro image")
@@ -37,8 +37,7 @@ def image_series(texts: DataFrame) -> DataFrame:
 
 def zarr_geometry(texts: DataFrame) -> DataFrame:
     """Geometry of stores from their metadata texts; origin 0, size by axis name."""
-    scenes = image_series(texts).withColumn("dataset", F.col("datasets")[0]["path"])
-    scenes = scenes.join(arrays(texts), ["store", "series", "dataset"], "left")
+    scenes = image_series(texts).withColumn("array", array_of("datasets[0].path"))
     at = lambda what, axis: F.try_element_at(what, F.nullif(F.array_position("axes", axis), F.lit(0)).cast("int"))
     scale = F.col("datasets")[0]["coordinateTransformations"][0]["scale"]
     size, uneven = pixel_size(at(scale, "x"), at(scale, "y"))
@@ -50,8 +49,8 @@ def zarr_geometry(texts: DataFrame) -> DataFrame:
 
 def zarr_levels(texts: DataFrame) -> DataFrame:
     """(store, scene, series, level, dataset, axes, array): one row per stored level."""
-    scenes = image_series(texts).select("store", "series", "scene", "axes", F.posexplode("datasets").alias("level", "d"))
-    return scenes.withColumn("dataset", F.col("d.path")).drop("d").join(arrays(texts), ["store", "series", "dataset"], "left")
+    scenes = image_series(texts).select("store", "series", "scene", "axes", "arrays", F.posexplode("datasets").alias("level", "d")).withColumn("dataset", F.col("d.path"))
+    return scenes.select("store", "series", "dataset", "scene", "axes", "level", array_of("dataset").alias("array"))
 
 
 def open_slides(slides: DataFrame, geometry: DataFrame) -> DataFrame:

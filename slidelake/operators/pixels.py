@@ -1,46 +1,22 @@
-"""Tile pixels: channels gathered, colours and sizes normalised, levels built."""
+"""Tile pixels: colours and sizes normalised, levels built, sums taken."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GATHERED = "store string, series string, dataset string, level int, ty long, tx long, th long, tw long, px binary, error string"
-LEVEL = "path string, scene long, level int, ty long, tx long, th long, tw long, px binary"
-
-
-def gather_channels(chunks: DataFrame, channels: int = 3) -> DataFrame:
-    """Tiles of (h, w, c) bytes from chunk planes.
-
-    A chunk that has all channels is turned round where it is; only where channels lie in
-    several chunks are those of a tile brought together. One bad chunk makes its tile an error.
-    """
+from slidelake.operators.pyramid import n_levels
+from slidelake.sources import storage
 
-    def turn(px: bytes, c: int, h: int, w: int) -> bytes:
-        return np.moveaxis(np.frombuffer(px, np.uint8).reshape(c, h, w), 0, -1).tobytes()
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            px = [None if p is None else turn(p, int(c), int(h), int(w)) for p, c, h, w in zip(b["px"], b["channels"], b["th"], b["tw"])]
-            yield b.assign(px=px).drop(columns=["c", "channels"])
-
-    def stack(b: pd.DataFrame) -> pd.DataFrame:
-        b, first = b.sort_values("c"), b.iloc[:1].copy()
-        errors = b["error"].dropna()
-        h, w = int(first["th"].iloc[0]), int(first["tw"].iloc[0])
-        joined = None if len(errors) else turn(b"".join(b["px"]), int(b["channels"].sum()), h, w)
-        return first.assign(px=[joined], error=[errors.iloc[0] if len(errors) else None]).drop(columns=["c", "channels"])
-
-    keys = ["store", "series", "dataset", "level", "ty", "tx"]
-    one = chunks.where(F.col("channels") >= channels).mapInPandas(whole, GATHERED)
-    tasks = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.sparkSession.sparkContext.defaultParallelism)
-    # a number of its own keeps small planes of many tiles from ending up in one task
-    several = chunks.where(F.col("channels") < channels).repartition(tasks, *keys).groupBy(*keys).applyInPandas(stack, GATHERED)
-    return one.unionByName(several)
+#: Bytes of pixels that a task holds before it hands them on.
+HELD = 32 << 20
+LEVEL = "path string, scene long, level int, ty long, tx long, th long, tw long, px binary"
 
 
 def normalise(tiles: DataFrame) -> DataFrame:
@@ -66,49 +42,120 @@ def normalise(tiles: DataFrame) -> DataFrame:
     return tiles.mapInPandas(run, tiles.schema)
 
 
-def next_level(tiles: DataFrame, tile: int) -> DataFrame:
-    """The level above: (h, w, 3) tiles of one level, four to one, by the mean of 2 x 2 pixels.
+def _mean(tiles: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+    """One (h, w, c) image of the means of 2 x 2 pixels of up to four tiles (ty, tx, pixels) that lie in a square."""
+    grid = {(y % 2, x % 2): image for y, x, image in tiles}
+    rows = [np.concatenate([grid[y, x] for x in (0, 1) if (y, x) in grid], axis=1) for y in (0, 1) if (y, 0) in grid]
+    image = np.concatenate(rows, axis=0).astype(np.int64)
+    h, w = image.shape[:2]
+    odd = np.pad(image, ((0, h % 2), (0, w % 2), (0, 0)))
+    count = np.pad(np.ones((h, w, 1), np.int64), ((0, h % 2), (0, w % 2), (0, 0)))
+    add = lambda a: a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2]
+    n = add(count)
+    return ((2 * add(odd) + n) // (2 * n)).astype(np.uint8)
+
+
+@dataclass
+class _Tile:
+    path: str
+    scene: int
+    level: int
+    ty: int
+    tx: int
+    image: np.ndarray
+    n_levels: int
+
+    def row(self) -> tuple:
+        return (self.path, self.scene, self.level, self.ty, self.tx, *self.image.shape[:2], self.image.tobytes(), self.n_levels)
+
 
-    ty and tx count tiles. Means are rounded half up; an odd last row or column is averaged
-    alone. At most four tiles meet in a group.
+def morton(y: str, x: str, bits: int = 20) -> Column:
+    """The bits of two numbers in turn: tiles of one square, of any power of two, follow one another."""
+    return F.expr(f"aggregate(sequence(0, {bits - 1}), 0L, (m, i) -> m | shiftleft(shiftright({x}, i) & 1, 2 * i) | shiftleft(shiftright({y}, i) & 1, 2 * i + 1))")
+
+
+def levels_above(tiles: DataFrame, up: int) -> DataFrame:
+    """The next `up` levels above (h, w, 3) tiles of one level, by the mean of 2 x 2 pixels; rows of LEVEL and n_levels.
+
+    tiles: LEVEL and n_levels, at which a slide ends. Means are rounded half up; an odd last row
+    or column is averaged alone, and each level is the mean of the one below. The squares of
+    2**up x 2**up tiles are dealt out by one shuffle and read in the order of their Morton
+    numbers, so a task holds up to four tiles of each level, however many it makes.
     """
+    columns = [c.split()[0] for c in LEVEL.split(", ")] + ["n_levels"]
+
+    def raised(children: Iterator[_Tile]) -> Iterator[_Tile]:
+        """Of each four tiles that come together their parent; a slide's last tile goes through."""
+        for key, four in groupby(children, lambda t: (t.path, t.scene, t.level, t.ty // 2, t.tx // 2)):
+            four = list(four)
+            if four[0].level + 1 >= four[0].n_levels:
+                yield from four
+                continue
+            parent = _Tile(key[0], key[1], key[2] + 1, key[3], key[4], _mean([(t.ty, t.tx, t.image) for t in four]), four[0].n_levels)
+            made.append(parent.row())
+            yield parent
+
+    made: list[tuple] = []
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def read() -> Iterator[_Tile]:
+            for b in batches:
+                for r in b.itertuples():
+                    yield _Tile(r.path, r.scene, int(r.level), int(r.ty), int(r.tx), np.frombuffer(r.px, np.uint8).reshape(int(r.th), int(r.tw), 3), int(r.n_levels))
+
+        made.clear()
+        top = read()
+        for _ in range(up):
+            top = raised(top)
+        held = done = 0
+        for _ in top:
+            held, done = held + sum(len(row[7]) for row in made[done:]), len(made)
+            if held > HELD:
+                yield pd.DataFrame(made, columns=columns)
+                made.clear()
+                held = done = 0
+        yield pd.DataFrame(made, columns=columns)
+
+    square = [F.shiftright("ty", up).alias("gy"), F.shiftright("tx", up).alias("gx")]
+    dealt = tiles.where("n_levels > level + 1").select(*columns).repartition(storage.tasks(tiles.sparkSession), "path", "scene", *square)
+    return dealt.sortWithinPartitions("path", "scene", morton("ty", "tx")).mapInPandas(build, f"{LEVEL}, n_levels int")
 
-    def box(b: pd.DataFrame) -> pd.DataFrame:
-        first, grid = b.iloc[0], {(int(y) % 2, int(x) % 2): np.frombuffer(p, np.uint8).reshape(int(h), int(w), 3) for y, x, h, w, p in zip(b["ty"], b["tx"], b["th"], b["tw"], b["px"])}
-        rows = [np.concatenate([grid[y, x] for x in (0, 1) if (y, x) in grid], axis=1) for y in (0, 1) if (y, 0) in grid]
-        image = np.concatenate(rows, axis=0).astype(np.int64)
-        h, w = image.shape[:2]
-        odd = np.pad(image, ((0, h % 2), (0, w % 2), (0, 0)))
-        count = np.pad(np.ones((h, w, 1), np.int64), ((0, h % 2), (0, w % 2), (0, 0)))
-        add = lambda a: a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2]
-        n = add(count)
-        mean = ((2 * add(odd) + n) // (2 * n)).astype(np.uint8)
-        return pd.DataFrame([(first["path"], first["scene"], first["level"] + 1, first["ty"] // 2, first["tx"] // 2, mean.shape[0], mean.shape[1], mean.tobytes())], columns=[c.split()[0] for c in LEVEL.split(", ")])
 
-    keyed = tiles.select("path", "scene", "level", "ty", "tx", "th", "tw", "px")
-    return keyed.groupBy("path", "scene", "level", F.expr("ty div 2").alias("gy"), F.expr("tx div 2").alias("gx")).applyInPandas(lambda key, b: box(b), LEVEL)
+def next_level(tiles: DataFrame, tile: int) -> DataFrame:
+    """The level above tiles of one level (LEVEL), four to one; of slides that have one tile only, too."""
+    return levels_above(tiles.withColumn("n_levels", F.col("level") + 2), 1).drop("n_levels")
 
 
-def build_pyramid(level0: DataFrame, n_levels: int, tile: int, folder: str) -> list[str]:
-    """Writes levels 1, 2, ... one after the other from level 0; gives their folders.
+def build_pyramid(level0: DataFrame, tile: int, folder: str, geometry: DataFrame | None = None, up: int = 3) -> list[str]:
+    """Writes the levels above level 0 of all slides, `up` of them in a pass; gives the passes' folders (LEVEL).
 
-    Each level is read back from its files, so no level is computed twice.
+    A slide ends at its own last level, the first that fits one tile. Sizes come from geometry
+    (path, scene, width, height), or from the tiles, which are then read twice. Each pass reads
+    back the highest level of the one before, so no level is computed twice; there are as many
+    passes as the largest slide's levels need.
     """
-    spark, paths, now = level0.sparkSession, [], level0
-    for level in range(1, n_levels):
-        paths.append(f"{folder}/level={level}")
-        next_level(now, tile).write.parquet(paths[-1])
-        now = spark.read.schema(LEVEL).parquet(paths[-1])
+    spark, paths = level0.sparkSession, []
+    if geometry is None:
+        sizes = level0.groupBy("path", "scene").agg(F.max(F.col("tx") * tile + F.col("tw")).alias("width"), F.max(F.col("ty") * tile + F.col("th")).alias("height"))
+    else:
+        sizes = geometry.select("path", F.col("scene").cast("long").alias("scene"), "width", "height")
+    sizes = storage.stored(sizes.select("path", "scene", n_levels(tile=tile).alias("n_levels")), f"{folder}/sizes")
+    n, most = sizes.agg(F.count("*"), F.coalesce(F.max("n_levels"), F.lit(0))).first()
+    now = level0.join(F.broadcast(sizes) if n <= 100_000 else sizes, ["path", "scene"])
+    for level in range(0, most - 1, up):
+        paths.append(f"{folder}/above={level}")
+        made = storage.stored(levels_above(now, min(up, most - 1 - level)), paths[-1])
+        now = made.where(F.col("level") == level + up)
     return paths
 
 
-def channel_sums(tiles: DataFrame) -> DataFrame:
-    """Adds sum_r, sum_g and sum_b of each tile's pixels."""
+def channel_sums(tiles: DataFrame, channels: str = "rgb") -> DataFrame:
+    """In place of px the sums of each tile's pixels, sum_r, sum_g and sum_b for the channels r, g and b; null without pixels."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sums = [np.frombuffer(p, np.uint8).reshape(-1, 3).sum(0, dtype=np.int64) if p is not None else [None] * 3 for p in b["px"]]
-            yield b.drop(columns="px").assign(**{f"sum_{c}": [s[i] for s in sums] for i, c in enumerate("rgb")})
+            sums = [np.frombuffer(p, np.uint8).reshape(-1, len(channels)).sum(0, dtype=np.int64) if p is not None else [None] * len(channels) for p in b["px"]]
+            yield b.drop(columns="px").assign(**{f"sum_{c}": pd.array([s[i] for s in sums], "Int64") for i, c in enumerate(channels)})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema if f.name != "px")
-    return tiles.mapInPandas(run, f"{schema}, sum_r long, sum_g long, sum_b long")
+    return tiles.mapInPandas(run, f"{schema}, {', '.join(f'sum_{c} long' for c in channels)}")

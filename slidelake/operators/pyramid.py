@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slidelake.operators.geometry import open_slides
+from slidelake.sources import storage
 from slidelake.sources.formats import dispatch
 
 #: Edge of a tile in pixels of its level.
@@ -24,19 +25,42 @@ def levels(geometry: DataFrame, tile: int = TILE) -> DataFrame:
     return rows.withColumn("level_w", F.expr("(width + ds - 1) div ds")).withColumn("level_h", F.expr("(height + ds - 1) div ds"))
 
 
-def tiles(level_rows: DataFrame, tile: int = TILE, spread: bool = False) -> DataFrame:
+def tiles(level_rows: DataFrame, tile: int = TILE) -> DataFrame:
     """One row per tile: place and size in its level; edge tiles are short.
 
-    Scenes without area have no tiles. `spread` deals the rows of tiles out evenly before they
-    are cut to tiles, for slides of very different sizes.
+    Scenes without area have no tiles. A row's tiles stay in its task; see even_tiles for slides
+    of very different sizes.
     """
     rows = level_rows.where("level_w > 0 and level_h > 0").withColumn("y", F.explode(F.expr(f"sequence(0L, level_h - 1, {tile}L)")))
-    if spread:
-        rows = rows.repartition("path", "scene", "level", "y")
     cells = rows.withColumn("x", F.explode(F.expr(f"sequence(0L, level_w - 1, {tile}L)")))
     return cells.withColumn("th", F.expr(f"least({tile}L, level_h - y)")).withColumn("tw", F.expr(f"least({tile}L, level_w - x)"))
 
 
+def even_tiles(geometry: DataFrame, tile: int = TILE, tasks: int | None = None, ranges: int = 8) -> DataFrame:
+    """The rows of tiles(levels(geometry)), dealt out so that all tasks make about as many tiles.
+
+    Tiles are numbered by slide, level, row and column. How many there are follows from the
+    sizes, level by level, so the numbers are cut to ranges of equal length, about `ranges` for
+    each task, and these are dealt out in turn; only then is a number turned into its level, y
+    and x. Counts the tiles of all slides in one pass first.
+    """
+    tasks = tasks or storage.tasks(geometry.sparkSession)
+    sized = geometry.where("width > 0 and height > 0").withColumn("levels", n_levels(tile=tile))
+    across = lambda side, i: f"((({side} + shiftleft(1L, {i}) - 1) div shiftleft(1L, {i})) + {tile - 1}) div {tile}"
+    # tiles up to the end of each level
+    ends = f"""transform(sequence(0, levels - 1), i -> aggregate(sequence(0, i), 0L, (n, k) -> n + ({across('width', 'k')}) * ({across('height', 'k')})))"""
+    sized = sized.withColumn("ends", F.expr(ends)).withColumn("n_tiles", F.element_at("ends", -1))
+    total = sized.agg(F.coalesce(F.sum("n_tiles"), F.lit(0))).first()[0]
+    parts = storage.cut(sized, F.col("n_tiles"), max(1, -(-total // (tasks * ranges)))).repartition(tasks)
+    numbers = parts.withColumn("tile", F.explode(F.expr("sequence(first, last)"))).drop("first", "last")
+    rows = numbers.withColumn("level", F.expr("size(filter(ends, e -> e <= tile))")).withColumn("ds", F.expr("shiftleft(1L, level)"))
+    rows = rows.withColumn("level_w", F.expr("(width + ds - 1) div ds")).withColumn("level_h", F.expr("(height + ds - 1) div ds"))
+    rows = rows.withColumn("place", F.expr("tile - if(level = 0, 0L, ends[level - 1])")).withColumn("columns", F.expr(f"(level_w + {tile - 1}) div {tile}"))
+    rows = rows.withColumn("y", F.expr(f"(place div columns) * {tile}L")).withColumn("x", F.expr(f"(place % columns) * {tile}L"))
+    rows = rows.withColumn("th", F.expr(f"least({tile}L, level_h - y)")).withColumn("tw", F.expr(f"least({tile}L, level_w - x)"))
+    return rows.drop("levels", "ends", "n_tiles", "tile", "place", "columns")
+
+
 def regions(tile_rows: DataFrame) -> DataFrame:
     """Adds each tile's region in stage coordinates, which ends where the scene does."""
     return (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,44 +18,51 @@ def _allowed(words: tuple[str, ...]) -> str:
     return f"{', '.join(quoted[:-1])} or {quoted[-1]}"
 
 
-def _problem(name: str) -> F.Column:
-    """What is wrong with one field; null if nothing."""
-    value = f"fields['{name}']"
-    kind, absent = F.expr(f"schema_of_variant({value})"), ~F.map_contains_key("fields", F.lit(name))
-    null = kind.isNull() | (kind == "VOID")
-    text = F.expr(f"try_variant_get({value}, '$', 'string')")
+def _wrong(name: str) -> F.Column:
+    """Whether a field that is there is wrong."""
+    kind, text = F.col(f"fields.{name}.kind"), F.col(f"fields.{name}.text")
+    if name in WHOLE:
+        return whole_number(name).isNull()
+    if name in ENUMS:
+        return ~((kind == "STRING") & F.coalesce(text.isin(*ENUMS[name]), F.lit(False)))
+    return ~kind.isin("STRING", "VOID") if name in ("original_name", "directory") else kind != "STRING"
+
+
+def _message(name: str) -> F.Column:
+    """What to say of a wrong field."""
+    kind = F.col(f"fields.{name}.kind")
     if name in WHOLE:
         said = "Input should be a valid integer"
-        why = (
+        return (
             F.when(kind == "STRING", f"{said}, unable to parse string as an integer")
             .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), f"{said}, got a number with a fractional part")
             .otherwise(said)
         )
-        wrong = F.when(whole_number(value).isNull(), why)
-    elif name in ENUMS:
-        wrong = F.when((kind == "STRING") & text.isin(*ENUMS[name]), F.lit(None)).otherwise(f"Input should be {_allowed(ENUMS[name])}")
-    else:
-        fine = (kind == "STRING") | null if name in ("original_name", "directory") else kind == "STRING"
-        wrong = F.when(~F.coalesce(fine, F.lit(False)), "Input should be a valid string")
-    missing = F.lit(None) if name in OPTIONAL else F.lit("Field required")
-    return F.when(absent, missing).otherwise(wrong)
+    return F.lit(f"Input should be {_allowed(ENUMS[name])}" if name in ENUMS else "Input should be a valid string")
 
 
 def check(scenes: DataFrame) -> DataFrame:
-    """The records with problems: 'field: message' of every bad field, joined by '; ', or null."""
-    found = F.filter(F.array(*[F.concat(F.lit(f"{c}: "), _problem(c)) for c in COLUMNS]), lambda p: p.isNotNull())
-    problems = F.when(F.size(found) > 0, F.concat_ws("; ", found))
-    return scenes.withColumn("problems", F.when(F.col("reject").isNotNull(), F.col("reject")).otherwise(problems))
+    """The records with valid, and problems: 'field: message' of every bad field, joined by '; ', or null.
+
+    Both follow from the fields' kinds and texts, which records() has read; a filter by valid
+    makes no message.
+    """
+    absent = lambda c: F.col(f"fields.{c}.kind").isNull()
+    bad = lambda c: F.when(absent(c), F.lit(c not in OPTIONAL)).otherwise(_wrong(c))
+    said = lambda c: F.when(bad(c), F.concat(F.lit(f"{c}: "), F.when(absent(c), F.lit("Field required")).otherwise(_message(c))))
+    valid = F.when(F.col("reject").isNotNull(), F.lit(False)).otherwise(~reduce(or_, map(bad, COLUMNS)))
+    checked = scenes.withColumn("valid", valid)
+    return checked.withColumn("problems", F.when(~valid, F.coalesce(F.col("reject"), F.concat_ws("; ", *map(said, COLUMNS)))))
 
 
 def file_of(checked: DataFrame) -> F.Column:
     """The record's file for messages, or its sidecar if it has none."""
-    return F.coalesce(F.expr("try_variant_get(fields['file'], '$', 'string')"), F.col("sidecar_path"))
+    return F.coalesce(F.col("fields.file.text"), F.col("sidecar_path"))
 
 
 def first_problem(checked: DataFrame) -> DataFrame:
     """The first bad record in path order, as (file, problems); a top-1, not a full sort."""
-    bad = checked.where("problems is not null")
+    bad = checked.where("not valid")
     return bad.orderBy(path_order(), "sidecar_path", "pos").limit(1).select(file_of(bad).alias("file"), "problems")
 
 
@@ -64,9 +74,9 @@ def require_valid(checked: DataFrame) -> None:
 
 def gate(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) records."""
-    return checked.where("problems is null"), checked.where("problems is not null")
+    return checked.where("valid"), checked.where("not valid")
 
 
 def gate_counts(checked: DataFrame) -> DataFrame:
     """One row: records, valid and rejected; what a check without a build reports."""
-    return checked.agg(F.count("*").alias("records"), F.count_if(F.col("problems").isNull()).alias("valid"), F.count("problems").alias("rejected"))
+    return checked.agg(F.count("*").alias("records"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("rejected"))

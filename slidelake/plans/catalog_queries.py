@@ -278,6 +278,14 @@ _TILE = """tl AS (SELECT *, least(2048, level_h - y) AS th, least(2048, level_w
 TILE_GRID = f"WITH {fx.RECTS_SQL}, {_LEVEL}, {_TILE} SELECT path, scene, level, y, x, th, tw FROM tl"
 
 
+def tile_grid_even(spark, sf_dir):
+    """The same tiles, cut evenly to tasks."""
+    return pyramid.even_tiles(_geometry(spark, sf_dir)).select("path", "scene", "level", "y", "x", "th", "tw")
+
+
+TILE_GRID_EVEN = TILE_GRID
+
+
 def tile_regions(spark, sf_dir):
     return pyramid.regions(_tiles(spark, sf_dir)).select("path", "scene", "level", "y", "x", "roi_x", "roi_y", "roi_w", "roi_h")
 
@@ -408,7 +416,7 @@ FROM f LEFT JOIN headers h ON f.path = h.path WHERE k IS NULL OR k % 13 = 0"""
 
 _NAMES = """summary scene_records scene_override_null last_wins replace_directory stale_schema build_counts distinct_slides_exact
 validation_report validation_first validation_gate browse browse_filtered facets shown_of_total sql_dose_over_200 path_order reader_dispatch
-scene_geometry pixel_size open_slides broken_references layer_names level_table tile_grid tile_regions zarr_geometry zarr_levels
+scene_geometry pixel_size open_slides broken_references layer_names level_table tile_grid tile_grid_even tile_regions zarr_geometry zarr_levels
 tile_normalize pyramid_build probe_axes probe_scenes probe_czi probe_tiff probe_series probe_failures""".split()
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slidelake.sources import storage
+
 # Suffixes with a reader; suffixes of slide files, with the scanner's vendor.
 READERS = (".czi", ".zarr")
 VENDORS = {
@@ -51,9 +57,19 @@ def classify(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length) of a folder's own slide files, in path order; their content is never read.
+    """(path, length) of a folder's own slide files, in path order; hidden and empty ones, too.
 
-    Empty files and names that begin with '.' or '_' are left out, as Spark's listing does.
+    folder is a path or URI that the executors can list. Content is never read.
     """
-    files = spark.read.format("binaryFile").load(folder).select("path", "length")
+    folder = folder.rstrip("/") or "/"
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for base in rows["folder"]:
+                system, name = storage.opened(base)
+                found = [x for x in system.get_file_info(fs.FileSelector(name)) if x.is_file]
+                for at in range(0, len(found), 5_000):
+                    yield pd.DataFrame({"path": [f"{base.rstrip('/')}/{x.base_name}" for x in found[at : at + 5_000]], "length": [x.size for x in found[at : at + 5_000]]})
+
+    files = spark.createDataFrame([(folder,)], "folder string").mapInPandas(entries, "path string, length long")
     return files.where(last_suffix().isin(*VENDORS)).orderBy(F.split("path", "/"))

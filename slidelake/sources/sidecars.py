@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyarrow import fs
@@ -11,61 +12,80 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidelake.functions.contract import COLUMNS, SIDECARS, WHOLE
+from slidelake.sources import storage
 
 
-def list_sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """(directory, sidecar_path) of every *.json file below a folder; also hidden ones, but none within image stores.
+#: Rows of a listing.
+ENTRIES = "path string, length long, is_folder boolean"
+
+
+def list_folders(folders: DataFrame) -> DataFrame:
+    """(path, length, is_folder) of what folders (column path) hold: sidecars, and folders but for image stores and links.
 
-    Listed by the executors, all folders of one depth at a time; root is a path or a URI.
+    The folders are dealt out to all tasks; a folder's entries are handed on some thousands at a
+    time, however wide it is.
     """
-    root = root.rstrip("/") if "://" in root else os.path.abspath(root)
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in ENTRIES.split(", ")]
         for rows in batches:
             found = []
             for folder in rows["path"]:
-                system, base = _opened(folder)
+                system, base = storage.opened(folder)
                 for x in system.get_file_info(fs.FileSelector(base, allow_not_found=True)):
                     is_folder = x.type == fs.FileType.Directory
                     if is_folder and not x.base_name.endswith(".zarr") and not os.path.islink(x.path) or x.is_file and x.base_name.endswith(".json"):
-                        found.append((f"{folder}/{x.base_name}", is_folder))
-            yield pd.DataFrame(found, columns=["path", "is_folder"])
-
-    depth, files = spark.createDataFrame([(root,)], "path string"), None
-    while not depth.isEmpty():
-        below = depth.mapInPandas(entries, "path string, is_folder boolean").persist()
-        some = below.where("not is_folder").select(F.lit(root).alias("directory"), F.col("path").alias("sidecar_path"))
-        files = some if files is None else files.union(some)
-        depth = below.where("is_folder").select("path")
-    return files
+                        found.append((f"{folder}/{x.base_name}", x.size or 0, is_folder))
+                    if len(found) >= 5_000:
+                        yield pd.DataFrame(found, columns=names)
+                        found = []
+            yield pd.DataFrame(found, columns=names)
 
+    return storage.dealt(folders).mapInPandas(entries, ENTRIES)
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path within it of a path or URI."""
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
+def list_sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """(directory, sidecar_path, length) of every *.json file below a folder; also hidden ones, but none within image stores.
 
-def scan_paths(paths: DataFrame, batch: int = 500) -> DataFrame:
+    root is a path or a URI. The folders of one depth are listed in all tasks, and what they
+    find is stored; its folders are the next depth's. So no folder is listed twice, and the
+    tables of the depths are deleted when the files' table is written.
+    """
+    root = root.rstrip("/") if "://" in root else os.path.abspath(root)
+    folder, depths = storage.run_folder(spark, "listing"), []
+    frontier = spark.createDataFrame([(root,)], "path string")
+    while not depths or not frontier.isEmpty():
+        depths.append(storage.stored(list_folders(frontier), f"{folder}/depth-{len(depths)}"))
+        frontier = depths[-1].where("is_folder").select("path")
+    files = [d.where("not is_folder").select(F.lit(root).alias("directory"), F.col("path").alias("sidecar_path"), "length") for d in depths]
+    found = storage.stored(reduce(DataFrame.union, files), f"{folder}/files")
+    for i in range(len(depths)):
+        storage.removed(spark, f"{folder}/depth-{i}")
+    return found
+
+
+def scan_paths(paths: DataFrame, batch: int = 500, size: int = 32 << 20) -> DataFrame:
     """Reads the files of a (directory, sidecar_path) table on the executors.
 
     Spark's own readers skip names that begin with '.' or '_', so files are opened by path.
-    About `batch` files make a task. A file that can't be read or isn't UTF-8 has a null text.
+    About `batch` files make a task, or `size` bytes where the table has their length. A file
+    that can't be read or isn't UTF-8 has a null text.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            texts = []
-            for path in rows["sidecar_path"]:
-                try:
-                    system, name = _opened(path)
-                    with system.open_input_stream(name) as f:
-                        texts.append(f.read().decode())
-                except (OSError, UnicodeDecodeError):
-                    texts.append(None)
-            yield rows.assign(text=texts)
+            for at in range(0, len(rows), 100):
+                some, texts = rows.iloc[at : at + 100], []
+                for path in some["sidecar_path"]:
+                    try:
+                        texts.append(storage.read(path).decode())
+                    except (OSError, UnicodeDecodeError):
+                        texts.append(None)
+                yield some.assign(text=texts)
 
-    tasks = max(1, -(-paths.count() // batch))
-    return paths.select("directory", "sidecar_path").repartition(tasks).mapInPandas(read, SIDECARS)
+    length = F.col("length") if "length" in paths.columns else F.lit(0)
+    n, total = paths.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first()
+    return paths.select("directory", "sidecar_path").repartition(max(1, -(-n // batch), -(-total // size))).mapInPandas(read, SIDECARS)
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -78,12 +98,18 @@ def path_order(path: str = "sidecar_path") -> F.Column:
     return F.split(path, "/")
 
 
+def _read_value(value: str) -> str:
+    """SQL that reads a variant: its kind, and its text. Everything else follows from these two."""
+    return f"named_struct('kind', coalesce(schema_of_variant({value}), 'VOID'), 'text', try_variant_get({value}, '$', 'string'))"
+
+
 def records(sidecars: DataFrame) -> DataFrame:
-    """One row per scene: directory, sidecar_path, pos, reject, fields (a map of variants).
+    """One row per scene: directory, sidecar_path, pos, reject, fields (kind and text of each column's value).
 
     An absent or empty scenes list gives one scene 0. An entry overrides the slide's fields
     key by key, explicit nulls included; what neither names keeps the entry's position as its
     scene. A sidecar that can't be taken apart gives one row with a reason in reject instead.
+    What no one names has a null kind.
     """
     parsed = sidecars.withColumn("m", F.from_json("text", "map<string,variant>"))
     # of a key that occurs twice the last value counts
@@ -101,40 +127,44 @@ def records(sidecars: DataFrame) -> DataFrame:
         .when(~none & (F.col("entries").isNull() | F.exists("entries", lambda e: e.isNull())), "scenes is not a list of objects")
     )
     parsed = parsed.withColumn("reject", reject).withColumn("none", none)
-    relative = "substring(sidecar_path, length(directory) + 2)"
-    own = f"""map('file', cast(regexp_replace({relative}, '[^/]*$', '') || name AS variant),
-                  'directory', cast(directory AS variant), 'scene', cast(cast(pos AS bigint) AS variant))"""
-    parsed = parsed.withColumn("shared", F.expr("map_filter(m, (k, v) -> k NOT IN ('scenes', 'file', 'directory', 'scene'))"))
-    base = f"map_concat(shared, {own})"
-    merged = f"map_concat(map_filter({base}, (k, v) -> NOT map_contains_key(entry, k)), entry)"
+    # the slide's own fields, read once for all of its scenes
+    of_slide = [c for c in COLUMNS if c not in ("file", "directory", "scene")]
+    listed = ", ".join(f"'{c}'" for c in of_slide)
+    parsed = parsed.withColumn("shared", F.expr(f"transform(array({listed}), k -> if(map_contains_key(m, k), {_read_value('m[k]')}, null))"))
+    own = {
+        "file": "named_struct('kind', 'STRING', 'text', regexp_replace(substring(sidecar_path, length(directory) + 2), '[^/]*$', '') || name)",
+        "directory": "named_struct('kind', 'STRING', 'text', directory)",
+        "scene": "named_struct('kind', 'BIGINT', 'text', cast(pos AS string))",
+    } | {c: f"shared[{i}]" for i, c in enumerate(of_slide)}
+    # an entry is read only where it overrides; all before the explode, whose rows then carry the
+    # result: no later filter or projection reads a variant again
+    merged = ", ".join(f"'{c}', if(map_contains_key(entry, '{c}'), {_read_value(f"entry['{c}']")}, {own[c]})" for c in COLUMNS)
     no_map = "cast(map() AS map<string,variant>)"
-    # merged before the explode, whose rows then carry the result: no later filter computes it again
-    scenes = F.expr(f"""if(reject IS NOT NULL, array(cast(null AS map<string,variant>)),
-        transform(if(none, array({no_map}), entries), (entry, pos) -> {merged}))""")
+    scenes = F.expr(f"""if(reject IS NOT NULL, transform(array(0), x -> null),
+        transform(if(none, array({no_map}), entries), (entry, pos) -> named_struct({merged})))""")
     rows = parsed.select("directory", "sidecar_path", "reject", F.posexplode(scenes).alias("pos", "fields"))
     return rows.select("directory", "sidecar_path", F.col("pos").cast("long").alias("pos"), "reject", "fields")
 
 
-def whole_number(value: str) -> F.Column:
-    """A variant as a 64-bit integer by the contract's coercions; null if it isn't one.
+def whole_number(name: str) -> F.Column:
+    """A field as a 64-bit integer by the contract's coercions; null if it isn't one.
 
     Whole numbers, booleans and numeric strings (blanks around, a sign, single underscores
     between digits, a fraction of zeros) count.
     """
-    text = f"trim(BOTH ' \\t\\n\\r' FROM try_variant_get({value}, '$', 'string'))"
+    kind, text = f"fields.{name}.kind", f"fields.{name}.text"
+    trimmed = f"trim(BOTH ' \\t\\n\\r' FROM {text})"
     return F.expr(f"""CASE
-        WHEN schema_of_variant({value}) = 'BIGINT' THEN try_variant_get({value}, '$', 'bigint')
-        WHEN schema_of_variant({value}) = 'BOOLEAN' THEN cast(try_variant_get({value}, '$', 'boolean') AS bigint)
-        WHEN schema_of_variant({value}) = 'STRING' AND {text} RLIKE '^[+-]?[0-9]+(_[0-9]+)*([.]0+)?$'
-            THEN try_cast(regexp_replace(regexp_replace({text}, '[.]0+$', ''), '_', '') AS bigint)
-        WHEN schema_of_variant({value}) RLIKE '^(DECIMAL|DOUBLE|FLOAT)'
-            THEN if(try_variant_get({value}, '$', 'double') = floor(try_variant_get({value}, '$', 'double')) AND abs(try_variant_get({value}, '$', 'double')) < 9.2e18,
-                    try_cast(try_variant_get({value}, '$', 'double') AS bigint), null)
+        WHEN {kind} = 'BIGINT' THEN try_cast({text} AS bigint)
+        WHEN {kind} = 'BOOLEAN' THEN if({text} = 'true', 1L, 0L)
+        WHEN {kind} = 'STRING' AND {trimmed} RLIKE '^[+-]?[0-9]+(_[0-9]+)*([.]0+)?$'
+            THEN try_cast(regexp_replace(regexp_replace({trimmed}, '[.]0+$', ''), '_', '') AS bigint)
+        WHEN {kind} RLIKE '^(DECIMAL|DOUBLE|FLOAT)'
+            THEN if(try_cast({text} AS double) = floor(try_cast({text} AS double)) AND abs(try_cast({text} AS double)) < 9.2e18, try_cast(try_cast({text} AS double) AS bigint), null)
         END""")
 
 
 def project(scenes: DataFrame) -> DataFrame:
     """The contract's columns of records; absent ones are null, further keys are dropped."""
-    value = lambda c: f"fields['{c}']"
-    text = lambda c: F.expr(f"if(schema_of_variant({value(c)}) = 'STRING', try_variant_get({value(c)}, '$', 'string'), null)")
-    return scenes.select(*[(whole_number(value(c)) if c in WHOLE else text(c)).alias(c) for c in COLUMNS], "sidecar_path", "pos")
+    text = lambda c: F.when(F.col(f"fields.{c}.kind") == "STRING", F.col(f"fields.{c}.text"))
+    return scenes.select(*[(whole_number(c) if c in WHOLE else text(c)).alias(c) for c in COLUMNS], "sidecar_path", "pos")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slidelake.functions.contract import COLUMNS, SIDECARS
-from slidelake.operators import catalog, validate
+from slidelake.operators import browse, catalog, validate
 from slidelake.sources import sidecars
 
 GOOD = {"file": "a.czi", "species": "mouse", "substance": "s", "dose_mg_per_kg": 5, "animal_id": "A1", "stain": "he", "modality": "brightfield", "serial_block": "B1"}
@@ -116,13 +116,138 @@ def test_queries_keep_to_select_and_to_their_view(spark, tmp_path):
     good = spark.createDataFrame([("/d", "/d/a.json", json.dumps(GOOD))], SIDECARS)
     for _ in range(4):
         table.build(good, "/d")
-    assert len([p for p in tmp_path.iterdir() if p.name.startswith("snapshot-")]) == 2
+    assert len(list((tmp_path / "versions").glob("0*.json"))) == len(list((tmp_path / "rows").glob("*/part=*"))) == 2
     spark.range(3).createOrReplaceTempView("slides")
-    for sql in ("-- a note\nSELECT file FROM slides", "/* a\nnote */ (SELECT file FROM slides)", " WITH s AS (SELECT * FROM slides) SELECT file FROM s"):
+    for sql in ("-- a note\nSELECT file FROM slides", "/* a\nnote */ (SELECT file FROM slides)", " WITH s AS (SELECT * FROM slides) SELECT file FROM s", "FROM slides SELECT file"):
         assert [r.file for r in table.query(sql).collect()] == ["a.czi"]
     assert spark.table("slides").count() == 3
     spark.catalog.dropTempView("slides")
     assert table.query("SELECT 1").count() == 1 and not spark.catalog.tableExists("slides")
-    for sql in ("", "  ", "-- SELECT 1", "/* x */ DROP TABLE slides", "SELECTED"):
+
+
+def test_only_queries_are_run(spark, tmp_path):
+    spark.sql(f"CREATE TABLE tt (a INT) USING parquet LOCATION '{tmp_path}/tt'")
+    slides = spark.createDataFrame([], catalog.SLIDES)
+    bad = ["", "  ", "-- SELECT 1", "/* x */ DROP TABLE slides", "SELECTED", "SELECT 1; DROP TABLE tt", "WITH s AS (SELECT 1 a) INSERT INTO tt SELECT a FROM s", "FROM (SELECT 2 a) x INSERT INTO tt SELECT a", "CREATE TABLE u AS SELECT 1 a", "EXECUTE IMMEDIATE 'INSERT INTO tt SELECT 1'", "BEGIN INSERT INTO tt SELECT 1; END", "SET x = 1", "CACHE TABLE tt"]
+    for sql in bad:
         with pytest.raises(ValueError, match="only SELECT"):
-            table.query(sql)
+            catalog.query(slides, sql)
+    assert spark.table("tt").count() == 0
+    spark.sql("DROP TABLE tt")
+
+
+def test_folders_of_a_depth_are_listed_by_several_tasks(spark, tree):
+    root, put = tree
+    for i in range(48):
+        put(f"d{i}/e/s.json")
+    folders = spark.createDataFrame([(f"{root}/d{i}",) for i in range(48)], "path string")
+    assert sidecars.list_folders(folders).select(F.spark_partition_id()).distinct().count() == 4
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    found = sidecars.list_sidecars(spark, f"file://{root}")
+    assert found.count() == 48 and {r.length for r in found.collect()} == {len(json.dumps(GOOD))}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert sidecars.scan_paths(found, size=100).rdd.getNumPartitions() > 48 and sidecars.scan(spark, f"{root}/none").count() == 0
+
+
+def rows_of(spark, *keys, **change):
+    """Rows of the slides table with these (directory, file)."""
+    plain = {c: GOOD.get(c, "x") for c in COLUMNS} | {"scene": 0, "original_name": None} | change
+    return spark.createDataFrame([tuple((plain | {"directory": d, "file": f})[c] for c in COLUMNS) for d, f in keys], catalog.SLIDES)
+
+
+def held(table):
+    return {(r.directory, r.file, r.animal_id) for r in table.read().collect()}
+
+
+def test_a_build_writes_its_own_directories_only(spark, tmp_path):
+    table = catalog.Catalog(spark, str(tmp_path))
+    table.replace(rows_of(spark, *[(f"/d{i}", f"{k}.czi") for i in range(40) for k in range(5)]), "/d0")
+    before = {p: p.stat().st_size for p in tmp_path.rglob("*.parquet")}
+    version = table.replace(rows_of(spark, ("/d7", "new.czi")), "/d7")
+    written = {p for p in tmp_path.rglob("*.parquet")} - set(before)
+    assert len(written) <= 3 and sum(p.stat().st_size for p in written) < sum(before.values()) / 10
+    assert {r.file for r in table.read(["/d7"]).collect()} == {"new.czi"} and table.read().count() == 39 * 5 + 1
+    assert len(version.directories) == 40
+    assert "d7" not in str(table.read(["/d1"]).inputFiles()) and len(table.read(["/d1"]).inputFiles()) == 1
+
+
+def test_entries_of_other_directories_are_merged(spark, tmp_path):
+    table = catalog.Catalog(spark, str(tmp_path))
+    table.replace(rows_of(spark, ("/b", "1.czi"), ("/b", "2.czi")), "/b")
+    table.replace(rows_of(spark, ("/a", "1.czi"), ("/b", "2.czi"), animal_id="new"), "/a")
+    assert held(table) == {("/a", "1.czi", "new"), ("/b", "1.czi", "A1"), ("/b", "2.czi", "new")}
+    table.replace(rows_of(spark), "/b")
+    assert held(table) == {("/a", "1.czi", "new")}
+
+
+@pytest.mark.parametrize(("root", "expected"), [
+    ("/b", {("/a", "1.czi", "first"), ("/c", "1.czi", "first"), ("/b", "1.czi", "second")}),  # different roots both survive
+    ("/a", {("/a", "1.czi", "first"), ("/c", "1.czi", "first")}),  # of one root, as if one after the other
+    ("/c", {("/a", "1.czi", "first"), ("/c", "1.czi", "first"), ("/c", "2.czi", "second")}),  # rows that it merges with are merged again
+])
+def test_interleaved_builds(spark, tmp_path, monkeypatch, root, expected):
+    first, second = (catalog.Catalog(spark, str(tmp_path)) for _ in range(2))
+    first.replace(rows_of(spark, ("/c", "1.czi"), animal_id="old"), "/c")
+    create, done = catalog.Catalog._create, []
+
+    def late(self, version):
+        if self is first and not done:
+            done.append(1)
+            second.replace(rows_of(spark, (root, "2.czi" if root == "/c" else "1.czi"), animal_id="second"), root)
+        return create(self, version)
+
+    monkeypatch.setattr(catalog.Catalog, "_create", late)
+    first.replace(rows_of(spark, ("/a", "1.czi"), ("/c", "1.czi"), animal_id="first"), "/a")
+    assert done and held(first) == held(second) == expected
+    assert first.version().number == 3
+
+
+def test_a_number_is_taken_once(spark, tmp_path):
+    table = catalog.Catalog(spark, str(tmp_path), attempts=2)
+    assert table._create(catalog.Version(1)) and not table._create(catalog.Version(1))
+    table._create = lambda version: False
+    with pytest.raises(catalog.Conflict, match="/a"):
+        table.replace(rows_of(spark, ("/a", "1.czi")), "/a")
+
+
+def test_stale_versions_are_dropped_whole(spark, tmp_path):
+    table = catalog.Catalog(spark, str(tmp_path))
+    table.replace(rows_of(spark, ("/a", "1.czi")), "/a")
+    version = table.version()
+    table._create(catalog.Version(2, COLUMNS[::-1], version.directories))
+    assert table.read().count() == 0 and table.read().columns == COLUMNS
+    table.replace(rows_of(spark, ("/b", "1.czi")), "/b")
+    assert held(table) == {("/b", "1.czi", "A1")}
+
+
+def test_partial_counts_equal_the_scan(spark, tmp_path):
+    table = catalog.Catalog(spark, str(tmp_path))
+    for i, root in enumerate(("/a", "/b")):
+        rows = rows_of(spark, *[(root, f"{k}.czi") for k in range(7)])
+        more = rows.withColumn("scene", F.lit(1).cast("long")).withColumn("stain", F.lit("cyp2e1")).where(f"file > '{i + 2}'")
+        table.replace(rows.union(more).withColumn("dose_mg_per_kg", F.expr("cast(substring(file, 1, 1) as long) * 50")), root)
+    stored = table.read()
+    assert table.summary().collect() == browse.summary(stored).collect()
+    for root in (None, "/a"):
+        assert table.facets(root).collect() == browse.facets(stored, root).collect()
+        assert table.shown_of_total(root, {"stain": "he"}).collect() == browse.shown_of_total(stored, root, {"stain": "he"}).collect()
+    assert tuple(table.counts().first()) == (14, stored.count()) and tuple(table.counts(["/none"]).first()) == (0, 0)
+    assert not any("/rows/" in f for f in table.summary().inputFiles() + table.facets("/a").inputFiles())
+
+
+def test_variants_are_read_before_the_explode_only(spark):
+    checked = validate.check(rows(spark, GOOD))
+    valid, rejected = validate.gate(checked)
+    plan = catalog.last_wins(sidecars.project(valid))._jdf.queryExecution().optimizedPlan().toString()
+    after, _, before = plan.partition("Generate posexplode")
+    assert "variant" not in after and "Field required" not in after and before
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from slidelake.sources import storage
+
+    context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_root(SimpleNamespace(sparkContext=context))

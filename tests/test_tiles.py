@@ -12,7 +12,10 @@ from slidelake.sources import formats, zarr
 def grid(spark, sizes):
     rows = [(f"/p{i}", 0, 1, -5 * i, 7, w, h) for i, (w, h) in enumerate(sizes)]
     scenes = spark.createDataFrame(rows, "path string, scene int, n_scenes long, x0 long, y0 long, width long, height long")
-    return pyramid.regions(pyramid.tiles(pyramid.levels(scenes), spread=True))
+    plain = pyramid.tiles(pyramid.levels(scenes))
+    found = pyramid.regions(pyramid.even_tiles(scenes, tasks=7))
+    assert sorted(pyramid.regions(plain).select(*found.columns).collect()) == sorted(found.collect())
+    return found
 
 
 SIZES = [(1, 1), (2047, 2048), (2048, 2049), (2049, 1), (4097, 8193), (12345, 6789), (0, 5)]
@@ -56,28 +59,55 @@ def store(folder, image, chunks, compressor="zlib", skip=()):
         path.write_bytes(zlib.compress(block.tobytes()) if compressor == "zlib" else block.tobytes())
 
 
-@pytest.mark.parametrize("chunks", [(1, 1, 1, 4, 4), (1, 3, 1, 4, 4), (1, 2, 1, 3, 7)])
-@pytest.mark.parametrize("compressor", ["zlib", None])
-def test_zarr_tiles_equal_numpy(spark, tmp_path, chunks, compressor):
-    image = np.random.default_rng(1).integers(0, 255, (1, 3, 1, 5, 7), np.uint8)
+@pytest.mark.parametrize("channels", [1, 3, 4, 6])
+@pytest.mark.parametrize("chunks", [(1, 1, 1, 4, 4), (1, 3, 1, 4, 4), (1, 4, 1, 3, 7), (1, 6, 1, 8, 8)])
+def test_zarr_tiles_equal_numpy(spark, tmp_path, channels, chunks):
+    image, compressor = np.random.default_rng(1).integers(0, 255, (1, channels, 1, 5, 7), np.uint8), "zlib" if channels != 3 else None
     store(tmp_path / "s.zarr", image, chunks, compressor)
     texts = zarr.metadata_texts(spark.createDataFrame([(str(tmp_path / "s.zarr"),)], "store string"))
     shape = geometry.zarr_geometry(texts).first()
     assert (shape.scene, shape.n_scenes, shape.width, shape.height, shape.pixel_size_um, shape.anisotropic) == (0, 1, 7, 5, 0.25, True)
-    tiles = pixels.gather_channels(zarr.chunk_tiles(geometry.zarr_levels(texts))).collect()
-    whole = np.zeros((5, 7, 3), np.uint8)
+    tiles = zarr.tiles(geometry.zarr_levels(texts)).collect()
+    whole = np.zeros((5, 7, channels), np.uint8)
+    assert len({(t.ty, t.tx) for t in tiles}) == len(tiles)
     for t in tiles:
-        assert t.error is None
-        whole[t.ty : t.ty + t.th, t.tx : t.tx + t.tw] = np.frombuffer(t.px, np.uint8).reshape(t.th, t.tw, 3)
+        assert t.error is None and t.channels == channels
+        whole[t.ty : t.ty + t.th, t.tx : t.tx + t.tw] = np.frombuffer(t.px, np.uint8).reshape(t.th, t.tw, channels)
     assert (whole == np.moveaxis(image[0, :, 0], 0, -1)).all()
 
 
+def test_each_file_is_opened_once(spark, tmp_path, monkeypatch):
+    image = np.ones((1, 4, 1, 5, 7), np.uint8)
+    store(tmp_path / "s.zarr", image, (1, 3, 1, 4, 4))
+    read, names = zarr.storage.read, []
+    monkeypatch.setattr(zarr.storage, "read", lambda path: names.append(path) or read(path))
+    texts = list(zarr._texts(str(tmp_path / "s.zarr")))
+    levels = geometry.zarr_levels(spark.createDataFrame([t for t in texts if t[4]], zarr.TEXTS))
+    plan = zarr.tile_plan(levels)[0].collect()
+    assert all(zarr.read_tile(r.paths, r.axes, r.array, r.th, r.tw)[1] is None for r in plan)
+    chunks = {str(p) for p in tmp_path.rglob("1/0/*/*/*/*/*") if p.is_file()}
+    assert len(names) == len(set(names)) and {n for n in names if not n.endswith((".zattrs", ".zarray"))} == chunks and len(chunks) == 8
+    # the plan reads chunks in one place, and no metadata: that was read when the levels were stored
+    whole = zarr.tiles(geometry.zarr_levels(zarr.metadata_texts(spark.createDataFrame([(str(tmp_path / "s.zarr"),)], "store string"))))
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1 and whole.count() == 4
+
+
+def test_stores_and_files_by_uri(spark, tmp_path):
+    store(tmp_path / "s.zarr", np.full((1, 3, 1, 5, 7), 7, np.uint8), (1, 3, 1, 4, 4))
+    texts = zarr.metadata_texts(spark.createDataFrame([(f"file://{tmp_path}/s.zarr",)], "store string"))
+    assert {frozenset(t.px) for t in zarr.tiles(geometry.zarr_levels(texts)).collect()} == {frozenset({7})}
+    for name in (".h.czi", "_u.tif", "empty.svs", ".czi", "x.txt", "b.NDPI"):
+        (tmp_path / name).write_bytes(b"" if name == "empty.svs" else b"12")
+    found = formats.inventory(spark, f"file://{tmp_path}").collect()
+    assert [(r.path.rpartition("/")[2], r.length) for r in found] == [(".h.czi", 2), ("_u.tif", 2), ("b.NDPI", 2), ("empty.svs", 0)]
+
+
 def test_absent_chunk_and_unknown_codec(spark, tmp_path):
     image = np.ones((1, 3, 1, 4, 4), np.uint8)
     store(tmp_path / "a.zarr", image, (1, 3, 1, 4, 4), skip={(0, 0, 0, 0, 0)})
     store(tmp_path / "b.zarr", image, (1, 3, 1, 4, 4), "blosc")
     texts = zarr.metadata_texts(spark.createDataFrame([(str(tmp_path / n),) for n in ("a.zarr", "b.zarr", "none.zarr")], "store string"))
-    tiles = {t.store[-6:]: t for t in pixels.gather_channels(zarr.chunk_tiles(geometry.zarr_levels(texts))).collect()}
+    tiles = {t.store[-6:]: t for t in zarr.tiles(geometry.zarr_levels(texts)).collect()}
     assert set(tiles["a.zarr"].px) == {9} and tiles["a.zarr"].error is None
     assert tiles["b.zarr"].px is None and "unsupported codec: blosc" in tiles["b.zarr"].error
 
@@ -98,10 +128,45 @@ def test_next_level_is_the_box_mean(spark, shape):
             assert (whole[y, x] == (2 * part.sum(0) + len(part)) // (2 * len(part))).all()
 
 
-def test_build_pyramid_writes_levels(spark, tmp_path):
-    rows = [("/p", 0, 0, y, x, 4, 4, bytearray(48)) for y in range(4) for x in range(4)]
-    paths = pixels.build_pyramid(spark.createDataFrame(rows, pixels.LEVEL), 3, 4, str(tmp_path))
-    assert [spark.read.parquet(p).count() for p in paths] == [4, 1]
+def cut_to_tiles(path, image, tile):
+    parts = [(path, 0, 0, y, x, image[tile * y : tile * y + tile, tile * x : tile * x + tile]) for y in range(-(-image.shape[0] // tile)) for x in range(-(-image.shape[1] // tile))]
+    return [(*p[:5], p[5].shape[0], p[5].shape[1], bytearray(p[5].tobytes())) for p in parts]
+
+
+@pytest.mark.parametrize("up", [1, 2, 3])
+@pytest.mark.parametrize("given", [True, False])
+def test_slides_of_different_sizes_end_at_their_own_level(spark, tmp_path, up, given):
+    sizes = {"/one": (4, 3), "/low": (5, 40), "/odd": (17, 13), "/wide": (9, 33), "/large": (33, 31)}
+    images = {p: np.random.default_rng(i).integers(0, 255, (*size, 3), np.uint8) for i, (p, size) in enumerate(sizes.items())}
+    rows = [r for p, image in images.items() for r in cut_to_tiles(p, image, 4)]
+    geometry = spark.createDataFrame([(p, 0, w, h) for p, (h, w) in sizes.items()], "path string, scene int, width long, height long")
+    paths = pixels.build_pyramid(spark.createDataFrame(rows, pixels.LEVEL).repartition(5), 4, str(tmp_path / "p"), geometry if given else None, up)
+    found = {(r.path, r.level, r.ty, r.tx): r for p in paths for r in spark.read.parquet(p).collect()}
+    n = 0
+    for path, image in images.items():
+        level = 0
+        while max(image.shape[:2]) > 4:
+            wide = np.pad(image.astype(int), ((0, image.shape[0] % 2), (0, image.shape[1] % 2), (0, 0)))
+            count = np.pad(np.ones((*image.shape[:2], 1), int), ((0, image.shape[0] % 2), (0, image.shape[1] % 2), (0, 0)))
+            total, k = (sum(a[y::2, x::2] for y in (0, 1) for x in (0, 1)) for a in (wide, count))
+            image, level = ((2 * total + k) // (2 * k)).astype(np.uint8), level + 1
+            for _, _, _, y, x, h, w, px in cut_to_tiles(path, image, 4):
+                r = found[path, level, y, x]
+                assert (r.th, r.tw, r.px) == (h, w, px)
+                n += 1
+    assert n == len(found) and len(paths) == -(-4 // up)
+
+
+def test_morton_numbers(spark):
+    rows = spark.range(256).selectExpr("id div 16 y", "id % 16 x").select("y", "x", pixels.morton("y", "x").alias("m")).collect()
+    assert {r.m for r in rows} == set(range(256)) and all({r.m for r in rows if r.y // 4 == gy and r.x // 4 == gx} == set(range(16 * k, 16 * k + 16)) for k, (gy, gx) in ((0, (0, 0)), (5, (0, 3)), (15, (3, 3))))
+
+
+def test_even_tiles_of_one_huge_slide(spark):
+    rows = [("/huge", 0, 400_000, 300_000)] + [(f"/s{i}", 0, 10, 10) for i in range(300)]
+    tiles = pyramid.even_tiles(spark.createDataFrame(rows, "path string, scene int, width long, height long"), tasks=8)
+    each = [r.n for r in tiles.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
+    assert sum(each) == tiles.count() > 30_000 and max(each) < 2 * sum(each) / 8
 
 
 def test_normalise_turns_and_pads(spark):
@@ -157,7 +222,7 @@ def test_bad_stores_give_error_rows(spark, tmp_path):
             path.write_bytes(body)
     texts = zarr.metadata_texts(spark.createDataFrame([(f"{tmp_path}/{s}",) for s in stores], "store string"))
     levels = geometry.zarr_levels(texts).where("dataset = '0'")
-    found = {r.store.rpartition("/")[2]: r for r in zarr.chunk_tiles(levels).collect()}
+    found = {r.store.rpartition("/")[2]: r for r in zarr.tiles(levels).collect()}
     assert set(found) == {"no-array", "odd-array", "zero-chunk", "good"}
     assert found["good"].px == bytes([3] * 16) and found["good"].error is None
     assert all("no array metadata" in found[s].error and found[s].px is None for s in ("no-array", "odd-array", "zero-chunk"))
