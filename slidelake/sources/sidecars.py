@@ -140,10 +140,10 @@ def records(sidecars: DataFrame) -> DataFrame:
     # result: no later filter or projection reads a variant again
     merged = ", ".join(f"'{c}', if(map_contains_key(entry, '{c}'), {_read_value(f"entry['{c}']")}, {own[c]})" for c in COLUMNS)
     no_map = "cast(map() AS map<string,variant>)"
-    scenes = F.expr(f"""if(reject IS NOT NULL, transform(array(0), x -> null),
-        transform(if(none, array({no_map}), entries), (entry, pos) -> named_struct({merged})))""")
-    rows = parsed.select("directory", "sidecar_path", "reject", F.posexplode(scenes).alias("pos", "fields"))
-    return rows.select("directory", "sidecar_path", F.col("pos").cast("long").alias("pos"), "reject", "fields")
+    scenes = F.expr(f"""if(reject IS NOT NULL, array(named_struct('reject', reject, 'fields', null)),
+        transform(if(none, array({no_map}), entries), (entry, pos) -> named_struct('reject', cast(null AS string), 'fields', named_struct({merged}))))""")
+    rows = parsed.select("directory", "sidecar_path", F.posexplode(scenes).alias("pos", "scene"))
+    return rows.select("directory", "sidecar_path", F.col("pos").cast("long").alias("pos"), "scene.reject", "scene.fields")
 
 
 def whole_number(name: str) -> F.Column:
