@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.shared import kept_rows, open_folder, run_folder, stored
+from slidelake.llm.shared import kept_rows, partitions, open_folder, run_folder, stored
 
 _ARROW = pa.schema([("digest", pa.binary()), ("content", pa.string()), ("first_id", pa.int64()), ("n", pa.int64())])
 SCHEMA = "digest binary, content string, first_id long, n long"
@@ -155,7 +155,9 @@ def distinct_contents(hashed: DataFrame, budget: int = 64 << 20, fan_out: int =
         yield from batches_of(grace(records_of(batches), folder, budget, fan_out), False)
 
     met = hashed.selectExpr("digest", "content", "first_id", "1L n").mapInArrow(collapse, SCHEMA)
-    return met.repartition("digest").mapInArrow(reduce, SCHEMA).drop("content")
+    n = partitions(hashed)
+    dealt = met.repartition(n, "digest") if n else met.repartition("digest")
+    return dealt.mapInArrow(reduce, SCHEMA).drop("content")
 
 
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

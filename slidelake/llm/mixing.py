@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.shared import small
+from slidelake.llm.shared import small, stored
 
 #: Bits of a hash that make a uniform number.
 _BITS = 52
@@ -39,9 +39,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
         goal = F.coalesce(F.try_element_at(F.create_map(*entries), F.col("mix_source")), F.lit(0.0)) if entries else F.lit(0.0)
     else:
         goal = F.pow("size", F.lit(temperature))
-    # one row per source: totals over all of them that have a size
-    sized = lambda c: F.sum(F.when(F.col("size") > 0, F.col(c))).over(Window.partitionBy(F.lit(0)))
-    goals = sizes.withColumn("goal", goal).withColumn("all_size", sized("size")).withColumn("all_goal", sized("goal"))
+    # one row per source, from one scan; the totals over those that have a size are one row
+    goals = stored(sizes.withColumn("goal", goal), "sizes")
+    sized = lambda c: F.coalesce(F.sum(F.when(F.col("size") > 0, F.col(c))), F.lit(0.0)).alias(c)
+    totals = goals.agg(sized("size"), sized("goal")).first()
+    goals = goals.withColumn("all_size", F.lit(totals["size"])).withColumn("all_goal", F.lit(totals["goal"]))
     of_empty = F.lit(1.0) if weights is None else F.when(F.col("goal") > 0, 1.0).otherwise(0.0)
     rate = F.when(F.col("size") > 0, F.coalesce(F.expr("try_divide(goal, all_goal) / (size / all_size)"), F.lit(0.0))).otherwise(of_empty)
     return goals.select("mix_source", (rate if most is None else F.least(rate, F.lit(float(most)))).alias("mix_rate"))

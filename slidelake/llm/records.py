@@ -13,15 +13,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidelake.llm.shared import one_per_task, open_folder, run_folder
+from slidelake.llm.shared import one_per_task, open_folder, partitions, run_folder
 from slidelake.llm.tokens import encoder, vocabulary
 
 #: Body of a record: bytes per id (2 or 4), whether the document has an id, the id; ids follow.
 HEAD = struct.Struct("<BBq")
 LENGTH, CHECK = struct.Struct("<Q"), struct.Struct("<I")
+#: Bytes of a data file, after which a task begins another.
+ROLL = 256 << 20
 #: Bytes of a record besides its body.
 FRAME = LENGTH.size + 2 * CHECK.size
-MANIFEST = "part long, data string, offsets string, n_records long, n_ids long"
+MANIFEST = "part long, turn long, data string, offsets string, n_records long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -50,43 +52,52 @@ def unframed(stream) -> bytes:
     return body
 
 
-def write_records(docs: DataFrame, folder: str, end_id: int = 2, vocab: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def write_records(docs: DataFrame, folder: str, end_id: int = 2, vocab: str | None = None, roll: int = ROLL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Encodes whole texts, writes them in ascending order of id, and returns the manifest.
 
-    Rows are dealt out by ranges of the id; each task writes one data file and one file of
-    offsets (8 bytes a record), under names of its own. The manifest, written by Spark, lists
-    the files of the attempts that succeeded; other files are never read. Ids take two bytes
-    if the vocabulary allows. Null text counts as empty (the end id alone), a null id comes
-    first, equal ids are ordered by a hash of the text and then by the text, so that ranges cut
-    them too. A text of any length is one record; other columns are ignored; an empty table
-    gives no files.
+    Rows are dealt out by ranges of the id, more of them where Spark takes the table to be
+    large; each task writes data files of about `roll` bytes, and a file of offsets (8 bytes a
+    record) for each, under names of their own. The manifest, written by Spark, lists the files
+    of the attempts that succeeded; other files are never read. Ids take two bytes if the
+    vocabulary allows. Null text counts as empty (the end id alone), a null id comes first,
+    equal ids are ordered by a hash of the text and then by the text, so that ranges cut them
+    too. A text of any length is one record; other columns are ignored; an empty table gives no
+    files.
     """
     path = vocab or vocabulary()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = open_folder(f"{folder}/files")
-        part, data, offsets, n_ids = TaskContext.get().partitionId(), None, [0], 0
+        part, turn, data, offsets, n_ids = TaskContext.get().partitionId(), 0, None, [0], 0
         end = np.array([end_id], dtype="<u4").tobytes()
+
+        def ended() -> pa.RecordBatch:
+            data.close()
+            with system.open_output_stream(f"{name}.offsets") as out:
+                out.write(np.array(offsets, dtype="<u8").tobytes())
+            return pa.RecordBatch.from_pydict({"part": [part], "turn": [turn], "data": [f"{name}.records"], "offsets": [f"{name}.offsets"], "n_records": [len(offsets) - 1], "n_ids": [n_ids]})
+
         for batch in batches:
-            if data is None:
-                name = f"{base}/{part:06d}-{uuid.uuid4().hex}"
-                data = system.open_output_stream(f"{name}.records", buffer_size=1 << 20)
             coder = encoder(path)
             for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
+                if data is not None and offsets[-1] >= roll:
+                    yield ended()
+                    turn, data, offsets, n_ids = turn + 1, None, [0], 0
+                if data is None:
+                    name = f"{base}/{part:06d}-{turn:06d}-{uuid.uuid4().hex}"
+                    data = system.open_output_stream(f"{name}.records", buffer_size=1 << 20)
                 ids = np.frombuffer(ids + end, dtype="<u4")
                 record = framed(body_of(doc_id, ids if coder.wide or end_id >> 16 else ids.astype("<u2")))
                 data.write(record)
                 offsets.append(offsets[-1] + len(record))
                 n_ids += len(ids)
         if data is not None:
-            data.close()
-            with system.open_output_stream(f"{name}.offsets") as out:
-                out.write(np.array(offsets, dtype="<u8").tobytes())
-            yield pa.RecordBatch.from_pydict({"part": [part], "data": [f"{name}.records"], "offsets": [f"{name}.offsets"], "n_records": [len(offsets) - 1], "n_ids": [n_ids]})
+            yield ended()
 
     rows = docs.selectExpr(f"cast({id_column} as long) doc_id", f"{text_column} text", f"xxhash64({text_column}) tie")
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
-    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    n = partitions(docs)
+    ranges = rows.repartitionByRange(n, "doc_id", "tie") if n else rows.repartitionByRange("doc_id", "tie")
+    ranges.sortWithinPartitions("doc_id", "tie", "text").drop("tie").mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -113,7 +124,7 @@ def parsed(body: bytes) -> tuple[int | None, np.ndarray]:
 
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per record, from the files: document, ids before it, its ids' number and CRC-32."""
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = one_per_task(manifest.withColumn("before", before), manifest.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

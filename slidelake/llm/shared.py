@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slidelake.sources.storage import removed, run_folder, shared_root
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="slidelake-")
-        context.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def run_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own for one run of an operator."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["Work", "kept_rows", "one_per_task", "open_folder", "own", "partitions", "removed", "run_folder", "shared_root", "small", "stored"]
 
 
 #: Spark's setting that removes a query's shuffle files when the query has ended.
@@ -68,10 +56,11 @@ class Work:
                 removed(self.spark, path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of any file system that Spark knows."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def partitions(df: DataFrame, size: int = 256 << 20) -> int | None:
+    """Partitions of about `size` bytes by Spark's estimate of the rows, where they are more than a shuffle has; else none."""
+    bytes_ = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = -(-bytes_ // size) if bytes_ < 1 << 60 else 0  # beyond: not known
+    return n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def own(name: str, *taken: DataFrame) -> str:

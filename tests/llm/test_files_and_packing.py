@@ -82,6 +82,68 @@ def test_very_many_equal_ids_are_cut_into_ranges(spark, tmp_path, tokenizer):
     assert sorted(r.ids_crc32 for r in found) == sorted(expected)
 
 
+def test_files_roll_at_a_size(spark, tmp_path, tokenizer):
+    docs = spark.createDataFrame([(i, "some words of a text " * (i % 7)) for i in range(200)], "doc_id long, text string")
+    manifest = records.write_records(docs, str(tmp_path), 2, roll=1000)
+    files = manifest.collect()
+    assert max(f.turn for f in files) > 5 and len({f.data for f in files}) == len(files) and all(f.n_records > 0 for f in files)
+    found = records.read_records(manifest, str(tmp_path)).orderBy("start").collect()
+    assert [r.doc_id for r in found] == list(range(200)) and [r.start for r in found] == [0, *np.cumsum([r.n_tokens for r in found])[:-1]]
+
+
+def test_partitions_follow_the_size(spark, tmp_path):
+    from slidelake.llm.shared import partitions
+
+    spark.range(1000).selectExpr("id", "repeat(cast(id as string), 50) text").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    assert partitions(docs) is None and partitions(docs, 1000) > 4
+    assert partitions(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int")) is None  # no estimate
+
+
+def plain_differencing(weights: list[int], k: int) -> list[int]:
+    """The sums of the rule on small inputs: partial partitions as sorted lists, the two of largest spread combined."""
+    parts = [[w] + [0] * (k - 1) for w in weights]
+    while len(parts) > 1:
+        a = parts.pop(max(range(len(parts)), key=lambda i: parts[i][0] - parts[i][-1]))
+        b = parts.pop(max(range(len(parts)), key=lambda i: parts[i][0] - parts[i][-1]))
+        parts.append(sorted((x + y for x, y in zip(a, reversed(b))), reverse=True))
+    return parts[0]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_differencing_equals_the_plain_rule(seed):
+    rng, k = random.Random(seed), random.Random(seed).randint(2, 6)
+    weights = rng.sample(range(1, 10_000), rng.randint(1, 40))  # without ties, which may go either way
+    if seed == 0:
+        weights = [1_000_000, *weights]
+    parts = np.zeros((len(weights), k), np.int64)
+    parts[:, 0] = weights
+    where = sharding.difference(parts)[:, 0]
+    sums = sorted((sum(w for w, s in zip(weights, where) if s == j) for j in range(k)), reverse=True)
+    assert sums == plain_differencing(weights, k)
+
+
+def test_shards_of_odd_documents(spark):
+    tied = [(i, f"{i % 9:03d}", 1) for i in range(300)]  # groups of equal weight
+    odd = [(None, None, 1), (None, "", 1), (1000, None, 1), (1001, "", 1), (1002, "y" * 400_000, 1), (1002, "y" * 400_000, 1)]
+    docs = spark.createDataFrame([(*r, "s") for r in tied + odd], "doc_id long, text string, size int, shard string")
+    found = sharding.shard(docs, shards=5).collect()
+    assert len(found) == 306 and {r.law for r in found} == {"bytes"} and all(r.grown_shard is None for r in found)
+    text = {r[0]: r[1] or "" for r in tied + odd if r[0] is not None}
+    of: dict[str, set] = {}
+    for r in found:
+        of.setdefault(text.get(r.doc_id, ""), set()).add(r.shard)
+    assert all(len(s) == 1 for s in of.values())  # groups are whole
+    for s in {r.shard for r in found}:
+        assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
+    weights: dict[str, int] = {}
+    for r in found:
+        weights[text.get(r.doc_id, "")] = weights.get(text.get(r.doc_id, ""), 0) + r.size
+    sums = sorted((sum(r.size for r in found if r.shard == j) for j in range(5)), reverse=True)
+    assert sums[0] - sums[1] == plain_differencing(list(weights.values()), 5)[0] - plain_differencing(list(weights.values()), 5)[1]
+    assert sharding.shard(docs.where("false"), shards=5).collect() == []
+
+
 @pytest.mark.parametrize(("capacity", "open_bins"), [(2048, 4096), (16, 2)])
 def test_packing_laws(spark, tokenizer, capacity, open_bins):
     found = packing.pack(documents(spark), capacity, 0, open_bins).toPandas()
