@@ -263,15 +263,48 @@ def test_secret_features_equal_brute_force():
     assert steps == pytest.approx((-1 - 2 - 14 * 5) / 7)
 
 
-def test_secrets_on_held_out_findings(spark):
+@pytest.mark.parametrize("text", ["token" * 200_000 + ":", "token " * 200_000, "token=" * 200_000, "token:\t" * 150_000, "a" + " " * 1_000_000 + "=", "pwd='" * 200_000, "xoxa-" * 200_000])
+def test_candidates_of_a_megabyte_take_no_second(text):
+    import time
+
+    began = time.perf_counter()
+    secrets.candidates(text)
+    assert time.perf_counter() - began < 3  # quadratic: minutes
+
+
+def test_candidates_equal_the_plain_pattern():
+    plain = re.compile(rf"(?:{'|'.join(secrets.NAMES)})\w*['\"]?[ \t]*[:=][ \t]*['\"]?([^\s'\"]{{6,}})", re.IGNORECASE)
+    rng, parts = random.Random(5), ["token", "pwd", "_", "my", " ", "=", ":", "'", '"', "abcdefgh", "\t", "x1", "\n", "Password"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert secrets._assigned(text) == [m.span(1) for m in plain.finditer(text)], text
+
+
+def test_secrets_of_held_out_templates(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labelled = secrets.planted_findings(docs).cache()
     assert labelled.select("doc_id").distinct().count() > 900 and {r.label for r in labelled.select("label").distinct().collect()} == {0, 1}
-    held = labelled.where(secrets.held_out())
-    found = secrets.secrets(held.drop("label"), labelled.where(~secrets.held_out())).join(held.select("doc_id", "start", "candidate", "label"), ["doc_id", "start", "candidate"]).collect()
+    held = secrets.held_out() & secrets.held_out_template()
+    assert labelled.select("template").distinct().count() > 150
+    some = labelled.where(held).dropDuplicates(["doc_id", "start", "candidate"])
+    found = secrets.secrets(some.drop("label"), labelled.where(~secrets.held_out() & ~secrets.held_out_template())).join(some.select("doc_id", "start", "candidate", "label"), ["doc_id", "start", "candidate"]).collect()
     right = sum(r.is_secret == bool(r.label) for r in found) / len(found)
     caught = [r.is_secret for r in found if r.label]
-    assert len(found) > 150 and right > 0.85 and sum(caught) / len(caught) > 0.85
+    assert len(found) > 50 and right > 0.8 and sum(caught) / len(caught) > 0.8
+
+
+@pytest.mark.parametrize("rows", [None, 10**11])
+def test_labels_at_any_number_of_rows(spark, rows):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    n = {r.label: r["count"] for r in secrets.planted_findings(docs, rows=rows).groupBy("label").count().collect()}
+    assert min(n[0], n[1]) > (400 if rows else 1000)
+    assert {r.label for r in secrets.planted_findings(docs.limit(0), rows=rows).select("label").distinct().collect()} == {0, 1}
+
+
+def test_sample_is_as_large_at_any_number_of_rows(spark):
+    docs = spark.range(40_000).selectExpr("id doc_id", "concat('text ', id) text", "'s' source")
+    n = secrets.planted_findings(docs, sample=500, bare=0).select("doc_id").distinct().count()
+    assert 850 < n < 1150
 
 
 def test_secret_scan_of_odd_rows(spark):
@@ -283,7 +316,17 @@ def test_secret_scan_of_odd_rows(spark):
 
 def test_one_kind_of_label_only(spark):
     found = secrets.findings(spark.createDataFrame([(1, "build-2024-01-02-final", "x")], "doc_id long, text string, source string"))
-    assert [r.is_secret for r in secrets.secrets(found, found.withColumn("label", F.lit(0))).collect()] == [False]
+    with pytest.raises(ValueError, match="both labels"):
+        secrets.secrets(found, found.withColumn("label", F.lit(0)))
+
+
+def test_null_ids_are_held_out_or_not(spark, tmp_path):
+    from slidelake.llm.queries import op1_toxicity
+
+    spark.createDataFrame([(None, "a bad text"), (1, None), (2, "fine")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0), (2, 1), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = op1_toxicity(spark, str(tmp_path)).collect()
+    assert len(found) == 3 and all(r.held_out is not None and 0 <= r.score <= 1 for r in found)
 
 
 def test_pipeline_stages(spark):
