@@ -32,7 +32,7 @@ def scene_rollup(rects: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def czi_report(files: DataFrame, headers: DataFrame, rects: DataFrame) -> DataFrame:
-    """One row per .czi file of (path, length): sizes, notes, or why it failed; no file is lost.
+    """One row per .czi file of (path, length): path, sizes, notes, or why it failed; no file is lost.
 
     scene_lines has a line for each scene rectangle, in order of the scenes.
     """
@@ -46,6 +46,7 @@ def czi_report(files: DataFrame, headers: DataFrame, rects: DataFrame) -> DataFr
     size = F.format_string("%-11s %d x %d px  (%.2f Gpx)", F.when(F.col("n_scenes") == 1, "size").otherwise("union size"), "union_w", "union_h", "union_gpx")
     pixel = F.when(F.col("pixel_x_m").isNull(), "not found in metadata, image has no physical scale").otherwise(F.format_string("%.4f um", F.col("pixel_x_m") * 1e6))
     return found.select(
+        "path",
         base_name().alias("name"),
         F.when(failed.isNull(), size).alias("size_line"),
         F.when(failed.isNull() & ((F.col("x0") < 0) | (F.col("y0") < 0)), F.format_string("(%d, %d)", "x0", "y0")).alias("origin"),
@@ -64,7 +65,7 @@ def czi_report(files: DataFrame, headers: DataFrame, rects: DataFrame) -> DataFr
 
 
 def tiff_report(files: DataFrame, headers: DataFrame, series: DataFrame) -> DataFrame:
-    """One row per other slide file: format, series, compression, tiling, notes, or why it failed."""
+    """One row per other slide file: path, format, series, compression, tiling, notes, or why it failed."""
     counts = series.groupBy("path").agg(F.count("*").alias("n_series"), F.min_by("n_levels", "series").alias("first_levels"))
     found = files.where(last_suffix() != ".czi").join(headers, "path", "left").join(counts, "path", "left")
     failed = F.coalesce("error", F.when(F.col("n_series").isNull(), "ValueError: no header"))
@@ -74,6 +75,7 @@ def tiff_report(files: DataFrame, headers: DataFrame, series: DataFrame) -> Data
         lambda n: n.isNotNull(),
     )
     return found.select(
+        "path",
         base_name().alias("name"),
         F.when(failed.isNull(), F.when(F.col("is_ome"), "OME-TIFF").otherwise("TIFF")).alias("format"),
         F.format_string("%.0f MB", files["length"] / 1e6).alias("on_disk"),

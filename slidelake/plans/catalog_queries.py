@@ -370,7 +370,7 @@ _FINE = "CASE WHEN failed IS NULL THEN"
 PROBE_CZI = f"""WITH {fx.RECTS_SQL}, {_ROLL}, {_FILES},
 sl AS (SELECT path, string_agg(printf('    [%d] x=%d y=%d w=%d h=%d', scene, x, y, w, h), chr(10) ORDER BY scene) AS lines FROM rects GROUP BY path),
 j AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'RuntimeError: bad header' WHEN n_scenes IS NULL THEN 'RuntimeError: no header' END AS failed FROM f LEFT JOIN r USING (path) LEFT JOIN sl USING (path) WHERE path LIKE '%.czi')
-SELECT regexp_extract(path, '[^/]*$') AS name, CASE WHEN failed IS NULL AND (bx0 < 0 OR by0 < 0) THEN '(' || bx0 || ', ' || by0 || ')' END AS origin, n_scenes, {_MB},
+SELECT path, regexp_extract(path, '[^/]*$') AS name, CASE WHEN failed IS NULL AND (bx0 < 0 OR by0 < 0) THEN '(' || bx0 || ', ' || by0 || ')' END AS origin, n_scenes, {_MB},
  {_FINE} printf('%-11s %d x %d px  (%.2f Gpx)', CASE WHEN n_scenes = 1 THEN 'size' ELSE 'union size' END, union_w, union_h, union_px / 1e9) END AS size_line,
  {_FINE} CASE WHEN k % 3 = 0 THEN '{{0: ''Bgr24'', 1: ''Gray8''}}' ELSE '{{0: ''Bgr24''}}' END END AS pixel_type, {_FINE} lines END AS scene_lines,
  CASE WHEN failed IS NULL AND n_scenes > 1 THEN printf('%.2f Gpx  (%.0f%% of the union is empty stage)', scene_px / 1e9, 100 * (1 - scene_px / union_px)) END AS scene_line,
@@ -387,7 +387,7 @@ def probe_tiff(spark, sf_dir):
 
 PROBE_TIFF = f"""WITH {fx.RECTS_SQL}, {_FILES},
 j AS (SELECT f.path, length, k, CASE WHEN k % 13 = 0 THEN 'RuntimeError: bad header' WHEN k IS NULL THEN 'ValueError: no header' END AS failed FROM f LEFT JOIN headers h ON f.path = h.path WHERE f.path NOT LIKE '%.czi')
-SELECT regexp_extract(path, '[^/]*$') AS name, CASE WHEN failed IS NULL THEN CASE WHEN k % 4 = 0 THEN 'OME-TIFF' ELSE 'TIFF' END END AS format, {_MB},
+SELECT path, regexp_extract(path, '[^/]*$') AS name, CASE WHEN failed IS NULL THEN CASE WHEN k % 4 = 0 THEN 'OME-TIFF' ELSE 'TIFF' END END AS format, {_MB},
  CASE WHEN failed IS NULL THEN CAST(2 AS BIGINT) END AS n_series, CASE WHEN failed IS NULL THEN CASE WHEN k % 2 = 0 THEN 'JPEG' ELSE 'LZW' END END AS compression,
  CASE WHEN failed IS NULL THEN CASE WHEN k % 5 <> 0 THEN 'True (256x512)' ELSE 'False' END END AS tiled,
  CASE WHEN failed IS NULL THEN concat_ws('; ', CASE WHEN k % 5 = 0 THEN 'not tiled, reading a region costs whole image rows' END, CASE WHEN k % 4 = 0 THEN 'no pyramid, zoomed-out views must read full resolution' END) END AS notes,
@@ -405,12 +405,12 @@ FROM headers, range(0, 2) t(s)"""
 def probe_failures(spark, sf_dir):
     """Every file that a probe would report as failed."""
     files, heads = _files(spark, sf_dir), fx.headers(spark, sf_dir)
-    czi = probe.czi_report(files, heads, fx.rects(spark, sf_dir)).select("name", "error")
-    tiff = probe.tiff_report(files, heads, fx.tiff_series(spark, sf_dir)).select("name", "error")
+    czi = probe.czi_report(files, heads, fx.rects(spark, sf_dir)).select("path", "name", "error")
+    tiff = probe.tiff_report(files, heads, fx.tiff_series(spark, sf_dir)).select("path", "name", "error")
     return czi.union(tiff).where("error is not null")
 
 
-PROBE_FAILURES = f"""WITH {fx.RECTS_SQL}, {_FILES} SELECT regexp_extract(f.path, '[^/]*$') AS name,
+PROBE_FAILURES = f"""WITH {fx.RECTS_SQL}, {_FILES} SELECT f.path, regexp_extract(f.path, '[^/]*$') AS name,
  CASE WHEN k IS NOT NULL THEN 'FAILED: RuntimeError: bad header' WHEN f.path LIKE '%.czi' THEN 'FAILED: RuntimeError: no header' ELSE 'FAILED: ValueError: no header' END AS error
 FROM f LEFT JOIN headers h ON f.path = h.path WHERE k IS NULL OR k % 13 = 0"""
 

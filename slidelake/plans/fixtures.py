@@ -49,16 +49,14 @@ geometry AS (SELECT path, scene, CAST(count(*) OVER (PARTITION BY path) AS BIGIN
 headers AS (SELECT path, min(x) AS bx0, max(x + w) AS bx1, min(y) AS by0, max(y + h) AS by1, min(k) AS k FROM rects GROUP BY path)"""
 
 
-def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Registers given tables under their names, for the SQL above."""
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+def over_orders(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of a text of the SQL above, which reads the table of orders; the session keeps no view."""
+    return spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
 
 
 def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(directory, sidecar_path, text, k): a JSON text per order, scenes from its lineitems."""
-    views(spark, sf_dir, "orders")
-    heads = spark.sql(f"WITH {SIDECAR_SQL} SELECT * FROM s2")
+    heads = over_orders(spark, sf_dir, f"WITH {SIDECAR_SQL} SELECT * FROM s2")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("lines"))
     entry = lambda e: F.struct(
@@ -73,8 +71,7 @@ def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sidecars without scenes, each with the fault that its key mod 20 names (or none)."""
-    views(spark, sf_dir, "orders")
-    heads = spark.sql(f"WITH {SIDECAR_SQL} SELECT * FROM s2")
+    heads = over_orders(spark, sf_dir, f"WITH {SIDECAR_SQL} SELECT * FROM s2")
     case, out = F.col("k") % 20, {}
     value = lambda name, plain, *faults: F.concat(F.lit(f'"{name}": '), sum_when(plain, faults))
 
@@ -100,14 +97,12 @@ def corrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scene rectangles of the slides."""
-    views(spark, sf_dir, "orders")
-    return spark.sql(f"WITH {RECTS_SQL} SELECT * FROM rects")
+    return over_orders(spark, sf_dir, f"WITH {RECTS_SQL} SELECT * FROM rects")
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header per slide file; some have no pixel size, some none of x and y equal, some failed."""
-    views(spark, sf_dir, "orders")
-    return spark.sql(f"""WITH {RECTS_SQL}
+    return over_orders(spark, sf_dir, f"""WITH {RECTS_SQL}
         SELECT path, k, map('X', named_struct('start', bx0, 'stop', bx1), 'Y', named_struct('start', by0, 'stop', by1), 'C', named_struct('start', 0L, 'stop', 1 + k % 3)) AS bbox,
                if(k % 3 = 0, map(0, 'Bgr24', 1, 'Gray8'), map(0, 'Bgr24')) AS pixel_types,
                if(k % 11 = 0, null, (200 + k % 50) / 1e9) AS pixel_x_m, if(k % 7 = 0, (201 + k % 50) / 1e9, if(k % 11 = 0, null, (200 + k % 50) / 1e9)) AS pixel_y_m,
@@ -118,16 +113,14 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tiff_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two images per slide file."""
-    views(spark, sf_dir, "orders")
-    return spark.sql(f"""WITH {RECTS_SQL}
+    return over_orders(spark, sf_dir, f"""WITH {RECTS_SQL}
         SELECT path, CAST(s AS INT) AS series, array(by1 - by0, bx1 - bx0, 3L) AS shape, 'uint8' AS dtype, 'YXS' AS axes, CAST(if(s = 0, 1 + k % 4, 1) AS INT) AS n_levels
         FROM headers LATERAL VIEW explode(array(0, 1)) t AS s""")
 
 
 def zarr_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata texts of one store per order: a label image and two scenes of two levels each."""
-    views(spark, sf_dir, "orders")
-    base = spark.sql("SELECT o_orderkey AS k, '/data/z' || o_orderkey || '.zarr' AS store, 1 + (o_orderkey * 7919) % 12000 AS w, 1 + (o_orderkey * 6101) % 9000 AS h FROM orders")
+    base = over_orders(spark, sf_dir, "SELECT o_orderkey AS k, '/data/z' || o_orderkey || '.zarr' AS store, 1 + (o_orderkey * 7919) % 12000 AS w, 1 + (o_orderkey * 6101) % 9000 AS h FROM orders")
     series = base.withColumn("s", F.explode(F.array(F.lit("0"), F.lit("1"), F.lit("2"))))
     ome = base.select("store", F.lit(None).cast("string").alias("series"), F.lit(None).cast("string").alias("dataset"), F.lit("ome").alias("kind"), F.lit('{"series": ["0", "1", "2"]}').alias("text"))
     attributes = F.format_string(
