@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidelake.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from slidelake.llm.shared import own, stored
+from slidelake.llm.shared import Work, own
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pieces of the packed sequences; each stage's rows are written and read again, and deleted when the next stage's are there."""
+    docs, work, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Work(spark, "pipeline"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = work.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            work.drop(before)
+        before = name.replace(" ", "-")
     return docs
