@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.shared import Work, small
+from slidelake.llm.shared import Work
 
 #: Characters of a word, after A-Z are lower-cased.
 LETTERS = "[a-zÀ-ÿ]+"
-#: Words of one shared beginning that make a list of their own; longer lists are cut to parts.
+#: Words of one shared beginning that make a list of their own; longer lists are cut.
 LIST = 50_000
 #: Words whose matrix rows are followed at a time; rows of sorted lists that a task holds, and that it goes through.
 QUERIES, HELD, PER_TASK = 20_000, 60_000, 150_000
@@ -41,29 +42,46 @@ def vocabulary(words: DataFrame, least_length: int = 5, least_n: int = 3) -> Dat
     return counted.where(F.col("n") >= least_n)
 
 
-def _lists(words: DataFrame) -> DataFrame:
-    """(beginning, part, word, n, target): the lists in which words one edit apart meet.
+def _key(kind: Column | str, m: str, shared: str, rest: str) -> Column:
+    """The name of a list: its kind and way, m, how many code points its words share, and these (and what else is equal)."""
+    return F.concat_ws(":", F.lit(kind) if isinstance(kind, str) else kind, F.expr(m).cast("string"), F.expr(shared).cast("string"), F.expr(rest))
+
+
+def _lists(words: DataFrame, work: Work) -> DataFrame:
+    """(list, word, n): the lists in which words one edit apart meet.
 
     Of two such words, the shorter of length L, the first L // 2 code points are equal, or the
     last. So a word of length 2m or 2m + 1 stands in the list of its first m code points, and
     one of length 2m + 2 in that list too, as the longer of a pair; likewise for the words read
-    backwards. A list of more than LIST words is cut to parts: every word is looked up in each
-    part, and is a target in one.
+    backwards (way b). No list stays longer than LIST: where its words share no more than c code
+    points, two of them one edit apart either share c + 1, and meet in a list of these, or their
+    edit is at place c, and then all that follows is equal; they meet in a list of that (kind x),
+    in which only the code point at c can differ.
     """
     ways = F.explode(F.array(F.struct(F.lit("f").alias("way"), F.col("word").alias("read")), F.struct(F.lit("b").alias("way"), F.reverse("word").alias("read"))))
     sizes = F.expr("if(char_length(read) % 2 = 0, array(char_length(read) div 2, char_length(read) div 2 - 1), array(char_length(read) div 2))")
     rows = words.select("n", ways.alias("w")).select("n", "w.way", "w.read").withColumn("m", F.explode(sizes)).where("m > 0")
-    rows = rows.select(F.concat("way", F.substring("read", F.lit(1), F.col("m"))).alias("beginning"), F.col("read").alias("word"), "n")
-    long = rows.groupBy("beginning").count().where(F.col("count") > LIST).select("beginning", F.expr(f"cast((count + {LIST - 1}) div {LIST} as int)").alias("parts"))
-    cut = rows.join(small(long), "beginning", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    return cut.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("beginning", "part", "word", "n", F.expr("pmod(xxhash64(word), parts) = part").alias("target"))
-
-
-def one_edit_pairs(groups: np.ndarray, prefix: np.ndarray, words: list[str], target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows = rows.select(_key(F.col("way"), "m", "m", "substring(read, 1, m)").alias("list"), F.col("read").alias("word"), "n", "way", "m")
+    found = []
+    while True:
+        shared = F.expr("size(filter(sequence(1, char_length(least)), i -> substring(least, 1, i) = substring(most, 1, i)))")
+        long = rows.groupBy("list").agg(F.count("*").alias("count"), F.min("word").alias("least"), F.max("word").alias("most")).where(F.col("count") > LIST)
+        long = work.table(long.select("list", shared.alias("c")), "long")
+        if long.isEmpty():
+            return reduce(DataFrame.union, [x.select("list", "word", "n") for x in [*found, rows]])
+        found.append(rows.join(long, "list", "left_anti"))
+        cut = work.table(rows.join(long, "list"), "cut")
+        further = cut.where("char_length(word) > c")
+        found.append(further.select(_key(F.concat("way", F.lit("x")), "m", "c", "substring(word, 1, c) || substring(word, c + 2)").alias("list"), "word", "n"))
+        found.append(cut.select(_key(F.concat("way", F.lit("x")), "m", "c", "word").alias("list"), "word", "n"))
+        rows = further.select(_key(F.col("way"), "m", "c + 1", "substring(word, 1, c + 1)").alias("list"), "word", "n", "way", "m")
+
+
+def one_edit_pairs(groups: np.ndarray, prefix: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers (query, target) of words of one group that differ by exactly one edit.
 
     Rows are sorted by group and word, and the words of a group share their first `prefix`
-    code points and are longer. The targets' edit matrices are filled level by level: neighbours in the sorted
+    code points and are longer. The edit matrices are filled level by level: neighbours in the sorted
     list that share d code points (their LCP) share the first d rows, which are computed once
     for the range of all words with that beginning. Rows are three cells wide, for one edit
     needs no more. A range is left as soon as its row has no cell of 0 or 1.
@@ -76,29 +94,25 @@ def one_edit_pairs(groups: np.ndarray, prefix: np.ndarray, words: list[str], tar
         there = (place >= 0) & (place < length[rows])
         return np.where(there, codes[np.where(there, begin[rows] + place, 0)], 0)
 
-    t = np.flatnonzero(target)  # the sorted list of targets
-    lcp = np.full(len(t), -1, np.int64)
-    active = np.flatnonzero(groups[t[1:]] == groups[t[:-1]]) + 1 if len(t) else np.empty(0, np.int64)
+    lcp = np.full(len(words), -1, np.int64)
+    active = np.flatnonzero(groups[1:] == groups[:-1]) + 1
     lcp[active], depth = 0, 0
     while len(active):
-        a, b = t[active], t[active - 1]
-        active = active[(length[a] > depth) & (length[b] > depth) & (code(a, depth) == code(b, depth))]
+        active = active[(length[active] > depth) & (length[active - 1] > depth) & (code(active, depth) == code(active - 1, depth))]
         depth += 1
         lcp[active] = depth
-    own = np.full(len(words), -1, np.int64)
-    own[t] = np.arange(len(t))
-    first, last = np.searchsorted(groups[t], groups, "left"), np.searchsorted(groups[t], groups, "right")
+    first, last = np.searchsorted(groups, groups, "left"), np.searchsorted(groups, groups, "right")
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     for block in range(0, len(words), QUERIES):
         waiting = np.arange(block, min(block + QUERIES, len(words)))
-        waiting = waiting[last[waiting] - first[waiting] > (own[waiting] >= 0)]
+        waiting = waiting[last[waiting] - first[waiting] > 1]
         waiting = waiting[np.argsort(prefix[waiting], kind="stable")]
         begins = prefix[waiting]
         # of each (query, range of targets): the row's cells at query length depth - 1, depth, depth + 1
         q = s = e = np.empty(0, np.int64)
         cells = np.empty((0, 3), np.int8)
-        deep, depth = np.arange(len(t)), 0
+        deep, depth = np.arange(len(words)), 0
         while len(q) or len(waiting):
             if not len(q):
                 depth = int(begins[0])
@@ -108,7 +122,7 @@ def one_edit_pairs(groups: np.ndarray, prefix: np.ndarray, words: list[str], tar
                 q, s, e = np.concatenate([q, new]), np.concatenate([s, first[new]]), np.concatenate([e, last[new]])
                 cells = np.concatenate([cells, np.tile(np.array([[1, 0, 1]], np.int8), (n, 1))])
             # ranges of targets that share depth + 1 code points, by the LCPs of neighbours
-            deep = deep[length[t[deep]] > depth]
+            deep = deep[length[deep] > depth]
             starts = np.flatnonzero(lcp[deep] <= depth)
             ends = np.append(starts[1:], len(deep))
             left, right = deep[starts], deep[starts] + (ends - starts)
@@ -118,7 +132,7 @@ def one_edit_pairs(groups: np.ndarray, prefix: np.ndarray, words: list[str], tar
             child = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
             q, old = q[each], cells[each]
             s, e = left[child], right[child]
-            char, size = code(t[s], depth), length[q]
+            char, size = code(s, depth), length[q]
             cells = np.empty_like(old)
             cells[:, 0] = np.minimum(old[:, 0] + (code(q, depth - 1) != char), old[:, 1] + 1)
             cells[:, 1] = np.minimum(np.minimum(old[:, 1] + (code(q, depth) != char), old[:, 2] + 1), cells[:, 0] + 1)
@@ -127,18 +141,18 @@ def one_edit_pairs(groups: np.ndarray, prefix: np.ndarray, words: list[str], tar
                 cells[size < depth + k, k] = 2
             np.minimum(cells, 2, out=cells)
             depth += 1
-            over = np.flatnonzero((length[t[s]] == depth) & (np.abs(size - depth) <= 1))
+            over = np.flatnonzero((length[s] == depth) & (np.abs(size - depth) <= 1))
             hit = over[cells[over, (size[over] - depth + 1)] == 1]
-            found.append((q[hit], t[s[hit]]))
+            found.append((q[hit], s[hit]))
             # a range goes where no cell is below 2, or where it has only the query itself
-            stays = (cells.min(1) < 2) & ~((e - s == 1) & (own[q] == s))
+            stays = (cells.min(1) < 2) & ~((e - s == 1) & (q == s))
             q, s, e, cells = q[stays], s[stays], e[stays], cells[stays]
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
+def near_pairs(words: DataFrame, work: Work) -> DataFrame:
     """(word, near, near_n) of all different words (word, n) one edit apart, both ways round, each once."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,26 +161,28 @@ def near_pairs(words: DataFrame) -> DataFrame:
             held.append(batch)
             if sum(map(len, held)) >= HELD:
                 rows = pd.concat(held, ignore_index=True)
-                last = (rows["beginning"] != rows["beginning"].iloc[-1]) | (rows["part"] != rows["part"].iloc[-1])
-                if last.any():
-                    yield pairs(rows[last])
-                    rows = rows[~last]
+                ended = rows["list"] != rows["list"].iloc[-1]
+                if ended.any():
+                    yield pairs(rows[ended])
+                    rows = rows[~ended]
                 held = [rows]
         if held:
             yield pairs(pd.concat(held, ignore_index=True))
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.reset_index(drop=True)
-        key, before = rows["beginning"], rows["beginning"].shift()
-        change = (key != before) | (rows["part"] != rows["part"].shift())
-        words = rows["word"].tolist()
-        q, t = one_edit_pairs(change.cumsum().to_numpy(), key.str.len().to_numpy() - 1, words, rows["target"].to_numpy())
-        out, n, keys = [], rows["n"].to_numpy(), key.tolist()
+        change = (rows["list"] != rows["list"].shift()).to_numpy()
+        of = change.cumsum() - 1
+        lists = [(kind[0], len(kind) > 1, int(m), int(shared)) for kind, m, shared in (x.split(":", 3)[:3] for x in rows["list"][change])]
+        # a word of a longer list may be no longer than what it shares: these begin one place before
+        prefix = np.array([shared - (exact or shared > m) for _, exact, m, shared in lists], np.int64)[of] if lists else np.empty(0, np.int64)
+        words, n, out = rows["word"].tolist(), rows["n"].to_numpy(), []
+        q, t = one_edit_pairs(of, prefix, words)
         for i, j in zip(q.tolist(), t.tolist()):
-            a, b, m = words[i], words[j], len(keys[i]) - 1
-            if min(len(a), len(b)) // 2 != m:
+            way, exact, m, shared = lists[of[i]]
+            a, b = words[i], words[j]
+            if min(len(a), len(b)) // 2 != m or exact and a[shared : shared + 1] == b[shared : shared + 1]:
                 continue
-            if keys[i][0] == "b":
+            if way == "b":
                 a, b = a[::-1], b[::-1]
                 if a[:m] == b[:m]:  # found by their beginnings
                     continue
@@ -176,7 +192,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     # by count, since a row's work says more than its size
     spark = words.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * words.count() // PER_TASK)
-    lists = _lists(words).repartition(tasks, "beginning", "part").sortWithinPartitions("beginning", "part", "word")
+    lists = _lists(words, work).repartition(tasks, "list").sortWithinPartitions("list", "word")
     return lists.mapInPandas(scan, PAIRS)
 
 
@@ -206,7 +222,7 @@ def variants(words: DataFrame, times: int = 2) -> DataFrame:
     work = Work(words.sparkSession, "spelling")
     words = work.table(words.select("word", "n"), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))
-    nearest = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
+    nearest = near_pairs(words, work).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     much = F.col("form_n") >= F.lit(times) * F.col("n")
     judged = words.join(nearest, "word", "left").withColumn("form_n", -F.col("best.less"))
     judged = judged.select("word", F.when(much, F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(much, F.col("form_n")).alias("form_n"))

@@ -50,12 +50,12 @@ def test_scan_equals_brute_force(seed, monkeypatch):
     for g in range(rng.randint(1, 5)):
         start = "".join(rng.choice("abé") for _ in range(m))
         words = {start + "".join(rng.choice("abcé") for _ in range(rng.randint(1, m + 3))) for _ in range(rng.randint(1, 40))}
-        rows += [(g, m, w, rng.random() < 0.8) for w in sorted(words)]
-    groups, prefix, words, target = (list(x) for x in zip(*rows))
-    q, t = spelling.one_edit_pairs(np.array(groups), np.array(prefix), words, np.array(target))
+        rows += [(g, m, w) for w in sorted(words)]
+    groups, prefix, words = (list(x) for x in zip(*rows))
+    q, t = spelling.one_edit_pairs(np.array(groups), np.array(prefix), words)
     found = list(zip(q.tolist(), t.tolist()))
     assert len(found) == len(set(found))
-    assert set(found) == {(i, j) for i in range(len(rows)) for j in range(len(rows)) if groups[i] == groups[j] and target[j] and one_edit(words[i], words[j])}
+    assert set(found) == {(i, j) for i in range(len(rows)) for j in range(len(rows)) if groups[i] == groups[j] and one_edit(words[i], words[j])}
 
 
 def texts(seed: int, n: int) -> list[tuple]:
@@ -69,7 +69,7 @@ def texts(seed: int, n: int) -> list[tuple]:
     return [(i, " ".join(changed(rng.choice(stems[: 1 + rng.randrange(40)])).title() for _ in range(rng.randint(0, 300)))) for i in range(n)]
 
 
-@pytest.mark.parametrize("cut", [50_000, 3])
+@pytest.mark.parametrize("cut", [50_000, 20, 2])
 def test_operator_equals_brute_force(spark, monkeypatch, cut):
     monkeypatch.setattr(spelling, "LIST", cut)
     odd = [(None, "Alpha alpha, ALPHA alphas alphas alphas ÉlanÉlan"), (7, None), (8, ""), (9, "x" * 5_000), (9, "x" * 5_000), (9, "x" * 5_001), (10, "中文 \U0001f600 a1b2")]
@@ -87,6 +87,18 @@ def test_long_words_of_one_letter_are_near(spark):
     assert rows == {(3000, 1, 3000), (3001, 2, 3000), (3002, 1, 3000)}
 
 
+@pytest.mark.parametrize("cut", [1000, 5])
+def test_lists_that_share_much_are_cut(spark, monkeypatch, cut):
+    monkeypatch.setattr(spelling, "LIST", cut)
+    rng = random.Random(6)
+    words = {"aaaa" + "".join(rng.choice("ab") for _ in range(rng.randint(0, 7))) for _ in range(400)} | {"a" * i for i in range(4, 16)} | {"".join(rng.choice("ab:") for _ in range(6)) for _ in range(300)}
+    words = {w: rng.randint(1, 99) for w in words if len(w) > 3}
+    found = {r.word: (r.n_near, r.form_n) for r in spelling.variants(spark.createDataFrame(list(words.items()), "word string, n long")).collect()}
+    for w, n in words.items():
+        near = [words[x] for x in words if one_edit(w, x)]
+        assert found[w] == (len(near), max(near) if near and max(near) >= 2 * n else None), w
+
+
 def test_no_words_give_no_rows(spark):
     empty = spark.createDataFrame([], DOCS)
     assert spelling.spelling_variants(empty).collect() == []
