@@ -117,16 +117,17 @@ def records(sidecars: DataFrame) -> DataFrame:
     repeated = "size(array_distinct(map_keys(m))) < size(m)"
     parsed = parsed.withColumn("m", F.expr(f"if({repeated}, map_from_entries({last}), m)"))
     name = F.expr("if(schema_of_variant(m['file']) = 'STRING', variant_get(m['file'], '$', 'string'), null)")
-    parsed = parsed.withColumn("name", name).withColumn("listed", F.expr("to_json(m['scenes'])"))
-    none = F.coalesce(F.col("listed").isin("null", "[]", "{}", '""', "0", "0.0", "false"), F.lit(True))
-    parsed = parsed.withColumn("entries", F.when(~none, F.expr("try_cast(m['scenes'] AS array<map<string,variant>>)")))
+    parsed = parsed.withColumn("name", name).withColumn("entries", F.expr("try_cast(m['scenes'] AS array<map<string,variant>>)"))
+    # a text is made of scenes only where they are no list of objects
+    falsy = F.expr("to_json(m['scenes'])").isin("null", "[]", "{}", '""', "0", "0.0", "false")
+    none = F.coalesce(F.when(F.col("entries").isNotNull(), F.size("entries") == 0).otherwise(falsy), F.lit(True))
     reject = (
         F.when(F.col("m").isNull(), "not a JSON object")
         .when(~F.map_contains_key("m", F.lit("file")), "no file")
         .when(F.col("name").isNull() | F.col("name").isin("", ".") | F.col("name").contains("/"), "file is not a bare name")
-        .when(~none & (F.col("entries").isNull() | F.exists("entries", lambda e: e.isNull())), "scenes is not a list of objects")
+        .when(~F.col("none") & (F.col("entries").isNull() | F.exists("entries", lambda e: e.isNull())), "scenes is not a list of objects")
     )
-    parsed = parsed.withColumn("reject", reject).withColumn("none", none)
+    parsed = parsed.withColumn("none", none).withColumn("reject", reject)
     # the slide's own fields, read once for all of its scenes
     of_slide = [c for c in COLUMNS if c not in ("file", "directory", "scene")]
     listed = ", ".join(f"'{c}'" for c in of_slide)

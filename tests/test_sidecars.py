@@ -202,6 +202,17 @@ def test_interleaved_builds(spark, tmp_path, monkeypatch, root, expected):
     assert first.version().number == 3
 
 
+def test_builds_at_once_all_survive(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    roots = [f"/r{i}" for i in range(6)]
+    new = {root: rows_of(spark, (root, "1.czi"), animal_id=root) for root in roots}
+    with ThreadPoolExecutor(3) as pool:
+        versions = [v.number for v in pool.map(lambda root: catalog.Catalog(spark, str(tmp_path)).replace(new[root], root), roots)]
+    assert sorted(versions) == [1, 2, 3, 4, 5, 6]
+    assert held(catalog.Catalog(spark, str(tmp_path))) == {(root, "1.czi", root) for root in roots}
+
+
 def test_a_number_is_taken_once(spark, tmp_path):
     table = catalog.Catalog(spark, str(tmp_path), attempts=2)
     assert table._create(catalog.Version(1)) and not table._create(catalog.Version(1))
