@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -141,9 +141,13 @@ class Model:
     log_share: np.ndarray
     log_p: np.ndarray
 
+    @cached_property
+    def chances(self) -> np.ndarray:
+        return _chances(self.log_p)
+
     def scores(self, some: list[str], of: Pieces) -> np.ndarray:
         """(word, language): log probability of each word, all its segmentations summed."""
-        out, chances = np.empty((len(some), len(self.languages))), _chances(self.log_p)
+        out, chances = np.empty((len(some), len(self.languages))), self.chances
         for at in by_length(some, CELLS // max(1, len(self.languages))):
             out[at] = _forward(chances[:, of.lattice([some[i] for i in at])])[..., -1].T
         return out
@@ -175,14 +179,16 @@ def _smoothed(counts: np.ndarray) -> np.ndarray:
     return np.log((1 - SHARED - ALIKE) * plain + SHARED * plain.mean(0) + ALIKE * alike)
 
 
-def training_words(docs: DataFrame, sample: int = 2_000, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> tuple[DataFrame, dict[str, int]]:
+def training_words(docs: DataFrame, sample: int = 2_000, most: int = 500, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> tuple[DataFrame, dict[str, int]]:
     """(lang, word, n) of a bounded sample of the documents that name a language, and the documents of each language.
 
     Of each language all documents whose hash of id and text is below `sample` / its number of
     documents are taken, about `sample` of them at any size. Counted before the shuffle.
     """
     named = docs.select(F.col(id_column).cast("string").alias("id"), F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text")).where("lang is not null")
-    sizes = {r.lang: r["count"] for r in named.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in named.groupBy("lang").count().limit(most + 1).collect()}
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages; every task would hold a model of each")
     if not sizes:
         return named.select("lang", F.col("text").alias("word"), F.lit(0).cast("long").alias("n")).where("false"), sizes
     share = F.element_at(F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, sample / n)))]), F.col("lang"))
@@ -206,7 +212,7 @@ def training_words(docs: DataFrame, sample: int = 2_000, id_column: str = "doc_i
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), sizes
 
 
-def learn(docs: DataFrame, sample: int = 2_000, rounds: int = 3, path: str | None = None, most: int = 1_000, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
+def learn(docs: DataFrame, sample: int = 2_000, rounds: int = 3, path: str | None = None, most: int = 500, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
     """A model of each language that docs name, by expectation maximisation over the pieces of a fixed vocabulary.
 
     Fits on about `sample` documents per language (see training_words); the languages' shares
@@ -217,9 +223,7 @@ def learn(docs: DataFrame, sample: int = 2_000, rounds: int = 3, path: str | Non
     nothing; no documents give a model without languages.
     """
     path = path or vocabulary()
-    counted, sizes = training_words(docs, sample, id_column, text_column, lang_column)
-    if len(sizes) > most:
-        raise ValueError(f"{len(sizes)} languages; models of at most {most} are held")
+    counted, sizes = training_words(docs, sample, most, id_column, text_column, lang_column)
     languages, of = sorted(sizes), pieces(path)
     place = {lang: i for i, lang in enumerate(languages)}
     log_p = np.full((len(languages), of.size), -np.log(of.size))
@@ -245,11 +249,10 @@ def _expected_counts(counted: DataFrame, place: dict[str, int], log_p: np.ndarra
         lang, piece = np.nonzero(total)
         yield pd.DataFrame({"lang": lang.astype(np.int32), "piece": piece.astype(np.int32), "n": total[lang, piece]})
 
-    rows = counted.mapInPandas(run, "lang int, piece int, n long").groupBy("lang", "piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).cast("double").alias("n")).collect()
+    found = counted.mapInPandas(run, "lang int, piece int, n long").groupBy("lang", "piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).cast("double").alias("n")).toArrow()
     sent.unpersist()
     counts = np.zeros(log_p.shape)
-    for r in rows:
-        counts[r.lang, r.piece] = r.n / UNIT
+    counts[found["lang"].to_numpy(), found["piece"].to_numpy()] = found["n"].to_numpy() / UNIT
     return counts
 
 
