@@ -35,6 +35,8 @@ CELL_BITS, SLICES = 21, 256
 FILTER_BITS = 26
 #: Orders besides the first.
 FURTHER = 2
+#: Bands of size between a set and the smallest one that is similar to it.
+BANDS = 4
 #: A shingle that more documents than this may have is brought together by joins that Spark can split.
 HOT = 20_000
 #: Classes whose prefixes a task remembers to have sent already.
@@ -151,13 +153,31 @@ def _per_token(rows: DataFrame, **aggregates: Column) -> DataFrame:
 
 def _need(n: str, m: str, percent: int) -> str:
     """SQL for the least intersection of sets of n and m shingles that are similar enough."""
-    return f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
+    return f"(({percent}L * ({n} + {m}) + {99 + percent}) div {100 + percent})"
 
 
 def _fits(n: str, at: str, m: str, m_at: str, percent: int) -> Column:
     """Whether sets of n and m shingles, the first common one of which stands at these places, can be similar enough."""
     need = _need(n, m, percent)
-    return F.expr(f"{n} - {at} >= {need} and {m} - {m_at} >= {need} and 100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
+    return F.expr(f"{n} - {at} >= {need} and {m} - {m_at} >= {need} and 100L * least({n}, {m}) >= {percent}L * greatest({n}, {m})")
+
+
+def _ends(near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A token's rows as the smaller and as the larger set of a pair, to be joined by token and band of size.
+
+    The place of the first shingle that two sets share leaves both enough to share only if the
+    other isn't too large. A smaller set must still reach one of its own size: those whose place
+    is too far back for that are left out. A larger one only goes to the bands from the least
+    size that is similar to its own up to the largest that its place allows. So sets that have
+    a frequent passage behind many shingles of their own, and can't be similar, never meet.
+    Smaller sets have their columns as p_<name>.
+    """
+    width = math.log(100 / percent) / BANDS if percent < 100 else 1e-9
+    band = lambda n: F.floor(F.log(n) / F.lit(width))
+    columns = ("cls", "n", "at", "component", "main")
+    smaller = near.where(f"n - at >= {_need('n', 'n', percent)}").select("token", band("n").alias("band"), *[F.col(c).alias(f"p_{c}") for c in columns])
+    larger = near.withColumn("from", F.expr(f"({percent}L * n + 99) div 100")).withColumn("to", F.expr(f"least(n, {100 + percent}L * (n - at) div {percent} - n)")).where("from <= to")
+    return smaller, larger.select("token", F.explode(F.sequence(band("from"), band("to"))).alias("band"), *columns)
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
@@ -218,11 +238,10 @@ def near_groups(docs: DataFrame, k: int, percent: int, id_column: str, text_colu
     near = shared.drop("leader").join(least_neighbour(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     parts = {"one": F.min("component"), "last": F.max("component"), "main": F.min(F.struct("at", F.xxhash64("cls").alias("h"), "component"))}
     near = _per_token(near, **parts).where("one <> last").select("token", "cls", "n", "at", "component", (F.col("component") == F.col("main.component")).alias("main"))
-    # classes in bands of size, of which similar sets are at most one apart
-    width = math.log(100 / percent) + 1e-9 if percent < 100 else 1e-9
-    near = work.table(near.withColumn("band", F.floor(F.log("n") / F.lit(width))), "near")
-    others = near.where("not main").select("token", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), *[F.col(c).alias(f"p_{c}") for c in ("cls", "n", "at", "component")])
-    met = near.join(others, ["token", "band"]).where(_fits("n", "at", "p_n", "p_at", percent) & F.expr("component <> p_component and (main or cls < p_cls)"))
+    near = work.table(near, "near")
+    smaller, larger = _ends(near, percent)
+    met = larger.where("main").join(smaller.where("not p_main"), ["token", "band"]).unionByName(larger.where("not main").join(smaller, ["token", "band"]))
+    met = met.where(_fits("n", "at", "p_n", "p_at", percent) & F.expr("component <> p_component and (p_n < n or p_n = n and p_cls < cls)"))
     rest = met.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
     rest = work.table(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     work.drop("shared", "near", "led")

@@ -63,6 +63,26 @@ def test_join_equals_brute_force(spark, k, percent, hot):
     assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(texts(), k, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_sets_that_can_be_similar_meet_in_a_band(spark, percent):
+    rng = random.Random(percent)
+    sets = [(b"t", i, n := rng.randint(1, 60), rng.randint(0, n // 4), i, i % 7 == 0) for i in range(300)]
+    # a passage that stands behind many shingles of their own
+    behind = [(b"u", 1000 + i, 1000 + i % 9, 150, i, False) for i in range(500)]
+    near = spark.createDataFrame(sets + behind, "token binary, cls long, n long, at int, component long, main boolean")
+    smaller, larger = ngram_join._ends(near, percent)
+    met = larger.join(smaller, ["token", "band"]).where("p_n < n or p_n = n and p_cls < cls").select("cls", "p_cls")
+    found = [tuple(sorted(r)) for r in met.collect()]
+    expected = set()
+    for _, a, n, at, *_ in sets:
+        for _, b, m, m_at, *_ in sets:
+            need = -(-percent * (n + m) // (100 + percent))
+            if a < b and n - at >= need and m - m_at >= need and 100 * min(n, m) >= percent * max(n, m):
+                expected.add((a, b))
+    assert expected <= set(found) and len(found) == len(set(found))
+    assert max((b for _, b in found), default=0) < 1000
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.near_components(table(spark, []), 3, 90).collect() == []
     assert [tuple(r) for r in ngram_join.near_components(table(spark, [(1, None), (2, "a b c d")]), 3, 90).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 2, 2)]
