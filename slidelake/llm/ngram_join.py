@@ -31,8 +31,8 @@ from slidelake.llm.shingles import mixed, token_sets
 
 #: The sketch: 2**CELL_BITS counters, in SLICES parts.
 CELL_BITS, SLICES = 21, 256
-#: Bits of the filter for texts that candidates need; its size doesn't depend on the data.
-FILTER_BITS = 26
+#: Bits of the filter for texts that candidates need: FILTER_SHARE for each, between 2**LEAST_BITS and 2**MOST_BITS.
+FILTER_SHARE, LEAST_BITS, MOST_BITS = 16, 20, 30
 #: Orders besides the first.
 FURTHER = 2
 #: Bands of size between a set and the smallest one that is similar to it.
@@ -84,9 +84,14 @@ def seen(docs: DataFrame, k: int) -> np.ndarray:
     return levels.ravel()
 
 
-def _name(tokens: np.ndarray) -> int:
-    """The name of a set."""
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
+def _name(tokens: np.ndarray) -> bytes:
+    """The name of a set, in 128 bits."""
+    return xxhash.xxh3_128_digest(tokens.tobytes())
+
+
+def _text_hash(text: str) -> Column:
+    """The name of a text, in 128 bits."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
 def _lists(arrays: list, of: np.dtype) -> pa.Array:
@@ -106,11 +111,11 @@ def described(docs: DataFrame, k: int, percent: int, most: int = HOT) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         usual = np.partition(levels.value, 9 * len(levels.value) // 10)[9 * len(levels.value) // 10]
         ranks, hot = np.maximum(levels.value, usual) - usual, _level(most)
-        known: set[int] = set()
+        known: set[bytes] = set()
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             doc_id, text_hash, n, cls, n_cold, first, *further = zip(*rows)
-            columns = {"doc_id": pa.array(doc_id, pa.int64()), "text_hash": pa.array(text_hash, pa.int64()), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "n_cold": pa.array(n_cold, pa.int32()), "first": _lists(first, np.int64)}
+            columns = {"doc_id": pa.array(doc_id, pa.int64()), "text_hash": pa.array(text_hash, pa.binary()), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.binary()), "n_cold": pa.array(n_cold, pa.int32()), "first": _lists(first, np.int64)}
             return pa.RecordBatch.from_pydict(columns | {f"order{i}": _lists(x, np.int32) for i, x in enumerate(further, 1)})
 
         rows, size = [], 0
@@ -134,8 +139,8 @@ def described(docs: DataFrame, k: int, percent: int, most: int = HOT) -> DataFra
         if rows:
             yield batch(rows)
 
-    schema = "doc_id long, text_hash long, n long, cls long, n_cold int, first array<long>" + "".join(f", order{i} array<int>" for i in range(1, FURTHER + 1))
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
+    schema = "doc_id long, text_hash binary, n long, cls binary, n_cold int, first array<long>" + "".join(f", order{i} array<int>" for i in range(1, FURTHER + 1))
+    return docs.select("doc_id", _text_hash("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 def _per_token(rows: DataFrame, **aggregates: Column) -> DataFrame:
@@ -194,7 +199,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     leaders are broken by hashes, and don't change the result. Shingles that more than `hot`
     documents may have are brought together by joins that Spark can split, others by windows.
 
-    A class is named by 64 bits of its set's hash.
+    Sets and texts are named by 128 bits of their hashes, shingles by 64.
     """
     return near_groups(docs, k, percent, id_column, text_column, hot).select("doc_id", "n_shingles", "component_id")
 
@@ -208,7 +213,7 @@ def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_colum
     """
     found = near_groups(docs, k, percent, id_column, text_column, hot).where("n_shingles > 0")
     decided = stored(found.select("doc_id", F.col("text_hash").alias("key"), "stays"), "decided")
-    return kept_rows(docs, decided, id_column, F.xxhash64(text_column))
+    return kept_rows(docs, decided, id_column, _text_hash(text_column))
 
 
 def near_groups(docs: DataFrame, k: int, percent: int, id_column: str, text_column: str, hot: int) -> DataFrame:
@@ -258,9 +263,14 @@ def near_groups(docs: DataFrame, k: int, percent: int, id_column: str, text_colu
     return found.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"), stays.alias("stays"))
 
 
-def _bits(work: Work, rows: DataFrame) -> np.ndarray:
-    """A filter with the bits set that the rows (column bit) name."""
-    size = (1 << FILTER_BITS) // 8 // SLICES
+def _filter_bits(texts: int) -> int:
+    """log2 of the filter's bits for so many texts."""
+    return min(MOST_BITS, max(LEAST_BITS, (FILTER_SHARE * texts).bit_length()))
+
+
+def _bits(rows: DataFrame, bits: int) -> np.ndarray:
+    """A filter of 2**bits bits with those set that the rows (column bit) name."""
+    size = (1 << bits) // 8 // SLICES
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         part = np.zeros(size, np.uint8)
@@ -287,24 +297,27 @@ def _similar(work: Work, docs: DataFrame, pairs: DataFrame, prefixes: DataFrame,
     passed = work.table(passed.select("a", "b", "a_text_hash", "b_text_hash"), "passed")
     if passed.isEmpty():
         return passed.select("a", "b")
-    bit = F.pmod(F.col("text_hash"), F.lit(1 << FILTER_BITS))
-    needed = passed.select(F.explode(F.array("a_text_hash", "b_text_hash")).alias("text_hash")).select(bit.alias("bit")).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(_bits(work, needed))  # 2**FILTER_BITS / 8 bytes
+    needed = passed.select(F.explode(F.array("a_text_hash", "b_text_hash")).alias("text_hash")).distinct()
+    bits = _filter_bits(needed.count())
+    bit = F.pmod(F.xxhash64("text_hash"), F.lit(1 << bits)).alias("bit")
+    wanted = docs.sparkSession.sparkContext.broadcast(_bits(needed.select(bit).distinct(), bits))  # 2**MOST_BITS / 8 bytes at most
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, known = zstandard.ZstdCompressor(level=1), set()
         for batch in batches:
-            hashes = batch.column(0).to_numpy()
-            at = hashes % (1 << FILTER_BITS)
-            chosen = [i for i in np.flatnonzero(wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist() if hashes[i] not in known]
-            known.update(hashes[chosen].tolist())
+            at, chosen = batch.column(1).to_numpy(), []
+            for i in np.flatnonzero(wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
+                name = batch.column(0)[i].as_py()
+                if name not in known:
+                    known.add(name)
+                    chosen.append((name, i))
             for i in range(0, len(chosen), 500):
                 some = chosen[i : i + 500]
-                yield pa.RecordBatch.from_pydict({"text_hash": hashes[some], "body": pa.array([press.compress((batch.column(1)[j].as_py() or "").encode()) for j in some], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"text_hash": pa.array([name for name, _ in some], pa.binary()), "body": pa.array([press.compress((batch.column(2)[j].as_py() or "").encode()) for _, j in some], pa.binary())})
             if len(known) > REMEMBERED:
                 known.clear()
 
-    found = docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(choose, "text_hash long, body binary")
+    found = docs.select(_text_hash("text").alias("text_hash"), "text").select("text_hash", bit, "text").mapInArrow(choose, "text_hash binary, body binary")
     texts = work.table(found.groupBy("text_hash").agg(F.first("body").alias("body")), "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,4 +338,4 @@ def _similar(work: Work, docs: DataFrame, pairs: DataFrame, prefixes: DataFrame,
 
     body = lambda c: texts.select(F.col("text_hash").alias(f"{c}_text_hash"), F.col("body").alias(f"{c}_body"))
     both = passed.join(body("a"), "a_text_hash").join(body("b"), "b_text_hash").select("a", "b", "a_body", "b_body")
-    return work.table(both.mapInArrow(verify, "a long, b long"), "similar")
+    return work.table(both.mapInArrow(verify, "a binary, b binary"), "similar")

@@ -162,3 +162,10 @@ def test_rows_that_repeat_an_id_are_judged_each(spark):
     near = ngram_join.without_near_copies(docs, 2, 80)
     assert near.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in near.collect()), key=repr) == sorted([(1, "a b c"), (2, "only here"), (None, "lost"), (4, None), (5, "")], key=repr)
+
+
+def test_filter_of_texts(spark):
+    assert [ngram_join._filter_bits(n) for n in (0, 1 << 16, (1 << 16) - 1, 10**12)] == [20, 21, 20, ngram_join.MOST_BITS]
+    bits = [0, 5, 4095, 4096, (1 << 20) - 1]
+    found = ngram_join._bits(spark.createDataFrame([(b,) for b in bits], "bit long"), 20)
+    assert [i for i in range(1 << 20) if found[i >> 3] >> (i & 7) & 1] == bits
