@@ -35,8 +35,6 @@ CELL_BITS, SLICES = 21, 256
 FILTER_SHARE, LEAST_BITS, MOST_BITS = 16, 20, 30
 #: Orders besides the first.
 FURTHER = 2
-#: Bands of size between a set and the smallest one that is similar to it.
-BANDS = 4
 #: A shingle that more documents than this may have is brought together by joins that Spark can split.
 HOT = 20_000
 #: Classes whose prefixes a task remembers to have sent already.
@@ -168,21 +166,23 @@ def _fits(n: str, at: str, m: str, m_at: str, percent: int) -> Column:
 
 
 def _ends(near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """A token's rows as the smaller and as the larger set of a pair, to be joined by token and band of size.
+    """A token's rows as the two sides of pairs, to be joined by token and band of size.
 
     The place of the first shingle that two sets share leaves both enough to share only if the
-    other isn't too large. A smaller set must still reach one of its own size: those whose place
-    is too far back for that are left out. A larger one only goes to the bands from the least
-    size that is similar to its own up to the largest that its place allows. So sets that have
-    a frequent passage behind many shingles of their own, and can't be similar, never meet.
-    Smaller sets have their columns as p_<name>.
+    other isn't too large. The first side, rows that aren't main, goes to the bands from the
+    least size that is similar to its own up to the largest that its place allows. The second is
+    in the band of its size: main rows all, others as the smaller set of a pair, so only those
+    whose place still allows a partner of their own size. So sets that have a frequent passage
+    behind many shingles of their own, and can't be similar, don't meet. The first side's
+    columns are p_<name>.
     """
-    width = math.log(100 / percent) / BANDS if percent < 100 else 1e-9
+    width = math.log(100 / percent) + 1e-9 if percent < 100 else 1e-9
     band = lambda n: F.floor(F.log(n) / F.lit(width))
-    columns = ("cls", "n", "at", "component", "main")
-    smaller = near.where(f"n - at >= {_need('n', 'n', percent)}").select("token", band("n").alias("band"), *[F.col(c).alias(f"p_{c}") for c in columns])
-    larger = near.withColumn("from", F.expr(f"({percent}L * n + 99) div 100")).withColumn("to", F.expr(f"least(n, {100 + percent}L * (n - at) div {percent} - n)")).where("from <= to")
-    return smaller, larger.select("token", F.explode(F.sequence(band("from"), band("to"))).alias("band"), *columns)
+    most = f"least(100L * n div {percent}, {100 + percent}L * (n - at) div {percent} - n)"
+    ranged = near.where("not main").withColumn("from", F.expr(f"({percent}L * n + 99) div 100")).withColumn("to", F.expr(most)).where("from <= to")
+    others = ranged.select("token", F.explode(F.sequence(band("from"), band("to"))).alias("band"), *[F.col(c).alias(f"p_{c}") for c in ("cls", "n", "at", "component")])
+    placed = near.where(f"main or n - at >= {_need('n', 'n', percent)}").withColumn("band", band("n"))
+    return others, placed
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
@@ -244,19 +244,18 @@ def near_groups(docs: DataFrame, k: int, percent: int, id_column: str, text_colu
     parts = {"one": F.min("component"), "last": F.max("component"), "main": F.min(F.struct("at", F.xxhash64("cls").alias("h"), "component"))}
     near = _per_token(near, **parts).where("one <> last").select("token", "cls", "n", "at", "component", (F.col("component") == F.col("main.component")).alias("main"))
     near = work.table(near, "near")
-    smaller, larger = _ends(near, percent)
-    met = larger.where("main").join(smaller.where("not p_main"), ["token", "band"]).unionByName(larger.where("not main").join(smaller, ["token", "band"]))
-    met = met.where(_fits("n", "at", "p_n", "p_at", percent) & F.expr("component <> p_component and (p_n < n or p_n = n and p_cls < cls)"))
+    others, placed = _ends(near, percent)
+    met = placed.join(others, ["token", "band"]).where(_fits("n", "at", "p_n", "p_at", percent) & F.expr("component <> p_component and (main or n < p_n or n = p_n and cls < p_cls)"))
     rest = met.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
     rest = work.table(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     work.drop("shared", "near", "led")
     more = _similar(work, docs, rest, prefixes, k, percent)
-    placed = work.table(components(links.union(more)), "components")
+    named_by = work.table(components(links.union(more)), "components")
     work.drop("rest", "prefixes", "links")
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     classes = rows.where("n > 0").groupBy("cls").agg(first)
-    named = classes.join(placed.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
+    named = classes.join(named_by.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
     of_class = named.join(named.groupBy("component").agg(F.min("first").alias("least")), "component").select("cls", "least")
     found = rows.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(of_class, "cls", "left")
     stays = F.col("least").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash")))
