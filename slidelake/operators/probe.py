@@ -11,6 +11,14 @@ from slidelake.sources.formats import base_name, last_suffix
 AXES = {"X": "width", "Y": "height", "Z": "focal planes", "T": "timepoints", "C": "channels", "B": "blocks"}
 
 
+def _fixed(number: F.Column, digits: int) -> F.Column:
+    """A number with so many decimals, rounded as C and Python do: by its exact value, halves to the even digit.
+
+    format_string rounds the shortest decimal form, halves up.
+    """
+    return F.call_function("format_number", number, F.lit("0." + "0" * digits if digits else "0"))
+
+
 def axes(headers: DataFrame) -> DataFrame:
     """(path, code, name, extent, line): one row per axis of each bounding box."""
     names = F.create_map(*[F.lit(x) for pair in AXES.items() for x in pair])
@@ -43,8 +51,8 @@ def czi_report(files: DataFrame, headers: DataFrame, rects: DataFrame) -> DataFr
     details = headers.select("path", "pixel_x_m", "pixel_y_m", F.concat(F.lit("{"), types, F.lit("}")).alias("types"), origin("X").alias("x0"), origin("Y").alias("y0"), F.col("error").alias("failure"))
     found = files.where(last_suffix() == ".czi").join(details, "path", "left").join(scene_rollup(rects, headers), "path", "left").join(listed, "path", "left")
     several, failed = F.col("n_scenes") > 1, F.coalesce("failure", F.when(F.col("n_scenes").isNull(), "RuntimeError: no header"))
-    size = F.format_string("%-11s %d x %d px  (%.2f Gpx)", F.when(F.col("n_scenes") == 1, "size").otherwise("union size"), "union_w", "union_h", "union_gpx")
-    pixel = F.when(F.col("pixel_x_m").isNull(), "not found in metadata, image has no physical scale").otherwise(F.format_string("%.4f um", F.col("pixel_x_m") * 1e6))
+    size = F.format_string("%-11s %d x %d px  (%s Gpx)", F.when(F.col("n_scenes") == 1, "size").otherwise("union size"), "union_w", "union_h", _fixed(F.col("union_gpx"), 2))
+    pixel = F.when(F.col("pixel_x_m").isNull(), "not found in metadata, image has no physical scale").otherwise(F.format_string("%s um", _fixed(F.col("pixel_x_m") * 1e6, 4)))
     return found.select(
         "path",
         base_name().alias("name"),
@@ -53,12 +61,12 @@ def czi_report(files: DataFrame, headers: DataFrame, rects: DataFrame) -> DataFr
         F.when(failed.isNull(), F.col("types")).alias("pixel_type"),
         "n_scenes",
         F.when(failed.isNull(), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("scene_lines"),
-        F.when(failed.isNull() & several, F.format_string("%.2f Gpx  (%.0f%% of the union is empty stage)", "scene_gpx", "empty_percent")).alias("scene_line"),
-        F.format_string("%.0f MB", F.col("length") / 1e6).alias("on_disk"),
-        F.when(failed.isNull(), F.format_string("%.1f GB", "rgb_gb")).alias("in_memory"),
+        F.when(failed.isNull() & several, F.format_string("%s Gpx  (%s%% of the union is empty stage)", _fixed(F.col("scene_gpx"), 2), _fixed(F.col("empty_percent"), 0))).alias("scene_line"),
+        F.format_string("%s MB", _fixed(F.col("length") / 1e6, 0)).alias("on_disk"),
+        F.when(failed.isNull(), F.format_string("%s GB", _fixed(F.col("rgb_gb"), 1))).alias("in_memory"),
         F.when(failed.isNull(), pixel).alias("pixel_size"),
-        F.when(failed.isNull(), F.when(F.col("pixel_x_m").isNotNull(), F.format_string("%.4f um", F.col("pixel_x_m") * 1e6))).alias("pixel_x"),
-        F.when(failed.isNull(), F.when(F.col("pixel_y_m").isNotNull(), F.format_string("%.4f um", F.col("pixel_y_m") * 1e6))).alias("pixel_y"),
+        F.when(failed.isNull(), F.when(F.col("pixel_x_m").isNotNull(), F.format_string("%s um", _fixed(F.col("pixel_x_m") * 1e6, 4)))).alias("pixel_x"),
+        F.when(failed.isNull(), F.when(F.col("pixel_y_m").isNotNull(), F.format_string("%s um", _fixed(F.col("pixel_y_m") * 1e6, 4)))).alias("pixel_y"),
         F.when(failed.isNull() & several, "multi-scene file, readers assuming one scene will miss data").alias("note"),
         F.when(failed.isNotNull(), F.concat(F.lit("FAILED: "), failed)).alias("error"),
     )
@@ -78,7 +86,7 @@ def tiff_report(files: DataFrame, headers: DataFrame, series: DataFrame) -> Data
         "path",
         base_name().alias("name"),
         F.when(failed.isNull(), F.when(F.col("is_ome"), "OME-TIFF").otherwise("TIFF")).alias("format"),
-        F.format_string("%.0f MB", files["length"] / 1e6).alias("on_disk"),
+        F.format_string("%s MB", _fixed(files["length"] / 1e6, 0)).alias("on_disk"),
         F.when(failed.isNull(), F.col("n_series")).alias("n_series"),
         F.when(failed.isNull(), F.col("compression")).alias("compression"),
         F.when(failed.isNull(), F.concat(F.initcap(F.col("is_tiled").cast("string")), size)).alias("tiled"),

@@ -226,3 +226,18 @@ def test_bad_stores_give_error_rows(spark, tmp_path):
     assert set(found) == {"no-array", "odd-array", "zero-chunk", "good"}
     assert found["good"].px == bytes([3] * 16) and found["good"].error is None
     assert all("no array metadata" in found[s].error and found[s].px is None for s in ("no-array", "odd-array", "zero-chunk"))
+
+
+def test_reports_round_as_printf(spark):
+    from slidelake.operators import probe
+    from slidelake.plans import fixtures as fx
+
+    values = [0.125, 0.375, 0.135, 2.5, 3.5, 1500004.5, 1e-9, 0.0, 99.995, 123456789.125, 0.045, 1.005]
+    numbers = spark.createDataFrame([(x,) for x in values], "x double")
+    for digits in (0, 1, 2, 4):
+        assert [r[0] for r in numbers.select(probe._fixed(F.col("x"), digits)).collect()] == [f"{x:.{digits}f}" for x in values]
+    files = spark.createDataFrame([("/a.czi", 1_500_004_500_000), ("/b.tif", 2_500_000), ("/c.tif", 3_500_000)], "path string, length long")
+    empty = lambda frame: frame(spark, "/root/testdata/sf0.001").limit(0)
+    czi = probe.czi_report(files, empty(fx.headers), empty(fx.rects)).select("path", "on_disk")
+    tiff = probe.tiff_report(files, empty(fx.headers), empty(fx.tiff_series)).select("path", "on_disk")
+    assert {tuple(r) for r in czi.union(tiff).collect()} == {("/a.czi", "1500004 MB"), ("/b.tif", "2 MB"), ("/c.tif", "4 MB")}
