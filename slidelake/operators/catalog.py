@@ -19,8 +19,12 @@ from slidelake.sources.storage import removed, stored
 
 
 def last_wins(projected: DataFrame) -> DataFrame:
-    """Of records with one key the last in path order, then by position."""
-    turn = Window.partitionBy(*KEY).orderBy(path_order().desc(), F.col("sidecar_path").desc(), F.col("pos").desc())
+    """Of records with one key the last in path order, then by position.
+
+    Rows are sorted by a hash of the key first: keys begin alike, and Spark compares the first
+    eight bytes of the first column only without looking at the rows.
+    """
+    turn = Window.partitionBy(F.xxhash64(*KEY), *KEY).orderBy(path_order().desc(), F.col("sidecar_path").desc(), F.col("pos").desc())
     return projected.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select(*COLUMNS)
 
 

@@ -14,7 +14,7 @@ from slidelake.operators import geometry as g
 from slidelake.operators import pixels, probe, pyramid, validate
 from slidelake.plans import fixtures as fx
 from slidelake.plans import store_queries
-from slidelake.sources import formats
+from slidelake.sources import formats, storage
 from slidelake.sources import sidecars as sc
 
 _S = fx.SLIDES_SQL
@@ -67,7 +67,7 @@ LAST_WINS = f"WITH {_S} SELECT {_COLS} FROM slides"
 
 def replace_directory(spark, sf_dir):
     """The whole table, after one root was built anew with a new block name."""
-    table = slides(spark, sf_dir)
+    table = storage.stored(slides(spark, sf_dir), storage.run_folder(spark, "slides"))  # read three times
     anew = table.where(F.col("directory") == ROOT).where("dose_mg_per_kg >= 100").withColumn("serial_block", F.lit("new"))
     return c.replace_directory(table, anew, ROOT)
 

@@ -58,7 +58,7 @@ def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(directory, sidecar_path, text, k): a JSON text per order, scenes from its lineitems."""
     heads = over_orders(spark, sf_dir, f"WITH {SIDECAR_SQL} SELECT * FROM s2")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("lines"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("lines"))
     entry = lambda e: F.struct(
         F.when(e["l_linestatus"] == "F", e["l_linenumber"]).alias("scene"),
         F.when(e["l_returnflag"] == "R", "cyp2e1").when(e["l_returnflag"] == "A", "he").alias("stain"),

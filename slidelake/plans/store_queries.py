@@ -135,7 +135,7 @@ ZARR_CHANNELS = f"{_TILE_SUMS} SELECT vec_id, ty, tx, th, tw, CAST(4 AS BIGINT)
 
 def catalog_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog on disk: all three roots are built, then one again from half of its sidecars; SQL on the stored table."""
-    texts = fx.sidecars(spark, sf_dir)
+    texts = storage.stored(fx.sidecars(spark, sf_dir), _folder(spark, "texts"))  # read by each build
     catalog = Catalog(spark, _folder(spark, "catalog"))
     for root in ("/data/root_0", "/data/root_1", "/data/root_2"):
         catalog.build(texts.where(F.col("directory") == root), root)
@@ -178,7 +178,7 @@ SELECT path, CAST(0 AS BIGINT) AS scene, CAST(level AS INT) AS level, CAST(y //
 
 def catalog_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog on disk answers from its partial counts: slides and scenes by group, and the facets of one root."""
-    texts = fx.sidecars(spark, sf_dir)
+    texts = storage.stored(fx.sidecars(spark, sf_dir), _folder(spark, "texts"))  # read by each build
     catalog = Catalog(spark, _folder(spark, "catalog"))
     for root in ("/data/root_0", "/data/root_1", "/data/root_2"):
         catalog.build(texts.where(F.col("directory") == root), root)

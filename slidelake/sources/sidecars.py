@@ -116,8 +116,10 @@ def records(sidecars: DataFrame) -> DataFrame:
     last = "filter(map_entries(m), (e, i) -> i = size(m) - array_position(reverse(map_keys(m)), e.key))"
     repeated = "size(array_distinct(map_keys(m))) < size(m)"
     parsed = parsed.withColumn("m", F.expr(f"if({repeated}, map_from_entries({last}), m)"))
+    # of an entry's keys the contract's are taken; one that it lacks is null, an explicit null is a variant
+    entry = f"struct<{', '.join(f'{c}: variant' for c in COLUMNS)}>"
     name = F.expr("if(schema_of_variant(m['file']) = 'STRING', variant_get(m['file'], '$', 'string'), null)")
-    parsed = parsed.withColumn("name", name).withColumn("entries", F.expr("try_cast(m['scenes'] AS array<map<string,variant>>)"))
+    parsed = parsed.withColumn("name", name).withColumn("entries", F.expr(f"try_cast(m['scenes'] AS array<{entry}>)"))
     # a text is made of scenes only where they are no list of objects
     falsy = F.expr("to_json(m['scenes'])").isin("null", "[]", "{}", '""', "0", "0.0", "false")
     none = F.coalesce(F.when(F.col("entries").isNotNull(), F.size("entries") == 0).otherwise(falsy), F.lit(True))
@@ -128,44 +130,42 @@ def records(sidecars: DataFrame) -> DataFrame:
         .when(~F.col("none") & (F.col("entries").isNull() | F.exists("entries", lambda e: e.isNull())), "scenes is not a list of objects")
     )
     parsed = parsed.withColumn("none", none).withColumn("reject", reject)
-    # the slide's own fields, read once for all of its scenes
+    # the slide's own fields, read once for all of its scenes; an explicit null is a variant, too
     of_slide = [c for c in COLUMNS if c not in ("file", "directory", "scene")]
-    listed = ", ".join(f"'{c}'" for c in of_slide)
-    parsed = parsed.withColumn("shared", F.expr(f"transform(array({listed}), k -> if(map_contains_key(m, k), {_read_value('m[k]')}, null))"))
-    own = {
-        "file": "named_struct('kind', 'STRING', 'text', regexp_replace(substring(sidecar_path, length(directory) + 2), '[^/]*$', '') || name)",
-        "directory": "named_struct('kind', 'STRING', 'text', directory)",
-        "scene": "named_struct('kind', 'BIGINT', 'text', cast(pos AS string))",
-    } | {c: f"shared[{i}]" for i, c in enumerate(of_slide)}
+    listed = ", ".join(f"m['{c}']" for c in of_slide)
+    parsed = parsed.withColumn("shared", F.expr(f"transform(array({listed}), v -> if(v IS NOT NULL, {_read_value('v')}, null))"))
+    text = lambda value: F.struct(F.lit("STRING").alias("kind"), value.alias("text"))
+    file = F.concat(F.regexp_replace(F.expr("substring(sidecar_path, length(directory) + 2)"), "[^/]*$", ""), "name")
+    parsed = parsed.withColumn("own_file", text(file)).withColumn("own_directory", text(F.col("directory")))
+    own = {"file": "own_file", "directory": "own_directory", "scene": "named_struct('kind', 'BIGINT', 'text', cast(pos AS string))"} | {c: f"shared[{i}]" for i, c in enumerate(of_slide)}
     # an entry is read only where it overrides; all before the explode, whose rows then carry the
     # result: no later filter or projection reads a variant again
-    merged = ", ".join(f"'{c}', if(map_contains_key(entry, '{c}'), {_read_value(f"entry['{c}']")}, {own[c]})" for c in COLUMNS)
-    no_map = "cast(map() AS map<string,variant>)"
+    merged = ", ".join(f"'{c}', if(entry.{c} IS NOT NULL, {_read_value(f"entry.{c}")}, {own[c]})" for c in COLUMNS)
+    nothing = f"cast(named_struct({', '.join(f"'{c}', null" for c in COLUMNS)}) AS {entry})"
     scenes = F.expr(f"""if(reject IS NOT NULL, array(named_struct('reject', reject, 'fields', null)),
-        transform(if(none, array({no_map}), entries), (entry, pos) -> named_struct('reject', cast(null AS string), 'fields', named_struct({merged}))))""")
+        transform(if(none, array({nothing}), entries), (entry, pos) -> named_struct('reject', cast(null AS string), 'fields', named_struct({merged}))))""")
     rows = parsed.select("directory", "sidecar_path", F.posexplode(scenes).alias("pos", "scene"))
     return rows.select("directory", "sidecar_path", F.col("pos").cast("long").alias("pos"), "scene.reject", "scene.fields")
 
 
-def whole_number(name: str) -> F.Column:
-    """A field as a 64-bit integer by the contract's coercions; null if it isn't one.
+def whole_number(field: F.Column) -> F.Column:
+    """A field (kind and text) as a 64-bit integer by the contract's coercions; null if it isn't one.
 
     Whole numbers, booleans and numeric strings (blanks around, a sign, single underscores
     between digits, a fraction of zeros) count.
     """
-    kind, text = f"fields.{name}.kind", f"fields.{name}.text"
-    trimmed = f"trim(BOTH ' \\t\\n\\r' FROM {text})"
-    return F.expr(f"""CASE
-        WHEN {kind} = 'BIGINT' THEN try_cast({text} AS bigint)
-        WHEN {kind} = 'BOOLEAN' THEN if({text} = 'true', 1L, 0L)
-        WHEN {kind} = 'STRING' AND {trimmed} RLIKE '^[+-]?[0-9]+(_[0-9]+)*([.]0+)?$'
-            THEN try_cast(regexp_replace(regexp_replace({trimmed}, '[.]0+$', ''), '_', '') AS bigint)
-        WHEN {kind} RLIKE '^(DECIMAL|DOUBLE|FLOAT)'
-            THEN if(try_cast({text} AS double) = floor(try_cast({text} AS double)) AND abs(try_cast({text} AS double)) < 9.2e18, try_cast(try_cast({text} AS double) AS bigint), null)
-        END""")
+    kind, text = field["kind"], field["text"]
+    trimmed, number = F.btrim(text, F.lit(" \t\n\r")), text.try_cast("double")
+    digits = F.regexp_replace(F.regexp_replace(trimmed, "[.]0+$", ""), "_", "")
+    return (
+        F.when(kind == "BIGINT", text.try_cast("bigint"))
+        .when(kind == "BOOLEAN", F.when(text == "true", F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+        .when((kind == "STRING") & trimmed.rlike("^[+-]?[0-9]+(_[0-9]+)*([.]0+)?$"), digits.try_cast("bigint"))
+        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.when((number == F.floor(number)) & (F.abs(number) < 9.2e18), number.try_cast("bigint")))
+    )
 
 
 def project(scenes: DataFrame) -> DataFrame:
     """The contract's columns of records; absent ones are null, further keys are dropped."""
     text = lambda c: F.when(F.col(f"fields.{c}.kind") == "STRING", F.col(f"fields.{c}.text"))
-    return scenes.select(*[(whole_number(c) if c in WHOLE else text(c)).alias(c) for c in COLUMNS], "sidecar_path", "pos")
+    return scenes.select(*[(whole_number(F.col(f"fields.{c}")) if c in WHOLE else text(c)).alias(c) for c in COLUMNS], "sidecar_path", "pos")

@@ -262,3 +262,17 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
     context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         storage.shared_root(SimpleNamespace(sparkContext=context))
+
+
+def test_the_gate_is_compiled_apart(spark):
+    valid, _ = validate.gate(validate.check(rows(spark, GOOD)))
+    plan = valid._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line and "forall" in line]
+    assert filters and not any("*(" in line for line in filters)
+
+
+def test_sidecars_are_parsed_once_where_the_table_is_read_again(spark):
+    from slidelake.plans import catalog_queries
+
+    plan = catalog_queries.replace_directory(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "Relation" in plan
