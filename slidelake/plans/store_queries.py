@@ -31,13 +31,36 @@ def _write(files: DataFrame, folder: str) -> None:
     storage.dealt(files.select("name", "body")).mapInPandas(run, "n long").agg(F.sum("n")).collect()
 
 
+#: Files of a round, and rounds at most: small files take a block of disk each, so only a part of them is there at a time.
+FILES, ROUNDS = 50_000, 32
+
+
+def _by_rounds(files: DataFrame, name: str, read: Callable[[str], DataFrame], most: int = ROUNDS, least: int = FILES) -> DataFrame:
+    """What `read` finds of (name, body) files in a folder: these are written in rounds, read, and deleted before the next.
+
+    Every file is written and read once. The rows are stored by round, so nothing behind them is
+    computed twice; what is found is stored too.
+    """
+    spark, base = files.sparkSession, _folder(files.sparkSession, name)
+    part = F.pmod(F.xxhash64("name"), F.lit(most)).cast("int").alias("round")
+    files.select("name", "body", part).write.partitionBy("round").parquet(f"{base}/rows")
+    rows = spark.read.schema("name string, body binary, round int").parquet(f"{base}/rows")
+    n = max(1, min(most, -(-rows.count() // least)))
+    for i in range(n):
+        folder = f"{base}/files-{i}"
+        _write(rows.where(F.col("round").isin(*range(i, most, n))), folder)
+        found = read(folder)
+        found.write.parquet(f"{base}/found/turn={i}")
+        storage.removed(spark, folder)
+    return spark.read.schema(found.schema).parquet(*[f"{base}/found/turn={i}" for i in range(n)])
+
+
 def sidecar_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sidecars, written as files below hidden and plain folders and scanned again."""
-    folder = _folder(spark, "sidecars")
     texts = fx.sidecars(spark, sf_dir)
     hidden = F.concat(F.when(F.col("k") % 3 == 0, ".hidden/_u").otherwise("plain/"), F.col("k").cast("string"), F.lit(".json"))
-    _write(texts.select(hidden.alias("name"), F.encode("text", "UTF-8").alias("body")), folder)
-    found = sidecars.scan(spark, folder)
+    files = texts.select(hidden.alias("name"), F.encode("text", "UTF-8").alias("body"))
+    found = _by_rounds(files, "sidecars", lambda folder: sidecars.scan(spark, folder))
     return found.select(F.expr("substring(sidecar_path, length(directory) + 2)").alias("name"), F.get_json_object("text", "$.file").alias("file"))
 
 
@@ -46,12 +69,12 @@ SIDECAR_SCAN = f"WITH {fx.SIDECAR_SQL} SELECT CASE WHEN k % 3 = 0 THEN '.hidden/
 
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slide files among files named after all orders, some of them hidden or empty, with their lengths."""
-    folder = _folder(spark, "files")
     suffix = F.element_at(F.array(*[F.lit(x) for x in (".CZI", ".tif", ".txt", ".ome.tiff", ".svs")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
     names = F.concat(F.when(F.col("o_orderkey") % 7 == 0, ".s").when(F.col("o_orderkey") % 7 == 1, "_s").otherwise("s"), F.col("o_orderkey").cast("string"), suffix)
     body = F.encode(F.repeat(F.lit("x"), (F.col("o_orderkey") % 9).cast("int")), "UTF-8")
-    _write(fx.table(spark, sf_dir, "orders").select(names.alias("name"), body.alias("body")), folder)
-    return formats.inventory(spark, folder).select(formats.base_name().alias("name"), "length")
+    files = fx.table(spark, sf_dir, "orders").select(names.alias("name"), body.alias("body"))
+    found = _by_rounds(files, "files", lambda folder: formats.inventory(spark, folder).select(formats.base_name().alias("name"), "length"))
+    return found.orderBy("name")  # one folder's files in path order
 
 
 FILE_INVENTORY = """SELECT CASE o_orderkey % 7 WHEN 0 THEN '.s' WHEN 1 THEN '_s' ELSE 's' END || o_orderkey || ['.CZI', '.tif', '.txt', '.ome.tiff', '.svs'][o_orderkey % 5 + 1] AS name, o_orderkey % 9 AS length FROM orders WHERE o_orderkey % 5 <> 2"""

@@ -276,3 +276,28 @@ def test_sidecars_are_parsed_once_where_the_table_is_read_again(spark):
 
     plan = catalog_queries.replace_directory(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan and "Relation" in plan
+
+
+def test_files_are_there_a_round_at_a_time(spark):
+    from pathlib import Path
+
+    from slidelake.plans import store_queries
+    from slidelake.sources import formats
+
+    seen = []
+
+    def read(folder):
+        seen.append({p.name for p in Path(folder).iterdir()})
+        return formats.inventory(spark, folder).select(formats.base_name().alias("name"), "length")
+
+    files = spark.range(90).selectExpr("concat('s', id, '.czi') name", "cast(repeat('x', cast(id % 4 as int)) as binary) body")
+    found = store_queries._by_rounds(files, "rounds", read, most=8, least=30)
+    assert {tuple(r) for r in found.collect()} == {(f"s{i}.czi", i % 4) for i in range(90)} and found.count() == 90
+    assert len(seen) == 3 and sum(map(len, seen)) == 90 and max(map(len, seen)) < 60
+    assert not list(Path(storage_root(spark)).glob("rounds-*/files-*"))
+
+
+def storage_root(spark):
+    from slidelake.sources import storage
+
+    return storage.shared_root(spark)
