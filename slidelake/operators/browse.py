@@ -44,8 +44,8 @@ def browse(slides: DataFrame, directory: str | None = None, chosen: dict[str, st
     """The filtered rows with n_scenes (counted after filtering), label and path, in list order."""
     shown = in_directory(slides, directory).where(facet_filter(chosen or {}))
     shown = shown.withColumn("n_scenes", F.count("*").over(Window.partitionBy("directory", "file")))
-    shown = shown.withColumn("label", row_label()).withColumn("path", slide_path())
-    return shown.orderBy(*ORDER, *KEY) if ordered else shown
+    shown = shown.orderBy(*ORDER, *KEY) if ordered else shown
+    return shown.withColumn("label", row_label()).withColumn("path", slide_path())  # after the sort, which carries neither
 
 
 def facets(slides: DataFrame, directory: str | None = None) -> DataFrame:

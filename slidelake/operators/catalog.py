@@ -8,20 +8,24 @@ from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import ParseException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slidelake.functions.contract import COLUMNS, KEY, SLIDES
 from slidelake.operators import browse
-from slidelake.operators.validate import check, gate, require_valid
+from slidelake.operators.validate import check, file_of, gate, require_valid
 from slidelake.sources.sidecars import path_order, project, records
 from slidelake.sources.storage import removed, stored
 
 
 def last_wins(projected: DataFrame) -> DataFrame:
-    """Of records with one key the last in path order, then by position."""
+    """Of records with one key the last in path order, then by position.
+
+    Records are dealt out by slide, so windows over a table's slides need no further shuffle; the
+    parts of the paths are made after it.
+    """
     turn = Window.partitionBy(*KEY).orderBy(path_order().desc(), F.col("sidecar_path").desc(), F.col("pos").desc())
-    return projected.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select(*COLUMNS)
+    return projected.repartition("directory", "file").withColumn("turn", F.row_number().over(turn)).where("turn = 1").select(*COLUMNS)
 
 
 def slides_of(sidecars: DataFrame) -> DataFrame:
@@ -49,7 +53,12 @@ def fresh(existing: DataFrame) -> DataFrame:
 def build_counts(projected: DataFrame) -> DataFrame:
     """One row: records_read, rows_written, slides and note, which tells scenes where they differ."""
     keys = projected.groupBy(*KEY).agg(F.count("*").alias("n"))
-    found = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records_read"), F.count("*").alias("rows_written"), F.count_distinct(F.concat("directory", "file")).alias("slides"))
+    return _counted(keys, F.coalesce(F.sum("n"), F.lit(0)))
+
+
+def _counted(keys: DataFrame, records_read: Column) -> DataFrame:
+    """The counts of a table with a row for each key."""
+    found = keys.agg(records_read.alias("records_read"), F.count("*").alias("rows_written"), F.count_distinct(F.concat("directory", "file")).alias("slides"))
     return found.withColumn("note", F.when(F.col("records_read") != F.col("slides"), F.format_string(" (%d scenes)", "records_read")).otherwise(""))
 
 
@@ -172,7 +181,10 @@ class Catalog:
         new: rows of the contract with distinct keys; an empty one empties the root. Rows of
         other directories, which an entry may name, are merged with what those hold.
         """
-        fresh = self._write(new)  # computed once, whatever comes between
+        return self._commit(self._write(new), root)  # computed once, whatever comes between
+
+    def _commit(self, fresh: dict[str, dict[str, str]], root: str) -> Version:
+        """Creates the version in which a root's rows are those that were written afresh."""
         others = [d for d in fresh if d != root]
         merged_with, merged = None, {}
         for _ in range(self.attempts):
@@ -216,13 +228,17 @@ class Catalog:
         """
         path = f"{self.folder}/building/{uuid.uuid4().hex}"
         try:
-            checked = stored(check(records(sidecars)), path)
+            # the rows and what a message says are kept, not the fields behind them
+            checked = check(records(sidecars))
+            checked = stored(project(checked, "valid", "problems", file_of(checked).alias("shown")), path)
             if strict:
-                require_valid(checked)
-            valid, rejected = gate(checked)
-            projected = project(valid)
-            self.replace(last_wins(projected), root)
-            return build_counts(projected).first().asDict() | {"rejected": rejected.count()}
+                require_valid(checked, F.col("shown"))
+            read = checked.agg(F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("rejected")).first()
+            fresh = self._write(last_wins(gate(checked)[0]))
+            # what was written has each key once, so its columns tell the rest; another build may delete it later
+            counts = _counted(self._rows(Version(directories=fresh), "rows", SLIDES), F.lit(read.valid)).first()
+            self._commit(fresh, root)
+            return counts.asDict() | {"rejected": read.rejected}
         finally:
             removed(self.spark, path)
 

@@ -62,15 +62,15 @@ def file_of(checked: DataFrame) -> F.Column:
     return F.coalesce(F.col("fields.file.text"), F.col("sidecar_path"))
 
 
-def first_problem(checked: DataFrame) -> DataFrame:
-    """The first bad record in path order, as (file, problems); a top-1, not a full sort."""
+def first_problem(checked: DataFrame, file: F.Column | None = None) -> DataFrame:
+    """The first bad record in path order, as (file, problems); a top-1, not a full sort. file: where file_of is, if stored."""
     bad = checked.where("not valid")
-    return bad.orderBy(path_order(), "sidecar_path", "pos").limit(1).select(file_of(bad).alias("file"), "problems")
+    return bad.orderBy(path_order(), "sidecar_path", "pos").limit(1).select((file_of(bad) if file is None else file).alias("file"), "problems")
 
 
-def require_valid(checked: DataFrame) -> None:
+def require_valid(checked: DataFrame, file: F.Column | None = None) -> None:
     """Raises ValueError for the first bad record."""
-    for row in first_problem(checked).collect():  # one row at most
+    for row in first_problem(checked, file).collect():  # one row at most
         raise ValueError(f"{row.file}: {row.problems}")
 
 

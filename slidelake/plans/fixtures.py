@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,7 +58,11 @@ def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(directory, sidecar_path, text, k): a JSON text per order, scenes from its lineitems."""
     heads = over_orders(spark, sf_dir, f"WITH {SIDECAR_SQL} SELECT * FROM s2")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("lines"))
+    # one sort by order and line, which the join below has a use for too, in place of a sort of each
+    # list; dealt out first, as a table that is read by one task would stay in one up to the join
+    turn = Window.partitionBy("l_orderkey").orderBy(*order)
+    whole = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey").select("l_orderkey", F.collect_list(F.struct("l_linestatus", "l_linenumber", "l_returnflag")).over(whole).alias("lines"), F.row_number().over(turn).alias("turn")).where("turn = 1")
     entry = lambda e: F.struct(
         F.when(e["l_linestatus"] == "F", e["l_linenumber"]).alias("scene"),
         F.when(e["l_returnflag"] == "R", "cyp2e1").when(e["l_returnflag"] == "A", "he").alias("stain"),

@@ -165,7 +165,7 @@ def whole_number(field: F.Column) -> F.Column:
     )
 
 
-def project(scenes: DataFrame) -> DataFrame:
-    """The contract's columns of records; absent ones are null, further keys are dropped."""
+def project(scenes: DataFrame, *further: str | F.Column) -> DataFrame:
+    """The contract's columns of records, sidecar_path, pos and further ones; absent ones are null, further keys are dropped."""
     text = lambda c: F.when(F.col(f"fields.{c}.kind") == "STRING", F.col(f"fields.{c}.text"))
-    return scenes.select(*[(whole_number(F.col(f"fields.{c}")) if c in WHOLE else text(c)).alias(c) for c in COLUMNS], "sidecar_path", "pos")
+    return scenes.select(*[(whole_number(F.col(f"fields.{c}")) if c in WHOLE else text(c)).alias(c) for c in COLUMNS], "sidecar_path", "pos", *further)

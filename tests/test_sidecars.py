@@ -301,3 +301,28 @@ def storage_root(spark):
     from slidelake.sources import storage
 
     return storage.shared_root(spark)
+
+
+def test_a_table_of_slides_is_shuffled_once_and_its_list_is_sorted_without_labels(spark):
+    table = catalog.last_wins(sidecars.project(rows(spark, GOOD)))
+    listed = browse.browse(table, ordered=False)
+    assert listed.count() == 1 and listed._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(") == 1
+    plan = browse.browse(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("format_string") < plan.index("Sort [") and "format_string" not in plan[plan.index("Sort [") :]
+
+
+def test_lines_of_sidecars_are_in_order_and_no_list_is_sorted(spark):
+    from slidelake.plans import fixtures
+
+    made = fixtures.sidecars(spark, "/root/testdata/sf0.001")
+    assert "sort_array" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count() == fixtures.table(spark, "/root/testdata/sf0.001", "orders").count()
+
+
+def test_a_build_counts_what_it_read_rejected_and_wrote(spark, tmp_path):
+    entry = '{"file": "a.czi", "species": "pig", "substance": "s", "dose_mg_per_kg": 1, "animal_id": "A", "stain": "he", "modality": "brightfield", "serial_block": "B", "scenes": [{"scene": 1}, {"scene": 1}, {"scene": 2}, {"scene": "x"}]}'
+    texts = spark.createDataFrame([("/d", "/d/1.json", entry), ("/d", "/d/2.json", "{bad")], SIDECARS)
+    found = catalog.Catalog(spark, str(tmp_path)).build(texts, "/d", strict=False)
+    assert found == {"records_read": 3, "rows_written": 2, "slides": 1, "note": " (3 scenes)", "rejected": 2}
+    with pytest.raises(ValueError, match="a.czi: scene: "):
+        catalog.Catalog(spark, str(tmp_path)).build(texts, "/d")
