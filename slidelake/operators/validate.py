@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,15 +46,17 @@ def check(scenes: DataFrame) -> DataFrame:
     Both follow from the fields' kinds and texts, which records() has read; a filter by valid
     makes no message.
     """
-    absent = lambda c: F.col(f"fields.{c}.kind").isNull()
-    bad = lambda c: F.when(absent(c), F.lit(c not in OPTIONAL)).otherwise(_wrong(c, F.col(f"fields.{c}")))
-    said = lambda c: F.when(bad(c), F.concat(F.lit(f"{c}: "), F.when(absent(c), F.lit("Field required")).otherwise(_message(c, F.col(f"fields.{c}.kind")))))
-    # written into one method, as Spark does with a stage, these tests are too long for the JVM to
-    # compile, and take 40 us a row; beside a function of an array they become methods of their own
-    there = F.forall(F.array("fields.file.kind"), lambda kind: kind.isNotNull())
-    valid = F.when(F.col("reject").isNotNull(), F.lit(False)).otherwise(there & ~reduce(or_, map(bad, COLUMNS)))
+    absent = lambda f, c: f[c]["kind"].isNull()
+    bad = lambda f, c: F.when(absent(f, c), F.lit(c not in OPTIONAL)).otherwise(_wrong(c, f[c]))
+    said = lambda f, c: F.when(bad(f, c), F.concat(F.lit(f"{c}: "), F.when(absent(f, c), F.lit("Field required")).otherwise(_message(c, f[c]["kind"]))))
+    # typed values are of the right kinds already. The tests of others are beside a function of an
+    # array: written into one method, as Spark does with a stage, they are too long for the JVM to compile
+    right = reduce(and_, [F.col(f"typed.{c}").isin(*ENUMS[c]) if c in ENUMS else F.col(f"typed.{c}").isNotNull() for c in COLUMNS if c not in OPTIONAL])
+    others = F.forall(F.array("fields"), lambda f: ~reduce(or_, [bad(f, c) for c in COLUMNS]))
+    valid = F.when(F.col("reject").isNotNull(), F.lit(False)).when(F.col("typed").isNotNull(), F.coalesce(right, F.lit(False))).otherwise(others)
     checked = scenes.withColumn("valid", valid)
-    return checked.withColumn("problems", F.when(~valid, F.coalesce(F.col("reject"), F.concat_ws("; ", *map(said, COLUMNS)))))
+    problems = F.get(F.transform(F.array("fields"), lambda f: F.concat_ws("; ", *[said(f, c) for c in COLUMNS])), F.lit(0))
+    return checked.withColumn("problems", F.when(~valid, F.coalesce(F.col("reject"), problems)))
 
 
 def file_of(checked: DataFrame) -> F.Column:

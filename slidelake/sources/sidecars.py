@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyarrow import fs
@@ -103,15 +104,58 @@ def _read_value(value: str) -> str:
     return f"named_struct('kind', coalesce(schema_of_variant({value}), 'VOID'), 'text', try_variant_get({value}, '$', 'string'))"
 
 
+def _plain() -> F.Column:
+    """Whether a typed reader reads a text as variants do: by the kinds of its values (column kinds), the contract's
+    are strings and whole numbers, and scenes a list of objects.
+
+    kinds is null for texts with a null, which a list's kind doesn't show, or with a repeated key.
+    """
+    wholes = [f"{c}: BIGINT" for c in WHOLE]
+    others = reduce(lambda kinds, known: F.replace(kinds, F.lit(known)), [*wholes, "scenes: ARRAY<OBJECT<", ": STRING"], F.col("kinds"))
+    wrong = reduce(or_, [F.contains("kinds", F.lit(f"{c}: STRING")) for c in (*WHOLE, "scenes")])
+    return F.startswith("kinds", F.lit("OBJECT<")) & ~wrong & ~F.contains(others, F.lit(":"))
+
+
+#: What a typed reader takes of a plain text.
+_TYPES = {c: "bigint" if c in WHOLE else "string" for c in COLUMNS}
+_ENTRY = f"struct<{', '.join(f'{c}: {t}' for c, t in _TYPES.items())}>"
+_FIELDS = f"struct<{', '.join(f'{c}: struct<kind: string, text: string>' for c in COLUMNS)}>"
+_PLAIN = f"struct<{', '.join(f'{c}: {t}' for c, t in _TYPES.items() if c not in ('directory', 'scene'))}, scenes: array<{_ENTRY}>>"
+
+
 def records(sidecars: DataFrame) -> DataFrame:
-    """One row per scene: directory, sidecar_path, pos, reject, fields (kind and text of each column's value).
+    """One row per scene: directory, sidecar_path, pos, reject, typed, and fields (kind and text of each column's value).
 
     An absent or empty scenes list gives one scene 0. An entry overrides the slide's fields
     key by key, explicit nulls included; what neither names keeps the entry's position as its
     scene. A sidecar that can't be taken apart gives one row with a reason in reject instead.
     What no one names has a null kind.
+
+    Texts whose values are all of the contract's kinds are read by their types; typed then
+    holds the values, and fields follow from it. Others are read as variants, and typed is null.
     """
-    parsed = sidecars.withColumn("m", F.from_json("text", "map<string,variant>"))
+    read = sidecars.withColumn("kinds", F.expr("if(contains(text, 'null'), null, schema_of_variant(try_parse_json(text)))"))
+    read = read.withColumn("slide", F.when(_plain(), F.from_json("text", _PLAIN))).drop("kinds")
+    bare = F.col("slide.file").isNotNull() & ~F.col("slide.file").isin("", ".") & ~F.col("slide.file").contains("/")
+    folder = F.regexp_replace(F.expr("substring(sidecar_path, length(directory) + 2)"), "[^/]*$", "")
+    read = read.withColumn("slide", F.when(bare, F.col("slide"))).withColumn("folder", folder)
+    # what an entry lacks is the slide's; merged before the explode, so that a row carries its own values only
+    own = {"file": "concat(folder, slide.file)", "directory": "directory", "scene": "cast(pos AS bigint)"}
+    merged = ", ".join(f"'{c}', coalesce(entry.{c}, {own.get(c, f'slide.{c}')})" for c in COLUMNS)
+    nothing = f"cast(named_struct({', '.join(f"'{c}', null" for c in COLUMNS)}) AS {_ENTRY})"
+    plain = f"transform(if(size(slide.scenes) > 0, slide.scenes, array({nothing})), (entry, pos) -> named_struct('typed', named_struct({merged}), 'reject', cast(null AS string), 'fields', cast(null AS {_FIELDS})))"
+    # as a column of its own the list would have a filter on its size inferred, into which Spark writes all that is behind it
+    scenes = F.expr(f"if(slide IS NOT NULL, {plain}, others)")
+    rows = _with_variants(read).select("directory", "sidecar_path", F.posexplode(scenes).alias("pos", "scene"))
+    value = lambda c: F.struct(F.lit("BIGINT" if c in WHOLE else "STRING").alias("kind"), F.col(f"scene.typed.{c}").cast("string").alias("text"))
+    fields = F.struct(*[F.when(F.col(f"scene.typed.{c}").isNotNull(), value(c)).alias(c) for c in COLUMNS])
+    fields = F.when(F.col("scene.typed").isNotNull(), fields).otherwise(F.col("scene.fields"))
+    return rows.select("directory", "sidecar_path", F.col("pos").cast("long").alias("pos"), "scene.reject", "scene.typed", fields.alias("fields"))
+
+
+def _with_variants(read: DataFrame) -> DataFrame:
+    """Adds others: (typed, reject, fields) of each scene of the texts that are not plain (slide is null), from variants."""
+    parsed = read.withColumn("m", F.when(F.col("slide").isNull(), F.from_json("text", "map<string,variant>")))
     # of a key that occurs twice the last value counts
     last = "filter(map_entries(m), (e, i) -> i = size(m) - array_position(reverse(map_keys(m)), e.key))"
     repeated = "size(array_distinct(map_keys(m))) < size(m)"
@@ -135,17 +179,15 @@ def records(sidecars: DataFrame) -> DataFrame:
     listed = ", ".join(f"m['{c}']" for c in of_slide)
     parsed = parsed.withColumn("shared", F.expr(f"transform(array({listed}), v -> if(v IS NOT NULL, {_read_value('v')}, null))"))
     text = lambda value: F.struct(F.lit("STRING").alias("kind"), value.alias("text"))
-    file = F.concat(F.regexp_replace(F.expr("substring(sidecar_path, length(directory) + 2)"), "[^/]*$", ""), "name")
-    parsed = parsed.withColumn("own_file", text(file)).withColumn("own_directory", text(F.col("directory")))
+    parsed = parsed.withColumn("own_file", text(F.concat("folder", "name"))).withColumn("own_directory", text(F.col("directory")))
     own = {"file": "own_file", "directory": "own_directory", "scene": "named_struct('kind', 'BIGINT', 'text', cast(pos AS string))"} | {c: f"shared[{i}]" for i, c in enumerate(of_slide)}
     # an entry is read only where it overrides; all before the explode, whose rows then carry the
     # result: no later filter or projection reads a variant again
     merged = ", ".join(f"'{c}', if(entry.{c} IS NOT NULL, {_read_value(f"entry.{c}")}, {own[c]})" for c in COLUMNS)
     nothing = f"cast(named_struct({', '.join(f"'{c}', null" for c in COLUMNS)}) AS {entry})"
-    scenes = F.expr(f"""if(reject IS NOT NULL, array(named_struct('reject', reject, 'fields', null)),
-        transform(if(none, array({nothing}), entries), (entry, pos) -> named_struct('reject', cast(null AS string), 'fields', named_struct({merged}))))""")
-    rows = parsed.select("directory", "sidecar_path", F.posexplode(scenes).alias("pos", "scene"))
-    return rows.select("directory", "sidecar_path", F.col("pos").cast("long").alias("pos"), "scene.reject", "scene.fields")
+    scenes = F.expr(f"""if(slide IS NOT NULL, null, if(reject IS NOT NULL, array(named_struct('typed', cast(null AS {_ENTRY}), 'reject', reject, 'fields', null)),
+        transform(if(none, array({nothing}), entries), (entry, pos) -> named_struct('typed', cast(null AS {_ENTRY}), 'reject', cast(null AS string), 'fields', named_struct({merged})))))""")
+    return parsed.withColumn("others", scenes).select(*read.columns, "others")
 
 
 def whole_number(field: F.Column) -> F.Column:
@@ -167,5 +209,8 @@ def whole_number(field: F.Column) -> F.Column:
 
 def project(scenes: DataFrame, *further: str | F.Column) -> DataFrame:
     """The contract's columns of records, sidecar_path, pos and further ones; absent ones are null, further keys are dropped."""
-    text = lambda c: F.when(F.col(f"fields.{c}.kind") == "STRING", F.col(f"fields.{c}.text"))
-    return scenes.select(*[(whole_number(F.col(f"fields.{c}")) if c in WHOLE else text(c)).alias(c) for c in COLUMNS], "sidecar_path", "pos", *further)
+    # where there are no typed values; apart from these, and not in one method with them, which the JVM would not compile
+    text = lambda field: F.when(field["kind"] == "STRING", field["text"])
+    read = F.transform(F.array("fields"), lambda f: F.struct(*[(whole_number(f[c]) if c in WHOLE else text(f[c])).alias(c) for c in COLUMNS]))
+    kept = scenes.withColumn("read", F.when(F.col("typed").isNotNull(), F.col("typed")).otherwise(F.get(read, F.lit(0))))
+    return kept.select("read.*", "sidecar_path", "pos", *further)

@@ -326,3 +326,16 @@ def test_a_build_counts_what_it_read_rejected_and_wrote(spark, tmp_path):
     assert found == {"records_read": 3, "rows_written": 2, "slides": 1, "note": " (3 scenes)", "rejected": 2}
     with pytest.raises(ValueError, match="a.czi: scene: "):
         catalog.Catalog(spark, str(tmp_path)).build(texts, "/d")
+
+
+def test_plain_texts_are_read_by_their_types_and_as_variants_alike(spark):
+    entries = [{}, {"scene": 7, "stain": "cyp2e1"}, {"file": "z/other.czi", "directory": "/e", "original_name": "o"}]
+    plain = [GOOD, GOOD | {"scenes": entries, "note": 'a ": STRING b'}, GOOD | {"species": "cat"}, {"file": "a.czi"}, GOOD | {"scene": 3, "scenes": [{}, {}]}]
+    odd = [GOOD | {"dose_mg_per_kg": "5"}, GOOD | {"animal_id": 7}, GOOD | {"scenes": [{"scene": "1"}]}, GOOD | {"scenes": [{"stain": 1}, {}]}, GOOD | {"scenes": [{"stain": None}, {"stain": "he"}]}, GOOD | {"scenes": "x"}]
+    odd += [GOOD | {"scene: BIGINT": 1.5}, GOOD | {"file": "a/b.czi"}, json.dumps(GOOD)[:-1] + ', "scenes": [{"stain": "he", "stain": "he"}]}', json.dumps(GOOD)[:-1] + ', "stain": "cyp2e1"}']
+    found = rows(spark, *plain, *odd)
+    assert {r[0] for r in found.where("typed is not null").select("sidecar_path").collect()} == {f"/d/{i:02d}.json" for i in range(len(plain))}
+    read = lambda *bodies: [tuple(r) for r in validate.check(rows(spark, *bodies)).transform(sidecars.project, "valid", "problems", "fields").orderBy("sidecar_path", "pos").collect()]
+    assert read(*plain) == read(*[b | {"further": None} for b in plain])  # with a null in it a text is read as variants
+    problems = [r.problems for r in validate.check(found).where(f"sidecar_path >= '/d/{len(plain):02d}'").orderBy("sidecar_path", "pos").collect()]
+    assert problems[:2] == [None, "animal_id: Input should be a valid string"] and problems[3].startswith("stain: ") and problems[5].startswith("stain: ")
