@@ -110,7 +110,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, open_bins: int
             held = [r for r in held if r[5] in still]
 
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder(path).encode(b.column(1).to_pylist())):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder(path).encode(x.as_py() for x in b.column(1))):
                 ids += end
                 for i, (start, length) in enumerate(pieces_of(len(ids) // 4, capacity)):
                     waiting.append((doc_id, i, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))

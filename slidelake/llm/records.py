@@ -79,7 +79,7 @@ def write_records(docs: DataFrame, folder: str, end_id: int = 2, vocab: str | No
 
         for batch in batches:
             coder = encoder(path)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(x.as_py() for x in batch.column(1))):
                 if data is not None and offsets[-1] >= roll:
                     yield ended()
                     turn, data, offsets, n_ids = turn + 1, None, [0], 0

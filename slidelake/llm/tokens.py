@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 import os
 from array import array
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Pieces kept in a Python worker at most; about 200 MB.
-PIECES = 900_000
+#: Bytes of words and their ids kept in a Python worker at most; what a word takes besides.
+KEPT, EACH = 64 << 20, 180
 #: Characters of text cut into pieces at a time.
 CHUNK = 1_000_000
 #: New words encoded in one text; the byte-level form of a space.
@@ -49,7 +48,10 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opening = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opening[[i for t, i in vocabulary.items() if t[:1] == SPACE]] = True
+        # words met of late, and those before them; half of what may be kept each
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
         self.spaced: set[str] = set()
 
     def _batch(self, texts: list[str]) -> list[bytes]:
@@ -68,7 +70,7 @@ class Encoder:
         for w in odd:  # texts with these are encoded uncut
             self.known[w] = b""
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order; none for null. Some texts at a time are held encoded."""
         chunk: list[str] = []
         size = 0
@@ -92,14 +94,16 @@ class Encoder:
             words.append(rest)
         known = self.known
         if new := set().union(*words).difference(known):
-            self._learn(new)
+            known.update((w, self.older[w]) for w in new & self.older.keys())
+            self._learn(new.difference(known))
+            self.size += sum(EACH + len(w) + len(known[w]) for w in new)
         for i, rest in enumerate(words):
             if not self.spaced.isdisjoint(rest):
                 heads[i], words[i] = texts[i], []
         out = [head + b"".join(map(known.__getitem__, rest)) for head, rest in zip(self._batch(heads), words)]
-        if len(known) > PIECES:  # a dict keeps its order: the older half goes
-            self.known = dict(islice(known.items(), len(known) // 2, None))
-            self.spaced.intersection_update(self.known)
+        if self.size > KEPT // 2:  # what was not met since the last time goes
+            self.older, self.known, self.size = known, {}, 0
+            self.spaced.intersection_update(known)
         return out
 
 

@@ -35,6 +35,17 @@ def test_encoder_equals_the_library(tokenizer):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_encoder_keeps_bounded_bytes_and_stays_right(tokenizer, monkeypatch):
+    monkeypatch.setattr("slidelake.llm.tokens.KEPT", 400_000, raising=False)
+    monkeypatch.setattr("slidelake.llm.tokens.CHUNK", 20_000)
+    texts = [f"the {i} {chr(97 + i % 26) * 900} {i % 7}\t x {i}\xe9 {i:0500d}" for i in range(600)]
+    coder = Encoder(vocabulary())
+    for text, ids in zip(texts * 2, coder.encode(texts * 2), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    kept = {id(d): d for d in (coder.known, getattr(coder, "older", {}))}.values()
+    assert sum(len(w) + len(ids) for d in kept for w, ids in d.items()) < 400_000 and coder.spaced <= set().union(*kept)
+
+
 def test_records_round_trip(spark, tokenizer):
     found = [tuple(r) for r in records.token_records(documents(spark), 2).collect()]
     expected, start = [], 0
