@@ -29,16 +29,28 @@ def axes(headers: DataFrame) -> DataFrame:
     return rows.withColumn("line", F.when(F.col("code").isin("X", "Y"), place).otherwise(plain)).drop("range")
 
 
-def scene_rollup(rects: DataFrame, headers: DataFrame) -> DataFrame:
-    """By file: n_scenes, scene and union pixels, % of the union that is empty, gigapixels, GB as RGB."""
-    sums = rects.groupBy("path").agg(F.count("*").alias("n_scenes"), F.sum(F.col("w") * F.col("h")).alias("scene_px"))
-    side = lambda a: F.col("bbox")[a]["stop"] - F.col("bbox")[a]["start"]
-    boxes = headers.select("path", side("X").alias("union_w"), side("Y").alias("union_h"))
-    found = sums.join(boxes, "path").withColumn("union_px", F.col("union_w") * F.col("union_h"))
+def _union() -> list[F.Column]:
+    """Width and height of a header's scenes together."""
+    return [(F.col("bbox")[a]["stop"] - F.col("bbox")[a]["start"]).alias(name) for a, name in (("X", "union_w"), ("Y", "union_h"))]
+
+
+def _sums(rects: DataFrame, *further: F.Column) -> DataFrame:
+    """By file: n_scenes, scene_px and further aggregates."""
+    return rects.groupBy("path").agg(F.count("*").alias("n_scenes"), F.sum(F.col("w") * F.col("h")).alias("scene_px"), *further)
+
+
+def _sized(sums: DataFrame) -> DataFrame:
+    """Adds the sizes that follow from scene_px, union_w and union_h."""
+    found = sums.withColumn("union_px", F.col("union_w") * F.col("union_h"))
     empty = 100 * (1 - F.col("scene_px") / F.nullif("union_px", F.lit(0)))
     return found.withColumn("empty_percent", empty).withColumn("scene_gpx", F.col("scene_px") / 1e9).withColumn("union_gpx", F.col("union_px") / 1e9).withColumn("rgb_gb", F.col("scene_px") * 3 / 1e9)
 
 
+def scene_rollup(rects: DataFrame, headers: DataFrame) -> DataFrame:
+    """By file: n_scenes, scene and union pixels, % of the union that is empty, gigapixels, GB as RGB."""
+    return _sized(_sums(rects).join(headers.select("path", *_union()), "path"))
+
+
 def czi_report(files: DataFrame, headers: DataFrame, rects: DataFrame) -> DataFrame:
     """One row per .czi file of (path, length): path, sizes, notes, or why it failed; no file is lost.
 
@@ -47,9 +59,11 @@ def czi_report(files: DataFrame, headers: DataFrame, rects: DataFrame) -> DataFr
     origin = lambda a: F.col("bbox")[a]["start"]
     types = F.array_join(F.transform(F.array_sort(F.map_entries("pixel_types")), lambda e: F.concat(e["key"].cast("string"), F.lit(": '"), e["value"], F.lit("'"))), ", ")
     line = F.format_string("    [%d] x=%d y=%d w=%d h=%d", "scene", "x", "y", "w", "h")
-    listed = rects.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("scene", line.alias("line")))).alias("lines"))  # a slide has few scenes
-    details = headers.select("path", "pixel_x_m", "pixel_y_m", F.concat(F.lit("{"), types, F.lit("}")).alias("types"), origin("X").alias("x0"), origin("Y").alias("y0"), F.col("error").alias("failure"))
-    found = files.where(last_suffix() == ".czi").join(details, "path", "left").join(scene_rollup(rects, headers), "path", "left").join(listed, "path", "left")
+    listed = F.array_sort(F.collect_list(F.struct("scene", line.alias("line")))).alias("lines")  # a slide has few scenes
+    # rectangles are grouped once and headers joined once: each sort of a join takes memory of its own in the task
+    details = headers.select("path", F.lit(True).alias("there"), *_union(), "pixel_x_m", "pixel_y_m", F.concat(F.lit("{"), types, F.lit("}")).alias("types"), origin("X").alias("x0"), origin("Y").alias("y0"), F.col("error").alias("failure"))
+    found = _sized(files.where(last_suffix() == ".czi").join(details, "path", "left").join(_sums(rects, listed), "path", "left"))
+    found = found.withColumn("n_scenes", F.when(F.col("there"), F.col("n_scenes")))
     several, failed = F.col("n_scenes") > 1, F.coalesce("failure", F.when(F.col("n_scenes").isNull(), "RuntimeError: no header"))
     size = F.format_string("%-11s %d x %d px  (%s Gpx)", F.when(F.col("n_scenes") == 1, "size").otherwise("union size"), "union_w", "union_h", _fixed(F.col("union_gpx"), 2))
     pixel = F.when(F.col("pixel_x_m").isNull(), "not found in metadata, image has no physical scale").otherwise(F.format_string("%s um", _fixed(F.col("pixel_x_m") * 1e6, 4)))

@@ -241,3 +241,17 @@ def test_reports_round_as_printf(spark):
     czi = probe.czi_report(files, empty(fx.headers), empty(fx.rects)).select("path", "on_disk")
     tiff = probe.tiff_report(files, empty(fx.headers), empty(fx.tiff_series)).select("path", "on_disk")
     assert {tuple(r) for r in czi.union(tiff).collect()} == {("/a.czi", "1500004 MB"), ("/b.tif", "2 MB"), ("/c.tif", "4 MB")}
+
+
+def test_a_czi_report_joins_headers_and_rectangles_once_and_loses_no_file(spark):
+    from slidelake.operators import probe
+    from slidelake.plans import fixtures as fx
+
+    heads, rects = fx.headers(spark, "/root/testdata/sf0.001"), fx.rects(spark, "/root/testdata/sf0.001")
+    paths = sorted(r.path for r in heads.where("error is null and path like '%.czi'").select("path").collect())[:3]
+    files = spark.createDataFrame([(p, 5) for p in paths], "path string, length long")
+    report = probe.czi_report(files, heads.where(F.col("path") != paths[0]), rects.where(F.col("path") != paths[1]))
+    found = report.select("path", "n_scenes", "size_line", "scene_lines", "error").orderBy("path").collect()
+    assert [tuple(r)[1:] for r in found[:2]] == [(None, None, None, "FAILED: RuntimeError: no header")] * 2
+    assert [r.path for r in found] == paths and found[2].error is None and found[2].n_scenes == len(found[2].scene_lines.split("\n"))
+    assert probe.czi_report(files, heads, rects)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
