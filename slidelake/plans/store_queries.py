@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -19,8 +19,17 @@ from slidelake.sources import formats, sidecars, storage, zarr
 _folder = storage.run_folder
 
 
-def _write(files: DataFrame, folder: str) -> None:
-    """Writes (name, body) rows as files below a folder, on the executors."""
+def _write(files: DataFrame, folder: str, folders: Sequence[str] = ()) -> None:
+    """Writes (name, body) rows as files below a folder, on the executors; spread over several folders in it, each is one task's.
+
+    Tasks that make files in one folder at the same time mostly wait for each other.
+    """
+    files = files.select("name", "body")
+    if len(folders) > 1:
+        spread = files.withColumn("at", F.pmod(F.hash("name"), F.lit(len(folders)))).repartition(min(len(folders), storage.tasks(files.sparkSession)), "at")
+        dealt = spread.select(F.concat_ws("/", F.get(F.array(*[F.lit(x) for x in folders]), "at"), "name").alias("name"), "body")
+    else:
+        dealt = storage.dealt(files)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -28,30 +37,39 @@ def _write(files: DataFrame, folder: str) -> None:
                 storage.write(f"{folder}/{name}", body)
             yield pd.DataFrame({"n": [len(b)]})
 
-    storage.dealt(files.select("name", "body")).mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    dealt.mapInPandas(run, "n long").agg(F.sum("n")).collect()
 
 
 #: Files of a round, and rounds at most: small files take a block of disk each, so only a part of them is there at a time.
 FILES, ROUNDS = 50_000, 32
+#: Files of a folder, and folders of a round at most, from two folders on; with fewer files they lie in the round's own.
+WIDTH, FOLDERS = 1_000, 256
 
 
 def _by_rounds(files: DataFrame, name: str, read: Callable[[str], DataFrame], most: int = ROUNDS, least: int = FILES) -> DataFrame:
-    """What `read` finds of (name, body) files in a folder: these are written in rounds, read, and deleted before the next.
+    """What `read` finds of (name, body) files in a folder or in numbered ones in it: these are written in rounds, read, and deleted before the next.
 
     Every file is written and read once. The rows are stored by round, so nothing behind them is
-    computed twice; what is found is stored too.
+    computed twice; what is found is stored too. Each numbered folder is written and deleted by one task.
+    The folder that holds these stays for all rounds: ext4 places what is new in a folder after what was
+    placed there last, and without a journal it passes over each file deleted nearby in the last minutes.
     """
     spark, base = files.sparkSession, _folder(files.sparkSession, name)
     part = F.pmod(F.xxhash64("name"), F.lit(most)).cast("int").alias("round")
     files.select("name", "body", part).write.partitionBy("round").parquet(f"{base}/rows")
     rows = spark.read.schema("name string, body binary, round int").parquet(f"{base}/rows")
-    n = max(1, min(most, -(-rows.count() // least)))
+    count = rows.count()
+    n = max(1, min(most, -(-count // least)))
+    folders = [f"{j:03}" for j in range(min(FOLDERS, count // n // WIDTH))]
+    folder = f"{base}/files"
     for i in range(n):
-        folder = f"{base}/files-{i}"
-        _write(rows.where(F.col("round").isin(*range(i, most, n))), folder)
+        _write(rows.where(F.col("round").isin(*range(i, most, n))), folder, folders)
         found = read(folder)
         found.write.parquet(f"{base}/found/turn={i}")
-        storage.removed(spark, folder)
+        if len(folders) > 1:
+            storage.removed_each(spark.createDataFrame([(f"{folder}/{x}",) for x in folders], "path string"), len(folders))
+        if len(folders) < 2 or i == n - 1:
+            storage.removed(spark, folder)
     return spark.read.schema(found.schema).parquet(*[f"{base}/found/turn={i}" for i in range(n)])
 
 
@@ -60,8 +78,8 @@ def sidecar_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = fx.sidecars(spark, sf_dir)
     hidden = F.concat(F.when(F.col("k") % 3 == 0, ".hidden/_u").otherwise("plain/"), F.col("k").cast("string"), F.lit(".json"))
     files = texts.select(hidden.alias("name"), F.encode("text", "UTF-8").alias("body"))
-    found = _by_rounds(files, "sidecars", lambda folder: sidecars.scan(spark, folder))
-    return found.select(F.expr("substring(sidecar_path, length(directory) + 2)").alias("name"), F.get_json_object("text", "$.file").alias("file"))
+    name = F.regexp_replace(F.expr("substring(sidecar_path, length(directory) + 2)"), "^[0-9]+/", "")
+    return _by_rounds(files, "sidecars", lambda folder: sidecars.scan(spark, folder).select(name.alias("name"), F.get_json_object("text", "$.file").alias("file")))
 
 
 SIDECAR_SCAN = f"WITH {fx.SIDECAR_SQL} SELECT CASE WHEN k % 3 = 0 THEN '.hidden/_u' ELSE 'plain/' END || k || '.json' AS name, name AS file FROM s2"
@@ -73,8 +91,13 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.concat(F.when(F.col("o_orderkey") % 7 == 0, ".s").when(F.col("o_orderkey") % 7 == 1, "_s").otherwise("s"), F.col("o_orderkey").cast("string"), suffix)
     body = F.encode(F.repeat(F.lit("x"), (F.col("o_orderkey") % 9).cast("int")), "UTF-8")
     files = fx.table(spark, sf_dir, "orders").select(names.alias("name"), body.alias("body"))
-    found = _by_rounds(files, "files", lambda folder: formats.inventory(spark, folder).select(formats.base_name().alias("name"), "length"))
-    return found.orderBy("name")  # one folder's files in path order
+
+    def found(folder: str) -> DataFrame:
+        own = spark.createDataFrame([(folder,)], "path string")
+        folders = own.union(sidecars.list_folders(own, 1).where("is_folder").select("path"))
+        return formats.slide_files(folders, FOLDERS).select(formats.base_name().alias("name"), "length")
+
+    return _by_rounds(files, "files", found).orderBy("name")  # as one folder's files in path order
 
 
 FILE_INVENTORY = """SELECT CASE o_orderkey % 7 WHEN 0 THEN '.s' WHEN 1 THEN '_s' ELSE 's' END || o_orderkey || ['.CZI', '.tif', '.txt', '.ome.tiff', '.svs'][o_orderkey % 5 + 1] AS name, o_orderkey % 9 AS length FROM orders WHERE o_orderkey % 5 <> 2"""

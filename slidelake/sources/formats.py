@@ -27,7 +27,7 @@ VENDORS = {
 
 def base_name(path: str = "path") -> F.Column:
     """The last part of a path."""
-    return F.regexp_extract(path, "([^/]*)/*$", 1)
+    return F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
 
 
 def last_suffix(path: str = "path") -> F.Column:
@@ -56,20 +56,25 @@ def classify(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("vendor", F.try_element_at(vendor, last)).withColumn("probe", F.when(last == ".czi", "czi").otherwise("tiff")).withColumn("openable", suffix(path).isin(*READERS))
 
 
-def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length) of a folder's own slide files, in path order; hidden and empty ones, too.
+def slide_files(folders: DataFrame, n: int) -> DataFrame:
+    """(path, length) of the slide files that n folders (column path) hold themselves, in no order; hidden and empty ones, too.
 
-    folder is a path or URI that the executors can list. Content is never read.
+    The folders are paths or URIs that the executors can list, dealt out to all tasks. Content is never read.
     """
-    folder = folder.rstrip("/") or "/"
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for base in rows["folder"]:
+            for base in rows["path"]:
                 system, name = storage.opened(base)
                 found = [x for x in system.get_file_info(fs.FileSelector(name)) if x.is_file]
                 for at in range(0, len(found), 5_000):
                     yield pd.DataFrame({"path": [f"{base.rstrip('/')}/{x.base_name}" for x in found[at : at + 5_000]], "length": [x.size for x in found[at : at + 5_000]]})
 
-    files = spark.createDataFrame([(folder,)], "folder string").mapInPandas(entries, "path string, length long")
-    return files.where(last_suffix().isin(*VENDORS)).orderBy(F.split("path", "/"))
+    files = storage.dealt(folders.select("path"), most=storage.pieces(folders.sparkSession, n, 16)).mapInPandas(entries, "path string, length long")
+    return files.where(last_suffix().isin(*VENDORS))
+
+
+def inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder's own slide files, in path order. They are stored before the sort, which would list the folder once more for each of its passes."""
+    files = slide_files(spark.createDataFrame([(folder.rstrip("/") or "/",)], "path string"), 1)
+    return storage.stored(files, storage.run_folder(spark, "inventory")).orderBy(F.split("path", "/"))

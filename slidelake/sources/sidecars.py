@@ -20,11 +20,11 @@ from slidelake.sources import storage
 ENTRIES = "path string, length long, is_folder boolean"
 
 
-def list_folders(folders: DataFrame) -> DataFrame:
+def list_folders(folders: DataFrame, n: int | None = None) -> DataFrame:
     """(path, length, is_folder) of what folders (column path) hold: sidecars, and folders but for image stores and links.
 
-    The folders are dealt out to all tasks; a folder's entries are handed on some thousands at a
-    time, however wide it is.
+    The folders are dealt out to all tasks, or to as many as n folders are worth; a folder's entries
+    are handed on some thousands at a time, however wide it is.
     """
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,7 +42,7 @@ def list_folders(folders: DataFrame) -> DataFrame:
                         found = []
             yield pd.DataFrame(found, columns=names)
 
-    return storage.dealt(folders).mapInPandas(entries, ENTRIES)
+    return storage.dealt(folders, most=n and storage.pieces(folders.sparkSession, n, 16)).mapInPandas(entries, ENTRIES)
 
 
 def list_sidecars(spark: SparkSession, root: str) -> DataFrame:
@@ -54,10 +54,11 @@ def list_sidecars(spark: SparkSession, root: str) -> DataFrame:
     """
     root = root.rstrip("/") if "://" in root else os.path.abspath(root)
     folder, depths = storage.run_folder(spark, "listing"), []
-    frontier = spark.createDataFrame([(root,)], "path string")
-    while not depths or not frontier.isEmpty():
-        depths.append(storage.stored(list_folders(frontier), f"{folder}/depth-{len(depths)}"))
+    frontier, n = spark.createDataFrame([(root,)], "path string"), 1
+    while n:
+        depths.append(storage.stored(list_folders(frontier, n), f"{folder}/depth-{len(depths)}"))
         frontier = depths[-1].where("is_folder").select("path")
+        n = frontier.count()
     files = [d.where("not is_folder").select(F.lit(root).alias("directory"), F.col("path").alias("sidecar_path"), "length") for d in depths]
     found = storage.stored(reduce(DataFrame.union, files), f"{folder}/files")
     for i in range(len(depths)):
@@ -69,8 +70,8 @@ def scan_paths(paths: DataFrame, batch: int = 500, size: int = 32 << 20) -> Data
     """Reads the files of a (directory, sidecar_path) table on the executors.
 
     Spark's own readers skip names that begin with '.' or '_', so files are opened by path.
-    About `batch` files make a task, or `size` bytes where the table has their length. A file
-    that can't be read or isn't UTF-8 has a null text.
+    About `batch` files make a task, or `size` bytes where the table has their length; with two
+    tasks a core, up to 8 batches do. A file that can't be read or isn't UTF-8 has a null text.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,7 +87,7 @@ def scan_paths(paths: DataFrame, batch: int = 500, size: int = 32 << 20) -> Data
 
     length = F.col("length") if "length" in paths.columns else F.lit(0)
     n, total = paths.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first()
-    return paths.select("directory", "sidecar_path").repartition(max(1, -(-n // batch), -(-total // size))).mapInPandas(read, SIDECARS)
+    return paths.select("directory", "sidecar_path").repartition(max(storage.pieces(paths.sparkSession, -(-n // batch), 8), -(-total // size))).mapInPandas(read, SIDECARS)
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:

@@ -297,6 +297,42 @@ def test_files_are_there_a_round_at_a_time(spark):
     assert not list(Path(storage_root(spark)).glob("rounds-*/files-*"))
 
 
+def test_many_files_are_spread_over_folders_with_one_writer_each(spark, monkeypatch):
+    from pathlib import Path
+
+    from slidelake.plans import store_queries
+
+    monkeypatch.setattr(store_queries, "WIDTH", 10)
+    seen, written = [], []
+
+    def read(folder):
+        seen.append((folder, {p.name: {x.name for x in p.iterdir()} for p in Path(folder).iterdir()}))
+        return sidecars.scan(spark, folder).select("sidecar_path", F.col("text").alias("name"))
+
+    kind = type(spark.range(0))
+    spread = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda rows, *a: (written.append(rows), spread(rows, *a))[1])
+    files = spark.range(120).selectExpr("concat('s', id, '.json') name", "cast(concat('s', id, '.json') as binary) body")
+    found = store_queries._by_rounds(files, "spread", read, most=8, least=60).collect()
+    assert sorted(r.name for r in found) == sorted(f"s{i}.json" for i in range(120)) and all(r.sidecar_path.endswith(f"/{r.name}") for r in found)
+    assert len(seen) == 2 and len({folder for folder, _ in seen}) == 1
+    assert all(1 < len(held) <= 6 and set(held) <= {f"00{i}" for i in range(6)} for _, held in seen)
+    writers = next(w for w in written if w.columns == ["name", "body"]).select(F.substring_index("name", "/", 1).alias("at"), F.spark_partition_id().alias("task"))
+    assert {r["count"] for r in writers.distinct().groupBy("at").count().collect()} == {1}
+    assert not list(Path(storage_root(spark)).glob("spread-*/files*"))
+
+
+def test_small_folders_and_files_share_tasks(spark, tree):
+    root, put = tree
+    for i in range(60):
+        put(f"f{i}/a.json")
+    folders = spark.createDataFrame([(f"{root}/f{i}",) for i in range(60)], "path string")
+    assert sidecars.list_folders(folders, 2).rdd.getNumPartitions() == 2 and sidecars.list_folders(folders, 2).count() == 60
+    found = sidecars.list_sidecars(spark, str(root))
+    read = sidecars.scan_paths(found, batch=1)
+    assert read.rdd.getNumPartitions() == 8 and read.where("text is not null").count() == 60
+
+
 def storage_root(spark):
     from slidelake.sources import storage
 
