@@ -102,6 +102,17 @@ def test_stores_and_files_by_uri(spark, tmp_path):
     assert [(r.path.rpartition("/")[2], r.length) for r in found] == [(".h.czi", 2), ("_u.tif", 2), ("b.NDPI", 2), ("empty.svs", 0)]
 
 
+def test_an_inventory_lists_its_folder_once_and_names_are_cut_without_a_search(spark, tmp_path):
+    for name in ("b.svs", "a.czi", "x.txt"):
+        (tmp_path / name).write_bytes(b"1")
+    found = formats.inventory(spark, str(tmp_path))
+    assert "MapInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()  # its sort would run it for each of its passes
+    assert [r.path for r in found.collect()] == [f"{tmp_path}/a.czi", f"{tmp_path}/b.svs"]
+    names = spark.createDataFrame([("a/b//",), ("/",), ("",), ("b",), ("/x/.b.CZI",), (None,)], "path string").select(formats.base_name().alias("name"))
+    assert [r.name for r in names.collect()] == ["b", "", "", "b", ".b.CZI", None]
+    assert "regexp" not in names._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_absent_chunk_and_unknown_codec(spark, tmp_path):
     image = np.ones((1, 3, 1, 4, 4), np.uint8)
     store(tmp_path / "a.zarr", image, (1, 3, 1, 4, 4), skip={(0, 0, 0, 0, 0)})
